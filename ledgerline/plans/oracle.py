@@ -349,3 +349,87 @@ SELECT ledger_id, count(*) FILTER (WHERE date IS NOT NULL AND year(date) >= {REP
        count(*) FILTER (WHERE NOT (date IS NOT NULL AND year(date) >= {REPORT_YEAR})) AS dropped
 FROM movements GROUP BY ledger_id"""),
 }
+
+
+# ---- rule labelling ---------------------------------------------------------------------------
+
+def _norm_sql(c: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace(regexp_replace(upper(coalesce({c}, '')), '[.*/-]', ' ', 'g'), "
+            f"'[0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))")
+
+
+def _rule_values() -> str:
+    rows = []
+    for o, p, lo, hi, c, s, g, k in adapter.PRIORITY_RULES:
+        def lit(v):
+            return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+        rows.append(f"({o}, {lit(p)}, {lit(lo)}, {lit(hi)}, {lit(c)}, {lit(s)}, {lit(g)}, {lit(k)})")
+    return ", ".join(rows)
+
+
+def _rules_cte(with_priority: bool = True, extra_where: str = "") -> str:
+    fixed = (f"SELECT * FROM (VALUES {_rule_values()}) v(ord, pattern, lo, hi, category, subcategory, origin, kind) "
+             "UNION ALL ") if with_priority else ""
+    return f"""
+raw_rules AS (
+  {fixed}SELECT cast(100 + dense_rank() OVER (ORDER BY w) AS integer) AS ord, upper(w) AS pattern,
+         cast(NULL AS varchar) AS lo, cast(NULL AS varchar) AS hi, 'Tienda ' || w AS category, '' AS subcategory,
+         '' AS origin, '' AS kind
+  FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part)
+),
+rc AS (
+  SELECT ord, upper({_clean('pattern')}) AS pattern, try_cast(trim(lo) AS decimal(18,2)) AS lo,
+         try_cast(trim(hi) AS decimal(18,2)) AS hi, {_clean('category')} AS category, {_clean('subcategory')} AS subcategory,
+         {_clean('origin')} AS origin, {_clean('kind')} AS kind
+  FROM raw_rules
+),
+rk AS (
+  SELECT *, row_number() OVER (ORDER BY spec DESC, outs DESC, length(pattern) DESC, ord) AS priority
+  FROM (SELECT *, (pattern <> '')::integer + (lo IS NOT NULL OR hi IS NOT NULL)::integer AS spec,
+               (subcategory <> '')::integer + (origin <> '')::integer + (kind <> '')::integer AS outs
+        FROM rc WHERE category <> '' AND (pattern <> '' OR lo IS NOT NULL OR hi IS NOT NULL) {extra_where})
+),
+cm AS (
+  SELECT ledger_id, row_id, concept, upper(coalesce(concept, '')) AS cu, {_norm_sql('concept')} AS cn,
+         trim(coalesce(concept, '')) = '' AS blank,
+         greatest(abs(coalesce(debit, 0)), abs(coalesce(credit, 0))) AS amt
+  FROM movements
+),
+hits AS (
+  SELECT m.row_id, r.ord, r.category, r.subcategory, r.origin, r.kind,
+         row_number() OVER (PARTITION BY m.row_id ORDER BY r.priority) AS rn
+  FROM cm m JOIN rk r ON NOT m.blank AND (r.pattern = '' OR contains(m.cu, r.pattern) OR contains(m.cn, r.pattern))
+       AND (r.lo IS NULL OR m.amt >= r.lo) AND (r.hi IS NULL OR m.amt <= r.hi)
+),
+cls AS (
+  SELECT m.ledger_id, m.row_id, m.concept, h.ord AS rule_ord, coalesce(h.category, 'Sin clasificar') AS new_category,
+         coalesce(h.subcategory, '') AS new_subcategory, coalesce(h.origin, '') AS new_origin,
+         coalesce(h.kind, '') AS new_kind
+  FROM cm m LEFT JOIN hits h ON h.row_id = m.row_id AND h.rn = 1
+)"""
+
+
+_CLS_SELECT = "SELECT ledger_id, row_id, cast(rule_ord AS bigint) AS rule_ord, new_category, new_subcategory, new_origin, new_kind FROM cls"
+
+ORACLE.update({
+    "load_rules": q(_rules_cte(), select="""
+SELECT priority, cast(ord AS bigint) AS ord, pattern, cast(lo AS double) AS lo, cast(hi AS double) AS hi, category,
+       subcategory, origin, kind, cast(spec AS bigint) AS spec, cast(outs AS bigint) AS outs FROM rk"""),
+    "classify": q(_rules_cte(), select=_CLS_SELECT),
+    "classify_join": q(_rules_cte(), select=_CLS_SELECT),
+    "classify_distinct": q(_rules_cte(), select=_CLS_SELECT),
+    "rule_coverage": q(_rules_cte(), select=f"""
+SELECT count(*) AS total, count(*) FILTER (WHERE new_category <> 'Sin clasificar') AS classified,
+       count(*) FILTER (WHERE new_category = 'Sin clasificar') AS unclassified,
+       CASE WHEN count(*) > 0 THEN {_round_ratio("(count(*) FILTER (WHERE new_category <> 'Sin clasificar')) * 10000", 'count(*)')} END
+         AS pct_classified
+FROM cls"""),
+    "category_distribution": q(_rules_cte(), select="SELECT new_category AS category, count(*) AS n FROM cls GROUP BY 1"),
+    "top_unclassified": q(_rules_cte(False, "AND pattern NOT IN ('RED', 'BLUE')"), select="""
+SELECT concept, n, row_number() OVER (ORDER BY n DESC, concept) AS rank FROM (
+  SELECT upper(trim(concept)) AS concept, count(*) AS n FROM cls WHERE new_category = 'Sin clasificar' GROUP BY 1
+  ORDER BY n DESC, concept LIMIT 10)"""),
+    "rule_specificity": q(_rules_cte(), select="SELECT cast(spec AS bigint) AS spec, count(*) AS n_rules FROM rk GROUP BY 1"),
+    "abs_amount": q(select="""
+SELECT row_id, cast(greatest(abs(coalesce(debit, 0)), abs(coalesce(credit, 0))) AS double) AS abs_amount FROM movements"""),
+})

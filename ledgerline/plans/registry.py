@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import oracle, reports
+from ledgerline.plans import labelling, oracle, reports
 
 
 def registered_queries() -> dict:
     out = {}
     out.update(reports.QUERIES)
+    out.update(labelling.QUERIES)
     return out
 
 
