@@ -367,7 +367,8 @@ def _rule_values() -> str:
     return ", ".join(rows)
 
 
-def _rules_cte(with_priority: bool = True, extra_where: str = "") -> str:
+def _rules_cte(with_priority: bool = True, extra_where: str = "", src: str = "movements",
+               id_expr: str = "row_id") -> str:
     fixed = (f"SELECT * FROM (VALUES {_rule_values()}) v(ord, pattern, lo, hi, category, subcategory, origin, kind) "
              "UNION ALL ") if with_priority else ""
     return f"""
@@ -390,22 +391,22 @@ rk AS (
         FROM rc WHERE category <> '' AND (pattern <> '' OR lo IS NOT NULL OR hi IS NOT NULL) {extra_where})
 ),
 cm AS (
-  SELECT ledger_id, row_id, concept, upper(coalesce(concept, '')) AS cu, {_norm_sql('concept')} AS cn,
+  SELECT *, {id_expr} AS _id, upper(coalesce(concept, '')) AS cu, {_norm_sql('concept')} AS cn,
          trim(coalesce(concept, '')) = '' AS blank,
          greatest(abs(coalesce(debit, 0)), abs(coalesce(credit, 0))) AS amt
-  FROM movements
+  FROM {src}
 ),
 hits AS (
-  SELECT m.row_id, r.ord, r.category, r.subcategory, r.origin, r.kind,
-         row_number() OVER (PARTITION BY m.row_id ORDER BY r.priority) AS rn
+  SELECT m._id, r.ord, r.category, r.subcategory, r.origin, r.kind,
+         row_number() OVER (PARTITION BY m._id ORDER BY r.priority) AS rn
   FROM cm m JOIN rk r ON NOT m.blank AND (r.pattern = '' OR contains(m.cu, r.pattern) OR contains(m.cn, r.pattern))
        AND (r.lo IS NULL OR m.amt >= r.lo) AND (r.hi IS NULL OR m.amt <= r.hi)
 ),
 cls AS (
-  SELECT m.ledger_id, m.row_id, m.concept, h.ord AS rule_ord, coalesce(h.category, 'Sin clasificar') AS new_category,
+  SELECT m.*, h.ord AS rule_ord, coalesce(h.category, 'Sin clasificar') AS new_category,
          coalesce(h.subcategory, '') AS new_subcategory, coalesce(h.origin, '') AS new_origin,
          coalesce(h.kind, '') AS new_kind
-  FROM cm m LEFT JOIN hits h ON h.row_id = m.row_id AND h.rn = 1
+  FROM cm m LEFT JOIN hits h ON h._id = m._id AND h.rn = 1
 )"""
 
 
@@ -433,3 +434,86 @@ SELECT concept, n, row_number() OVER (ORDER BY n DESC, concept) AS rank FROM (
     "abs_amount": q(select="""
 SELECT row_id, cast(greatest(abs(coalesce(debit, 0)), abs(coalesce(credit, 0))) AS double) AS abs_amount FROM movements"""),
 })
+
+
+# ---- imports ------------------------------------------------------------------------------------
+
+INCOMING = f"""
+inc0 AS (SELECT * FROM base_rows WHERE date >= DATE '{adapter.INCOMING_FROM}'),
+incoming AS (
+  SELECT ledger_id, row_id, 0 AS copy_no, cast(_linenumber % 3 AS integer) AS file_no, date, concept, debit, credit,
+         bank_balance FROM inc0
+  UNION ALL
+  SELECT ledger_id, row_id, 1 AS copy_no, cast(_linenumber % 3 AS integer) AS file_no, date, concept, debit, credit,
+         bank_balance FROM inc0 WHERE _quantity = 1
+),
+old_ledger AS (SELECT * FROM movements WHERE date < DATE '{adapter.LEDGER_BEFORE}'),
+old_keys AS (
+  SELECT DISTINCT ledger_id, date AS kd, upper(trim(coalesce(concept, ''))) AS kc, coalesce(debit, 0) AS kdb,
+         coalesce(credit, 0) AS kcr FROM old_ledger
+)"""
+
+
+def _keyed(src: str) -> str:
+    return (f"(SELECT *, date AS kd, upper(trim(coalesce(concept, ''))) AS kc, coalesce(debit, 0) AS kdb, "
+            f"coalesce(credit, 0) AS kcr FROM {src})")
+
+
+def _anti(src: str) -> str:
+    return (f"(SELECT * FROM {_keyed(src)} i WHERE NOT EXISTS (SELECT 1 FROM old_keys o WHERE o.ledger_id = i.ledger_id "
+            "AND o.kd = i.kd AND o.kc = i.kc AND o.kdb = i.kdb AND o.kcr = i.kcr))")
+
+
+def _first_file(src: str) -> str:
+    return (f"(SELECT * EXCLUDE (ff) FROM (SELECT *, min(file_no) OVER (PARTITION BY ledger_id, kd, kc, kdb, kcr) AS ff "
+            f"FROM {_keyed(src)}) WHERE file_no = ff)")
+
+
+IMPORTED = """
+stmts AS (
+  SELECT * REPLACE (trim(coalesce(concept, '')) AS concept) FROM incoming
+  WHERE date IS NOT NULL AND upper(trim(coalesce(concept, ''))) NOT IN ('SALDO ANTERIOR', 'SALDO FINAL', 'SALDO INICIAL', 'TOTAL')
+),
+fresh AS (SELECT * EXCLUDE (kd, kc, kdb, kcr) FROM {anti})
+"""
+
+_IMPORT_ROWS = """
+SELECT ledger_id, row_id, 'import-1' AS batch_id, new_kind AS kind, new_origin AS origin, new_category AS category,
+       new_subcategory AS subcategory, cast(date AS varchar) AS date, concept,
+       cast(CASE WHEN debit > 0 THEN debit END AS double) AS debit,
+       cast(CASE WHEN credit > 0 THEN credit END AS double) AS credit,
+       cast(CASE WHEN bank_balance <> 0 THEN bank_balance END AS double) AS bank_balance,
+       new_category = 'Sin clasificar' AS review{extra}
+FROM cls"""
+
+
+def _imported_ctes() -> list[str]:
+    fresh = IMPORTED.format(anti=_anti(f"(SELECT * EXCLUDE (kd, kc, kdb, kcr) FROM {_first_file('stmts')})"))
+    return [INCOMING, fresh, _rules_cte(src="fresh", id_expr="row_id || '#' || cast(copy_no AS varchar)")]
+
+
+ORACLE.update({
+    "movement_key": q(select="""
+SELECT row_id, substr(md5(concat_ws('|', cast(date AS varchar), upper(trim(coalesce(concept, ''))),
+       cast(coalesce(debit, 0) AS varchar), cast(coalesce(credit, 0) AS varchar))), 1, 12) AS movement_key
+FROM movements"""),
+    "new_movements": q(INCOMING, select=f"SELECT ledger_id, row_id, cast(copy_no AS bigint) AS copy_no, cast(file_no AS bigint) AS file_no FROM {_anti('incoming')}"),
+    "first_file_wins": q(INCOMING, select=f"SELECT ledger_id, row_id, cast(copy_no AS bigint) AS copy_no, cast(file_no AS bigint) AS file_no FROM {_first_file('incoming')}"),
+    "import_statements": q(*_imported_ctes(), select=_IMPORT_ROWS.format(extra="")),
+    "append_movements": q(*_imported_ctes(), select=_IMPORT_ROWS.format(extra=", '' AS reference, '' AS destination")),
+    "import_summary": q(*_imported_ctes(), select="""
+, per_file AS (
+  SELECT r.file_no, r.n_read, coalesce(a.n_new, 0) AS n_new, coalesce(a.n_classified, 0) AS n_classified,
+         coalesce(a.n_review, 0) AS n_review
+  FROM (SELECT file_no, count(*) AS n_read FROM incoming GROUP BY 1) r
+  LEFT JOIN (SELECT file_no, count(*) AS n_new, count(*) FILTER (WHERE new_category <> 'Sin clasificar') AS n_classified,
+                    count(*) FILTER (WHERE new_category = 'Sin clasificar') AS n_review FROM cls GROUP BY 1) a USING (file_no)
+)
+SELECT cast(file_no AS bigint) AS file_no, cast(sum(n_read) AS bigint) AS n_read, cast(sum(n_new) AS bigint) AS n_new,
+       cast(sum(n_classified) AS bigint) AS n_classified, cast(sum(n_review) AS bigint) AS n_review,
+       sum(n_review) > 0 AS alert
+FROM per_file GROUP BY ROLLUP (file_no)"""),
+    "new_since": q(select="""
+SELECT ledger_id, row_id, batch_id FROM movements m
+WHERE batch_id = (SELECT max(batch_id) FROM movements x WHERE x.ledger_id = m.ledger_id)"""),
+})

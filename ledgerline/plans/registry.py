@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import labelling, oracle, reports
+from ledgerline.plans import imports, labelling, oracle, reports
 
 
 def registered_queries() -> dict:
     out = {}
     out.update(reports.QUERIES)
     out.update(labelling.QUERIES)
+    out.update(imports.QUERIES)
     return out
 
 
