@@ -517,3 +517,181 @@ FROM per_file GROUP BY ROLLUP (file_no)"""),
 SELECT ledger_id, row_id, batch_id FROM movements m
 WHERE batch_id = (SELECT max(batch_id) FROM movements x WHERE x.ledger_id = m.ledger_id)"""),
 })
+
+
+# ---- mining, migration, maintenance -------------------------------------------------------------
+
+from ledgerline.constants import KINDS, MINING_STOP_WORDS, ORIGINS  # noqa: E402
+
+
+def _tokens_sql(norm: str) -> str:
+    return (f"list_filter(string_split({norm}, ' '), lambda t: length(t) >= 3 AND NOT list_contains([{_list(MINING_STOP_WORDS)}], t))")
+
+
+MINING = f"""
+mrows AS (
+  SELECT ledger_id, row_id, date, concept,
+         CASE WHEN subcategory <> '' THEN upper(substr(subcategory, 1, 1)) || lower(substr(subcategory, 2)) ELSE category END AS label
+  FROM base_rows
+),
+mr AS (SELECT *, {_norm_sql('concept')} AS norm, {_tokens_sql(_norm_sql('concept'))} AS tokens FROM mrows WHERE label <> ''),
+tk AS (SELECT row_id, label, unnest(list_distinct(tokens)) AS pattern FROM mr),
+tper AS (SELECT pattern, label, count(*) AS n FROM tk GROUP BY ALL),
+ttok AS (SELECT pattern, sum(n) AS total, max(n) AS dom, first(label ORDER BY n DESC, label DESC) AS label FROM tper GROUP BY pattern),
+pats AS (
+  SELECT pattern, label, dom AS matches, total, {_round_ratio('dom * 100', 'total')} AS purity
+  FROM ttok WHERE total >= 3 AND dom * 100 >= total * 85
+),
+unm AS (
+  SELECT * FROM mr WHERE row_id NOT IN (
+    SELECT row_id FROM (SELECT row_id, unnest(tokens) AS t FROM mr) WHERE t IN (SELECT pattern FROM pats))
+),
+usum AS (
+  SELECT substr(norm, 1, 60) AS norm_concept, cast(sum(n) AS bigint) AS occurrences,
+         first(label ORDER BY n DESC, label ASC) AS top_label, substr(arg_min(ex, id), 1, 55) AS example
+  FROM (SELECT norm, label, count(*) AS n, arg_min(concept, row_id) AS ex, min(row_id) AS id FROM unm GROUP BY norm, label)
+  GROUP BY norm
+),
+allr AS (SELECT row_id, concept, {_norm_sql('concept')} AS norm FROM movements),
+pex AS (
+  SELECT p.pattern, coalesce(substr(arg_min(a.concept, a.row_id), 1, 55), '') AS example
+  FROM pats p LEFT JOIN allr a ON contains(a.norm, p.pattern) GROUP BY p.pattern
+),
+props AS (
+  SELECT DISTINCT upper(w) AS pattern, 'Compras' AS category, upper(substr(w, 1, 1)) || lower(substr(w, 2)) AS subcategory,
+         CASE WHEN w = 'gizmo' THEN 'revisar' ELSE '' END AS note
+  FROM (SELECT split_part(p_name, ' ', 2) AS w FROM part) WHERE w NOT IN ('ring', 'bolt')
+),
+rrp AS (
+  SELECT p.pattern, p.label, p.matches, p.total, p.purity, e.example,
+         coalesce(pr.category, '') AS proposed_category, coalesce(pr.subcategory, '') AS proposed_subcategory,
+         coalesce(pr.note, '') AS note
+  FROM pats p LEFT JOIN pex e USING (pattern) LEFT JOIN props pr ON pr.pattern = p.pattern
+),
+rru AS (
+  SELECT u.*, coalesce(pr.category, '') AS proposed_category, coalesce(pr.subcategory, '') AS proposed_subcategory
+  FROM usum u LEFT JOIN props pr ON pr.pattern = upper(u.top_label)
+),
+urules AS (
+  SELECT trim(pattern) AS pattern, cast(NULL AS double) AS lo, cast(NULL AS double) AS hi, trim(category) AS category,
+         trim(coalesce(subcategory, '')) AS subcategory, '' AS origin, '' AS kind
+  FROM (SELECT pattern, proposed_category AS category, proposed_subcategory AS subcategory FROM rrp
+        UNION ALL SELECT norm_concept, proposed_category, proposed_subcategory FROM rru)
+  WHERE trim(coalesce(category, '')) <> ''
+)"""
+
+RECODE = """
+recode AS (SELECT * FROM (VALUES ('ECONOMY', 'Supermercado', ''), ('SMALL', 'Servicios', 'Agua'),
+  ('MEDIUM', 'Salud', 'Farmacia'), ('PROMO', 'Otros ingresos', NULL), ('STANDARD', 'No va', '')) v(old, new, sub)),
+legacy AS (
+  SELECT ledger_id, row_id,
+         CASE WHEN _linenumber = 7 AND _linestatus = 'F' THEN 'Saldo Inicial' WHEN _linenumber = 7 THEN 'Saldo Final'
+              ELSE kind END AS kind,
+         origin, CASE WHEN _ptype = 'LARGE' AND _linestatus = 'O' THEN '' ELSE _ptype END AS label,
+         subcategory AS label2, date, concept, debit, credit, bank_balance
+  FROM base_rows
+)"""
+
+REBUILD_SRC = f"""
+lg AS (
+  SELECT ledger_id, row_id, {_clean('kind')} AS kind, {_clean('origin')} AS origin, {_clean('label')} AS label,
+         {_clean('label2')} AS label2, date, concept, debit, credit, bank_balance
+  FROM legacy WHERE date IS NOT NULL AND year(date) >= {adapter.FIRST_YEAR} AND trim(coalesce(kind, '')) NOT IN ('Saldo Inicial', 'Saldo Final')
+)"""
+
+REBUILT = f"""
+rebuilt AS (
+  SELECT c.ledger_id, c.row_id, c.kind, c.origin,
+    CASE WHEN year(c.date) >= {adapter.CUTOVER_YEAR} AND r.old IS NOT NULL THEN r.new
+         WHEN year(c.date) >= {adapter.CUTOVER_YEAR} AND c.label = '' THEN c.new_category ELSE c.label END AS category,
+    CASE WHEN year(c.date) >= {adapter.CUTOVER_YEAR} AND r.old IS NOT NULL
+           THEN CASE WHEN coalesce(r.sub, '') <> '' THEN r.sub ELSE c.label2 END
+         WHEN year(c.date) >= {adapter.CUTOVER_YEAR} AND c.label = '' THEN c.new_subcategory ELSE c.label2 END AS subcategory,
+    c.date, c.concept, c.debit, c.credit, c.bank_balance,
+    year(c.date) >= {adapter.CUTOVER_YEAR} AND c.label = '' AND c.new_category = 'Sin clasificar' AS review
+  FROM cls c LEFT JOIN recode r ON r.old = c.label
+),
+taxo AS (SELECT DISTINCT category, subcategory FROM movements WHERE year(date) < {adapter.CUTOVER_YEAR} AND category <> '')"""
+
+RECLASS_SRC = f"""
+rsrc AS (
+  SELECT ledger_id, row_id, date, {_clean('concept')} AS concept, debit, credit,
+         {_clean('category')} AS old_category, {_clean('subcategory')} AS old_subcategory,
+         {_clean('origin')} AS old_origin, {_clean('kind')} AS old_kind
+  FROM movements WHERE year(date) >= {adapter.CUTOVER_YEAR}
+)"""
+
+RECLASSIFIED = """
+rcl AS (
+  SELECT *, new_category <> 'Sin clasificar' AS matched,
+         new_category <> 'Sin clasificar' AND old_category <> new_category AS category_changed,
+         new_category <> 'Sin clasificar' AND new_subcategory <> '' AND old_subcategory <> new_subcategory AS subcategory_changed,
+         new_category <> 'Sin clasificar' AND new_origin <> '' AND old_origin <> new_origin AS origin_changed,
+         new_category <> 'Sin clasificar' AND new_kind <> '' AND old_kind <> new_kind AS kind_changed
+  FROM cls
+),
+rcl2 AS (
+  SELECT *, CASE WHEN category_changed THEN new_category ELSE old_category END AS category,
+         CASE WHEN subcategory_changed THEN new_subcategory ELSE old_subcategory END AS subcategory,
+         CASE WHEN origin_changed THEN new_origin ELSE old_origin END AS origin,
+         CASE WHEN kind_changed THEN new_kind ELSE old_kind END AS kind
+  FROM rcl
+)"""
+
+_RULE_REVIEW_P = ("SELECT pattern, label, matches, total, purity, example, proposed_category, proposed_subcategory, note FROM rrp")
+
+ORACLE.update({
+    "mine_patterns": q(MINING, select="SELECT pattern, label, matches, total, purity FROM pats"),
+    "unmatched_concepts": q(MINING, select="SELECT ledger_id, row_id, norm FROM unm"),
+    "unmatched_summary": q(MINING, select="SELECT norm_concept, occurrences, top_label, example FROM usum"),
+    "pattern_example": q(MINING, select="SELECT pattern, example FROM pex"),
+    "propose_categories": q(MINING, select="""
+SELECT p.pattern, p.label, p.matches, p.total, p.purity, coalesce(pr.category, '') AS proposed_category,
+       coalesce(pr.subcategory, '') AS proposed_subcategory, coalesce(pr.note, '') AS note
+FROM pats p LEFT JOIN props pr USING (pattern)"""),
+    "rule_review_patterns": q(MINING, select=_RULE_REVIEW_P),
+    "rule_review_unmatched": q(MINING, select="SELECT * FROM rru"),
+    "union_rules": q(MINING, select="SELECT * FROM urules"),
+    "migrate_rules": q(MINING, select="""
+SELECT *, row_number() OVER (ORDER BY category, length(pattern) DESC, pattern, subcategory) AS ord FROM urules"""),
+    "flat_subcategories": q(select=f"""
+SELECT DISTINCT subcategory,
+       (SELECT count(DISTINCT category) FROM movements WHERE year(date) < {adapter.CUTOVER_YEAR} AND category <> '') AS n_categories
+FROM movements WHERE year(date) < {adapter.CUTOVER_YEAR} AND category <> '' AND subcategory <> ''"""),
+    "recode_category": q(RECODE, select=f"""
+SELECT l.row_id,
+  CASE WHEN r.old IS NOT NULL AND year(l.date) < {adapter.CUTOVER_YEAR} THEN r.new ELSE l.label END AS category,
+  CASE WHEN r.old IS NOT NULL AND year(l.date) < {adapter.CUTOVER_YEAR} AND coalesce(r.sub, '') <> '' AND coalesce(l.label2, '') = ''
+       THEN r.sub ELSE coalesce(l.label2, '') END AS subcategory
+FROM legacy l LEFT JOIN recode r ON r.old = l.label"""),
+    "recode_rebuild": q(RECODE, select="""
+SELECT l.row_id, CASE WHEN r.old IS NOT NULL THEN r.new ELSE l.label END AS category,
+  CASE WHEN r.old IS NOT NULL AND coalesce(r.sub, '') <> '' THEN r.sub ELSE coalesce(l.label2, '') END AS subcategory
+FROM legacy l LEFT JOIN recode r ON r.old = l.label"""),
+    "reclassify": q(RECLASS_SRC, _rules_cte(src="rsrc"), RECLASSIFIED, select="""
+SELECT ledger_id, row_id, matched, category, subcategory, origin, kind, old_category, old_subcategory, old_origin,
+       old_kind, category_changed, subcategory_changed, origin_changed, kind_changed FROM rcl2"""),
+    "change_counts": q(RECLASS_SRC, _rules_cte(src="rsrc"), RECLASSIFIED, select="""
+SELECT count(*) AS rows_seen, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE NOT matched) AS untouched,
+       count(*) FILTER (WHERE category_changed) AS category_changed, count(*) FILTER (WHERE subcategory_changed) AS subcategory_changed,
+       count(*) FILTER (WHERE origin_changed) AS origin_changed, count(*) FILTER (WHERE kind_changed) AS kind_changed
+FROM rcl2"""),
+    "change_log": q(RECLASS_SRC, _rules_cte(src="rsrc"), RECLASSIFIED, select="""
+SELECT ledger_id, row_id, 'category' AS field, old_category AS old_value, category AS new_value FROM rcl2 WHERE category_changed
+UNION ALL SELECT ledger_id, row_id, 'subcategory', old_subcategory, subcategory FROM rcl2 WHERE subcategory_changed
+UNION ALL SELECT ledger_id, row_id, 'origin', old_origin, origin FROM rcl2 WHERE origin_changed
+UNION ALL SELECT ledger_id, row_id, 'kind', old_kind, kind FROM rcl2 WHERE kind_changed"""),
+    "rebuild_ledger": q(RECODE, REBUILD_SRC, _rules_cte(src="lg"), REBUILT, select="""
+SELECT ledger_id, row_id, kind, origin, category, subcategory, cast(date AS varchar) AS date, concept,
+       cast(debit AS double) AS debit, cast(credit AS double) AS credit, cast(bank_balance AS double) AS bank_balance, review
+FROM rebuilt"""),
+    "invalid_labels": q(RECODE, REBUILD_SRC, _rules_cte(src="lg"), REBUILT, select=f"""
+SELECT * FROM (
+  SELECT ledger_id, row_id,
+    category <> '' AND category NOT IN (SELECT category FROM taxo) AS bad_category,
+    subcategory <> '' AND subcategory NOT IN (SELECT subcategory FROM taxo WHERE subcategory <> '') AS bad_subcategory,
+    origin <> '' AND origin NOT IN ({_list(ORIGINS)}) AS bad_origin,
+    kind <> '' AND kind NOT IN ({_list(KINDS)}) AS bad_kind
+  FROM rebuilt)
+WHERE bad_category OR bad_subcategory OR bad_origin OR bad_kind"""),
+})

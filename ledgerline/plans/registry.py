@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import imports, labelling, oracle, reports
+from ledgerline.plans import imports, labelling, maintenance, oracle, reports
 
 
 def registered_queries() -> dict:
@@ -10,6 +10,7 @@ def registered_queries() -> dict:
     out.update(reports.QUERIES)
     out.update(labelling.QUERIES)
     out.update(imports.QUERIES)
+    out.update(maintenance.QUERIES)
     return out
 
 

@@ -162,6 +162,20 @@ def _global_order(col: str):
     return Window.orderBy(col)
 
 
-def mining_label(df: DataFrame) -> Column:
-    """Label used by the miner: the second word of the part name (FIXTURES §3 'mining')."""
-    return F.initcap(F.split_part(F.col("_pname"), F.lit(" "), F.lit(2)))
+def mining_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled history for the miner (FIXTURES §3 'mining'): the label is the second part-name
+    word, or the category where that word is not a subcategory (ring / bolt), so those tokens stay
+    impure.  Unlabelled rows are left out, as the miner only reads labelled movements."""
+    b = base_rows(spark, sf_dir)
+    label = F.when(F.col("subcategory") != "", F.initcap("subcategory")).otherwise(F.col("category"))
+    return b.select("ledger_id", "row_id", "date", "concept", label.alias("label")).where(F.col("label") != "")
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated proposals (pattern → category, subcategory, note) for the part-name second words
+    other than ring / bolt."""
+    w = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
+    return (_read(spark, sf_dir, "part").select(w.alias("w")).where(~F.col("w").isin("ring", "bolt")).distinct()
+            .select(F.upper("w").alias("pattern"), F.lit("Compras").alias("category"),
+                    F.initcap("w").alias("subcategory"),
+                    F.when(F.col("w") == "gizmo", F.lit("revisar")).otherwise(F.lit("")).alias("note")))
