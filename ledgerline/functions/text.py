@@ -23,9 +23,10 @@ def norm_concept(c, upper: bool = True) -> Column:
     s = F.coalesce(_c(c).cast("string"), F.lit(""))
     if upper:
         s = F.upper(s)
-    s = F.regexp_replace(s, r"[.*/\-]", " ")
-    s = F.regexp_replace(s, r"[0-9]+", " ")
-    s = F.regexp_replace(s, r"\s+", " ")
+    # punctuation → space, then every run of digits and whitespace → one space: the same text as
+    # replacing digit runs and collapsing spaces in two passes, with one regex instead of three
+    s = F.translate(s, ".*-/", "    ")
+    s = F.regexp_replace(s, r"[0-9\s]+", " ")
     return F.trim(s)
 
 

@@ -11,9 +11,10 @@ Strategies (results are identical):
   whole-stage codegen: map-only, no shuffle, no join.  The rule table is collected once, after its
   row count is checked against ``max_inline`` (a user-edited sheet, not data that grows with the
   ledger).
-* ``join``  — for larger rule tables: distinct (concept, amount) keys ⋈ broadcast(rules) on the
-  theta condition, best rule per key by ``min_by(priority)``, equi-join back.  Broadcast only after
-  the rule count is checked against ``max_broadcast``.
+* ``join``  — for larger rule tables: distinct concepts ⋈ broadcast(rules) on the substring
+  condition (text matching does not depend on the amount), candidates collected per concept,
+  equi-joined back; the amount bounds and the best priority are checked per row on that small
+  array.  Broadcast only after the rule count is checked against ``max_broadcast``.
 * ``distinct`` (J2b) — the CASE chain on distinct (concept, amount) keys, joined back; pays off
   when the same concepts repeat many times and the rule list is long.
 """
@@ -28,6 +29,7 @@ from ledgerline.functions.numbers import abs_amount
 from ledgerline.functions.text import norm_concept
 
 MAX_INLINE_RULES = 2_000
+AUTO_CASE_RULES = 32
 MAX_BROADCAST_RULES = 200_000
 OUT = ("rule_ord", "new_category", "new_subcategory", "new_origin", "new_kind")
 
@@ -82,42 +84,58 @@ def _explode_label(df: DataFrame, col: str = "_best") -> DataFrame:
               .drop(col, "_cu", "_cn", "_blank", "_amt"))
 
 
-def classify(df: DataFrame, rules: DataFrame, strategy: str = "case", concept: str = "concept",
+def classify(df: DataFrame, rules: DataFrame, strategy: str = "auto", concept: str = "concept",
              debit: str = "debit", credit: str = "credit", max_inline: int = MAX_INLINE_RULES,
              max_broadcast: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """Adds rule_ord, new_category, new_subcategory, new_origin, new_kind to every row."""
+    """Adds rule_ord, new_category, new_subcategory, new_origin, new_kind to every row.
+
+    ``auto`` picks ``case`` up to ``AUTO_CASE_RULES`` rules (a CASE chain stays inside generated
+    code) and ``join`` above (a very long chain exceeds the JVM method size and runs interpreted).
+    """
+    if strategy == "auto":
+        n = rules.limit(AUTO_CASE_RULES + 1).count()
+        strategy = "case" if n <= AUTO_CASE_RULES else "join"
     if strategy == "case":
         m = _match_inputs(df, concept, abs_amount(debit, credit))
         return _explode_label(m.withColumn("_best", _case_labels(m, rules, max_inline)))
-    if strategy in ("join", "distinct"):
-        # distinct (concept, amount) keys: the label depends on nothing else
+    if strategy == "join":
+        return _classify_join(df, rules, concept, debit, credit, max_broadcast)
+    if strategy == "distinct":
+        # The CASE chain on distinct (concept, amount) keys, joined back
         keys = df.select(F.col(concept).alias("_k_concept"), abs_amount(debit, credit).alias("_k_amt")).distinct()
         keys = _match_inputs(keys, "_k_concept", F.col("_k_amt"))
-        if strategy == "join":
-            best = _join_best(keys, rules, max_broadcast)
-        else:
-            best = keys.withColumn("_best", _case_labels(keys, rules, max_inline))
-        best = best.select("_k_concept", "_k_amt", "_best")
+        best = keys.withColumn("_best", _case_labels(keys, rules, max_inline)).select("_k_concept", "_k_amt", "_best")
         m = df.withColumn("_m_amt", abs_amount(debit, credit))
         j = m.join(best, F.col(concept).eqNullSafe(F.col("_k_concept")) & (F.col("_m_amt") == F.col("_k_amt")), "left")
         return _explode_label(j.drop("_k_concept", "_k_amt", "_m_amt"))
     raise ValueError(strategy)
 
 
-def _join_best(keys: DataFrame, rules: DataFrame, max_broadcast: int) -> DataFrame:
+def _classify_join(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str,
+                   max_broadcast: int) -> DataFrame:
+    """Text conditions depend on the concept only: distinct concepts ⋈ broadcast(rules) on the
+    substring condition gives each concept its candidate rules (at most the rule count); the
+    amount bounds are then checked per row on that small array and the best priority kept."""
     n = rules.limit(max_broadcast + 1).count()
     if n > max_broadcast:
         raise ValueError(f"rule table has more than {max_broadcast} rules")
     r = F.broadcast(rules.select("priority", "ord", "pattern", "lo", "hi", "category", "subcategory", "origin", "kind"))
-    cond = (~F.col("_blank")
-            & ((F.col("pattern") == "") | F.col("_cu").contains(F.col("pattern")) | F.col("_cn").contains(F.col("pattern")))
-            & (F.col("lo").isNull() | (F.col("_amt") >= F.col("lo")))
-            & (F.col("hi").isNull() | (F.col("_amt") <= F.col("hi"))))
-    hits = keys.join(r, cond, "inner")
-    best = hits.groupBy("_k_concept", "_k_amt").agg(
-        F.min_by(F.struct(F.col("ord").alias("o"), F.col("category").alias("c"), F.col("subcategory").alias("s"),
-                          F.col("origin").alias("g"), F.col("kind").alias("k")), F.col("priority")).alias("_best"))
-    return keys.select("_k_concept", "_k_amt").join(best, ["_k_concept", "_k_amt"], "left")
+    concepts = _match_inputs(df.select(F.col(concept).alias("_k_concept")).distinct(), "_k_concept", F.lit(None))
+    text_ok = ~F.col("_blank") & ((F.col("pattern") == "") | F.col("_cu").contains(F.col("pattern"))
+                                  | F.col("_cn").contains(F.col("pattern")))
+    cand = (concepts.join(r, text_ok, "inner")
+            .groupBy("_k_concept")
+            .agg(F.collect_list(F.struct("priority", "lo", "hi", F.col("ord").alias("o"), F.col("category").alias("c"),
+                                         F.col("subcategory").alias("s"), F.col("origin").alias("g"),
+                                         F.col("kind").alias("k"))).alias("_cands")))
+    m = df.withColumn("_m_amt", abs_amount(debit, credit))
+    j = m.join(cand, F.col(concept).eqNullSafe(F.col("_k_concept")), "left")
+    fits = F.filter("_cands", lambda x: (x["lo"].isNull() | (F.col("_m_amt") >= x["lo"]))
+                    & (x["hi"].isNull() | (F.col("_m_amt") <= x["hi"])))
+    best = F.array_min(fits)   # structs compare by priority first
+    j = j.withColumn("_best", F.when(best.isNotNull(), F.struct(
+        best["o"].alias("o"), best["c"].alias("c"), best["s"].alias("s"), best["g"].alias("g"), best["k"].alias("k"))))
+    return _explode_label(j.drop("_k_concept", "_cands", "_m_amt"))
 
 
 def rule_coverage(classified: DataFrame) -> DataFrame:
