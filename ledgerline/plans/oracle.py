@@ -695,3 +695,85 @@ SELECT * FROM (
   FROM rebuilt)
 WHERE bad_category OR bad_subcategory OR bad_origin OR bad_kind"""),
 })
+
+
+# ---- sources and scalar functions -------------------------------------------------------------
+
+from ledgerline.constants import MODEL_STOP_WORDS, NEEDS_LABEL_TEXTS, TRAINING_EXCLUDED  # noqa: E402
+
+TEXTS = """
+tx0 AS (SELECT row_id, _linenumber % 4 AS form, coalesce(debit, credit) AS amt, date FROM base_rows),
+texts AS (
+  SELECT row_id,
+    CASE form WHEN 0 THEN cast(amt AS varchar)
+              WHEN 1 THEN '$ ' || replace(cast(amt AS varchar), '.', ',')
+              WHEN 2 THEN '-' || cast(amt AS varchar)
+              ELSE CASE WHEN amt >= 1000 THEN cast(cast(amt * 100 AS bigint) // 100000 AS varchar) || '.' ||
+                        lpad(cast((cast(amt * 100 AS bigint) // 100) % 1000 AS varchar), 3, '0') || ',' ||
+                        lpad(cast(cast(amt * 100 AS bigint) % 100 AS varchar), 2, '0') ELSE '' END END AS amount_text,
+    CASE form WHEN 0 THEN strftime(date, '%-d/%-m/%Y')
+              WHEN 1 THEN cast(date_diff('day', DATE '1899-12-30', date) AS varchar)
+              WHEN 2 THEN cast(date_diff('day', DATE '1899-12-30', date) AS varchar) || '.75'
+              ELSE strftime(date, '%Y-%m-%d') END AS date_text
+  FROM tx0
+)"""
+
+
+def _p3(t: str) -> str:
+    k = f"replace(regexp_replace(coalesce({t}, ''), '[^0-9,.]', '', 'g'), ',', '.')"
+    return f"CASE WHEN {k} = '' THEN 0 ELSE try_cast({k} AS decimal(18,2)) END"
+
+
+def _p4(t: str) -> str:
+    k = f"replace(replace(trim(coalesce({t}, '')), '.', ''), ',', '.')"
+    return f"coalesce(try_cast({k} AS decimal(18,2)), 0)"
+
+
+def _p5(t: str) -> str:
+    s = f"trim({t})"
+    fm = ", ".join(f"try_strptime({s}, '{f}')" for f in ("%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%Y-%m-%d"))
+    n = f"try_cast({s} AS double)"
+    return (f"coalesce(cast(coalesce({fm}) AS date), CASE WHEN {n} > 20000 AND {n} < 80000 "
+            f"THEN DATE '1899-12-30' + cast(floor({n}) AS integer) END)")
+
+
+def _model_tokens(x: str) -> str:
+    n = _norm_sql(x)
+    return (f"array_to_string(list_filter(string_split({n}, ' '), lambda t: length(t) >= 3 AND NOT "
+            f"list_contains([{_list(MODEL_STOP_WORDS)}], t)), ' ')")
+
+
+ORACLE.update({
+    "read_statements": q(INCOMING, select="""
+SELECT ledger_id, cast(file_no AS bigint) AS file_no, cast(date AS varchar) AS date, concept,
+       cast(coalesce(debit, 0) AS double) AS debit, cast(coalesce(credit, 0) AS double) AS credit,
+       cast(coalesce(bank_balance, 0) AS double) AS balance, row_id AS reference FROM incoming"""),
+    "parse_bank_amount": q(TEXTS, select=f"SELECT row_id, amount_text, cast({_p3('amount_text')} AS double) AS amount FROM texts"),
+    "parse_amount_es": q(TEXTS, select=f"SELECT row_id, amount_text, cast({_p4('amount_text')} AS double) AS amount FROM texts"),
+    "parse_date": q(TEXTS, select=f"SELECT row_id, date_text, cast({_p5('date_text')} AS varchar) AS date FROM texts"),
+    "norm_header": q(select="""
+SELECT p_partkey, regexp_replace(translate(lower(trim(concat_ws(' ', p_name, p_brand))), 'áéíóú', 'aeiou'), '[^a-z0-9]', '', 'g') AS norm
+FROM part"""),
+    "norm_concept": q(select=f"SELECT row_id, {_norm_sql('concept')} AS norm FROM movements"),
+    "tokens": q(select=f"SELECT row_id, array_to_string({_tokens_sql(_norm_sql('concept'))}, ' ') AS tokens FROM movements"),
+    "signed_amount": q(select="SELECT row_id, cast(coalesce(credit, 0) - coalesce(debit, 0) AS double) AS amount FROM movements"),
+    "month_labels": q(select=f"SELECT month, {label('month')} AS label FROM (SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM movements)"),
+    "clean_text": q(RECODE, select=f"""
+SELECT row_id, {_clean("CASE WHEN label = '' THEN 'nan' WHEN label = 'PROMO' THEN ' None ' ELSE ' ' || label END")} AS label
+FROM legacy"""),
+    "model_text": q(select="SELECT row_id, " + _model_tokens("concat_ws(' ', concept, reference, destination, origin)")
+                    + " AS text FROM movements"),
+    "truncate_concept": q(select="SELECT row_id, substr(concept, 1, 20) AS short FROM movements"),
+    "drop_balance_lines": q(INCOMING, select="SELECT DISTINCT ledger_id, cast(file_no AS bigint) AS file_no, cast(1 AS bigint) AS balance_lines FROM incoming"),
+    "drop_marker_kinds": q(RECODE, select="""
+SELECT row_id, kind FROM legacy WHERE trim(coalesce(kind, '')) NOT IN ('Saldo Inicial', 'Saldo Final')"""),
+    "card_subset": q(select="SELECT row_id, origin FROM movements WHERE coalesce(contains(lower(origin), 'tarjeta'), false)"),
+    "needs_label": q(RECODE, select=f"""
+SELECT row_id, label FROM legacy WHERE trim(coalesce(label, '')) = '' OR upper(trim(coalesce(label, ''))) IN ({_list(NEEDS_LABEL_TEXTS)})"""),
+    "training_rows": q(select=f"""
+SELECT category, count(*) AS n FROM movements
+WHERE trim(coalesce(category, '')) <> '' AND trim(coalesce(category, '')) NOT IN ({_list(TRAINING_EXCLUDED)})
+  AND upper(trim(coalesce(category, ''))) NOT IN ({_list(NEEDS_LABEL_TEXTS)})
+GROUP BY category"""),
+    "from_year": q(select=f"SELECT ledger_id, count(*) AS n FROM movements WHERE year(date) >= {adapter.CUTOVER_YEAR} GROUP BY 1"),
+})

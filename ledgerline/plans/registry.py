@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import imports, labelling, maintenance, oracle, reports
+from ledgerline.plans import imports, labelling, maintenance, oracle, reports, sources_q
 
 
 def registered_queries() -> dict:
@@ -11,6 +11,7 @@ def registered_queries() -> dict:
     out.update(labelling.QUERIES)
     out.update(imports.QUERIES)
     out.update(maintenance.QUERIES)
+    out.update(sources_q.QUERIES)
     return out
 
 
