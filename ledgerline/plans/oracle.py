@@ -777,3 +777,41 @@ WHERE trim(coalesce(category, '')) <> '' AND trim(coalesce(category, '')) NOT IN
 GROUP BY category"""),
     "from_year": q(select=f"SELECT ledger_id, count(*) AS n FROM movements WHERE year(date) >= {adapter.CUTOVER_YEAR} GROUP BY 1"),
 })
+
+
+# ---- outputs and streaming ---------------------------------------------------------------------
+
+ORACLE.update({
+    "map_columns": q(INCOMING, select="""
+SELECT f.ledger_id, cast(f.file_no AS bigint) AS file_no, v.field, cast(v.pos AS bigint) AS pos
+FROM (SELECT DISTINCT ledger_id, file_no FROM incoming) f
+CROSS JOIN (VALUES ('date', 0), ('concept', 1), ('debit', 2), ('credit', 3), ('balance', 4), ('reference', 5)) v(field, pos)"""),
+    "import_stream": q(*_imported_ctes(), select="""
+SELECT ledger_id, row_id, new_kind AS kind, new_origin AS origin, new_category AS category,
+       new_subcategory AS subcategory, cast(date AS varchar) AS date, concept,
+       cast(CASE WHEN debit > 0 THEN debit END AS double) AS debit,
+       cast(CASE WHEN credit > 0 THEN credit END AS double) AS credit,
+       cast(CASE WHEN bank_balance <> 0 THEN bank_balance END AS double) AS bank_balance,
+       new_category = 'Sin clasificar' AS review
+FROM cls"""),
+    "refresh_months": q(*_imported_ctes(), select=f"""
+, after AS (
+  SELECT ledger_id, date, kind, category, debit, credit FROM old_ledger
+  UNION ALL SELECT ledger_id, date, new_kind, new_category, CASE WHEN debit > 0 THEN debit END,
+                   CASE WHEN credit > 0 THEN credit END FROM cls
+), al AS (
+  SELECT ledger_id, strftime(date, '%Y-%m') AS month,
+         CASE WHEN {_clean('category')} = '' THEN 'Sin clasificar' ELSE {_clean('category')} END AS category,
+         {_clean('kind')} AS kind, coalesce(credit, 0) - coalesce(debit, 0) AS amount
+  FROM after WHERE date IS NOT NULL AND year(date) >= {adapter.FIRST_YEAR}
+), af AS (
+  SELECT *, CASE WHEN category IN ({_list(DEFAULT_SYSTEM_CATEGORIES)}) THEN NULL
+                 WHEN kind = 'Ingresos' OR (kind = '' AND category IN ({_list(DEFAULT_INCOME_CATEGORIES)})) THEN 'income'
+                 WHEN category <> '' THEN 'expense' END AS flow
+  FROM al
+)
+SELECT ledger_id, month, cast(coalesce(-sum(CASE WHEN flow = 'expense' THEN amount END), 0) AS double) AS expense_total,
+       cast(coalesce(sum(CASE WHEN flow = 'income' THEN amount END), 0) AS double) AS income_total,
+       {label('month')} AS label
+FROM af GROUP BY ledger_id, month"""),
+})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import imports, labelling, maintenance, oracle, reports, sources_q
+from ledgerline.plans import imports, labelling, maintenance, oracle, outputs, reports, sources_q
 
 
 def registered_queries() -> dict:
@@ -12,6 +12,7 @@ def registered_queries() -> dict:
     out.update(imports.QUERIES)
     out.update(maintenance.QUERIES)
     out.update(sources_q.QUERIES)
+    out.update(outputs.QUERIES)
     return out
 
 

@@ -49,15 +49,15 @@ def _alias_table(spark: SparkSession) -> DataFrame:
         "field", "alias_ord", norm_header("alias").alias("norm"))
 
 
-def read_statements(spark: SparkSession, path: str, glob: str | None = None):
+def read_statements(spark: SparkSession, path: str, glob: str | None = None, with_mapping: bool = False):
     """S1 over a folder: see ``parse_statement_files``."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return parse_statement_files(spark, reader.load(path))
+    return parse_statement_files(spark, reader.load(path), with_mapping)
 
 
-def parse_statement_files(spark: SparkSession, files: DataFrame):
+def parse_statement_files(spark: SparkSession, files: DataFrame, with_mapping: bool = False):
     """Statement files under ``path`` → (rows, rejects).
 
     rows: path (+ partition columns), line_no, date, concept, debit, credit, balance, reference.
@@ -114,7 +114,8 @@ def parse_statement_files(spark: SparkSession, files: DataFrame):
     unreadable = F.col("debit").isNull() | F.col("credit").isNull() | F.col("balance").isNull()
     rows = typed.where(F.col("date").isNotNull() & ~unreadable & ~is_balance_line("concept"))
     bad_rows = typed.where(F.col("date").isNotNull() & unreadable).select("path", F.lit("unreadable amount").alias("reason"))
-    return rows, bad_files.unionByName(bad_rows)
+    rejects = bad_files.unionByName(bad_rows)
+    return (rows, rejects, mapping) if with_mapping else (rows, rejects)
 
 
 # ---- fixture writer: incoming rows → raw statement files --------------------------------------
