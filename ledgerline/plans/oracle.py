@@ -815,3 +815,42 @@ SELECT ledger_id, month, cast(coalesce(-sum(CASE WHEN flow = 'expense' THEN amou
        {label('month')} AS label
 FROM af GROUP BY ledger_id, month"""),
 })
+
+
+# ---- labeller (naive Bayes) --------------------------------------------------------------------
+
+def _model_token_list(x: str) -> str:
+    n = _norm_sql(x)
+    return (f"list_filter(string_split({n}, ' '), lambda t: length(t) >= 3 AND NOT "
+            f"list_contains([{_list(MODEL_STOP_WORDS)}], t))")
+
+
+_F8 = (f"trim(coalesce(category, '')) <> '' AND trim(coalesce(category, '')) NOT IN ({_list(TRAINING_EXCLUDED)}) "
+       f"AND upper(trim(coalesce(category, ''))) NOT IN ({_list(NEEDS_LABEL_TEXTS)})")
+_F7 = f"trim(coalesce(category, '')) = '' OR upper(trim(coalesce(category, ''))) IN ({_list(NEEDS_LABEL_TEXTS)})"
+
+ORACLE.update({
+    "nb_labeller": q(select=f"""
+, mt0 AS (SELECT row_id, category, {_model_token_list("concat_ws(' ', concept, reference, destination, origin)")} AS toks FROM movements),
+train AS (SELECT category AS c, toks FROM mt0 WHERE {_F8}),
+pred AS (SELECT row_id, toks FROM mt0 WHERE {_F7}),
+tt AS (SELECT c, unnest(toks) AS t FROM train),
+cnt AS (SELECT c, t, count(*) AS n FROM tt GROUP BY ALL),
+vocab AS (SELECT DISTINCT t FROM cnt),
+ncls AS (SELECT d.c, d.docs, coalesce(k.tok, 0) AS tok
+         FROM (SELECT c, count(*) AS docs FROM train GROUP BY 1) d LEFT JOIN (SELECT c, count(*) AS tok FROM tt GROUP BY 1) k USING (c)),
+pt AS (SELECT row_id, unnest(toks) AS t FROM pred),
+known AS (SELECT * FROM pt WHERE t IN (SELECT t FROM vocab)),
+kk AS (SELECT row_id, count(*) AS k FROM known GROUP BY 1),
+sp AS (SELECT kn.row_id, cn.c, sum(ln(cn.n + 1)) AS s FROM known kn JOIN cnt cn USING (t) GROUP BY ALL),
+sc AS (
+  SELECT p.row_id, c.c,
+         ln(c.docs / (SELECT sum(docs) FROM ncls)) + coalesce(kk.k, 0) * -ln(c.tok + (SELECT count(*) FROM vocab))
+         + coalesce(sp.s, 0.0) AS score
+  FROM pred p CROSS JOIN ncls c LEFT JOIN kk USING (row_id) LEFT JOIN sp ON sp.row_id = p.row_id AND sp.c = c.c
+),
+top AS (SELECT row_id, first(c ORDER BY score DESC, c ASC) AS suggestion, max(score) AS mx FROM sc GROUP BY 1),
+conf AS (SELECT t.row_id, t.suggestion, round(1.0 / sum(exp(s.score - t.mx)), 4) AS confidence
+         FROM top t JOIN sc s USING (row_id) GROUP BY t.row_id, t.suggestion)
+SELECT row_id, suggestion, confidence, confidence < 0.82 AS review FROM conf"""),
+})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import imports, labelling, maintenance, oracle, outputs, reports, sources_q
+from ledgerline.plans import imports, labelling, maintenance, model_q, oracle, outputs, reports, sources_q
 
 
 def registered_queries() -> dict:
@@ -13,6 +13,7 @@ def registered_queries() -> dict:
     out.update(maintenance.QUERIES)
     out.update(sources_q.QUERIES)
     out.update(outputs.QUERIES)
+    out.update(model_q.QUERIES)
     return out
 
 
