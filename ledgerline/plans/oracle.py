@@ -854,3 +854,6 @@ conf AS (SELECT t.row_id, t.suggestion, round(1.0 / sum(exp(s.score - t.mx)), 4)
          FROM top t JOIN sc s USING (row_id) GROUP BY t.row_id, t.suggestion)
 SELECT row_id, suggestion, confidence, confidence < 0.82 AS review FROM conf"""),
 })
+
+ORACLE["statement_rejects"] = q(INCOMING, select="""
+SELECT DISTINCT ledger_id, cast(file_no AS bigint) AS file_no, 'unreadable amount' AS reason FROM incoming""")

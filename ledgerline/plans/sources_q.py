@@ -34,7 +34,9 @@ def read_statements(spark, sf):
 def statement_rejects(spark, sf):
     path = write_statement_files(adapter.incoming_rows(spark, sf), scratch_path(spark, "statements"))
     _, rejects = read_op(spark, path)
-    return finalize(rejects)
+    return finalize(rejects.select(F.regexp_extract("path", r"ledger_id=([^/]+)", 1).alias("ledger_id"),
+                                   F.regexp_extract("path", r"file_no=([^/]+)", 1).cast("int").alias("file_no"),
+                                   "reason"))
 
 
 def _texts(spark, sf):

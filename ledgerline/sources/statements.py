@@ -133,7 +133,8 @@ def write_statement_files(rows: DataFrame, path: str) -> str:
     """Write incoming rows (ledger_id, file_no, row_id, copy_no, date, concept, debit, credit,
     bank_balance) as one text statement per (ledger, file), laid out by ``layout = (ledger + file)
     mod 4``: separator , ; TAB |, header spelling, day-first or serial-number dates, a title line,
-    an account line with fewer fields, and a 'SALDO ANTERIOR' line before the movements.
+    an account line with fewer fields, and a 'SALDO ANTERIOR' line (its balance in thousands form,
+    which the amount parser rejects) before the movements.
     Written partitioned by ledger_id / file_no, each statement sorted by line number."""
     layout = ((F.col("ledger_id").cast("int") + F.col("file_no")) % 4).cast("int")
     sep = F.element_at(F.array(*[F.lit(s) for s in STATEMENT_SEPARATORS]), layout + 1)
@@ -161,7 +162,7 @@ def write_statement_files(rows: DataFrame, path: str) -> str:
             F.struct(F.lit(-1).alias("line_no"), F.regexp_replace(header, "\u0001", F.col("_sep")).alias("value")),
             F.struct(F.lit(0).alias("line_no"),
                      F.concat_ws("", F.date_format("_d", "d/M/yyyy"), F.col("_sep"), F.lit("SALDO ANTERIOR"), F.col("_sep"),
-                                 F.lit(""), F.col("_sep"), F.lit(""), F.col("_sep"), F.lit("1000.00"), F.col("_sep"),
+                                 F.lit(""), F.col("_sep"), F.lit(""), F.col("_sep"), F.lit('"1.000,00"'), F.col("_sep"),
                                  F.lit("")).alias("value")))).alias("l"))
     lead = lead.select("ledger_id", "file_no", "l.line_no", "l.value")
     (lead.unionByName(body).repartition("ledger_id", "file_no")
