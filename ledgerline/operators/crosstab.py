@@ -15,6 +15,7 @@ from ledgerline.constants import UNCLASSIFIED
 from ledgerline.functions.predicates import in_period
 from ledgerline.operators.aggregates import with_flow
 from ledgerline.operators.windows import dense_grid
+from ledgerline.session import materialize
 
 _KEYS = ["ledger_id", "section", "category", "subcategory", "month"]
 # grouping_id over _KEYS: a set bit marks a column rolled up
@@ -31,11 +32,11 @@ def _base(led: DataFrame, **kw) -> DataFrame:
              .agg(F.sum("amount").alias("amount")))
 
 
-def cross_table(led: DataFrame, **kw) -> DataFrame:
+def cross_table(led: DataFrame, shared: bool = True, **kw) -> DataFrame:
     """A5: dense long cross table.  Income positive, expense shown positive, expense excludes
     'Sin clasificar'.  Levels: 'sub' (non-blank subs), 'category', 'section' (both sections, every
     month) and 'total' (category over all months, with the display rank O2: total desc, name)."""
-    base = _base(led, **kw)
+    base = materialize(_base(led, **kw)) if shared else _base(led, **kw)
     months = base.select("ledger_id", "month").distinct()
     facts = (base.where(F.col("section").isNotNull())
                  .withColumn("value", F.when(F.col("section") == "income", F.col("amount")).otherwise(-F.col("amount"))))

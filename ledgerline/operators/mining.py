@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.constants import CONCEPT_CHARS, EXAMPLE_CHARS, MINING_MIN_COUNT, MINING_PURITY_PCT
 from ledgerline.functions.numbers import round_ratio
 from ledgerline.functions.text import norm_concept, tokens, truncate
+from ledgerline.session import materialize
 
 MAX_BROADCAST_PATTERNS = 200_000
 
@@ -110,8 +111,24 @@ def migrate_rules(old_patterns: DataFrame, old_unmatched: DataFrame) -> DataFram
     """U1 ordered for review (O5): category, longer pattern first, pattern; ``ord`` is the
     sheet position.  The ranking window runs over the rule table only."""
     u = union_rules(old_patterns, old_unmatched)
-    w = Window.orderBy("category", F.length("pattern").desc(), "pattern", "subcategory")
-    return u.withColumn("ord", F.row_number().over(w))
+    return sequence(u, [F.col("category"), F.length("pattern").desc(), F.col("pattern"), F.col("subcategory")], "ord")
+
+
+def sequence(df: DataFrame, order, name: str, partitions: int | None = None) -> DataFrame:
+    """Consecutive 1-based numbers in ``order`` without a single-partition window: range-partition
+    and sort, number rows inside each partition, then add each partition's offset (a running sum
+    over one count per partition)."""
+    from pyspark.sql import Window as _W
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # materialized once, so both branches below see the same partition ids
+    s = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                      .withColumn("_pid", F.spark_partition_id()))
+    local = s.withColumn("_rn", F.row_number().over(_W.partitionBy("_pid").orderBy(*order)))
+    # one row per partition: the running sum runs over at most `n` rows
+    offsets = (s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+                .withColumn("_off", F.sum("_cnt").over(_W.orderBy("_pid").rowsBetween(_W.unboundedPreceding, -1))))
+    return (local.join(F.broadcast(offsets.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))), "_pid")
+                 .withColumn(name, (F.col("_off") + F.col("_rn")).cast("int")).drop("_pid", "_rn", "_off"))
 
 
 def taxonomy_from(rows: DataFrame) -> DataFrame:
@@ -126,3 +143,16 @@ def flat_subcategories(taxonomy: DataFrame) -> DataFrame:
     # the taxonomy is a reference table (one row per category), so the un-partitioned count is tiny
     t = taxonomy.withColumn("n_categories", F.count(F.lit(1)).over(Window.partitionBy()))
     return t.select(F.explode("subcategories").alias("subcategory"), "n_categories").distinct()
+
+
+def category_reference(taxonomy: DataFrame) -> DataFrame:
+    """S7 (third output): the category reference — each category with its subcategories, comma
+    separated, in name order."""
+    return taxonomy.select("category", F.array_join("subcategories", ", ").alias("subcategories"))
+
+
+def write_rule_review(patterns: DataFrame, unmatched: DataFrame, taxonomy: DataFrame, path: str) -> None:
+    """S7 sink: the three review tables as parquet folders under ``path``."""
+    patterns.write.mode("overwrite").parquet(f"{path}/patterns")
+    unmatched.write.mode("overwrite").parquet(f"{path}/unmatched")
+    category_reference(taxonomy).write.mode("overwrite").parquet(f"{path}/categories")

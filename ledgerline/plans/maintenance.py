@@ -88,6 +88,10 @@ def flat_subcategories(spark, sf):
     return finalize(G.flat_subcategories(_taxonomy(spark, sf)))
 
 
+def category_reference(spark, sf):
+    return finalize(G.category_reference(_taxonomy(spark, sf)))
+
+
 def _legacy(spark, sf):
     return adapter.legacy_movements(spark, sf)
 
@@ -145,6 +149,7 @@ QUERIES = {
     "union_rules": union_rules,
     "migrate_rules": migrate_rules,
     "flat_subcategories": flat_subcategories,
+    "category_reference": category_reference,
     "recode_category": recode_category,
     "recode_rebuild": recode_rebuild,
     "reclassify": reclassify,

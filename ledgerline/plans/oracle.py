@@ -857,3 +857,8 @@ SELECT row_id, suggestion, confidence, confidence < 0.82 AS review FROM conf""")
 
 ORACLE["statement_rejects"] = q(INCOMING, select="""
 SELECT DISTINCT ledger_id, cast(file_no AS bigint) AS file_no, 'unreadable amount' AS reason FROM incoming""")
+
+ORACLE["category_reference"] = q(select=f"""
+SELECT category, coalesce(array_to_string(list_sort(list(DISTINCT subcategory) FILTER (WHERE subcategory <> '')), ', '), '')
+       AS subcategories
+FROM movements WHERE year(date) < {adapter.CUTOVER_YEAR} AND category <> '' GROUP BY category""")

@@ -61,3 +61,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark)
     path = tempfile.mkdtemp(prefix=f"{name}-", dir=base) if "://" not in base else f"{base}/{name}-{os.getpid()}-{os.urandom(4).hex()}"
     return path
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint written to the shared
+    checkpoint folder (never a machine-local one).  For small shared intermediates (per-ledger
+    aggregates) that several branches of one plan read: without it each branch re-runs the scan
+    and aggregation, since pruning makes the branches' plans differ and exchange reuse misses."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
