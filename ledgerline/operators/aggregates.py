@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numbers import zero
 
 from ledgerline.constants import (CONCEPT_CHARS, DEFAULT_INCOME_CATEGORIES, DEFAULT_SYSTEM_CATEGORIES,
-                                  UNCLASSIFIED)
+                                  EXCLUDED_FROM_BALANCE, UNCLASSIFIED)
 from ledgerline.functions.dates import month_label, month_number
 from ledgerline.functions.labels import flow_class
 from ledgerline.functions.text import truncate
@@ -28,14 +28,16 @@ def expense_rows(led: DataFrame, **kw) -> DataFrame:
     return with_flow(led, **kw).where(F.col("flow") == "expense")
 
 
-def month_totals(led: DataFrame, **kw) -> DataFrame:
+def month_totals(led: DataFrame, with_net: bool = False, excluded: str = EXCLUDED_FROM_BALANCE, **kw) -> DataFrame:
     """A1: per (ledger, month): expense = −Σ amount of expense rows, income = Σ of income rows.
-    A month with only system rows still appears, with zeros."""
+    A month with only system rows still appears, with zeros.  ``with_net`` adds W1's month net
+    (Σ amount outside the excluded category) from the same aggregation pass."""
     f = with_flow(led, **kw)
-    return (f.groupBy("ledger_id", "month")
-             .agg(F.coalesce(-F.sum(F.when(F.col("flow") == "expense", F.col("amount"))), zero()).alias("expense_total"),
-                  F.coalesce(F.sum(F.when(F.col("flow") == "income", F.col("amount"))), zero()).alias("income_total"))
-             .withColumn("label", month_label("month")))
+    aggs = [F.coalesce(-F.sum(F.when(F.col("flow") == "expense", F.col("amount"))), zero()).alias("expense_total"),
+            F.coalesce(F.sum(F.when(F.col("flow") == "income", F.col("amount"))), zero()).alias("income_total")]
+    if with_net:
+        aggs.append(F.coalesce(F.sum(F.when(F.col("category") != excluded, F.col("amount"))), zero()).alias("net"))
+    return f.groupBy("ledger_id", "month").agg(*aggs).withColumn("label", month_label("month"))
 
 
 def category_totals(led: DataFrame, **kw) -> DataFrame:

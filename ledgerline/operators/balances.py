@@ -28,14 +28,18 @@ def running_balance(led: DataFrame, opening: DataFrame | None = None,
     opening[m] = closing[m−1].  Months come from all rows, so a month of only excluded rows is flat."""
     m = (led.groupBy("ledger_id", "month")
             .agg(F.coalesce(F.sum(F.when(F.col("category") != excluded, F.col("amount"))), zero()).alias("net")))
+    return balance_from_net(m, opening).select("ledger_id", "month", "opening", "closing", "net")
+
+
+def balance_from_net(m: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """W1 on a (ledger, month, net, ...) aggregate: keeps its columns, adds opening and closing."""
     if opening is not None:
         m = m.join(opening.select("ledger_id", F.col("opening").alias("_open")), "ledger_id", "left")
     else:
         m = m.withColumn("_open", zero())
     closing = F.coalesce(F.col("_open"), zero()) + F.sum("net").over(_by_ledger().rowsBetween(_U, 0))
     return (m.withColumn("closing", closing)
-             .withColumn("opening", F.col("closing") - F.col("net"))
-             .select("ledger_id", "month", "opening", "closing", "net"))
+             .withColumn("opening", F.col("closing") - F.col("net")).drop("_open"))
 
 
 def bank_balance(led: DataFrame, origin: str | None = None, zero_is_unknown: bool = True) -> DataFrame:

@@ -23,10 +23,10 @@ CARD_ORIGIN = "Tarjeta de crédito"
 def flagship(spark, sf):
     """Month totals + running balance per ledger (A1 ⋈ W1): the entry query."""
     led = ledger(spark, sf)
-    m = A.month_totals(led)
-    b = B.running_balance(led, adapter.opening_balances(spark, sf))
-    return finalize(m.join(b, ["ledger_id", "month"])
-                    .select("ledger_id", "month", "label", "income_total", "expense_total", "opening", "closing"))
+    # one aggregation pass gives both A1's totals and W1's net; the window runs on its months
+    m = A.month_totals(led, with_net=True)
+    b = B.balance_from_net(m, adapter.opening_balances(spark, sf))
+    return finalize(b.select("ledger_id", "month", "label", "income_total", "expense_total", "opening", "closing"))
 
 
 def month_totals(spark, sf):
