@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.constants import UNCLASSIFIED
 from ledgerline.functions.predicates import is_balance_line
 from ledgerline.operators.classify import classify
+from ledgerline.session import materialize
 
 KEY = ("ledger_id", "_k_date", "_k_concept", "_k_debit", "_k_credit")
 
@@ -31,8 +32,13 @@ def drop_key(df: DataFrame) -> DataFrame:
 def new_movements(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     """Incoming rows whose key is absent from the ledger (left anti join; duplicates inside one
     file are all kept).  Spark picks broadcast or sort-merge by size; AQE splits skewed keys."""
-    led_keys = with_key(ledger).select(*KEY)
-    return drop_key(with_key(incoming).join(led_keys, list(KEY), "left_anti"))
+    # the batch is read twice below (its days, its keys): materialized once, in the shared folder
+    inc = materialize(with_key(incoming))
+    # only ledger rows sharing (ledger, date) with the batch can match: a semi join on the batch's
+    # small key set filters the ledger map-side before the anti join shuffles it
+    days = inc.select("ledger_id", "_k_date").distinct()
+    led_keys = (with_key(ledger).join(days, ["ledger_id", "_k_date"], "left_semi").select(*KEY))
+    return drop_key(inc.join(led_keys, list(KEY), "left_anti"))
 
 
 def first_file_wins(incoming: DataFrame, file_col: str = "file_no") -> DataFrame:
