@@ -54,6 +54,12 @@ def bank_balance(led: DataFrame, origin: str | None = None, zero_is_unknown: boo
     m = (rows.groupBy("ledger_id", "month")
              .agg(F.sum("amount").alias("net"),
                   F.max_by("bank_balance", F.struct("date", "row_id")).alias("_last")))
+    return bank_balance_from(m, zero_is_unknown)
+
+
+def bank_balance_from(m: DataFrame, zero_is_unknown: bool = True) -> DataFrame:
+    """W3's recurrence on a (ledger_id, month, net, _last) month aggregate, ``_last`` being the
+    bank balance on the month's last movement."""
     known = F.nullif(F.col("_last"), zero()) if zero_is_unknown else F.col("_last")
     m = m.withColumn("_known", known).withColumn(
         "_seg", F.count("_known").over(_by_ledger().rowsBetween(_U, 0)))

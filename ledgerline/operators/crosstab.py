@@ -37,6 +37,12 @@ def cross_table(led: DataFrame, shared: bool = True, **kw) -> DataFrame:
     'Sin clasificar'.  Levels: 'sub' (non-blank subs), 'category', 'section' (both sections, every
     month) and 'total' (category over all months, with the display rank O2: total desc, name)."""
     base = materialize(_base(led, **kw)) if shared else _base(led, **kw)
+    return cross_table_from_base(base)
+
+
+def cross_table_from_base(base: DataFrame) -> DataFrame:
+    """A5 on a (ledger_id, month, section, category, subcategory, amount) aggregate whose section is
+    null for rows outside both sections (their months still count)."""
     months = base.select("ledger_id", "month").distinct()
     facts = (base.where(F.col("section").isNotNull())
                  .withColumn("value", F.when(F.col("section") == "income", F.col("amount")).otherwise(-F.col("amount"))))

@@ -9,15 +9,17 @@ list of the original document (every unclassified movement of a month) stays a l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.constants import UNCLASSIFIED
+from ledgerline.constants import EXCLUDED_FROM_BALANCE, UNCLASSIFIED
 from ledgerline.functions.dates import month_label
 from ledgerline.operators import aggregates as A
 from ledgerline.operators import balances as B
 from ledgerline.operators import crosstab as X
 from ledgerline.operators import windows as W
+from ledgerline.functions.numbers import zero
+from ledgerline.session import materialize
 
 
 def _ordered_values(items: Column, key: str, value: str) -> Column:
@@ -25,6 +27,45 @@ def _ordered_values(items: Column, key: str, value: str) -> Column:
     return F.transform(F.array_sort(items), lambda x: x[value])
 
 
+def month_detail(led: DataFrame, **kw) -> DataFrame:
+    """The one pass over the ledger rows the document needs besides the concept groups:
+    (ledger, month, flow, category, subcategory, origin) sums and counts, plus the month's last
+    movement as max(struct(date, row_id, bank_balance))."""
+    return (A.with_flow(led, **kw)
+            .groupBy("ledger_id", "month", "flow", "category", "subcategory", "origin")
+            .agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"),
+                 F.max(F.struct("date", "row_id", "bank_balance")).alias("_last")))
+
+
+def _from_detail(fine: DataFrame, opening: DataFrame | None):
+    """Month totals (A1), category / subcategory totals (A2, A3), balances (W1, W3), cross table
+    (A5), unclassified series (A6) and review count (A13), all from the month detail aggregate."""
+    mk = ["ledger_id", "month"]
+    exp = F.col("flow") == "expense"
+    m = fine.groupBy(*mk).agg(
+        F.coalesce(-F.sum(F.when(exp, F.col("amount"))), zero()).alias("expense_total"),
+        F.coalesce(F.sum(F.when(F.col("flow") == "income", F.col("amount"))), zero()).alias("income_total"),
+        F.coalesce(F.sum(F.when(F.col("category") != EXCLUDED_FROM_BALANCE, F.col("amount"))), zero()).alias("net"),
+        F.sum("amount").alias("_all"),
+        F.max("_last").alias("_lastrow"),
+        (-F.coalesce(F.sum(F.when(F.col("category") == UNCLASSIFIED, F.col("amount"))), zero())).alias("value"),
+        F.sum(F.when(F.col("category") == UNCLASSIFIED, F.col("n"))).alias("_unc_n"))
+    months = m.select(*mk, "expense_total", "income_total", "net").withColumn("label", month_label("month"))
+    cat = fine.where(exp).groupBy(*mk, "category").agg((-F.sum("amount")).alias("total"), F.sum("n").alias("n"))
+    subs = (fine.where(exp & (F.col("subcategory") != "")).groupBy(*mk, "category", "subcategory")
+                .agg((-F.sum("amount")).alias("total")))
+    bal = B.balance_from_net(months.select(*mk, "net"), opening).select(*mk, "opening", "closing", "net")
+    bank = B.bank_balance_from(m.select(*mk, F.col("_all").alias("net"), F.col("_lastrow.bank_balance").alias("_last")))
+    section = (F.when(F.col("flow") == "income", F.lit("income"))
+                .when(exp & (F.col("category") != UNCLASSIFIED), F.lit("expense")))
+    base = (fine.withColumn("section", section)
+                .groupBy(*mk, "section", "category", "subcategory").agg(F.sum("amount").alias("amount")))
+    xt = X.cross_table_from_base(base)
+    unc = m.select(*mk, "value")
+    n_review = m.groupBy("ledger_id").agg(F.coalesce(F.sum("_unc_n"), F.lit(0)).alias("n_review"))
+    return months, cat, subs, bal, bank, xt, unc, n_review
+
+
 def _sort_by(arr: Column, field: str) -> Column:
     """array_sort on one key field (structs holding maps have no natural order)."""
     return F.array_sort(arr, lambda a, b: F.when(a[field] < b[field], -1).when(a[field] > b[field], 1).otherwise(0))
@@ -33,14 +74,13 @@ def _sort_by(arr: Column, field: str) -> Column:
 def ledger_document(led: DataFrame, opening: DataFrame | None, generated_at: str, **kw) -> DataFrame:
     """(ledger_id, document) with document = to_json({generated, n_review, months, averages,
     history, cross, account}); ``generated_at`` is a parameter (no wall clock inside a job)."""
-    months = A.month_totals(led, **kw)
-    cat = A.category_totals(led, **kw)
-    subs = A.subcategory_totals(led, **kw)
-    groups = A.category_groups(led, **kw)
-    top = W.top_movements(led, **kw)
-    bal = B.running_balance(led, opening)
-    bank = B.bank_balance(led)
-    xt = X.cross_table(led, **kw)
+    fine = materialize(month_detail(led, **kw))
+    groups = materialize(A.group_movements(A.expense_rows(led, **kw),
+                                           ["ledger_id", "month", "category", "origin", "subcategory"]))
+    months, cat, subs, bal, bank, xt, unc, n_review = _from_detail(fine, opening)
+    groups = groups.withColumn("rank", F.row_number().over(
+        Window.partitionBy("ledger_id", "month", "category").orderBy("total", "origin", "subcategory")))
+    top = W.top_from_groups(groups.drop("rank"))
     avg = W.category_average(months, cat)
     hist = W.history(months, cat)
     mk = ["ledger_id", "month"]
@@ -90,7 +130,6 @@ def ledger_document(led: DataFrame, opening: DataFrame | None, generated_at: str
                  .groupBy("ledger_id").agg(
                      F.max(F.when(F.col("section") == "income", F.col("v"))).alias("income_total"),
                      F.max(F.when(F.col("section") == "expense", F.col("v"))).alias("expense_total")))
-    unc = X.unclassified_series(led)
     bal_arr = (bal.join(unc, mk, "left").groupBy("ledger_id").agg(F.array_sort(F.collect_list(F.struct(
         "month", "opening", "closing", F.col("value").alias("unclassified")))).alias("_b")))
     cross = (bal_arr.join(sections, "ledger_id", "left").join(sec_tot, "ledger_id", "left")
@@ -105,7 +144,6 @@ def ledger_document(led: DataFrame, opening: DataFrame | None, generated_at: str
                      .groupBy("ledger_id").agg(F.array_sort(F.collect_list(F.struct(
                          F.col("month").alias("id"), "label", F.col("income_total").alias("income"),
                          F.col("expense_total").alias("expense"), "balance"))).alias("account")))
-    n_review = led.groupBy("ledger_id").agg(F.count_if(F.col("category") == UNCLASSIFIED).alias("n_review"))
 
     doc = (month_docs.join(n_review, "ledger_id").join(averages, "ledger_id", "left").join(by_cat, "ledger_id", "left")
            .join(cross, "ledger_id", "left").join(account, "ledger_id", "left"))
@@ -115,7 +153,7 @@ def ledger_document(led: DataFrame, opening: DataFrame | None, generated_at: str
                        F.col("by_category"))
     return doc.select("ledger_id", F.to_json(F.struct(
         F.lit(generated_at).alias("generated"), "n_review", "months", "averages", history.alias("history"),
-        "cross", "account")).alias("document"))
+        "cross", "account"), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def write_document(docs: DataFrame, path: str) -> None:

@@ -45,6 +45,13 @@ def top_movements(led: DataFrame, n: int = TOP_MOVEMENTS_N, min_abs: int = TOP_M
     return g.join(top.select(*keys, "rank"), keys)
 
 
+def top_from_groups(groups: DataFrame, n: int = TOP_MOVEMENTS_N, min_abs: int = TOP_MOVEMENTS_MIN_ABS) -> DataFrame:
+    """W4 on already-built expense groups keyed (ledger, month, category, origin, subcategory)."""
+    w = Window.partitionBy("ledger_id", "month").orderBy("total", "origin", "category", "subcategory")
+    return (groups.where(F.abs("total") > min_abs).withColumn("rank", F.row_number().over(w))
+                  .where(F.col("rank") <= n))
+
+
 def last_n_months(months: DataFrame, n: int = AVERAGE_MONTHS) -> DataFrame:
     """The trailing ``n`` months of each ledger."""
     w = Window.partitionBy("ledger_id").orderBy(F.col("month").desc())
