@@ -21,7 +21,8 @@ def is_balance_line(concept="concept") -> Column:
 def valid_date(date="date", min_year: int | None = None) -> Column:
     """date present and (optionally) year ≥ min_year."""
     p = _c(date).isNotNull()
-    return p if min_year is None else p & (F.year(_c(date)) >= min_year)
+    # a range on the column itself (not year(date)) so a stored ledger's scan can push it down
+    return p if min_year is None else p & (_c(date) >= F.lit(f"{min_year:04d}-01-01").cast("date"))
 
 
 def is_marker_kind(kind="kind") -> Column:
@@ -54,8 +55,8 @@ def is_training_row(category="category", excluded=TRAINING_EXCLUDED) -> Column:
 
 
 def from_year(date="date", year: int = 1999) -> Column:
-    """rows of the cut-over year on."""
-    return F.year(_c(date)) >= year
+    """rows of the cut-over year on (a pushable range on the date column)."""
+    return _c(date) >= F.lit(f"{year:04d}-01-01").cast("date")
 
 
 def is_unclassified(category="category") -> Column:
