@@ -23,11 +23,16 @@ def tokenize(rows: DataFrame, concept: str = "concept") -> DataFrame:
 
 
 def mine_patterns(labelled: DataFrame, label: str = "label", min_count: int = MINING_MIN_COUNT,
-                  purity_pct: int = MINING_PURITY_PCT) -> DataFrame:
+                  purity_pct: int = MINING_PURITY_PCT, concept: str = "concept") -> DataFrame:
     """G1: per token (counted once per movement): rows per label; keep tokens seen ≥ min_count times
-    whose dominant label holds ≥ purity of them.  Output (pattern, label, matches, total, purity)."""
-    t = labelled.select(F.explode(F.array_distinct("tokens")).alias("pattern"), F.col(label).alias("label"))
-    per = t.groupBy("pattern", "label").agg(F.count(F.lit(1)).alias("n"))
+    whose dominant label holds ≥ purity of them.  Output (pattern, label, matches, total, purity).
+
+    Tokens depend on the concept only, so rows are first counted per (concept, label) and each
+    distinct concept is normalised and tokenised once; its tokens carry the row count as weight.
+    """
+    grouped = labelled.groupBy(concept, F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("_w"))
+    t = grouped.select(F.explode(F.array_distinct(tokens(norm_concept(concept)))).alias("pattern"), "label", "_w")
+    per = t.groupBy("pattern", "label").agg(F.sum("_w").alias("n"))
     tok = per.groupBy("pattern").agg(
         F.sum("n").alias("total"),
         F.max_by(F.struct(F.col("label"), F.col("n")), F.struct(F.col("n"), F.col("label"))).alias("_dom"))
@@ -37,11 +42,13 @@ def mine_patterns(labelled: DataFrame, label: str = "label", min_count: int = MI
                        round_ratio(dom * 100, F.col("total")).alias("purity")))
 
 
-def unmatched_concepts(rows: DataFrame, patterns: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Rows none of whose tokens is a mined pattern (explode ⋈ patterns, then left anti)."""
-    hit = (rows.select(id_col, F.explode("tokens").alias("pattern"))
-               .join(patterns.select("pattern"), "pattern", "left_semi").select(id_col))
-    return rows.join(hit, id_col, "left_anti")
+def unmatched_concepts(rows: DataFrame, patterns: DataFrame, concept: str = "concept") -> DataFrame:
+    """Rows none of whose tokens is a mined pattern.  Decided once per distinct concept
+    (tokenise, explode, semi join the patterns), then rows of matched concepts are anti-joined away."""
+    concepts = rows.select(concept).distinct()
+    matched = (concepts.select(concept, F.explode(tokens(norm_concept(concept))).alias("pattern"))
+                       .join(patterns.select("pattern"), "pattern", "left_semi").select(concept).distinct())
+    return rows.join(matched, concept, "left_anti")
 
 
 def unmatched_summary(unmatched: DataFrame, label: str = "label", id_col: str = "row_id") -> DataFrame:

@@ -13,7 +13,7 @@ from ledgerline.sources import adapter
 
 
 def _mining(spark, sf):
-    rows = G.tokenize(adapter.mining_rows(spark, sf))
+    rows = adapter.mining_rows(spark, sf)
     return rows, G.mine_patterns(rows)
 
 
@@ -27,12 +27,12 @@ def mine_patterns(spark, sf):
 
 def unmatched_concepts(spark, sf):
     rows, pats = _mining(spark, sf)
-    return finalize(G.unmatched_concepts(rows, pats).select("ledger_id", "row_id", "norm"))
+    return finalize(G.tokenize(G.unmatched_concepts(rows, pats)).select("ledger_id", "row_id", "norm"))
 
 
 def _summary(spark, sf):
     rows, pats = _mining(spark, sf)
-    return G.unmatched_summary(G.unmatched_concepts(rows, pats))
+    return G.unmatched_summary(G.tokenize(G.unmatched_concepts(rows, pats)))
 
 
 def unmatched_summary(spark, sf):
