@@ -15,6 +15,7 @@ from ledgerline.functions.dates import parse_date
 from ledgerline.functions.numbers import parse_bank_amount
 from ledgerline.functions.predicates import is_balance_line
 from ledgerline.functions.text import norm_header
+from ledgerline.session import materialize
 
 FIELDS = tuple(COLUMN_ALIASES)          # date, concept, debit, credit, balance, reference
 
@@ -61,7 +62,7 @@ def parse_statement_files(spark: SparkSession, files: DataFrame, with_mapping: b
     """Statement files under ``path`` → (rows, rejects).
 
     rows: path (+ partition columns), line_no, date, concept, debit, credit, balance, reference.
-    Separator: the first of , ; TAB | that gives more than 2 fields on some line.  Header: the first
+    Separator: of , ; TAB |, the one whose most common field count (> 2) holds on the most lines.  Header: the first
     line mentioning a header keyword (else the first line).  Columns: P2 alias mapping.  All-blank
     lines, undated lines and balance lines (F1) are dropped.  rejects: files lacking a date or an
     amount column, and rows whose amount text cannot be read.
@@ -69,15 +70,18 @@ def parse_statement_files(spark: SparkSession, files: DataFrame, with_mapping: b
     files = files.drop("modificationTime", "length")
     extra = [c for c in files.columns if c not in ("path", "content")]
     lines = files.select("path", *extra, F.posexplode(F.split(decode_text("content"), r"\r?\n")).alias("line_no", "line"))
-    lines = lines.where(F.trim("line") != "")
+    # read by every per-file decision below: decoded and split once, materialized in the shared folder
+    lines = materialize(lines.where(F.trim("line") != ""))
 
-    counts = [F.max(F.size(F.split("line", "\\" + s if s in "|" else s))).alias(f"n{i}")
-              for i, s in enumerate(STATEMENT_SEPARATORS)]
-    per_file = lines.groupBy("path").agg(*counts)
-    sep_idx = None
-    for i in reversed(range(len(STATEMENT_SEPARATORS))):
-        sep_idx = F.when(F.col(f"n{i}") > 2, F.lit(i)) if sep_idx is None else F.when(F.col(f"n{i}") > 2, F.lit(i)).otherwise(sep_idx)
-    per_file = per_file.select("path", sep_idx.alias("sep_idx"))
+    # separator: the one whose most common field count (> 2, quote-aware) is shared by the most
+    # lines; ties in list order.  A decimal comma inside ';' rows splits them unevenly under ','.
+    pats = [("\\" + s if s in "|" else s) + _OUTSIDE_QUOTES for s in STATEMENT_SEPARATORS]
+    per_sep = lines.select("path", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.size(F.split("line", p)).alias("n")) for i, p in enumerate(pats)])).alias("s"))
+    score = (per_sep.where(F.col("s.n") > 2).groupBy("path", "s.i", "s.n").agg(F.count(F.lit(1)).alias("lines"))
+                    .groupBy("path", "i").agg(F.max("lines").alias("score")))
+    per_file = score.groupBy("path").agg(
+        F.max_by("i", F.struct(F.col("score"), -F.col("i"))).alias("sep_idx"))
 
     parsed = lines.join(per_file, "path").withColumn("fields", _fields(F.col("line"), F.col("sep_idx")))
     joined = F.lower(F.array_join(F.col("fields"), " "))
@@ -97,7 +101,9 @@ def parse_statement_files(spark: SparkSession, files: DataFrame, with_mapping: b
                .groupBy("path").pivot("field", list(FIELDS)).agg(F.first("pos")))
 
     ok = F.col("date").isNotNull() & (F.col("debit").isNotNull() | F.col("credit").isNotNull())
-    bad_files = mapping.where(~ok).select("path", F.lit("no date or amount column").alias("reason"))
+    # every file without a usable mapping (no separator, no header match, no date / amount column)
+    bad_files = (lines.select("path").distinct().join(mapping.where(ok).select("path"), "path", "left_anti")
+                      .select("path", F.lit("no date or amount column").alias("reason")))
     data = (parsed.where(F.col("line_no") > F.col("header_line"))
             .join(mapping.where(ok).select("path", *[F.col(f).alias(f"_{f}") for f in FIELDS]), "path"))
 
