@@ -21,7 +21,7 @@ Strategies (results are identical):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.constants import UNCLASSIFIED
@@ -93,8 +93,10 @@ def classify(df: DataFrame, rules: DataFrame, strategy: str = "auto", concept: s
     code) and ``join`` above (a very long chain exceeds the JVM method size and runs interpreted).
     """
     if strategy == "auto":
-        n = rules.limit(AUTO_CASE_RULES + 1).count()
-        strategy = "case" if n <= AUTO_CASE_RULES else "join"
+        n = rules.limit(max_broadcast + 1).count()
+        strategy = "case" if n <= AUTO_CASE_RULES else "join" if n <= max_broadcast else "index"
+    if strategy == "index":
+        return _classify_index(df, rules, concept, debit, credit, max_broadcast)
     if strategy == "case":
         m = _match_inputs(df, concept, abs_amount(debit, credit))
         return _explode_label(m.withColumn("_best", _case_labels(m, rules, max_inline)))
@@ -128,6 +130,11 @@ def _classify_join(df: DataFrame, rules: DataFrame, concept: str, debit: str, cr
             .agg(F.collect_list(F.struct("priority", "lo", "hi", F.col("ord").alias("o"), F.col("category").alias("c"),
                                          F.col("subcategory").alias("s"), F.col("origin").alias("g"),
                                          F.col("kind").alias("k"))).alias("_cands")))
+    return _pick_per_row(df, cand, concept, debit, credit)
+
+
+def _pick_per_row(df: DataFrame, cand: DataFrame, concept: str, debit: str, credit: str) -> DataFrame:
+    """Join each row to its concept's candidate rules; keep the best whose amount bounds hold."""
     m = df.withColumn("_m_amt", abs_amount(debit, credit))
     j = m.join(cand, F.col(concept).eqNullSafe(F.col("_k_concept")), "left")
     fits = F.filter("_cands", lambda x: (x["lo"].isNull() | (F.col("_m_amt") >= x["lo"]))
@@ -138,6 +145,46 @@ def _classify_join(df: DataFrame, rules: DataFrame, concept: str, debit: str, cr
     return _explode_label(j.drop("_k_concept", "_cands", "_m_amt"))
 
 
+GRAM = 3
+
+
+def _grams(c: Column) -> Column:
+    """Distinct GRAM-character substrings of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - GRAM + 1, F.lit(1)))
+    return F.filter(F.transform(starts, lambda i: F.substring(c, i, GRAM)), lambda g: F.length(g) == GRAM)
+
+
+def _classify_index(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str,
+                    max_broadcast: int) -> DataFrame:
+    """Rule sheets too large to broadcast.  A pattern of ≥ GRAM characters can only occur in a text
+    containing its first GRAM characters, so long-pattern rules are equi-joined on that gram with
+    the distinct grams of each distinct concept, then verified.  Short-pattern and amount-only rules
+    go through the broadcast theta join (count-checked).  Per concept, candidates ranked after the
+    best candidate without amount bounds can never win and are dropped; amount bounds and the best
+    priority are then checked per row as in the join form."""
+    cols = ["priority", "ord", "pattern", "lo", "hi", "category", "subcategory", "origin", "kind"]
+    r = rules.select(*cols)
+    long_r = r.where(F.length("pattern") >= GRAM).withColumn("_g", F.substring("pattern", 1, GRAM))
+    rest = r.where(F.length("pattern") < GRAM)
+    if rest.limit(max_broadcast + 1).count() > max_broadcast:
+        raise ValueError(f"more than {max_broadcast} short-pattern or amount-only rules")
+    concepts = _match_inputs(df.select(F.col(concept).alias("_k_concept")).distinct(), "_k_concept", F.lit(None))
+    grams = concepts.where(~F.col("_blank")).select(
+        "_k_concept", "_cu", "_cn", F.explode(F.array_distinct(F.concat(_grams(F.col("_cu")), _grams(F.col("_cn"))))).alias("_g"))
+    text_ok = F.col("_cu").contains(F.col("pattern")) | F.col("_cn").contains(F.col("pattern"))
+    long_hits = grams.join(long_r, "_g").where(text_ok).select("_k_concept", *cols)
+    rest_ok = ~F.col("_blank") & ((F.col("pattern") == "") | text_ok)
+    rest_hits = concepts.join(F.broadcast(rest), rest_ok).select("_k_concept", *cols)
+    hits = long_hits.unionByName(rest_hits)
+    free = F.min(F.when(F.col("lo").isNull() & F.col("hi").isNull(), F.col("priority"))).over(
+        Window.partitionBy("_k_concept"))
+    hits = hits.withColumn("_free", free).where(F.col("_free").isNull() | (F.col("priority") <= F.col("_free")))
+    cand = hits.groupBy("_k_concept").agg(F.collect_list(F.struct(
+        "priority", "lo", "hi", F.col("ord").alias("o"), F.col("category").alias("c"), F.col("subcategory").alias("s"),
+        F.col("origin").alias("g"), F.col("kind").alias("k"))).alias("_cands"))
+    return _pick_per_row(df, cand, concept, debit, credit)
+
+
 def rule_coverage(classified: DataFrame) -> DataFrame:
     """A10: total, classified, unclassified and % classified (2 dp, exact)."""
     unc = F.col("new_category") == UNCLASSIFIED

@@ -36,6 +36,10 @@ def classify_join(spark, sf):
     return _labels(_classified(spark, sf, "join"))
 
 
+def classify_index(spark, sf):
+    return _labels(_classified(spark, sf, "index"))
+
+
 def classify_distinct(spark, sf):
     return _labels(_classified(spark, sf, "distinct"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "classify": classify,
     "classify_join": classify_join,
     "classify_distinct": classify_distinct,
+    "classify_index": classify_index,
     "rule_coverage": rule_coverage,
     "category_distribution": category_distribution,
     "top_unclassified": top_unclassified,

@@ -862,3 +862,5 @@ ORACLE["category_reference"] = q(select=f"""
 SELECT category, coalesce(array_to_string(list_sort(list(DISTINCT subcategory) FILTER (WHERE subcategory <> '')), ', '), '')
        AS subcategories
 FROM movements WHERE year(date) < {adapter.CUTOVER_YEAR} AND category <> '' GROUP BY category""")
+
+ORACLE["classify_index"] = q(_rules_cte(), select=_CLS_SELECT)

@@ -53,7 +53,7 @@ def _moves(spark):
 
 def test_rule_priority_all_strategies(spark):
     rules = load_rules(spark.createDataFrame(RULES, SCHEMA))
-    for strategy in ("case", "join", "distinct", "auto"):
+    for strategy in ("case", "join", "distinct", "index", "auto"):
         got = {r["row_id"]: r["new_category"] for r in C.classify(_moves(spark), rules, strategy).collect()}
         assert [got[str(i)] for i in range(len(CASES))] == [e for _, _, e in CASES], strategy
 
