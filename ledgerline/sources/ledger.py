@@ -54,7 +54,7 @@ def append_movements(new_rows: DataFrame, path: str | None = None, mode: str = "
 
     With ``path``, the rows are appended to the parquet ledger partitioned by ledger_id; counts
     (added, unclassified) are gathered with ``observe`` during that single write.
-    Returns (rows, observation-or-None).
+    Returns (rows, {added, unclassified} or None).
     """
     rows = new_rows.select(
         "ledger_id", "row_id", "batch_id", "kind", "origin", "category", "subcategory", "date", "concept",
