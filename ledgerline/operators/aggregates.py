@@ -125,3 +125,29 @@ def account_accumulated(months: DataFrame, balances: DataFrame) -> DataFrame:
 def movement_count(groups: DataFrame) -> DataFrame:
     """Movements behind each category of a month (Σ n of its groups)."""
     return groups.groupBy("ledger_id", "month", "category").agg(F.sum("n").alias("n_movements"))
+
+
+def month_detail(led: DataFrame, **kw) -> DataFrame:
+    """One pass over ledger rows: (ledger, month, flow, category, subcategory, origin) sums and
+    counts plus the month's last movement as max(struct(date, row_id, bank_balance)).  Month and
+    category totals, balances and the cross table can all be derived from it."""
+    return (with_flow(led, **kw)
+            .groupBy("ledger_id", "month", "flow", "category", "subcategory", "origin")
+            .agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"),
+                 F.max(F.struct("date", "row_id", "bank_balance")).alias("_last")))
+
+
+def months_from_detail(fine: DataFrame, excluded: str = EXCLUDED_FROM_BALANCE) -> DataFrame:
+    """A1 (with W1's net) from ``month_detail``."""
+    exp = F.col("flow") == "expense"
+    return (fine.groupBy("ledger_id", "month").agg(
+                F.coalesce(-F.sum(F.when(exp, F.col("amount"))), zero()).alias("expense_total"),
+                F.coalesce(F.sum(F.when(F.col("flow") == "income", F.col("amount"))), zero()).alias("income_total"),
+                F.coalesce(F.sum(F.when(F.col("category") != excluded, F.col("amount"))), zero()).alias("net"))
+            .withColumn("label", month_label("month")))
+
+
+def categories_from_detail(fine: DataFrame) -> DataFrame:
+    """A2 from ``month_detail``."""
+    return (fine.where(F.col("flow") == "expense").groupBy("ledger_id", "month", "category")
+                .agg((-F.sum("amount")).alias("total"), F.sum("n").alias("n")))

@@ -27,31 +27,18 @@ def _ordered_values(items: Column, key: str, value: str) -> Column:
     return F.transform(F.array_sort(items), lambda x: x[value])
 
 
-def month_detail(led: DataFrame, **kw) -> DataFrame:
-    """The one pass over the ledger rows the document needs besides the concept groups:
-    (ledger, month, flow, category, subcategory, origin) sums and counts, plus the month's last
-    movement as max(struct(date, row_id, bank_balance))."""
-    return (A.with_flow(led, **kw)
-            .groupBy("ledger_id", "month", "flow", "category", "subcategory", "origin")
-            .agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"),
-                 F.max(F.struct("date", "row_id", "bank_balance")).alias("_last")))
-
-
 def _from_detail(fine: DataFrame, opening: DataFrame | None):
     """Month totals (A1), category / subcategory totals (A2, A3), balances (W1, W3), cross table
     (A5), unclassified series (A6) and review count (A13), all from the month detail aggregate."""
     mk = ["ledger_id", "month"]
     exp = F.col("flow") == "expense"
     m = fine.groupBy(*mk).agg(
-        F.coalesce(-F.sum(F.when(exp, F.col("amount"))), zero()).alias("expense_total"),
-        F.coalesce(F.sum(F.when(F.col("flow") == "income", F.col("amount"))), zero()).alias("income_total"),
-        F.coalesce(F.sum(F.when(F.col("category") != EXCLUDED_FROM_BALANCE, F.col("amount"))), zero()).alias("net"),
         F.sum("amount").alias("_all"),
         F.max("_last").alias("_lastrow"),
         (-F.coalesce(F.sum(F.when(F.col("category") == UNCLASSIFIED, F.col("amount"))), zero())).alias("value"),
         F.sum(F.when(F.col("category") == UNCLASSIFIED, F.col("n"))).alias("_unc_n"))
-    months = m.select(*mk, "expense_total", "income_total", "net").withColumn("label", month_label("month"))
-    cat = fine.where(exp).groupBy(*mk, "category").agg((-F.sum("amount")).alias("total"), F.sum("n").alias("n"))
+    months = A.months_from_detail(fine)
+    cat = A.categories_from_detail(fine)
     subs = (fine.where(exp & (F.col("subcategory") != "")).groupBy(*mk, "category", "subcategory")
                 .agg((-F.sum("amount")).alias("total")))
     bal = B.balance_from_net(months.select(*mk, "net"), opening).select(*mk, "opening", "closing", "net")
@@ -74,7 +61,7 @@ def _sort_by(arr: Column, field: str) -> Column:
 def ledger_document(led: DataFrame, opening: DataFrame | None, generated_at: str, **kw) -> DataFrame:
     """(ledger_id, document) with document = to_json({generated, n_review, months, averages,
     history, cross, account}); ``generated_at`` is a parameter (no wall clock inside a job)."""
-    fine = materialize(month_detail(led, **kw))
+    fine = materialize(A.month_detail(led, **kw))
     groups = materialize(A.group_movements(A.expense_rows(led, **kw),
                                            ["ledger_id", "month", "category", "origin", "subcategory"]))
     months, cat, subs, bal, bank, xt, unc, n_review = _from_detail(fine, opening)

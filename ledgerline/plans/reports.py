@@ -14,8 +14,15 @@ from ledgerline.operators import balances as B
 from ledgerline.operators import crosstab as X
 from ledgerline.operators import windows as W
 from ledgerline.plans.common import finalize, ledger
+from ledgerline.session import materialize
 from ledgerline.sources import adapter
 
+
+def _months_and_categories(spark, sf):
+    """A1 and A2 from one materialized pass over the ledger rows."""
+    fine = materialize(A.month_detail(ledger(spark, sf)))
+    return A.months_from_detail(fine).drop("net"), A.categories_from_detail(fine)
+
 REPORT_YEAR = 1998          # the year shown by the period views (F5, A5w, A15, F6)
 CARD_ORIGIN = "Tarjeta de crédito"
 
@@ -88,8 +95,8 @@ def last_n_months(spark, sf):
 
 
 def category_average(spark, sf):
-    led = ledger(spark, sf)
-    return finalize(W.category_average(A.month_totals(led), A.category_totals(led)))
+    months, cat = _months_and_categories(spark, sf)
+    return finalize(W.category_average(months, cat))
 
 
 def top_categories(spark, sf):
@@ -97,13 +104,13 @@ def top_categories(spark, sf):
 
 
 def history(spark, sf):
-    led = ledger(spark, sf)
-    return finalize(W.history(A.month_totals(led), A.category_totals(led)))
+    months, cat = _months_and_categories(spark, sf)
+    return finalize(W.history(months, cat))
 
 
 def category_trend(spark, sf):
-    led = ledger(spark, sf)
-    return finalize(W.category_trend(A.month_totals(led), A.category_totals(led)))
+    months, cat = _months_and_categories(spark, sf)
+    return finalize(W.category_trend(months, cat))
 
 
 def trailing_mean(spark, sf):
@@ -111,9 +118,8 @@ def trailing_mean(spark, sf):
 
 
 def month_vs_average(spark, sf):
-    led = ledger(spark, sf)
-    ct = A.category_totals(led)
-    return finalize(W.month_vs_average(ct, W.category_average(A.month_totals(led), ct)))
+    months, ct = _months_and_categories(spark, sf)
+    return finalize(W.month_vs_average(ct, W.category_average(months, ct)))
 
 
 def ledger_stats(spark, sf):
