@@ -65,9 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Compute ``df`` once and cut its lineage: a reliable checkpoint written to the shared
-    checkpoint folder (never a machine-local one).  For small shared intermediates (per-ledger
-    aggregates) that several branches of one plan read: without it each branch re-runs the scan
-    and aggregation, since pruning makes the branches' plans differ and exchange reuse misses."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and cut its lineage: written as a parquet table under the shared
+    checkpoint folder (never a machine-local one) and read back.  For small shared intermediates
+    (per-ledger aggregates, a batch read twice) that several branches of one plan read: without it
+    each branch re-runs the scan and aggregation, since pruning makes the branches' plans differ and
+    exchange reuse misses.  A written table survives executor loss and, unlike a checkpointed RDD,
+    gives the optimizer column statistics and pruning when it is read back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
