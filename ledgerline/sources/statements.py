@@ -126,19 +126,22 @@ def parse_statement_files(spark: SparkSession, files: DataFrame, with_mapping: b
 
 # ---- fixture writer: incoming rows → raw statement files --------------------------------------
 
+LATIN1_LAYOUT = 3
+
 # header spellings per layout (fixed test layouts: aliases of COLUMN_ALIASES in other spellings)
 _HEADERS = (
     ("Fecha", "Concepto", "Débito", "Crédito", "Saldo", "Referencia"),
     ("FECHA", "Descripción", "Cargo", "Abono", "Saldo final", "Ref"),
     ("date", "detalle", "monto débito", "monto crédito", "balance", "nro operacion"),
-    ("Fecha", "Glosa", "Egreso", "Ingreso", "Saldo", "Operacion"),
+    ("Fecha", "Descripción", "Egreso", "Ingreso", "Saldo", "Operación"),
 )
 
 
 def write_statement_files(rows: DataFrame, path: str) -> str:
     """Write incoming rows (ledger_id, file_no, row_id, copy_no, date, concept, debit, credit,
     bank_balance) as one text statement per (ledger, file), laid out by ``layout = (ledger + file)
-    mod 4``: separator , ; TAB |, header spelling, day-first or serial-number dates, a title line,
+    mod 4``: separator , ; TAB |, header spelling (layout 3 in ISO-8859-1), day-first or serial-number
+    dates, a title line,
     an account line with fewer fields, and a 'SALDO ANTERIOR' line (its balance in thousands form,
     which the amount parser rejects) before the movements.
     Written partitioned by ledger_id / file_no, each statement sorted by line number."""
@@ -171,7 +174,14 @@ def write_statement_files(rows: DataFrame, path: str) -> str:
                                  F.lit(""), F.col("_sep"), F.lit(""), F.col("_sep"), F.lit('"1.000,00"'), F.col("_sep"),
                                  F.lit("")).alias("value")))).alias("l"))
     lead = lead.select("ledger_id", "file_no", "l.line_no", "l.value")
-    (lead.unionByName(body).repartition("ledger_id", "file_no")
-         .sortWithinPartitions("ledger_id", "file_no", "line_no")
-         .drop("line_no").write.mode("overwrite").partitionBy("ledger_id", "file_no").text(path))
+    lines = (lead.unionByName(body).withColumn("_latin1", layout == LATIN1_LAYOUT)
+                 .repartition("ledger_id", "file_no").sortWithinPartitions("ledger_id", "file_no", "line_no")
+                 .drop("line_no"))
+    # one layout is written in ISO-8859-1 (its header has accents), the others in UTF-8; the CSV
+    # writer with one column, no quoting and an unused delimiter writes each line as is
+    for latin1, encoding in ((False, "UTF-8"), (True, "ISO-8859-1")):
+        (lines.where(F.col("_latin1") == latin1).drop("_latin1")
+              .write.mode("append").partitionBy("ledger_id", "file_no")
+              .option("sep", "\u0001").option("quote", "\u0000").option("escape", "\u0000")
+              .option("encoding", encoding).option("emptyValue", "").csv(path))
     return path
