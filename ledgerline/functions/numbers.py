@@ -36,14 +36,19 @@ def abs_amount(debit="debit", credit="credit") -> Column:
     return F.greatest(F.abs(zero_if_null(debit)), F.abs(zero_if_null(credit)))
 
 
-def parse_bank_amount(c) -> Column:
+def parse_bank_amount(c, signed: bool = False) -> Column:
     """Keep digits , . ; comma becomes dot; blank means 0; unparseable is null (row rejected).
 
-    The sign is lost, as in the statement reader this reproduces.
+    By default the sign is lost, as in the statement reader this reproduces; ``signed=True`` keeps
+    a leading minus.
     """
-    kept = F.regexp_replace(F.coalesce(_c(c).cast("string"), F.lit("")), r"[^0-9,.]", "")
+    text = F.coalesce(_c(c).cast("string"), F.lit(""))
+    kept = F.regexp_replace(text, r"[^0-9,.]", "")
     dotted = F.regexp_replace(kept, ",", ".")
-    return F.when(dotted == "", F.lit(0).cast(MONEY)).otherwise(dotted.try_cast(MONEY))
+    value = F.when(dotted == "", F.lit(0).cast(MONEY)).otherwise(dotted.try_cast(MONEY))
+    if signed:
+        value = F.when(F.trim(text).startswith("-"), -value).otherwise(value)
+    return value
 
 
 def parse_amount_es(c) -> Column:

@@ -30,6 +30,8 @@ def test_parsing_table(spark):
     assert got["-1234,5"][:2] == (D("1234.50"), D("-1234.50"))    # P3 loses the sign
     assert got[""][:2] == (D("0.00"), D("0.00"))
     assert got[None][:2] == (D("0.00"), D("0.00"))
+    signed = df.where("t = '-1234,5'").select(parse_bank_amount("t", signed=True)).first()[0]
+    assert signed == D("-1234.50")                                   # Q8 option keeps the sign
 
 
 def test_month_label(spark):
