@@ -50,15 +50,17 @@ def _alias_table(spark: SparkSession) -> DataFrame:
         "field", "alias_ord", norm_header("alias").alias("norm"))
 
 
-def read_statements(spark: SparkSession, path: str, glob: str | None = None, with_mapping: bool = False):
+def read_statements(spark: SparkSession, path: str, glob: str | None = None, with_mapping: bool = False,
+                    signed: bool = False):
     """S1 over a folder: see ``parse_statement_files``."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return parse_statement_files(spark, reader.load(path), with_mapping)
+    return parse_statement_files(spark, reader.load(path), with_mapping, signed)
 
 
-def parse_statement_files(spark: SparkSession, files: DataFrame, with_mapping: bool = False):
+def parse_statement_files(spark: SparkSession, files: DataFrame, with_mapping: bool = False,
+                          signed: bool = False):
     """Statement files under ``path`` → (rows, rejects).
 
     rows: path (+ partition columns), line_no, date, concept, debit, credit, balance, reference.
@@ -115,7 +117,7 @@ def parse_statement_files(spark: SparkSession, files: DataFrame, with_mapping: b
         "path", *extra, "line_no",
         parse_date(field("date")).alias("date"),
         F.coalesce(field("concept"), F.lit("")).alias("concept"),
-        *[parse_bank_amount(field(f)).alias(f) for f in ("debit", "credit", "balance")],
+        *[parse_bank_amount(field(f), signed).alias(f) for f in ("debit", "credit", "balance")],
         F.coalesce(field("reference"), F.lit("")).alias("reference"))
     unreadable = F.col("debit").isNull() | F.col("credit").isNull() | F.col("balance").isNull()
     rows = typed.where(F.col("date").isNotNull() & ~unreadable & ~is_balance_line("concept"))

@@ -37,3 +37,31 @@ def test_stream_import_is_exactly_once(spark):
     assert spark.read.parquet(led).count() == first
     batch = import_statements(adapter.incoming_rows(spark, SF_SMALL), adapter.existing_ledger(spark, SF_SMALL), r, "x")
     assert first - adapter.existing_ledger(spark, SF_SMALL).count() == batch.count()
+
+
+def test_stream_archives_processed_files_on_a_later_batch(spark):
+    import glob
+    import os
+    inbox = scratch_path(spark, "inbox")
+    archive = scratch_path(spark, "archive")
+    led = scratch_path(spark, "ledger")
+    ckpt = scratch_path(spark, "ckpt")
+    (adapter.existing_ledger(spark, SF_SMALL).drop("batch_id", "reference", "destination")
+        .write.mode("overwrite").parquet(f"{led}/batch_id=initial"))
+    first_dir = os.path.join(inbox, "ledger_id=1", "file_no=0")
+    os.makedirs(first_dir)
+    with open(os.path.join(first_dir, "a.csv"), "w", encoding="utf-8") as f:
+        f.write("Fecha;Concepto;Débito;Crédito\n02/01/2030;COMPRA RED RING  1 Brand#1;10,00;\n")
+    r = rules(spark, SF_SMALL)
+    import_stream(spark, inbox, led, r, ckpt, archive=archive)
+    after_first = spark.read.parquet(led).where("batch_id <> 'initial'").count()
+    second_dir = os.path.join(inbox, "ledger_id=1", "file_no=1")
+    os.makedirs(second_dir)
+    with open(os.path.join(second_dir, "b.csv"), "w", encoding="utf-8") as f:
+        f.write("Fecha;Concepto;Débito;Crédito\n03/01/2030;COMPRA BLUE BOLT  2 Brand#2;20,00;\n")
+    import_stream(spark, inbox, led, r, ckpt, archive=archive)
+    new = spark.read.parquet(led).where("batch_id <> 'initial'")
+    assert after_first == 1 and new.count() == 2                      # each file imported once
+    archived = [p for p in glob.glob(archive + "/**/*.csv", recursive=True)]
+    assert any(p.endswith("a.csv") for p in archived)                 # moved when the later batch ran
+    assert not os.path.exists(os.path.join(first_dir, "a.csv"))
