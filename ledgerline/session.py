@@ -8,7 +8,9 @@ local tests.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +26,10 @@ _DEFAULTS = {
 }
 
 
+#: scratch folders written by this process, for release()
+_SCRATCH: list[str] = []
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "ledgerline", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -44,26 +50,37 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables and checkpoints.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) a fresh folder is created and registered.
+    Read from ``spark.checkpoint.dir``.  Only when the session has none *and* runs in one process
+    (``local[...]``, as in tests) a fresh folder is made; on a cluster a machine-local folder would
+    scatter the part files over the executors' disks, so an unset folder is an error there.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="ledgerline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)          # the configured shared folder, registered for checkpoint()
-    return d.removeprefix("file:")
+    return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    path = tempfile.mkdtemp(prefix=f"{name}-", dir=base) if "://" not in base else f"{base}/{name}-{os.getpid()}-{os.urandom(4).hex()}"
+    """A fresh sub-folder name in the shared checkpoint folder (the writer makes the folder)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the scratch folders made so far.  Call it when the results built on them are written:
+    a DataFrame returned by the library may still read them lazily before that."""
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df):
     """Compute ``df`` once and cut its lineage: written as a parquet table under the shared
     checkpoint folder (never a machine-local one) and read back.  For small shared intermediates

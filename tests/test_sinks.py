@@ -42,8 +42,8 @@ def test_stream_import_is_exactly_once(spark):
 def test_stream_archives_processed_files_on_a_later_batch(spark):
     import glob
     import os
-    inbox = scratch_path(spark, "inbox")
-    archive = scratch_path(spark, "archive")
+    inbox = scratch_path(spark, "inbox").removeprefix("file:")
+    archive = scratch_path(spark, "archive").removeprefix("file:")
     led = scratch_path(spark, "ledger")
     ckpt = scratch_path(spark, "ckpt")
     (adapter.existing_ledger(spark, SF_SMALL).drop("batch_id", "reference", "destination")

@@ -9,12 +9,13 @@ from ledgerline.sources.statements import read_statements
 
 
 def _write(folder, name, data: bytes):
+    os.makedirs(folder, exist_ok=True)
     with open(os.path.join(folder, name), "wb") as f:
         f.write(data)
 
 
 def test_reader_layouts_and_rejects(spark):
-    folder = scratch_path(spark, "stmt-test")
+    folder = scratch_path(spark, "stmt-test").removeprefix("file:")
     # latin-1 bytes, ';' separator, title line with one field, accented header spellings
     _write(folder, "a.csv", "Banco Ñandú\n\nFecha;Descripción;Débito;Crédito;Saldo\n"
                             "05/02/2026;CAFÉ ALVEAR;1.234,56;;100\n06/02/2026;SALDO ANTERIOR;;;50\n"
@@ -43,7 +44,7 @@ def test_reader_layouts_and_rejects(spark):
 
 
 def test_file_without_separator_is_rejected(spark):
-    folder = scratch_path(spark, "stmt-test2")
+    folder = scratch_path(spark, "stmt-test2").removeprefix("file:")
     _write(folder, "x.csv", b"just one field per line\nanother\n")
     rows, rejects = read_statements(spark, folder)
     assert rows.count() == 0
