@@ -28,10 +28,24 @@ def op7_decontamination(spark, sf):
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_sentencepiece(spark, sf):
+    from ledgerline.llm.subword import decode, encode
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    back = decode(encode(docs, MODEL), MODEL)
+    return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"),
+                       F.xxhash64("pieces").alias("pieces_xxh64"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontamination": op7_decontamination,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
