@@ -28,6 +28,19 @@ def op7_decontamination(spark, sf):
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def held_out(doc_id):
+    """Rows whose labels are never learned from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def op9_toxicity(spark, sf):
+    from ledgerline.llm.toxicity import THRESHOLD, toxicity_scores
+    labels = _table(spark, sf, "labels").where(~held_out(F.col("doc_id")))
+    found = toxicity_scores(_table(spark, sf, "documents"), labels)
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
+                        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -45,6 +58,7 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontamination": op7_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
