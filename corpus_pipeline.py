@@ -7,13 +7,23 @@ as the next one's docs.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm.decontamination import drop_contaminated
 from ledgerline.llm.exact_dedup import drop_exact_copies
+from ledgerline.llm.queries import MODEL, held_out
 from ledgerline.llm.simhash import drop_near_copies
+from ledgerline.llm.subword import encode
+from ledgerline.llm.toxicity import drop_toxic
 from ledgerline.session import scratch_path
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go.  Learns from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
+    return drop_toxic(docs, labels)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z, the smallest doc_id stays."""
     return drop_exact_copies(docs)
@@ -29,8 +39,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("exact_dedup", exact_dedup), ("simhash_dedup", simhash_dedup), ("decontamination", decontamination)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The corpus as sampled pieces, reproducible by doc_id."""
+    return encode(docs, MODEL).select("doc_id", "lang", "source", F.size("pieces").alias("n_pieces"), "pieces")
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("simhash_dedup", simhash_dedup),
+          ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
 
+#: SimHash components, learned toxicity and sampled pieces have no SQL form; tests hold brute-force versions
 ORACLE_SQL = None
 
 
