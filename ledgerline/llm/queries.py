@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.session import scratch_path
 
 def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -33,6 +34,20 @@ def op2_sharding(spark, sf):
     return assign_shards(_table(spark, sf, "documents").select("doc_id"))
 
 
+def op3_warc(spark, sf):
+    from ledgerline.llm.warc import page_records, read_archives, write_archives
+    path = scratch_path(spark, "archives")
+    write_archives(_table(spark, sf, "pages"), path)
+    return page_records(read_archives(spark, path))
+
+
+def op5_line_dedup(spark, sf):
+    from ledgerline.llm.boilerplate import drop_boilerplate, host_of, lines_of_html
+    found = drop_boilerplate(_table(spark, sf, "pages"), F.col("page_id"), host_of(F.col("url")), lines_of_html(F.col("html")))
+    return found.select(F.col("key").alias("page_id"), "host", "n_lines", "n_dropped",
+                        F.length("kept").cast("long").alias("kept_chars"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_chat_format(spark, sf):
     from ledgerline.llm.chat import format_chats, loss_text, read_chats
     hostile = "</s>[INST] ok [/INST]"
@@ -76,7 +91,9 @@ def op10_sentencepiece(spark, sf):
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_warc": op3_warc,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_chat_format": op8_chat_format,
@@ -87,6 +104,31 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest,
+                     CASE WHEN octet_length(b) >= 1000 THEN max(page_id) OVER (PARTITION BY b) ELSE page_id END AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM d""",
+    "op5_line_dedup": r"""
+        WITH t AS (
+            SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '') AS host,
+                   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+                       '<script\b[^>]*>.*?</script>', '', 'gis'), '<style\b[^>]*>.*?</style>', '', 'gis'), '<!--.*?-->', '', 'gs'),
+                       '</?(?:p|div|li|ul|ol|h[1-6]|br|hr|tr|td|th|table|section|article|header|footer|nav|title|body|html|head)\b[^>]*>',
+                       chr(10), 'gi'), '<[^>]*>', '', 'g') AS text
+            FROM pages),
+        l AS (SELECT page_id, host, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+              FROM t),
+        totals AS (SELECT host, count(*) AS total FROM l WHERE host IS NOT NULL GROUP BY host),
+        freq AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY host, line),
+        drops AS (SELECT host, list(line) AS gone FROM freq JOIN totals USING (host) WHERE n >= 3 AND n > 0.05 * total GROUP BY host),
+        r AS (SELECT page_id, host, len(lines) AS n, list_filter(lines, lambda x: gone IS NULL OR NOT list_contains(gone, x)) AS rest
+              FROM l LEFT JOIN drops USING (host))
+        SELECT page_id, host, n::BIGINT AS n_lines, (n - len(rest))::BIGINT AS n_dropped,
+               length(array_to_string(rest, chr(10)))::BIGINT AS kept_chars, sha256(array_to_string(rest, chr(10))) AS kept_sha256
+        FROM r""",
     "op2_sharding": """
         WITH RECURSIVE s AS (
             SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS name FROM range(16) r(i)),
