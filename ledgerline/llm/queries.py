@@ -29,6 +29,12 @@ def op7_decontamination(spark, sf):
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op1_quality(spark, sf):
+    from ledgerline.llm.quality import quality
+    trusted = _table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return quality(_table(spark, sf, "documents"), trusted).withColumnRenamed("id", "doc_id")
+
+
 def op2_sharding(spark, sf):
     from ledgerline.llm.sharding import assign_shards
     return assign_shards(_table(spark, sf, "documents").select("doc_id"))
@@ -90,6 +96,7 @@ def op10_sentencepiece(spark, sf):
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op3_warc": op3_warc,
     "op4_simhash_dedup": op4_simhash_dedup,
