@@ -17,7 +17,6 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import repeat
 
 import ahocorasick
@@ -30,13 +29,14 @@ from ledgerline.llm.common import drop_ids
 from ledgerline.session import materialize
 
 WINDOW = 10
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 1 << 20       # of benchmark text; its windows take about 100 times as much memory
 
 #: byte → byte: A-Z to a-z; separators to a space; digits, a-z and the bytes of non-ASCII characters stay
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
                for c in range(256))
 
-SPAN = "struct<start:int,end:int>"
+#: a hit passage: words [first, past) and characters [start, end) of the original text
+SPAN = "struct<first:int,past:int,start:int,end:int>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -98,30 +98,29 @@ def _scanned(rows: DataFrame, shard) -> DataFrame:
     def run(batches):
         vocab, automaton = shard.value.vocab, shard.value.automaton() if shard.value.windows else None
         for b in batches:
-            out = [[], [], [], []]
+            out = [[], [], []]
             for t in b.column(1):
                 text = t.as_py()
                 n, spans, items = scan(text, vocab, automaton)
+                chars = char_spans(text, spans) if spans else []
                 out[0].append(n)
-                out[1].append([{"start": s, "end": e} for s, e in spans])
-                out[2].append([{"start": s, "end": e} for s, e in (char_spans(text, spans) if spans else [])])
-                out[3].append(sorted(str(i) for i in items if i is not None))
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            kinds = (pa.int64(), span, span, pa.list_(pa.string()))
+                out[1].append([{"first": f, "past": p, "start": s, "end": e} for (f, p), (s, e) in zip(spans, chars)])
+                out[2].append(sorted(str(i) for i in items if i is not None))
+            span = pa.list_(pa.struct([(f, pa.int32()) for f in ("first", "past", "start", "end")]))
+            kinds = (pa.int64(), span, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, out, kinds)],
-                                             names=["id", "key", "n_words", "word_spans", "spans", "items"])
+                                             names=["id", "key", "n_words", "spans", "items"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, key binary, n_words long, word_spans array<{SPAN}>, "
-                                f"spans array<{SPAN}>, items array<string>")
+    return rows.mapInArrow(run, f"id {kind}, key binary, n_words long, spans array<{SPAN}>, items array<string>")
 
 
-def _union(spans: str) -> str:
-    """SQL: the sorted union of an array of spans."""
-    return (f"aggregate(array_sort({spans}), cast(array() as array<{SPAN}>), (acc, x) -> "
-            "if(size(acc) > 0 and x.start <= element_at(acc, -1).end, "
-            "concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', "
-            "greatest(element_at(acc, -1).end, x.end)))), concat(acc, array(x))))")
+#: SQL: the sorted union of an array of spans; spans that touch in words are one
+UNION = (f"aggregate(array_sort(spans), cast(array() as array<{SPAN}>), (acc, x) -> "
+         "if(size(acc) > 0 and x.first <= element_at(acc, -1).past, "
+         "concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, "
+         "'past', greatest(element_at(acc, -1).past, x.past), 'start', element_at(acc, -1).start, "
+         "'end', greatest(element_at(acc, -1).end, x.end)))), concat(acc, array(x))))")
 
 
 def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int):
@@ -159,17 +158,13 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         for s in scans[1:]:
             found = found.unionByName(_scanned(rows, s))
         found = found.groupBy("id", "key", "n_words").agg(
-            F.count(F.lit(1)).alias("n"), F.flatten(F.collect_set("word_spans")).alias("word_spans"),
-            F.flatten(F.collect_set("spans")).alias("spans"),
+            F.count(F.lit(1)).alias("n"), F.flatten(F.collect_set("spans")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        found = (found.withColumn("word_spans", F.expr(_union("word_spans"))).withColumn("spans", F.expr(_union("spans")))
-                 .withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(scans)).cast("int")))))
-    n_hit = F.expr("aggregate(word_spans, 0L, (n, x) -> n + x.end - x.start)")
-    return found.select("id", "n_words", n_hit.alias("n_hit"), "items", "spans")
-
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        found = found.withColumn("spans", F.expr(UNION)).withColumn(
+            "copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(scans)).cast("int"))))
+    n_hit = F.expr("aggregate(spans, 0L, (n, x) -> n + x.past - x.first)")
+    spans = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return found.select("id", "n_words", n_hit.alias("n_hit"), "items", spans.alias("spans"))
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
