@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerline.constants import MONTH_ABBR, SERIAL_DATE_EPOCH, SERIAL_DATE_HIGH, SERIAL_DATE_LOW
+from ledgerline.functions.text import strip
 
-# day-first text forms accepted per row (the reference infers one per file; we try each per row)
-DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-MM-dd")
+# text forms accepted per row, day first unless the year leads; each is tried per row
+DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d")
+TWO_DIGIT_YEAR_FORMATS = ("d/M/yy", "d-M-yy", "d.M.yy")
+TWO_DIGIT_YEAR_PIVOT = 2069         # 69..99 are 1969..1999
 
 
 def _c(c) -> Column:
@@ -16,9 +19,14 @@ def _c(c) -> Column:
 
 
 def parse_date(c) -> Column:
-    """P5: day-first text; else a spreadsheet serial number 20000 < n < 80000 (day 0 = 1899-12-30); else null."""
-    s = F.trim(_c(c).cast("string"))
-    text = F.coalesce(*[F.try_to_date(s, fmt) for fmt in DAY_FIRST_FORMATS])
+    """P5: day-first text, with or without a time of day; else a spreadsheet serial number
+    20000 < n < 80000 (day 0 = 1899-12-30); else null."""
+    s = strip(_c(c).cast("string"))
+    day = F.regexp_replace(s, r"[ T]+\d{1,2}:\d{2}.*$", "")
+    full = F.coalesce(*[F.try_to_date(day, fmt) for fmt in DAY_FIRST_FORMATS])
+    short = F.coalesce(*[F.try_to_date(day, fmt) for fmt in TWO_DIGIT_YEAR_FORMATS])
+    short = F.when(F.year(short) >= TWO_DIGIT_YEAR_PIVOT, F.add_months(short, -1200)).otherwise(short)
+    text = F.coalesce(full, short)
     n = s.try_cast("double")
     serial = F.when((n > SERIAL_DATE_LOW) & (n < SERIAL_DATE_HIGH),
                     F.date_add(F.lit(SERIAL_DATE_EPOCH).cast("date"), F.floor(n).cast("int")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerline.constants import VS_AVG_BAD, VS_AVG_BAR_CAP, VS_AVG_WARN
+from ledgerline.functions.text import strip
 
 MONEY = "decimal(18,2)"
 
@@ -52,9 +53,10 @@ def parse_bank_amount(c, signed: bool = False) -> Column:
 
 
 def parse_amount_es(c) -> Column:
-    """Spanish-formatted text: drop '.', comma becomes dot; failure means 0."""
-    s = F.trim(F.coalesce(_c(c).cast("string"), F.lit("")))
-    s = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
+    """A number passes through; Spanish-formatted text: drop '.', comma becomes dot; failure means 0."""
+    s = strip(F.coalesce(_c(c).cast("string"), F.lit("")))
+    number = F.typeof(_c(c)).rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")     # folded by the optimizer
+    s = F.when(number, s).otherwise(F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", "."))
     return F.coalesce(s.try_cast(MONEY), F.lit(0).cast(MONEY))
 
 

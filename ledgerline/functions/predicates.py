@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.constants import (BALANCE_LINE_TEXTS, NEEDS_LABEL_TEXTS, OPENING_MARKER_KINDS,
                                   TRAINING_EXCLUDED, UNCLASSIFIED)
+from ledgerline.functions.text import strip
 
 
 def _c(c) -> Column:
@@ -15,7 +16,7 @@ def _c(c) -> Column:
 
 def is_balance_line(concept="concept") -> Column:
     """F1 (negated): statement lines such as 'SALDO ANTERIOR' that are not movements."""
-    return F.upper(F.trim(F.coalesce(_c(concept), F.lit("")))).isin(*BALANCE_LINE_TEXTS)
+    return F.upper(strip(F.coalesce(_c(concept), F.lit("")))).isin(*BALANCE_LINE_TEXTS)
 
 
 def valid_date(date="date", min_year: int | None = None) -> Column:
@@ -27,7 +28,7 @@ def valid_date(date="date", min_year: int | None = None) -> Column:
 
 def is_marker_kind(kind="kind") -> Column:
     """F3 (negated): legacy opening / closing balance rows."""
-    return F.trim(F.coalesce(_c(kind), F.lit(""))).isin(*OPENING_MARKER_KINDS)
+    return strip(F.coalesce(_c(kind), F.lit(""))).isin(*OPENING_MARKER_KINDS)
 
 
 def is_card(origin="origin") -> Column:
@@ -44,13 +45,13 @@ def in_period(month="month", year: str | int | None = None) -> Column:
 
 def needs_label(category="category") -> Column:
     """blank category or NAN/NONE/SIN CLASIFICAR/PENDIENTE (case-insensitive)."""
-    s = F.trim(F.coalesce(_c(category), F.lit("")))
+    s = strip(F.coalesce(_c(category), F.lit("")))
     return (s == "") | F.upper(s).isin(*NEEDS_LABEL_TEXTS)
 
 
 def is_training_row(category="category", excluded=TRAINING_EXCLUDED) -> Column:
     """F8: labelled and not an excluded / system label."""
-    s = F.trim(F.coalesce(_c(category), F.lit("")))
+    s = strip(F.coalesce(_c(category), F.lit("")))
     return (s != "") & ~s.isin(*excluded) & ~needs_label(s)
 
 

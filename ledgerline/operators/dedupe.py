@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.constants import UNCLASSIFIED
 from ledgerline.functions.predicates import is_balance_line
+from ledgerline.functions.text import strip
 from ledgerline.operators.classify import classify
 from ledgerline.session import materialize
 
@@ -20,7 +21,7 @@ KEY = ("ledger_id", "_k_date", "_k_concept", "_k_debit", "_k_credit")
 def with_key(df: DataFrame) -> DataFrame:
     z = F.lit(0).cast("decimal(18,2)")
     return (df.withColumn("_k_date", F.col("date").cast("date"))
-              .withColumn("_k_concept", F.upper(F.trim(F.coalesce(F.col("concept"), F.lit("")))))
+              .withColumn("_k_concept", F.upper(strip(F.coalesce(F.col("concept"), F.lit("")))))
               .withColumn("_k_debit", F.coalesce(F.col("debit").cast("decimal(18,2)"), z))
               .withColumn("_k_credit", F.coalesce(F.col("credit").cast("decimal(18,2)"), z)))
 
@@ -45,9 +46,17 @@ def first_file_wins(incoming: DataFrame, file_col: str = "file_no") -> DataFrame
     """Files of one run are imported one after another, so a key present in several files is
     taken from the first file only (all its copies there).  The first file per key is an
     aggregate joined back — partial aggregation absorbs a hot key before the shuffle."""
-    k = with_key(incoming)
-    first = k.groupBy(*KEY).agg(F.min(file_col).alias("_first_file"))
-    return drop_key(k.join(first, list(KEY)).where(F.col(file_col) == F.col("_first_file")).drop("_first_file"))
+    # rows without a file number come after every numbered file, as one file; rows without a ledger are
+    # one ledger
+    order = F.struct(F.col(file_col).isNull().alias("none"), F.col(file_col).alias("file"))
+    k = with_key(incoming).withColumn("_file", order)
+    first = k.groupBy(*KEY).agg(F.min("_file").alias("_first_file")).select(
+        *[F.col(c).alias(f"_f{c}") for c in KEY], "_first_file")
+    same = F.lit(True)
+    for c in KEY:
+        same = same & F.col(c).eqNullSafe(F.col(f"_f{c}"))
+    kept = k.join(first, same).where(F.col("_file") == F.col("_first_file"))
+    return drop_key(kept.drop("_file", "_first_file", *[f"_f{c}" for c in KEY]))
 
 
 def import_statements(statements: DataFrame, ledger: DataFrame, rules: DataFrame, batch_id: str,
@@ -55,7 +64,7 @@ def import_statements(statements: DataFrame, ledger: DataFrame, rules: DataFrame
     """Statements (D2) → drop balance lines (F1) → first file wins (J1b) → not yet in the
     ledger (J1) → rule labels (J2) → ledger rows (S3 form), one per movement added."""
     s = statements.where(F.col("date").isNotNull() & ~is_balance_line("concept"))
-    s = s.withColumn("concept", F.trim(F.coalesce(F.col("concept"), F.lit(""))))
+    s = s.withColumn("concept", strip(F.coalesce(F.col("concept"), F.lit(""))))
     new = new_movements(first_file_wins(s, file_col), ledger)
     labelled = classify(new, rules)
     pos = lambda c: F.when(F.col(c) > 0, F.col(c))  # noqa: E731  0 / missing ⇒ null

@@ -69,10 +69,8 @@ def rebuild_ledger(legacy: DataFrame, rules: DataFrame, recode: DataFrame, cutov
     rows = (rows.withColumn("label", clean_text("label")).withColumn("label2", clean_text("label2"))
                 .withColumn("kind", clean_text("kind")).withColumn("origin", clean_text("origin")))
     after = from_year("date", cutover) if use_rules else F.lit(False)
-    r = recode.select(F.col("old").alias("_old"))
-    rows = rows.join(r, F.col("label") == F.col("_old"), "left").withColumn("_mapped", F.col("_old").isNotNull()).drop("_old")
     rows = recode_category(rows.withColumn("_cat", F.col("label")).withColumn("_sub", F.col("label2")),
-                           recode, "rebuild", label="_cat", sub="_sub")
+                           recode, "rebuild", label="_cat", sub="_sub", hit_col="_mapped")
     labelled = classify(rows, rules)
     blank = F.col("label") == ""
     cat = (F.when(after & F.col("_mapped"), F.col("_cat"))

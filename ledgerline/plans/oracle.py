@@ -355,7 +355,7 @@ FROM movements GROUP BY ledger_id"""),
 
 def _norm_sql(c: str) -> str:
     return (f"trim(regexp_replace(regexp_replace(regexp_replace(upper(coalesce({c}, '')), '[.*/-]', ' ', 'g'), "
-            f"'[0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))")
+            f"'[0-9]+', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))")
 
 
 def _rule_values() -> str:
@@ -702,7 +702,7 @@ WHERE bad_category OR bad_subcategory OR bad_origin OR bad_kind"""),
 from ledgerline.constants import MODEL_STOP_WORDS, NEEDS_LABEL_TEXTS, TRAINING_EXCLUDED  # noqa: E402
 
 TEXTS = """
-tx0 AS (SELECT row_id, _linenumber % 4 AS form, coalesce(debit, credit) AS amt, date FROM base_rows),
+tx0 AS (SELECT row_id, _linenumber % 4 AS form, _linenumber % 7 AS spelled, coalesce(debit, credit) AS amt, date FROM base_rows),
 texts AS (
   SELECT row_id,
     CASE form WHEN 0 THEN cast(amt AS varchar)
@@ -711,10 +711,14 @@ texts AS (
               ELSE CASE WHEN amt >= 1000 THEN cast(cast(amt * 100 AS bigint) // 100000 AS varchar) || '.' ||
                         lpad(cast((cast(amt * 100 AS bigint) // 100) % 1000 AS varchar), 3, '0') || ',' ||
                         lpad(cast(cast(amt * 100 AS bigint) % 100 AS varchar), 2, '0') ELSE '' END END AS amount_text,
-    CASE form WHEN 0 THEN strftime(date, '%-d/%-m/%Y')
+    CASE spelled WHEN 0 THEN strftime(date, '%-d/%-m/%Y')
               WHEN 1 THEN cast(date_diff('day', DATE '1899-12-30', date) AS varchar)
               WHEN 2 THEN cast(date_diff('day', DATE '1899-12-30', date) AS varchar) || '.75'
-              ELSE strftime(date, '%Y-%m-%d') END AS date_text
+              WHEN 3 THEN strftime(date, '%Y-%m-%d')
+              WHEN 4 THEN strftime(date, '%d/%m/%y')
+              WHEN 5 THEN chr(160) || strftime(date, '%Y-%m-%d') || ' 00:00:00'
+              ELSE strftime(date, '%Y/%m/%d') || ' 10:15' END AS date_text,
+    amt, date AS true_date
   FROM tx0
 )"""
 
@@ -729,14 +733,6 @@ def _p4(t: str) -> str:
     return f"coalesce(try_cast({k} AS decimal(18,2)), 0)"
 
 
-def _p5(t: str) -> str:
-    s = f"trim({t})"
-    fm = ", ".join(f"try_strptime({s}, '{f}')" for f in ("%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%Y-%m-%d"))
-    n = f"try_cast({s} AS double)"
-    return (f"coalesce(cast(coalesce({fm}) AS date), CASE WHEN {n} > 20000 AND {n} < 80000 "
-            f"THEN DATE '1899-12-30' + cast(floor({n}) AS integer) END)")
-
-
 def _model_tokens(x: str) -> str:
     n = _norm_sql(x)
     return (f"array_to_string(list_filter(string_split({n}, ' '), lambda t: length(t) >= 3 AND NOT "
@@ -749,12 +745,19 @@ SELECT ledger_id, cast(file_no AS bigint) AS file_no, cast(date AS varchar) AS d
        cast(coalesce(debit, 0) AS double) AS debit, cast(coalesce(credit, 0) AS double) AS credit,
        cast(coalesce(bank_balance, 0) AS double) AS balance, row_id AS reference FROM incoming"""),
     "parse_bank_amount": q(TEXTS, select=f"SELECT row_id, amount_text, cast({_p3('amount_text')} AS double) AS amount FROM texts"),
-    "parse_amount_es": q(TEXTS, select=f"SELECT row_id, amount_text, cast({_p4('amount_text')} AS double) AS amount FROM texts"),
-    "parse_date": q(TEXTS, select=f"SELECT row_id, date_text, cast({_p5('date_text')} AS varchar) AS date FROM texts"),
+    "parse_amount_es": q(TEXTS, select=f"SELECT row_id, amount_text, cast({_p4('amount_text')} AS double) AS amount, "
+                         "cast(amt AS double) AS from_decimal, cast(amt AS double) AS from_double FROM texts"),
+    # every spelling is one the reader accepts: the date it was written from comes back
+    "parse_date": q(TEXTS, select="SELECT row_id, date_text, cast(true_date AS varchar) AS date FROM texts"),
+    "read_ledger": q(select=f"""
+SELECT ledger_id, row_id, cast(date AS varchar) AS date, month, kind, origin, category, subcategory, concept,
+       {_d('debit', 'debit')}, {_d('credit', 'credit')}, {_d('bank_balance', 'bank_balance')}, {_d('amount', 'amount')} FROM led"""),
     "norm_header": q(select="""
 SELECT p_partkey, regexp_replace(translate(lower(trim(concat_ws(' ', p_name, p_brand))), 'áéíóú', 'aeiou'), '[^a-z0-9]', '', 'g') AS norm
 FROM part"""),
-    "norm_concept": q(select=f"SELECT row_id, {_norm_sql('concept')} AS norm FROM movements"),
+    "norm_concept": q(select="SELECT row_id, " + _norm_sql(
+        "CASE WHEN substr(row_id, 14, 2) IN ('02', '04', '06') THEN replace(concept, ' ', chr(160)) ELSE concept END")
+        + " AS norm FROM movements"),
     "tokens": q(select=f"SELECT row_id, array_to_string({_tokens_sql(_norm_sql('concept'))}, ' ') AS tokens FROM movements"),
     "signed_amount": q(select="SELECT row_id, cast(coalesce(credit, 0) - coalesce(debit, 0) AS double) AS amount FROM movements"),
     "month_labels": q(select=f"SELECT month, {label('month')} AS label FROM (SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM movements)"),

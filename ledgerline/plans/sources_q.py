@@ -18,6 +18,7 @@ from ledgerline.functions.text import truncate
 from ledgerline.plans.common import finalize
 from ledgerline.session import scratch_path
 from ledgerline.sources import adapter
+from ledgerline.sources.ledger import read_ledger as read_op_ledger
 from ledgerline.sources.statements import read_statements as read_op
 from ledgerline.sources.statements import write_statement_files
 
@@ -53,11 +54,15 @@ def _texts(spark, sf):
                     .when(form == 2, F.concat(F.lit("-"), amt.cast("string")))
                     .otherwise(F.when(amt >= 1000, thousands).otherwise(F.lit(""))))
     serial = F.datediff(F.col("date"), F.lit("1899-12-30").cast("date")).cast("string")
-    date_text = (F.when(form == 0, F.date_format("date", "d/M/yyyy"))
-                  .when(form == 1, serial)
-                  .when(form == 2, F.concat(serial, F.lit(".75")))
-                  .otherwise(F.date_format("date", "yyyy-MM-dd")))
-    return b.select("row_id", amount_text.alias("amount_text"), date_text.alias("date_text"))
+    spelled = F.col("_linenumber") % 7
+    date_text = (F.when(spelled == 0, F.date_format("date", "d/M/yyyy"))
+                  .when(spelled == 1, serial)
+                  .when(spelled == 2, F.concat(serial, F.lit(".75")))
+                  .when(spelled == 3, F.date_format("date", "yyyy-MM-dd"))
+                  .when(spelled == 4, F.date_format("date", "dd/MM/yy"))
+                  .when(spelled == 5, F.concat(F.lit("\u00a0"), F.date_format("date", "yyyy-MM-dd"), F.lit(" 00:00:00")))
+                  .otherwise(F.concat(F.date_format("date", "yyyy/MM/dd"), F.lit(" 10:15"))))
+    return b.select("row_id", amount_text.alias("amount_text"), date_text.alias("date_text"), amt.alias("amount_number"))
 
 
 def parse_bank_amount(spark, sf):
@@ -67,7 +72,9 @@ def parse_bank_amount(spark, sf):
 
 def parse_amount_es(spark, sf):
     t = _texts(spark, sf)
-    return finalize(t.select("row_id", "amount_text", es_col("amount_text").alias("amount")))
+    return finalize(t.select("row_id", "amount_text", es_col("amount_text").alias("amount"),
+                             es_col("amount_number").alias("from_decimal"),
+                             es_col(F.col("amount_number").cast("double")).alias("from_double")))
 
 
 def parse_date(spark, sf):
@@ -83,7 +90,9 @@ def norm_header(spark, sf):
 
 def norm_concept(spark, sf):
     mv = adapter.movements(spark, sf)
-    return finalize(mv.select("row_id", norm_col("concept").alias("norm")))
+    spaced = F.translate("concept", " ", "\u00a0")           # no-break spaces, as in some statements
+    concept = F.when(F.substring("row_id", 14, 2).isin("02", "04", "06"), spaced).otherwise(F.col("concept"))
+    return finalize(mv.select("row_id", norm_col(concept).alias("norm")))
 
 
 def tokens(spark, sf):
@@ -154,7 +163,21 @@ def from_year(spark, sf):
         F.count(F.lit(1)).alias("n")))
 
 
+def read_ledger(spark, sf):
+    """S2 over a stored ledger whose dates and amounts are text (day-first dates, Spanish amounts)."""
+    mv = adapter.movements(spark, sf)
+    amounts = [F.regexp_replace(F.format_number(c, 2), r"([.,])", "<$1>").alias(c) for c in ("debit", "credit", "bank_balance")]
+    text = mv.select("ledger_id", "row_id", "kind", "origin", "category", "subcategory", "concept",
+                     F.date_format("date", "d/M/yyyy").alias("date"), *amounts)
+    for c in ("debit", "credit", "bank_balance"):       # 1,234.56 → 1.234,56
+        text = text.withColumn(c, F.replace(F.replace(c, F.lit("<,>"), F.lit(".")), F.lit("<.>"), F.lit(",")))
+    path = scratch_path(spark, "text-ledger")
+    text.write.parquet(path)
+    return finalize(read_op_ledger(path, spark, min_year=adapter.FIRST_YEAR))
+
+
 QUERIES = {
+    "read_ledger": read_ledger,
     "read_statements": read_statements,
     "statement_rejects": statement_rejects,
     "parse_bank_amount": parse_bank_amount,

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.constants import UNCLASSIFIED
-from ledgerline.functions.dates import month_key
+from ledgerline.functions.dates import month_key, parse_date
 from ledgerline.functions.labels import recode_category
-from ledgerline.functions.numbers import signed_amount
+from ledgerline.functions.numbers import MONEY, parse_amount_es, signed_amount
 from ledgerline.functions.predicates import valid_date
-from ledgerline.functions.text import clean_text
+from ledgerline.functions.text import clean_text, strip
 
 LEDGER_COLUMNS = ("ledger_id", "row_id", "date", "month", "kind", "origin", "category", "subcategory",
                   "concept", "debit", "credit", "bank_balance", "amount")
@@ -19,7 +19,7 @@ LEDGER_COLUMNS = ("ledger_id", "row_id", "date", "month", "kind", "origin", "cat
 def read_ledger(source, spark: SparkSession | None = None, min_year: int | None = None,
                 recode: DataFrame | None = None, recode_before: int | None = None,
                 keep_blank: bool = False) -> DataFrame:
-    """Typed ledger rows for the reports.
+    """Typed ledger rows for the reports.  Text dates and amounts are read as P5 and P4; other types are cast.
 
     ``source`` is a movements DataFrame or a parquet path.  Absent text columns default to '',
     ``amount = credit − debit`` (null as 0), ``month = yyyy-MM``, rows without a date or before
@@ -29,6 +29,17 @@ def read_ledger(source, spark: SparkSession | None = None, min_year: int | None
     """
     df = spark.read.parquet(source) if isinstance(source, str) else source
     cols = set(df.columns)
+    kinds = dict(df.dtypes)
+    if "date" not in cols:
+        raise ValueError("a ledger needs a date column")
+    if kinds["date"] not in ("date", "timestamp", "timestamp_ntz"):       # text or serial dates (P5)
+        df = df.withColumn("date", parse_date("date"))
+
+    def money(c):
+        if c not in cols:
+            return F.lit(None).cast(MONEY)
+        blank = strip(F.col(c).cast("string")) == ""
+        return F.when(~blank, parse_amount_es(c)) if kinds[c] == "string" else F.col(c).cast(MONEY)
 
     def text(c):
         return clean_text(c) if c in cols else F.lit("")
@@ -37,8 +48,8 @@ def read_ledger(source, spark: SparkSession | None = None, min_year: int | None
         "ledger_id", "row_id", F.col("date").cast("date").alias("date"),
         text("kind").alias("kind"), text("origin").alias("origin"),
         text("category").alias("category"), text("subcategory").alias("subcategory"),
-        F.trim(F.coalesce(F.col("concept"), F.lit(""))).alias("concept") if "concept" in cols else F.lit("").alias("concept"),
-        *[(F.col(c) if c in cols else F.lit(None)).cast("decimal(18,2)").alias(c) for c in ("debit", "credit", "bank_balance")],
+        strip(F.coalesce(F.col("concept"), F.lit(""))).alias("concept") if "concept" in cols else F.lit("").alias("concept"),
+        *[money(c).alias(c) for c in ("debit", "credit", "bank_balance")],
     )
     if recode is not None:
         out = recode_category(out, recode, "fill", before_year=recode_before)
@@ -75,6 +86,9 @@ def append_movements(new_rows: DataFrame, path: str | None = None, mode: str = "
 
 
 def new_since(ledger: DataFrame) -> DataFrame:
-    """The rows of each ledger's last import batch (the 'new' marker moves with each batch)."""
-    last = ledger.groupBy("ledger_id").agg(F.max("batch_id").alias("_last"))
+    """The rows of each ledger's last import batch (the 'new' marker moves with each batch).  Batches are
+    ordered by the number at the end of their id (none: before all numbers), then by the id."""
+    number = F.coalesce(F.regexp_extract(F.col("batch_id"), r"([0-9]+)$", 1).try_cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)"))
+    order = F.struct(number.alias("n"), F.col("batch_id").alias("id"))
+    last = ledger.groupBy("ledger_id").agg(F.max(order)["id"].alias("_last"))
     return (ledger.join(last, "ledger_id").where(F.col("batch_id") == F.col("_last")).drop("_last"))

@@ -102,3 +102,46 @@ def test_mode_tie_smallest(spark):
     df = spark.createDataFrame(rows, "ledger_id string, month string, date date, concept string, amount decimal(19,2)")
     r = A.group_movements(df, ["ledger_id", "month"]).collect()[0]
     assert r["concept"] == "a" and r["n"] == 4 and r["total"] == D("4.00") and r["last_date"] == date(2026, 1, 4)
+
+
+def test_inputs_that_readers_accept(spark, tmp_path):
+    """Numbers pass through P4; dates with time or two-digit years; Unicode white space; wide rule bounds."""
+    from ledgerline.functions.dates import parse_date
+    from ledgerline.functions.numbers import parse_amount_es
+    from ledgerline.functions.predicates import is_balance_line
+    from ledgerline.functions.text import clean_num, norm_concept, tokens
+    from ledgerline.sources.ledger import read_ledger
+    df = spark.createDataFrame([(1234.56, "1.234,56", 7)], "d double, t string, i int").withColumn("dec", F.col("d").cast("decimal(18,2)"))
+    r = df.select(*[parse_amount_es(c).cast("string").alias(c) for c in ("d", "t", "i", "dec")]).first()
+    assert tuple(r) == ("1234.56", "1234.56", "7.00", "1234.56")
+    spellings = ["05/02/26", "5-2-2026", "05.02.2026 10:00", "2026-02-05 00:00:00", "2026-02-05T10:15:30", "2026/02/05", "46058", " 5/2/2026 "]
+    got = spark.createDataFrame([(s,) for s in spellings], "s string").select(parse_date("s").cast("string").alias("x")).collect()
+    assert [x["x"] for x in got] == ["2026-02-05"] * len(spellings)
+    odd = spark.createDataFrame([("x",), ("31/02/2026",), ("05/02/98",)], "s string").select(parse_date("s").cast("string").alias("x")).collect()
+    assert [x["x"] for x in odd] == [None, None, "1998-02-05"]
+    n = spark.createDataFrame([("COMPRA SUPER 123 X", " saldo anterior ")], "c string, b string")
+    r = n.select(tokens(norm_concept("c"), stop_words=("COMPRA",)).alias("t"), is_balance_line("b").alias("b")).first()
+    assert r["t"] == ["SUPER"] and r["b"]
+    r = spark.createDataFrame([("10.005", "99999999999999999999")], "a string, b string").select(
+        clean_num("a").cast("double").alias("a"), clean_num("b").cast("double").alias("b")).first()
+    assert tuple(r) == (10.005, 1e20)
+    led = spark.createDataFrame([("L", "1", "05/02/2026", "1.234,56", "")], "ledger_id string, row_id string, date string, debit string, credit string")
+    r = read_ledger(led).first()
+    assert (str(r["date"]), str(r["debit"]), r["credit"], str(r["amount"])) == ("2026-02-05", "1234.56", None, "-1234.56")
+
+
+def test_batches_nulls_and_repeated_recode_keys(spark):
+    from ledgerline.functions.labels import recode_category
+    from ledgerline.operators.dedupe import first_file_wins
+    from ledgerline.sources.ledger import new_since
+    led = spark.createDataFrame([("L", "initial"), ("L", "stream-9"), ("L", "stream-10")], "ledger_id string, batch_id string")
+    assert [r["batch_id"] for r in new_since(led).collect()] == ["stream-10"]
+    rows = spark.createDataFrame([("L", None, "2026-01-01", "a", 1), (None, 2, "2026-01-01", "b", 1), ("L", None, "2026-01-02", "c", 1), ("L", 1, "2026-01-02", "c", 1)],
+                                 "ledger_id string, file_no int, date string, concept string, debit int").withColumn("credit", F.lit(None).cast("int"))
+    got = sorted((r["concept"], r["file_no"] or 0) for r in first_file_wins(rows).collect())
+    assert got == [("a", 0), ("b", 2), ("c", 1)]
+    recode = spark.createDataFrame([("X", "b", "s2"), ("X", "a", "s1"), (None, "n", "")], "old string, new string, sub string")
+    one = spark.createDataFrame([("X", ""), ("Y", "")], "category string, subcategory string")
+    for policy in ("any", "rebuild"):
+        out = recode_category(one, recode, policy).collect()
+        assert sorted((r["category"], r["subcategory"]) for r in out) == [("Y", ""), ("a", "s1")]
