@@ -5,18 +5,19 @@ the upper-cased concept or of the normalised concept (P6), and lo ≤ max(|debit
 (each bound optional, inclusive).  The best match is the first in rule priority (S4).  A blank
 concept never matches; no match gives ('Sin clasificar', '', '', '').
 
-Strategies (results are identical):
-
-* ``case``  — default.  The ranked rules become one CASE WHEN chain evaluated per row inside
-  whole-stage codegen: map-only, no shuffle, no join.  The rule table is collected once, after its
-  row count is checked against ``max_inline`` (a user-edited sheet, not data that grows with the
-  ledger).
-* ``join``  — for larger rule tables: distinct concepts ⋈ broadcast(rules) on the substring
-  condition (text matching does not depend on the amount), candidates collected per concept,
-  equi-joined back; the amount bounds and the best priority are checked per row on that small
-  array.  Broadcast only after the rule count is checked against ``max_broadcast``.
+Strategies (results are identical, and none has a limit: a form whose bound a rule table exceeds
+hands over to ``index``):
+
+* ``case``  — the default up to ``AUTO_CASE_RULES`` rules.  The ranked rules become one CASE WHEN chain
+  evaluated per row inside whole-stage codegen: map-only, no shuffle, no join.
+* ``index`` — the default above.  A pattern can only occur in a text that contains its grams, so rules are
+  equi-joined with the grams of the distinct concepts on the rarest gram of each pattern, then verified;
+  candidates are joined back and the amount bounds and the best priority checked per row.
+* ``join``  — distinct concepts ⋈ broadcast(rules) on the substring condition, up to ``max_broadcast`` rules.
 * ``distinct`` (J2b) — the CASE chain on distinct (concept, amount) keys, joined back; pays off
   when the same concepts repeat many times and the rule list is long.
+
+The order of rules is a struct of their rank criteria, so no form needs consecutive priorities.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.constants import UNCLASSIFIED
 from ledgerline.functions.numbers import abs_amount
-from ledgerline.functions.text import norm_concept
+from ledgerline.functions.text import norm_concept, strip
 
 MAX_INLINE_RULES = 2_000
 AUTO_CASE_RULES = 32
@@ -38,7 +39,7 @@ def _match_inputs(df: DataFrame, concept, amount: Column) -> DataFrame:
     c = F.coalesce((F.col(concept) if isinstance(concept, str) else concept).cast("string"), F.lit(""))
     return (df.withColumn("_cu", F.upper(c))
               .withColumn("_cn", norm_concept(c))
-              .withColumn("_blank", F.trim(c) == "")
+              .withColumn("_blank", strip(c) == "")
               .withColumn("_amt", amount))
 
 
@@ -53,18 +54,20 @@ def _rule_condition(pattern: str, lo, hi) -> Column:
     return cond
 
 
-def _checked_rules(rules: DataFrame, limit: int) -> list:
-    n = rules.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"rule table has more than {limit} rules; use strategy='join'")
-    return rules.orderBy("priority").collect()
+def _rank() -> Column:
+    """The order of S4 as one comparable value: more conditions, more outputs, longer pattern, sheet order."""
+    return F.struct((-F.col("spec")).alias("a"), (-F.col("outs")).alias("b"), (-F.length("pattern")).alias("c"), F.col("ord").alias("d"),
+                    F.col("pattern").alias("e"), F.col("category").alias("f"), F.col("subcategory").alias("g"))
+
 
+def _fewer_than(rules: DataFrame, limit: int) -> bool:
+    return rules.limit(limit + 1).count() <= limit
 
-def _case_labels(df: DataFrame, rules: DataFrame, max_inline: int) -> Column:
-    """One struct column with the best rule's outputs (null if none)."""
-    ranked = _checked_rules(rules, max_inline)
+
+def _case_labels(rules: DataFrame) -> Column:
+    """One struct column with the best rule's outputs (null if none); the caller has checked the row count."""
     expr = None
-    for r in ranked:
+    for r in rules.orderBy(_rank()).collect():
         out = F.struct(F.lit(r["ord"]).cast("int").alias("o"), F.lit(r["category"]).alias("c"),
                        F.lit(r["subcategory"]).alias("s"), F.lit(r["origin"]).alias("g"), F.lit(r["kind"]).alias("k"))
         cond = _rule_condition(r["pattern"], r["lo"], r["hi"])
@@ -90,99 +93,139 @@ def classify(df: DataFrame, rules: DataFrame, strategy: str = "auto", concept: s
     """Adds rule_ord, new_category, new_subcategory, new_origin, new_kind to every row.
 
     ``auto`` picks ``case`` up to ``AUTO_CASE_RULES`` rules (a CASE chain stays inside generated
-    code) and ``join`` above (a very long chain exceeds the JVM method size and runs interpreted).
+    code) and ``index`` above (a very long chain exceeds the JVM method size and runs interpreted).
     """
-    if strategy == "auto":
-        n = rules.limit(max_broadcast + 1).count()
-        strategy = "case" if n <= AUTO_CASE_RULES else "join" if n <= max_broadcast else "index"
-    if strategy == "index":
-        return _classify_index(df, rules, concept, debit, credit, max_broadcast)
-    if strategy == "case":
+    most = {"auto": AUTO_CASE_RULES, "case": max_inline, "distinct": max_inline, "join": max_broadcast, "index": 0}
+    if strategy not in most:
+        raise ValueError(strategy)
+    if strategy == "index" or not _fewer_than(rules, most[strategy]):
+        return _classify_index(df, rules, concept, debit, credit)
+    if strategy in ("auto", "case"):
         m = _match_inputs(df, concept, abs_amount(debit, credit))
-        return _explode_label(m.withColumn("_best", _case_labels(m, rules, max_inline)))
+        return _explode_label(m.withColumn("_best", _case_labels(rules)))
     if strategy == "join":
-        return _classify_join(df, rules, concept, debit, credit, max_broadcast)
-    if strategy == "distinct":
-        # The CASE chain on distinct (concept, amount) keys, joined back
-        keys = df.select(F.col(concept).alias("_k_concept"), abs_amount(debit, credit).alias("_k_amt")).distinct()
-        keys = _match_inputs(keys, "_k_concept", F.col("_k_amt"))
-        best = keys.withColumn("_best", _case_labels(keys, rules, max_inline)).select("_k_concept", "_k_amt", "_best")
-        m = df.withColumn("_m_amt", abs_amount(debit, credit))
-        j = m.join(best, F.col(concept).eqNullSafe(F.col("_k_concept")) & (F.col("_m_amt") == F.col("_k_amt")), "left")
-        return _explode_label(j.drop("_k_concept", "_k_amt", "_m_amt"))
-    raise ValueError(strategy)
-
-
-def _classify_join(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str,
-                   max_broadcast: int) -> DataFrame:
+        return _classify_join(df, rules, concept, debit, credit)
+    # The CASE chain on distinct (concept, amount) keys, joined back
+    keys = df.select(F.col(concept).alias("_k_concept"), abs_amount(debit, credit).alias("_k_amt")).distinct()
+    keys = _match_inputs(keys, "_k_concept", F.col("_k_amt"))
+    best = keys.withColumn("_best", _case_labels(rules)).select("_k_concept", "_k_amt", "_best")
+    m = df.withColumn("_m_amt", abs_amount(debit, credit))
+    j = m.join(best, F.col(concept).eqNullSafe(F.col("_k_concept")) & (F.col("_m_amt") == F.col("_k_amt")), "left")
+    return _explode_label(j.drop("_k_concept", "_k_amt", "_m_amt"))
+
+
+def _candidate(rank: Column) -> Column:
+    """A rule as a candidate of a concept; candidates compare by rank first."""
+    return F.struct(rank.alias("priority"), F.col("lo"), F.col("hi"), F.col("ord").alias("o"), F.col("category").alias("c"),
+                    F.col("subcategory").alias("s"), F.col("origin").alias("g"), F.col("kind").alias("k"))
+
+
+def _classify_join(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str) -> DataFrame:
     """Text conditions depend on the concept only: distinct concepts ⋈ broadcast(rules) on the
-    substring condition gives each concept its candidate rules (at most the rule count); the
-    amount bounds are then checked per row on that small array and the best priority kept."""
-    n = rules.limit(max_broadcast + 1).count()
-    if n > max_broadcast:
-        raise ValueError(f"rule table has more than {max_broadcast} rules")
-    r = F.broadcast(rules.select("priority", "ord", "pattern", "lo", "hi", "category", "subcategory", "origin", "kind"))
+    substring condition gives each concept its candidate rules (the caller has checked their number); the
+    amount bounds are then checked per row on the candidates and the best priority kept."""
+    r = F.broadcast(rules.select("pattern", _candidate(_rank()).alias("rule")))
     concepts = _match_inputs(df.select(F.col(concept).alias("_k_concept")).distinct(), "_k_concept", F.lit(None))
     text_ok = ~F.col("_blank") & ((F.col("pattern") == "") | F.col("_cu").contains(F.col("pattern"))
                                   | F.col("_cn").contains(F.col("pattern")))
-    cand = (concepts.join(r, text_ok, "inner")
-            .groupBy("_k_concept")
-            .agg(F.collect_list(F.struct("priority", "lo", "hi", F.col("ord").alias("o"), F.col("category").alias("c"),
-                                         F.col("subcategory").alias("s"), F.col("origin").alias("g"),
-                                         F.col("kind").alias("k"))).alias("_cands")))
-    return _pick_per_row(df, cand, concept, debit, credit)
+    return _pick_per_row(df, _best_candidates(concepts.join(r, text_ok, "inner")), concept, debit, credit)
+
+
+def _best_candidates(hits: DataFrame) -> DataFrame:
+    """(concept, candidates): those ranked after a concept's best rule without amount bounds can never win."""
+    free = F.min(F.when(F.col("rule.lo").isNull() & F.col("rule.hi").isNull(), F.col("rule.priority"))).over(
+        Window.partitionBy("_k_concept"))
+    hits = hits.withColumn("_free", free).where(F.col("_free").isNull() | (F.col("rule.priority") <= F.col("_free")))
+    return hits.groupBy("_k_concept").agg(F.collect_list("rule").alias("_cands"))
 
 
-def _pick_per_row(df: DataFrame, cand: DataFrame, concept: str, debit: str, credit: str) -> DataFrame:
-    """Join each row to its concept's candidate rules; keep the best whose amount bounds hold."""
+def _pick_per_row(df: DataFrame, cand: DataFrame, concept: str, debit: str, credit: str,
+                  by_amount: Column | None = None) -> DataFrame:
+    """Join each row to its concept's candidate rules; keep the best whose amount bounds hold, or the row's best
+    amount-only rule if that ranks before it."""
     m = df.withColumn("_m_amt", abs_amount(debit, credit))
     j = m.join(cand, F.col(concept).eqNullSafe(F.col("_k_concept")), "left")
-    fits = F.filter("_cands", lambda x: (x["lo"].isNull() | (F.col("_m_amt") >= x["lo"]))
-                    & (x["hi"].isNull() | (F.col("_m_amt") <= x["hi"])))
-    best = F.array_min(fits)   # structs compare by priority first
-    j = j.withColumn("_best", F.when(best.isNotNull(), F.struct(
-        best["o"].alias("o"), best["c"].alias("c"), best["s"].alias("s"), best["g"].alias("g"), best["k"].alias("k"))))
-    return _explode_label(j.drop("_k_concept", "_cands", "_m_amt"))
+    best = F.array_min(F.filter("_cands", lambda x: (x["lo"].isNull() | (F.col("_m_amt") >= x["lo"]))
+                                & (x["hi"].isNull() | (F.col("_m_amt") <= x["hi"]))))
+    if by_amount is not None:
+        best = F.least(best, by_amount)                # skips nulls
+    j = j.withColumn("_pick", best)
+    j = j.withColumn("_best", F.when(F.col("_pick").isNotNull(), F.struct("_pick.o", "_pick.c", "_pick.s", "_pick.g", "_pick.k")))
+    return _explode_label(j.drop("_k_concept", "_cands", "_m_amt", "_pick"))
 
 
 GRAM = 3
 
 
-def _grams(c: Column) -> Column:
-    """Distinct GRAM-character substrings of a text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - GRAM + 1, F.lit(1)))
-    return F.filter(F.transform(starts, lambda i: F.substring(c, i, GRAM)), lambda g: F.length(g) == GRAM)
-
-
-def _classify_index(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str,
-                    max_broadcast: int) -> DataFrame:
-    """Rule sheets too large to broadcast.  A pattern of ≥ GRAM characters can only occur in a text
-    containing its first GRAM characters, so long-pattern rules are equi-joined on that gram with
-    the distinct grams of each distinct concept, then verified.  Short-pattern and amount-only rules
-    go through the broadcast theta join (count-checked).  Per concept, candidates ranked after the
-    best candidate without amount bounds can never win and are dropped; amount bounds and the best
-    priority are then checked per row as in the join form."""
-    cols = ["priority", "ord", "pattern", "lo", "hi", "category", "subcategory", "origin", "kind"]
-    r = rules.select(*cols)
-    long_r = r.where(F.length("pattern") >= GRAM).withColumn("_g", F.substring("pattern", 1, GRAM))
-    rest = r.where(F.length("pattern") < GRAM)
-    if rest.limit(max_broadcast + 1).count() > max_broadcast:
-        raise ValueError(f"more than {max_broadcast} short-pattern or amount-only rules")
-    concepts = _match_inputs(df.select(F.col(concept).alias("_k_concept")).distinct(), "_k_concept", F.lit(None))
-    grams = concepts.where(~F.col("_blank")).select(
-        "_k_concept", "_cu", "_cn", F.explode(F.array_distinct(F.concat(_grams(F.col("_cu")), _grams(F.col("_cn"))))).alias("_g"))
-    text_ok = F.col("_cu").contains(F.col("pattern")) | F.col("_cn").contains(F.col("pattern"))
-    long_hits = grams.join(long_r, "_g").where(text_ok).select("_k_concept", *cols)
-    rest_ok = ~F.col("_blank") & ((F.col("pattern") == "") | text_ok)
-    rest_hits = concepts.join(F.broadcast(rest), rest_ok).select("_k_concept", *cols)
-    hits = long_hits.unionByName(rest_hits)
-    free = F.min(F.when(F.col("lo").isNull() & F.col("hi").isNull(), F.col("priority"))).over(
-        Window.partitionBy("_k_concept"))
-    hits = hits.withColumn("_free", free).where(F.col("_free").isNull() | (F.col("priority") <= F.col("_free")))
-    cand = hits.groupBy("_k_concept").agg(F.collect_list(F.struct(
-        "priority", "lo", "hi", F.col("ord").alias("o"), F.col("category").alias("c"), F.col("subcategory").alias("s"),
-        F.col("origin").alias("g"), F.col("kind").alias("k"))).alias("_cands"))
-    return _pick_per_row(df, cand, concept, debit, credit)
+def grams_of(c: Column, n: int) -> Column:
+    """The n-character substrings of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
+    return F.filter(F.transform(starts, lambda i: F.substring(c, i, n)), lambda g: F.length(g) == n)
+
+
+def gram_matches(texts: DataFrame, columns: list[str], patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """texts ⋈ patterns where one of the text ``columns`` contains the non-empty pattern, as an equi-join: the texts'
+    distinct grams meet each pattern at the pattern's gram that the fewest texts contain, and the
+    substring is verified.  Patterns under GRAM characters are their own gram."""
+    own = patterns.where(F.length(pattern) > 0)
+    sizes = [GRAM] + [n for n in range(1, GRAM) if not own.where(F.length(pattern) == n).isEmpty()]
+    every = F.array_distinct(F.flatten(F.array(*[grams_of(F.col(c), n) for c in columns for n in sizes])))
+    grams = texts.withColumn("_g", F.explode(every))
+    held = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    size = F.least(F.length(pattern), F.lit(GRAM))
+    starts = F.sequence(F.lit(1), F.length(pattern) - size + 1)
+    options = own.select(pattern).distinct().withColumn("_g", F.explode(F.array_distinct(F.transform(
+        starts, lambda i: F.substring(F.col(pattern), i, size)))))
+    # a gram that no text contains counts 0: the pattern's key is then that gram, and it meets no text
+    rarest = (options.join(held, "_g", "left").groupBy(pattern)
+              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g")))["g"].alias("_g")))
+    found = grams.join(rarest, "_g").drop("_g")
+    inside = F.lit(False)
+    for c in columns:
+        inside = inside | F.col(c).contains(F.col(pattern))
+    return found.where(inside).join(own, pattern)
+
+
+def _amount_only(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str):
+    """(rows, the best amount-only rule of a row as a candidate).  A few rules are a CASE chain; more are met by
+    the distinct amounts."""
+    amt = abs_amount(debit, credit)
+    blank = strip(F.coalesce(F.col(concept).cast("string"), F.lit(""))) == ""
+    own = rules.where(F.col("pattern") == "").select("lo", "hi", _candidate(_rank()).alias("_a_rule"))
+    if _fewer_than(own, AUTO_CASE_RULES):
+        expr = None
+        kind = own.schema["_a_rule"].dataType
+        for r in own.orderBy("_a_rule.priority").collect():
+            cond = ~blank
+            for bound, ok in ((r["lo"], amt >= F.lit(r["lo"])), (r["hi"], amt <= F.lit(r["hi"]))):
+                cond = cond & ok if bound is not None else cond
+            rule = _literal(r["_a_rule"], kind)
+            expr = F.when(cond, rule) if expr is None else expr.when(cond, rule)
+        return df, expr
+    amounts = df.select(amt.alias("_a_amt")).distinct()
+    fits = (F.col("lo").isNull() | (F.col("_a_amt") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("_a_amt") <= F.col("hi")))
+    best = amounts.join(own, fits).groupBy("_a_amt").agg(F.min("_a_rule").alias("_a_best"))
+    rows = df.withColumn("_a_row", amt).join(best, F.col("_a_row") == F.col("_a_amt"), "left").drop("_a_row", "_a_amt")
+    return rows, F.when(~blank, F.col("_a_best"))
+
+
+def _literal(row, kind) -> Column:
+    """A collected struct as a literal column of the same type."""
+    fields = [(_literal(row[f.name], f.dataType) if hasattr(f.dataType, "fields") else F.lit(row[f.name]).cast(f.dataType)).alias(f.name)
+              for f in kind.fields]
+    return F.struct(*fields).cast(kind)
+
+
+def _classify_index(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str) -> DataFrame:
+    """Any number of rules, without a broadcast: text rules through ``gram_matches`` on distinct concepts,
+    amount-only rules by amount.  Candidates that can never win are dropped per concept; amount bounds and the
+    best priority are then checked per row."""
+    rows, by_amount = _amount_only(df, rules, concept, debit, credit)
+    concepts = _match_inputs(df.select(F.col(concept).alias("_k_concept")).distinct(), "_k_concept", F.lit(None)).where("not _blank")
+    text_rules = rules.where(F.col("pattern") != "").select("pattern", _candidate(_rank()).alias("rule"))
+    hits = gram_matches(concepts.select("_k_concept", "_cu", "_cn"), ["_cu", "_cn"], text_rules)
+    out = _pick_per_row(rows, _best_candidates(hits.select("_k_concept", "rule")), concept, debit, credit, by_amount)
+    return out.drop("_a_best")
 
 
 def rule_coverage(classified: DataFrame) -> DataFrame:

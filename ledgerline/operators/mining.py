@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 from ledgerline.constants import CONCEPT_CHARS, EXAMPLE_CHARS, MINING_MIN_COUNT, MINING_PURITY_PCT
 from ledgerline.functions.numbers import round_ratio
 from ledgerline.functions.text import norm_concept, tokens, truncate
+from ledgerline.operators.classify import gram_matches
 from ledgerline.session import materialize
 
-MAX_BROADCAST_PATTERNS = 200_000
-
-
 def tokenize(rows: DataFrame, concept: str = "concept") -> DataFrame:
     """P6 + P7: adds ``norm`` (normalised concept) and ``tokens``."""
     return rows.withColumn("norm", norm_concept(concept)).withColumn("tokens", tokens(F.col("norm")))
@@ -68,24 +66,14 @@ def unmatched_summary(unmatched: DataFrame, label: str = "label", id_col: str =
 def pattern_example(rows: DataFrame, patterns: DataFrame, id_col: str = "row_id") -> DataFrame:
     """For each pattern, the first row (lowest id) whose normalised concept contains it; 55 chars.
 
-    Rows are first reduced to distinct normalised concepts (with their first row).  Mined patterns
-    are tokens of at least 3 characters, so a concept can only contain one if it contains the
-    pattern's first 3 characters: the distinct 3-grams of each concept are equi-joined with the
-    patterns' first 3-gram and the substring is then verified — exact, with no broadcast and no cap
-    on the number of patterns.  (Shorter patterns, if given, are matched through a broadcast of
-    those alone.)
+    Rows are first reduced to distinct normalised concepts (with their first row), which meet the patterns
+    in an equi-join on each pattern's rarest gram (``gram_matches``): exact, with no broadcast and no cap on the
+    number of patterns.
     """
-    from ledgerline.operators.classify import GRAM, _grams
     firsts = rows.groupBy("norm").agg(F.min(id_col).alias("_id"), F.min_by("concept", F.col(id_col)).alias("_c"))
     pats = patterns.select("pattern")
-    grams = firsts.select("norm", "_id", "_c", F.explode(F.array_distinct(_grams(F.col("norm")))).alias("_g"))
-    long_hits = (grams.join(pats.where(F.length("pattern") >= GRAM).withColumn("_g", F.substring("pattern", 1, GRAM)), "_g")
-                      .where(F.col("norm").contains(F.col("pattern"))).select("pattern", "_id", "_c"))
-    short = pats.where(F.length("pattern") < GRAM)
-    if short.limit(MAX_BROADCAST_PATTERNS + 1).count() > MAX_BROADCAST_PATTERNS:
-        raise ValueError(f"more than {MAX_BROADCAST_PATTERNS} patterns shorter than {GRAM} characters")
-    short_hits = firsts.join(F.broadcast(short), F.col("norm").contains(F.col("pattern"))).select("pattern", "_id", "_c")
-    best = long_hits.unionByName(short_hits).groupBy("pattern").agg(F.min_by("_c", "_id").alias("_c"))
+    hits = gram_matches(firsts, ["norm"], pats)
+    best = hits.groupBy("pattern").agg(F.min_by("_c", "_id").alias("_c"))
     return (pats.join(best, "pattern", "left")
             .select("pattern", F.coalesce(truncate("_c", EXAMPLE_CHARS), F.lit("")).alias("example")))
 
