@@ -1,6 +1,6 @@
 """Text + amount labeller (M1, M2) and its SQL-checkable stand-in.
 
-M1/M2 use ``pyspark.ml``: the model text (P15) as tokens plus bigrams → CountVectorizer → IDF,
+M1/M2 use ``pyspark.ml``: the model text (P15) as tokens plus bigrams → HashingTF → IDF,
 with the standardised amount, into a multinomial logistic regression whose class probabilities
 give the suggestion and its confidence.
 
@@ -10,8 +10,6 @@ aggregates: training is a (class, token) count; scoring joins each row's tokens
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +17,10 @@ from ledgerline.constants import MODEL_CONFIDENCE_MIN
 from ledgerline.functions.numbers import signed_amount
 from ledgerline.functions.predicates import is_training_row, needs_label
 from ledgerline.functions.text import model_text
+from ledgerline.session import materialize
 
-MAX_CLASSES = 1_000
+#: width of the hashed term space of M1; terms that share a slot add up, none is dropped
+HASHED_TERMS = 1 << 15
 TEXT_COLS = ("concept", "reference", "destination", "origin")
 
 
@@ -33,58 +33,65 @@ def with_model_tokens(df: DataFrame, label: str = "category") -> DataFrame:
 
 # ---- M2b: naive Bayes ------------------------------------------------------------------------
 
-def nb_labeller(df: DataFrame, label: str = "category", threshold: float = MODEL_CONFIDENCE_MIN,
-                max_classes: int = MAX_CLASSES) -> DataFrame:
+def nb_labeller(df: DataFrame, label: str = "category", threshold: float = MODEL_CONFIDENCE_MIN) -> DataFrame:
     """Train on labelled rows (F8), suggest for rows needing a label.
 
     score(row, c) = log(docs_c / docs) + Σ_t log((n_ct + 1) / (tokens_c + V)) over the row's known
     tokens; suggestion = arg max (ties by name); confidence = its softmax probability (4 dp);
     review = confidence < threshold.  Output: row_id, suggestion, confidence, review.
+
+    Scores depend on the token list alone, so each distinct list is scored once and joined back.  A class that
+    holds none of a list's k known tokens scores a + k·b: those are summarised per k, and only classes that
+    hold some token are listed per list.  So no class count is limited and none comes to the driver.
     """
     d = with_model_tokens(df, label)
     train = d.where(is_training_row(label)).select(F.col(label).alias("c"), "tokens")
     pred = d.where(needs_label(label)).select("row_id", "tokens")
 
     tt = train.select("c", F.explode("tokens").alias("t"))
-    counts = tt.groupBy("c", "t").agg(F.count(F.lit(1)).alias("n"))
-    vocab_size = counts.select("t").distinct().count()                  # one number to the driver
-    classes = (train.groupBy("c").agg(F.count(F.lit(1)).alias("docs"))
-               .join(tt.groupBy("c").agg(F.count(F.lit(1)).alias("tok")), "c", "left"))
-    n_classes = classes.limit(max_classes + 1).count()
-    if n_classes > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
-    cls = classes.orderBy("c").collect()                                # bounded, count-checked
-    total_docs = sum(r["docs"] for r in cls)
-
-    pt = pred.select("row_id", F.explode("tokens").alias("t"))
-    known = pt.join(counts.select("t").distinct(), "t", "left_semi")
-    k = known.groupBy("row_id").agg(F.count(F.lit(1)).alias("k"))
-    sparse = (known.join(counts, "t").groupBy("row_id", "c").agg(F.sum(F.log(F.col("n") + 1)).alias("s"))
-              .groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("c", "s"))).alias("sm")))
-    params = F.array(*[F.struct(F.lit(r["c"]).alias("c"), F.lit(math.log(r["docs"] / total_docs)).alias("a"),
-                                F.lit(-math.log((r["tok"] or 0) + vocab_size)).alias("b")) for r in cls])
-    rows = (pred.select("row_id").join(k, "row_id", "left").join(sparse, "row_id", "left")
-                .withColumn("k", F.coalesce("k", F.lit(0))))
-    scores = F.transform(params, lambda p: F.struct(
-        (p["a"] + F.col("k") * p["b"] + F.coalesce(F.col("sm")[p["c"]], F.lit(0.0))).alias("score"), p["c"].alias("c")))
-    rows = rows.withColumn("_sc", scores)
-    top = F.aggregate("_sc", F.lit(None).cast("struct<score:double,c:string>"),
-                      lambda acc, x: F.when(acc.isNull() | (x["score"] > acc["score"])
-                                            | ((x["score"] == acc["score"]) & (x["c"] < acc["c"])), x).otherwise(acc))
-    rows = rows.withColumn("_top", top)
-    total = F.aggregate("_sc", F.lit(0.0), lambda acc, x: acc + F.exp(x["score"] - F.col("_top.score")))
-    conf = F.round(F.lit(1.0) / total, 4)
-    return rows.select("row_id", F.col("_top.c").alias("suggestion"), conf.alias("confidence"),
-                       (conf < threshold).alias("review"))
+    counts = materialize(tt.groupBy("c", "t").agg(F.count(F.lit(1)).alias("n")))
+    vocab = counts.select("t").distinct()
+    docs = train.groupBy("c").agg(F.count(F.lit(1)).alias("docs"))
+    tok = counts.groupBy("c").agg(F.sum("n").alias("tok"))
+    v, total_docs = vocab.count(), docs.agg(F.sum("docs")).first()[0] or 0         # two numbers to the driver
+    params = docs.join(tok, "c", "left").select(
+        "c", F.log(F.col("docs") / total_docs).alias("a"), (-F.log(F.coalesce("tok", F.lit(0)) + v)).alias("b"))
+
+    lists = pred.select("tokens").distinct()
+    known = lists.select("tokens", F.explode("tokens").alias("t")).join(vocab, "t", "left_semi")
+    sizes = lists.join(known.groupBy("tokens").agg(F.count(F.lit(1)).alias("k")), "tokens", "left").select(
+        "tokens", F.coalesce("k", F.lit(0)).alias("k"))
+    sizes = materialize(sizes)
+    longest = sizes.agg(F.max("k")).first()[0] or 0
+    base = params.select("c", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(longest).cast("long"))).alias("k"))
+    base = materialize(base.select("k", "c", (F.col("a") + F.col("k") * F.col("b")).alias("base")))
+    plain = base.groupBy("k").agg(F.max("base").alias("top"), F.min_by("c", F.struct((-F.col("base")).alias("s"), "c")).alias("top_c"))
+    sums = base.join(plain.select("k", "top"), "k").groupBy("k").agg(F.sum(F.exp(F.col("base") - F.col("top"))).alias("mass"))
+    plain = plain.join(sums, "k")
+
+    held = known.join(counts, "t").groupBy("tokens", "c").agg(F.sum(F.log(F.col("n") + 1)).alias("s"))
+    held = held.join(sizes, "tokens").join(base, ["k", "c"]).select("tokens", "c", "base", (F.col("base") + F.col("s")).alias("score"))
+    best = held.groupBy("tokens").agg(F.max("score").alias("score"), F.min_by("c", F.struct((-F.col("score")).alias("s"), "c")).alias("best_c"))
+    # classes that hold tokens count with their own score instead of the plain one, all relative to the best
+    all_ = sizes.join(plain, "k").join(best, "tokens", "left")
+    from_held = F.col("score").isNotNull() & ((F.col("score") > F.col("top")) | ((F.col("score") == F.col("top")) & (F.col("best_c") < F.col("top_c"))))
+    tops = all_.select("tokens", F.when(from_held, F.col("score")).otherwise(F.col("top")).alias("mx"),
+                       F.when(from_held, F.col("best_c")).otherwise(F.col("top_c")).alias("suggestion"), "top", "mass")
+    moved = held.join(tops.select("tokens", "mx"), "tokens").groupBy("tokens").agg(
+        F.sum(F.exp(F.col("score") - F.col("mx")) - F.exp(F.col("base") - F.col("mx"))).alias("moved"))
+    total = F.col("mass") * F.exp(F.col("top") - F.col("mx")) + F.coalesce("moved", F.lit(0.0))
+    scored = tops.join(moved, "tokens", "left").select("tokens", "suggestion", F.round(F.lit(1.0) / total, 4).alias("confidence"))
+    return pred.join(scored, "tokens").select("row_id", "suggestion", "confidence", (F.col("confidence") < threshold).alias("review"))
 
 
 # ---- M1 / M2: pyspark.ml pipeline ------------------------------------------------------------
 
-def train_labeller(df: DataFrame, label: str = "category", min_df: float = 1.0):
-    """M1: fit the pipeline on labelled rows (F8); needs at least two classes."""
+def train_labeller(df: DataFrame, label: str = "category", hashed_terms: int = HASHED_TERMS):
+    """M1: fit the pipeline on labelled rows (F8); needs at least two classes.  Terms are hashed, so there is no
+    vocabulary to build on the driver and none to cut."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import (CountVectorizer, IDF, NGram, SQLTransformer, StandardScaler, StringIndexer,
+    from pyspark.ml.feature import (HashingTF, IDF, NGram, SQLTransformer, StandardScaler, StringIndexer,
                                     VectorAssembler)
     d = with_model_tokens(df, label).where(is_training_row(label))
     if d.select(label).distinct().limit(2).count() < 2:
@@ -93,7 +100,7 @@ def train_labeller(df: DataFrame, label: str = "category", min_df: float = 1.0):
         NGram(n=2, inputCol="tokens", outputCol="_bigrams"),
         SQLTransformer(statement="SELECT *, concat(tokens, _bigrams) AS terms, "
                                  "cast(amount AS double) AS _amt_d FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="_tf", minDF=min_df),
+        HashingTF(inputCol="terms", outputCol="_tf", numFeatures=hashed_terms),
         IDF(inputCol="_tf", outputCol="_tfidf"),
         VectorAssembler(inputCols=["_amt_d"], outputCol="_amt_vec"),
         StandardScaler(inputCol="_amt_vec", outputCol="_amt", withMean=True, withStd=True),

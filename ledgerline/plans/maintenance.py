@@ -80,8 +80,8 @@ def migrate_rules(spark, sf):
 
 
 def _taxonomy(spark, sf):
-    mv = adapter.movements(spark, sf)
-    return G.taxonomy_from(mv.where(F.year("date") < adapter.CUTOVER_YEAR))
+    """The taxonomy of the whole ledger."""
+    return G.taxonomy_from(adapter.movements(spark, sf))
 
 
 def flat_subcategories(spark, sf):
@@ -96,6 +96,12 @@ def _legacy(spark, sf):
     return adapter.legacy_movements(spark, sf)
 
 
+def recode_any_year(spark, sf):
+    """P11 policy (c): rows of every year, the map sub fills a blank sub (before training)."""
+    lg = _legacy(spark, sf).withColumn("category", F.col("label")).withColumn("subcategory", F.col("label2"))
+    return finalize(recode_op(lg, adapter.recode_table(spark), "any").select("row_id", "category", "subcategory"))
+
+
 def recode_category(spark, sf):
     """P11 policy (a): before the cut-over year, map sub only fills a blank sub."""
     df = _legacy(spark, sf).select("row_id", "date", F.col("label").alias("category"), F.col("label2").alias("subcategory"))
@@ -151,6 +157,7 @@ QUERIES = {
     "flat_subcategories": flat_subcategories,
     "category_reference": category_reference,
     "recode_category": recode_category,
+    "recode_any_year": recode_any_year,
     "recode_rebuild": recode_rebuild,
     "reclassify": reclassify,
     "change_counts": change_counts,

@@ -611,7 +611,7 @@ rebuilt AS (
     year(c.date) >= {adapter.CUTOVER_YEAR} AND c.label = '' AND c.new_category = 'Sin clasificar' AS review
   FROM cls c LEFT JOIN recode r ON r.old = c.label
 ),
-taxo AS (SELECT DISTINCT category, subcategory FROM movements WHERE year(date) < {adapter.CUTOVER_YEAR} AND category <> '')"""
+taxo AS (SELECT DISTINCT category, subcategory FROM movements WHERE category <> '')"""
 
 RECLASS_SRC = f"""
 rsrc AS (
@@ -656,8 +656,12 @@ FROM pats p LEFT JOIN props pr USING (pattern)"""),
 SELECT *, row_number() OVER (ORDER BY category, length(pattern) DESC, pattern, subcategory) AS ord FROM urules"""),
     "flat_subcategories": q(select=f"""
 SELECT DISTINCT subcategory,
-       (SELECT count(DISTINCT category) FROM movements WHERE year(date) < {adapter.CUTOVER_YEAR} AND category <> '') AS n_categories
-FROM movements WHERE year(date) < {adapter.CUTOVER_YEAR} AND category <> '' AND subcategory <> ''"""),
+       (SELECT count(DISTINCT category) FROM movements WHERE category <> '') AS n_categories
+FROM movements WHERE category <> '' AND subcategory <> ''"""),
+    "recode_any_year": q(RECODE, select="""
+SELECT l.row_id, CASE WHEN r.old IS NOT NULL THEN r.new ELSE l.label END AS category,
+  CASE WHEN coalesce(l.label2, '') = '' THEN coalesce(r.sub, '') ELSE l.label2 END AS subcategory
+FROM legacy l LEFT JOIN recode r ON r.old = l.label"""),
     "recode_category": q(RECODE, select=f"""
 SELECT l.row_id,
   CASE WHEN r.old IS NOT NULL AND year(l.date) < {adapter.CUTOVER_YEAR} THEN r.new ELSE l.label END AS category,
@@ -864,6 +868,6 @@ SELECT DISTINCT ledger_id, cast(file_no AS bigint) AS file_no, 'unreadable amoun
 ORACLE["category_reference"] = q(select=f"""
 SELECT category, coalesce(array_to_string(list_sort(list(DISTINCT subcategory) FILTER (WHERE subcategory <> '')), ', '), '')
        AS subcategories
-FROM movements WHERE year(date) < {adapter.CUTOVER_YEAR} AND category <> '' GROUP BY category""")
+FROM movements WHERE category <> '' GROUP BY category""")
 
 ORACLE["classify_index"] = q(_rules_cte(), select=_CLS_SELECT)
