@@ -13,8 +13,10 @@ are reachable.  Candidates of other runs are text inside payloads.  So the numbe
 the number of splits and of false candidates, not of records.
 
 Pieces inside a verified record are joined to it again, so a payload that holds magic, or whole records, comes
-back as it was.  The pieces are written once as a table in the shared folder, which all rounds and the
-payload read; a lost executor repeats single tasks.
+back as it was.  What is kept of the pieces is narrow: lengths, header fields, the digest of the piece and, for a
+record that is one piece, length and digest of its payload.  That table is written once in the shared folder and
+all rounds read it; a lost executor repeats single tasks.  Text is read a second time only for what needs it:
+records of several pieces, and payloads if they are asked for; it is found by the digest of the piece.
 
 Records: response (or the type of a foreign record) with an HTTP head and the payload; of records with equal
 payloads of at least ``REVISIT_BYTES`` bytes the largest page_id is the response, and the others are revisit
@@ -83,20 +85,47 @@ def _field(name: str) -> Column:
     return F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The text between magics, in order within each split, with the header fields of candidates."""
-    raw = spark.read.option("lineSep", MAGIC).text(path).select(
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """The text between magics, in order within each split."""
+    return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("file_size"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("text"))
+
+
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha1(text.cast("binary")))
+
+
+def _payload(body: Column) -> Column:
+    """What follows the HTTP head of a record body, if it has one."""
+    http = F.octet_length(F.substring_index(body.cast("string"), END, 1)) + len(END)
+    has_http = F.substring(body, 1, 5) == F.lit("HTTP/").cast("binary")
+    return F.when(has_http, F.substring(body, http + 1, F.octet_length(body))).otherwise(body)
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Lengths, digests and header fields of the pieces; ``payload_bytes`` and ``payload_sha1`` where the piece is a
+    whole record."""
     head = F.when(F.contains("text", F.lit(END)), F.substring_index("text", END, 1))
-    rows = raw.withColumn("head", head).withColumn("content_length", F.expr(
+    rows = _scan(spark, path).withColumn("head", head).withColumn("content_length", F.expr(
         r"try_cast(nullif(regexp_extract(head, '(?im)^Content-Length:[ \t]*([0-9]+)[ \t]*\r?$', 1), '') as bigint)"))
+    raw = F.col("text").cast("binary")
+    rows = rows.withColumn("bytes", F.octet_length("text").cast("long")).withColumn("head_bytes", F.octet_length("head").cast("long"))
+    whole = F.col("bytes") == F.col("head_bytes") + F.col("content_length") + 2 * len(END)
+    body = F.substring(raw, (F.col("head_bytes") + len(END) + 1).cast("int"), F.col("content_length").cast("int"))
+    payload = _payload(F.when(whole, body))
     return materialize(rows.select(
-        "file", "block", "file_size", "seq", F.octet_length("text").cast("long").alias("bytes"),
-        F.octet_length("head").cast("long").alias("head_bytes"), "content_length", _field("WARC-Type").alias("type"),
-        _field("WARC-Record-ID").alias("record_id"), _field("WARC-Target-URI").alias("uri"),
-        _field("WARC-Payload-Digest").alias("digest"), _field("WARC-Refers-To").alias("refers_to"),
-        F.col("text").cast("binary").alias("raw")), compression="zstd")
+        "file", "block", "file_size", "seq", "bytes", "head_bytes", "content_length", _sha(F.col("text")).alias("sha"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_sha1"),
+        _field("WARC-Type").alias("type"), _field("WARC-Record-ID").alias("record_id"), _field("WARC-Target-URI").alias("uri"),
+        _field("WARC-Payload-Digest").alias("digest"), _field("WARC-Refers-To").alias("refers_to")))
+
+
+def _raw(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(sha, raw) of the pieces whose digests are in ``wanted``, from a second scan."""
+    wanted = materialize(wanted.select("sha").distinct())
+    rows = _scan(spark, path).select(_sha(F.col("text")).alias("sha"), F.col("text").cast("binary").alias("raw"))
+    return rows.join(wanted, "sha", "left_semi").groupBy("sha").agg(F.first("raw").alias("raw"))
 
 
 def _with_offsets(pieces: DataFrame) -> DataFrame:
@@ -131,46 +160,51 @@ def _reachable(heads: DataFrame) -> DataFrame:
     return now.where("reached").select("file", "head")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """One row per verified record of the archives under ``path``: ``file``, ``offset``, ``type``, ``record_id``,
-    ``uri``, ``digest`` and ``refers_to`` as in the header, ``payload`` (binary, without the HTTP head)."""
+    ``uri``, ``digest`` and ``refers_to`` as in the header, ``payload_bytes`` and ``payload_sha1`` of what it holds (without
+    the HTTP head) and, if asked for, the ``payload`` itself (binary)."""
     pieces = _pieces(spark, path)
-    at = materialize(_with_offsets(pieces.drop("raw", "type", "record_id", "uri", "digest", "refers_to")))
+    at = materialize(_with_offsets(pieces.select("file", "block", "file_size", "seq", "bytes", "head_bytes", "content_length")))
     own = W.partitionBy("file", "block").orderBy("seq")
     cands = at.where("next is not null").withColumn("chained", F.lead("offset").over(own).eqNullSafe(F.col("next")))
     cands = cands.withColumn("starts", ~F.coalesce(F.lag("chained").over(own), F.lit(False)))
     targets = cands.where(~F.col("chained")).select("file", F.col("next").alias("offset"), F.lit(True).alias("aimed")).distinct()
     runs = cands.join(targets, ["file", "offset"], "left").withColumn(
         "head", F.last(F.when(F.col("starts") | F.col("aimed"), F.col("offset")), ignorenulls=True).over(own))
-    runs = materialize(runs.select("file", "block", "seq", "offset", "next", "content_length", "head_bytes", "bytes", "head"))
+    runs = materialize(runs.select("file", "block", "seq", "offset", "next", "head"))
     heads = runs.groupBy("file", "head").agg(F.max("next").alias("exit"))
-    true = materialize(runs.join(_reachable(heads), ["file", "head"], "left_semi").select("file", "block", "seq", "offset", "next"))
-    whole = true.join(pieces, ["file", "block", "seq"]).withColumn("body", F.expr("substring(raw, cast(head_bytes as int) + 5)"))
-    alone = whole.where("octet_length(body) = content_length + 4").withColumn("body", F.expr("substring(body, 1, cast(content_length as int))"))
-    broken = materialize(whole.where("octet_length(body) <> content_length + 4"))
-    keep = ["file", "offset", "type", "record_id", "uri", "digest", "refers_to", "body"]
-    if broken.isEmpty():
-        out = alone.select(*keep)
-    else:
-        # the pieces after a broken record's own belong to the last verified record before them
-        marks = at.join(true.select("file", "offset", F.lit(True).alias("verified")), ["file", "offset"], "left")
-        last = marks.groupBy("file", "block").agg(F.max(F.when(F.col("verified"), F.col("offset"))).alias("last"))
-        carry = last.select("file", "block", F.last("last", ignorenulls=True).over(
-            W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("carry"))
-        owned = marks.join(carry, ["file", "block"]).withColumn("owner", F.coalesce(
-            F.last(F.when(F.col("verified"), F.col("offset")), ignorenulls=True).over(own), "carry"))
-        inner = (owned.where("verified is null").select("file", "block", "seq", F.col("offset").alias("at"), F.col("owner").alias("offset"))
-                 .join(broken.select("file", "offset"), ["file", "offset"], "left_semi")
-                 .join(pieces.select("file", "block", "seq", "raw"), ["file", "block", "seq"]))
-        rest = inner.groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("rest"))
-        joined = F.expr(f"aggregate(rest, body, (b, r) -> concat(b, cast('{MAGIC[:-2]}\\r\\n' as binary), r.raw))")
-        mended = (broken.join(rest, ["file", "offset"]).withColumn("body", joined)
-                  .withColumn("body", F.expr("substring(body, 1, cast(content_length as int))")))
-        out = alone.select(*keep).unionByName(mended.select(*keep))
-    http = F.octet_length(F.substring_index(F.col("body").cast("string"), END, 1)) + len(END)
-    has_http = F.expr("substring(body, 1, 5) = cast('HTTP/' as binary)")
-    payload = F.when(has_http, F.substring(F.col("body"), http + 1, F.octet_length("body"))).otherwise(F.col("body"))
-    return out.select(*keep[:-1], payload.alias("payload"))
+    true = runs.join(_reachable(heads), ["file", "head"], "left_semi").select("file", "block", "seq", "offset")
+    records = materialize(true.join(pieces.drop("file_size", "bytes"), ["file", "block", "seq"]))
+    fields = ["file", "offset", "type", "record_id", "uri", "digest", "refers_to"]
+    single, several = records.where("payload_bytes is not null"), records.where("payload_bytes is null")
+    out = single
+    if payload:
+        raw = single.join(_raw(spark, path, single), "sha")
+        body = F.substring(F.col("raw"), (F.col("head_bytes") + len(END) + 1).cast("int"), F.col("content_length").cast("int"))
+        out = raw.withColumn("payload", _payload(body))
+    facts = ["payload_bytes", "payload_sha1", *["payload"] * payload]
+    out = out.select(*fields, *facts)
+    if several.isEmpty():
+        return out
+    # the pieces after a record's own first piece belong to the last verified record before them
+    marks = at.join(records.select("file", "offset", F.lit(True).alias("verified")), ["file", "offset"], "left")
+    last = marks.groupBy("file", "block").agg(F.max(F.when(F.col("verified"), F.col("offset"))).alias("last"))
+    carry = last.select("file", "block", F.last("last", ignorenulls=True).over(
+        W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("carry"))
+    owner = F.coalesce(F.last(F.when(F.col("verified"), F.col("offset")), ignorenulls=True).over(own), "carry")
+    owned = marks.join(carry, ["file", "block"]).select("file", "block", "seq", F.col("offset").alias("at"), owner.alias("offset"))
+    parts = owned.join(several.select("file", "offset"), ["file", "offset"], "left_semi").join(
+        pieces.select("file", "block", "seq", "sha"), ["file", "block", "seq"])
+    parts = materialize(parts.select("file", "offset", "at", "sha"))
+    joined = (parts.join(_raw(spark, path, parts), "sha").groupBy("file", "offset")
+              .agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("parts")))
+    text = F.expr("aggregate(parts, cast('' as binary), (b, p) -> if(length(b) = 0, p.raw, "
+                  f"concat(b, cast('{MAGIC[:-2]}\\r\\n' as binary), p.raw)))")
+    body = F.substring(F.col("text"), (F.col("head_bytes") + len(END) + 1).cast("int"), F.col("content_length").cast("int"))
+    mended = several.drop("payload_bytes", "payload_sha1").join(joined.withColumn("text", text).drop("parts"), ["file", "offset"])
+    mended = mended.withColumn("payload", _payload(body)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    return out.unionByName(mended.withColumn("payload_sha1", F.sha1("payload")).select(*fields, *facts))
 
 
 def page_of(record_id: Column) -> Column:
@@ -182,8 +216,7 @@ def page_records(records: DataFrame) -> DataFrame:
     payload, ``record_type`` and ``refers_to``.  A revisit finds its payload by the record it refers to."""
     rows = materialize(records.select(
         page_of(F.col("record_id")).alias("page_id"), F.col("type").alias("record_type"), page_of(F.col("refers_to")).alias("refers_to"),
-        F.regexp_replace("digest", "^sha1:", "").alias("named"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1(F.col("payload")).alias("payload_digest")))
+        F.regexp_replace("digest", "^sha1:", "").alias("named"), "payload_bytes", F.col("payload_sha1").alias("payload_digest")))
     own = rows.where("record_type <> 'revisit'")
     named = own.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("named"), "payload_bytes", "payload_digest").distinct()
     again = rows.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(named, ["refers_to", "named"])

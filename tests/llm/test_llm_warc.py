@@ -58,12 +58,14 @@ def test_round_trip(spark, tmp_path, split_bytes):
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string").coalesce(2)
     path = str(tmp_path / "arc")
     A.write_archives(df, path)
-    records = A.read_archives(spark, path)
+    records = A.read_archives(spark, path, payload=True)
+    assert sorted((tuple(r) for r in A.page_records(A.read_archives(spark, path)).collect()), key=repr) == brute(rows)
     got = sorted((tuple(r) for r in A.page_records(records).collect()), key=repr)
     assert got == brute(rows)
     held = {r["record_id"]: r["payload"] for r in records.where("type = 'response'").collect()}
     assert bytes(held["<urn:page:7>"]).decode() == rows[6][2]
     assert sum(1 for r in records.collect() if r["offset"] == 0) == 2          # the first record of each file
+    assert all(hashlib.sha1(r["payload"]).hexdigest() == r["payload_sha1"] for r in records.collect())
     uri = next(r["uri"] for r in records.collect() if r["record_id"] == "<urn:page:3>")
     assert uri == "http://a/%0D%0AX: y"
 
@@ -76,7 +78,7 @@ def test_foreign_files(spark, tmp_path):
     (tmp_path / "junk.warc").write_bytes(b"junk " + good)
     (tmp_path / "cut.warc").write_bytes(good[:-9])
     (tmp_path / "empty.warc").write_bytes(b"")
-    out = A.read_archives(spark, str(tmp_path)).collect()
+    out = A.read_archives(spark, str(tmp_path), payload=True).collect()
     by = sorted((r["file"].rsplit("/", 1)[1], r["offset"], r["type"], bytes(r["payload"])) for r in out)
     assert [(f, t, p) for f, _, t, p in by] == [
         ("a.warc", "response", b"one"), ("a.warc", "response", b"two"), ("a.warc", "resource", binary), ("cut.warc", "response", b"one")]
