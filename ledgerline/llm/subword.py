@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 ALPHA = 0.5
 SEED = 42
-SLICE_CHARS = 3 << 20
+SLICE_CHARS = 1 << 20
 ZIPF_SHIFT = 2.7
 
 
@@ -140,7 +140,7 @@ def _lattice(p: Pieces, units: list[str], alpha: float):
     pos = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens)
     state = offset[pos] + place[unit_of]
     left = lens[unit_of] - pos                              # characters from here to the end of the unit
-    weight_of = np.exp(alpha * p.logp)
+    weight_of = np.exp(alpha * p.logp).astype(np.float32)
     ending, weight = [], []
     at, node = np.arange(total), np.zeros(total, np.int64)
     for length in range(1, p.depth + 1):
@@ -155,7 +155,7 @@ def _lattice(p: Pieces, units: list[str], alpha: float):
         ids = p.piece[node]
         whole = np.flatnonzero(ids >= 0)
         ids, to = ids[whole], state[at[whole] + length - 1]
-        e, w = np.full(total, -1, np.int32), np.zeros(total)
+        e, w = np.full(total, -1, np.int32), np.zeros(total, np.float32)
         e[to], w[to] = ids, weight_of[ids]
         if length == 1:      # a character without a piece of its own: its bytes, written as -2 - character
             alone = np.flatnonzero(e[state] < 0)
@@ -294,24 +294,46 @@ def encode(df: DataFrame, model_path: str, key_col: str = "doc_id", text_col: st
     return work.mapInArrow(run, schema).toDF(*names, out_col)
 
 
+def _decoded(ids: np.ndarray, at: np.ndarray, first: np.ndarray, size: np.ndarray, data: np.ndarray):
+    """(byte offsets of the texts, their bytes) for runs ``at`` of pieces whose bytes are data[first:first + size];
+    the space before each text is left out."""
+    n, begin = size[ids], first[ids]
+    heads = at[:-1][at[1:] > at[:-1]]
+    lead = heads[n[heads] > 0]
+    n[lead] -= 1
+    begin[lead] += 1
+    ends = np.concatenate(([0], np.cumsum(n)))
+    out = data[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])]
+    return ends[at], out
+
+
 def decode(df: DataFrame, model_path: str, pieces_col: str = "pieces", out_col: str = "decoded") -> DataFrame:
-    """``df`` with the text of ``pieces_col`` as string ``out_col`` (replaced if there)."""
+    """``df`` with the text of ``pieces_col`` as string ``out_col`` (replaced if there).  Pieces that are no
+    valid UTF-8 together give replacement characters."""
     shared = df.sparkSession.sparkContext.broadcast(Pieces.load(model_path).spelled)
     rest = df.drop(out_col)
     names = rest.columns
     work = rest.toDF(*[f"c{i}" for i in range(len(names))])
     pos = names.index(pieces_col)
 
-    def text_of(ids: list[int] | None, spelled: list[bytes]) -> str | None:
-        if ids is None:
-            return None
-        return b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
-
     def run(batches):
-        spelled = shared.value
+        size = np.array([len(x) for x in shared.value], np.int64)
+        first, data = np.cumsum(size) - size, np.frombuffer(b"".join(shared.value), np.uint8)
         for b in batches:
-            out = pa.array([text_of(x.as_py(), spelled) for x in b.column(pos)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "out"])
+            for i, j in _slices(pc.fill_null(pc.list_value_length(b.column(pos)), 0).to_pylist(), SLICE_CHARS // 2):
+                part = b.slice(i, j - i)
+                lists = part.column(pos)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                at, raw = _decoded(ids, np.concatenate(([0], np.cumsum(counts))), first, size, data)
+                valid = pa.array(~np.asarray(lists.is_null()))
+                text = pa.StringArray.from_buffers(len(lists), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw))
+                try:
+                    text.validate(full=True)
+                except pa.ArrowInvalid:
+                    text = pa.array([raw[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(at, at[1:])], pa.string())
+                text = pc.if_else(valid, text, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, "out"])
 
     schema = T.StructType([*work.schema.fields, T.StructField("out", T.StringType())])
     return work.mapInArrow(run, schema).toDF(*names, out_col)

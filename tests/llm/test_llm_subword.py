@@ -90,3 +90,11 @@ def test_query_is_lossless(spark):
     out = op10_sentencepiece(spark, SF_SMALL)
     assert out.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     assert out.where("not lossless or n_pieces = 0").count() == 0
+
+
+def test_decoding_of_foreign_pieces(spark, model):
+    broken = [int(model.byte_id[0xC3])]
+    df = spark.createDataFrame([(1, broken), (2, []), (3, None), (4, [int(model.byte_id[0x41])] * 2)], "doc_id long, pieces array<int>")
+    assert [r["decoded"] for r in S.decode(df, MODEL).collect()] == ["", "", None, "A"]
+    df = spark.createDataFrame([(1, [int(model.byte_id[0x41]), *broken])], "doc_id long, pieces array<int>")
+    assert S.decode(df, MODEL).first()["decoded"] == "�"
