@@ -74,6 +74,7 @@ def import_statements(statements: DataFrame, ledger: DataFrame, rules: DataFrame
         F.col("new_category").alias("category"), F.col("new_subcategory").alias("subcategory"),
         "date", "concept", pos("debit").alias("debit"), pos("credit").alias("credit"),
         F.when(F.col("bank_balance") != 0, F.col("bank_balance")).alias("bank_balance"),
+        *[(F.coalesce(F.col(c), F.lit("")) if c in statements.columns else F.lit("")).alias(c) for c in ("reference", "destination")],
         (F.col("new_category") == UNCLASSIFIED).alias("review"))
 
 

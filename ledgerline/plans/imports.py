@@ -48,7 +48,7 @@ def import_summary(spark, sf):
 def append_movements(spark, sf):
     """S3 projection of the imported rows (no write here; ``append_movements(path=...)`` writes)."""
     _, imp = _imported(spark, sf)
-    rows, _ = append_op(imp.withColumn("reference", F.lit("")))
+    rows, _ = append_op(imp)
     return finalize(rows)
 
 

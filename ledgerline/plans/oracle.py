@@ -442,10 +442,10 @@ INCOMING = f"""
 inc0 AS (SELECT * FROM base_rows WHERE date >= DATE '{adapter.INCOMING_FROM}'),
 incoming AS (
   SELECT ledger_id, row_id, 0 AS copy_no, cast(_linenumber % 3 AS integer) AS file_no, date, concept, debit, credit,
-         bank_balance FROM inc0
+         bank_balance, 'OP ' || row_id AS reference FROM inc0
   UNION ALL
   SELECT ledger_id, row_id, 1 AS copy_no, cast(_linenumber % 3 AS integer) AS file_no, date, concept, debit, credit,
-         bank_balance FROM inc0 WHERE _quantity = 1
+         bank_balance, 'OP ' || row_id AS reference FROM inc0 WHERE _quantity = 1
 ),
 old_ledger AS (SELECT * FROM movements WHERE date < DATE '{adapter.LEDGER_BEFORE}'),
 old_keys AS (
@@ -499,8 +499,8 @@ SELECT row_id, substr(md5(concat_ws('|', cast(date AS varchar), upper(trim(coale
 FROM movements"""),
     "new_movements": q(INCOMING, select=f"SELECT ledger_id, row_id, cast(copy_no AS bigint) AS copy_no, cast(file_no AS bigint) AS file_no FROM {_anti('incoming')}"),
     "first_file_wins": q(INCOMING, select=f"SELECT ledger_id, row_id, cast(copy_no AS bigint) AS copy_no, cast(file_no AS bigint) AS file_no FROM {_first_file('incoming')}"),
-    "import_statements": q(*_imported_ctes(), select=_IMPORT_ROWS.format(extra="")),
-    "append_movements": q(*_imported_ctes(), select=_IMPORT_ROWS.format(extra=", '' AS reference, '' AS destination")),
+    "import_statements": q(*_imported_ctes(), select=_IMPORT_ROWS.format(extra=", reference, '' AS destination")),
+    "append_movements": q(*_imported_ctes(), select=_IMPORT_ROWS.format(extra=", reference, '' AS destination")),
     "import_summary": q(*_imported_ctes(), select="""
 , per_file AS (
   SELECT r.file_no, r.n_read, coalesce(a.n_new, 0) AS n_new, coalesce(a.n_classified, 0) AS n_classified,
@@ -745,9 +745,9 @@ def _model_tokens(x: str) -> str:
 
 ORACLE.update({
     "read_statements": q(INCOMING, select="""
-SELECT ledger_id, cast(file_no AS bigint) AS file_no, cast(date AS varchar) AS date, concept,
+SELECT ledger_id, cast(file_no AS bigint) AS file_no, cast(date AS varchar) AS date, concept, substr(row_id, 14, 2) = '05' AND (cast(ledger_id AS integer) + file_no) % 4 <> 3 AS several_lines,
        cast(coalesce(debit, 0) AS double) AS debit, cast(coalesce(credit, 0) AS double) AS credit,
-       cast(coalesce(bank_balance, 0) AS double) AS balance, row_id AS reference FROM incoming"""),
+       cast(coalesce(bank_balance, 0) AS double) AS balance, reference FROM incoming"""),
     "parse_bank_amount": q(TEXTS, select=f"SELECT row_id, amount_text, cast({_p3('amount_text')} AS double) AS amount FROM texts"),
     "parse_amount_es": q(TEXTS, select=f"SELECT row_id, amount_text, cast({_p4('amount_text')} AS double) AS amount, "
                          "cast(amt AS double) AS from_decimal, cast(amt AS double) AS from_double FROM texts"),
@@ -790,11 +790,12 @@ GROUP BY category"""),
 
 ORACLE.update({
     "map_columns": q(INCOMING, select="""
-SELECT f.ledger_id, cast(f.file_no AS bigint) AS file_no, v.field, cast(v.pos AS bigint) AS pos
+SELECT f.ledger_id, cast(f.file_no AS bigint) AS file_no, v.field,
+       cast((v.pos - (cast(f.ledger_id AS integer) + f.file_no) % 4 + 6) % 6 AS bigint) AS pos
 FROM (SELECT DISTINCT ledger_id, file_no FROM incoming) f
 CROSS JOIN (VALUES ('date', 0), ('concept', 1), ('debit', 2), ('credit', 3), ('balance', 4), ('reference', 5)) v(field, pos)"""),
     "import_stream": q(*_imported_ctes(), select="""
-SELECT ledger_id, row_id, new_kind AS kind, new_origin AS origin, new_category AS category,
+SELECT ledger_id, reference, new_kind AS kind, new_origin AS origin, new_category AS category,
        new_subcategory AS subcategory, cast(date AS varchar) AS date, concept,
        cast(CASE WHEN debit > 0 THEN debit END AS double) AS debit,
        cast(CASE WHEN credit > 0 THEN credit END AS double) AS credit,
@@ -863,7 +864,12 @@ SELECT row_id, suggestion, confidence, confidence < 0.82 AS review FROM conf""")
 })
 
 ORACLE["statement_rejects"] = q(INCOMING, select="""
-SELECT DISTINCT ledger_id, cast(file_no AS bigint) AS file_no, 'unreadable amount' AS reason FROM incoming""")
+SELECT DISTINCT ledger_id, cast(file_no AS bigint) AS file_no, v.reason, v.line
+FROM incoming, (VALUES ('unreadable date', 'COMPRA SIN FECHA'), ('unreadable amount', 'COMPRA SIN MONTO')) v(reason, line)""")
+
+ORACLE["statement_outcomes"] = q(INCOMING, select="""
+SELECT ledger_id, cast(file_no AS bigint) AS file_no, count(*) + 3 AS n_lines, count(*) AS n_rows, 1 AS n_balance, 2 AS n_rejects
+FROM incoming GROUP BY ledger_id, file_no""")
 
 ORACLE["category_reference"] = q(select=f"""
 SELECT category, coalesce(array_to_string(list_sort(list(DISTINCT subcategory) FILTER (WHERE subcategory <> '')), ', '), '')

@@ -20,7 +20,8 @@ from ledgerline.session import scratch_path
 from ledgerline.sources import adapter
 from ledgerline.sources.ledger import read_ledger as read_op_ledger
 from ledgerline.sources.statements import read_statements as read_op
-from ledgerline.sources.statements import write_statement_files
+from ledgerline.sources.statements import source_lines, write_statement_files
+from ledgerline.sources.statements import statement_outcomes as outcomes_op
 
 
 def read_statements(spark, sf):
@@ -28,16 +29,25 @@ def read_statements(spark, sf):
     shared checkpoint folder, read back by the layout-detecting reader."""
     path = write_statement_files(adapter.incoming_rows(spark, sf), scratch_path(spark, "statements"))
     rows, _ = read_op(spark, path)
-    return finalize(rows.select(F.col("ledger_id").cast("string").alias("ledger_id"), "file_no", "date", "concept",
-                                "debit", "credit", "balance", "reference"))
+    reference = F.split_part("reference", F.lit("\n"), F.lit(1))
+    return finalize(rows.select(F.col("ledger_id").cast("string").alias("ledger_id"), "file_no", "date", "concept", "debit", "credit",
+                                "balance", reference.alias("reference"), F.contains("reference", F.lit("\n")).alias("several_lines")))
 
 
 def statement_rejects(spark, sf):
     path = write_statement_files(adapter.incoming_rows(spark, sf), scratch_path(spark, "statements"))
     _, rejects = read_op(spark, path)
-    return finalize(rejects.select(F.regexp_extract("path", r"ledger_id=([^/]+)", 1).alias("ledger_id"),
-                                   F.regexp_extract("path", r"file_no=([^/]+)", 1).cast("int").alias("file_no"),
-                                   "reason"))
+    return finalize(rejects.select(F.col("ledger_id").cast("string").alias("ledger_id"), "file_no", "reason",
+                                   F.regexp_extract("raw", "COMPRA SIN [A-Z]+", 0).alias("line")))
+
+
+def statement_outcomes(spark, sf):
+    """Every line after a header is accounted for: lines, movements, balance lines and rejects per file."""
+    path = write_statement_files(adapter.incoming_rows(spark, sf), scratch_path(spark, "statements"))
+    out, _ = outcomes_op(spark, source_lines(spark.read.text(path)))
+    return finalize(out.groupBy(F.col("ledger_id").cast("string").alias("ledger_id"), "file_no").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("outcome") == "row").alias("n_rows"),
+        F.count_if(F.col("outcome") == "balance").alias("n_balance"), F.count_if(F.col("outcome") == "reject").alias("n_rejects")))
 
 
 def _texts(spark, sf):
@@ -132,9 +142,9 @@ def truncate_concept(spark, sf):
 def drop_balance_lines(spark, sf):
     """F1 over the statement lines (the fixture writes one balance line per statement)."""
     path = write_statement_files(adapter.incoming_rows(spark, sf), scratch_path(spark, "statements"))
-    raw = spark.read.text(path)
-    return finalize(raw.groupBy(F.col("ledger_id").cast("string").alias("ledger_id"), "file_no").agg(
-        F.count_if(PR.is_balance_line(F.try_element_at(F.split("value", "[,;\t|]"), F.lit(2)))).alias("balance_lines")))
+    out, _ = outcomes_op(spark, source_lines(spark.read.text(path)))
+    return finalize(out.where(PR.is_balance_line("concept")).groupBy(F.col("ledger_id").cast("string").alias("ledger_id"), "file_no")
+                    .agg(F.count(F.lit(1)).alias("balance_lines")))
 
 
 def drop_marker_kinds(spark, sf):
@@ -180,6 +190,7 @@ QUERIES = {
     "read_ledger": read_ledger,
     "read_statements": read_statements,
     "statement_rejects": statement_rejects,
+    "statement_outcomes": statement_outcomes,
     "parse_bank_amount": parse_bank_amount,
     "parse_amount_es": parse_amount_es,
     "parse_date": parse_date,

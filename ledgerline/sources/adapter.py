@@ -112,7 +112,7 @@ def incoming_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (b.withColumn("copy_no", F.explode(copies))
                  .withColumn("file_no", (F.col("_linenumber") % 3).cast("int"))
                  .select("ledger_id", "row_id", "copy_no", "file_no", "date", "concept", "debit", "credit",
-                         "bank_balance"))
+                         "bank_balance", F.concat(F.lit("OP "), "row_id").alias("reference")))
 
 
 def legacy_movements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,8 +72,7 @@ def append_movements(new_rows: DataFrame, path: str | None = None, mode: str = "
         F.nullif(F.col("debit"), F.lit(0)).alias("debit"),
         F.nullif(F.col("credit"), F.lit(0)).alias("credit"),
         F.nullif(F.col("bank_balance"), F.lit(0)).alias("bank_balance"),
-        F.coalesce(F.col("reference"), F.lit("")).alias("reference"),
-        F.lit("").alias("destination"),
+        *[(F.coalesce(F.col(c), F.lit("")) if c in new_rows.columns else F.lit("")).alias(c) for c in ("reference", "destination")],
         (F.col("category") == UNCLASSIFIED).alias("review"))
     if path is None:
         return rows, None

@@ -4,49 +4,88 @@ Exactly-once comes from the stream checkpoint plus idempotent batch writes: ever
 writes its rows into its own ``batch_id=<tag>`` folder with overwrite, so a replayed batch
 replaces its own output instead of appending twice.  Dedupe against the ledger (J1) excludes the
 batch's own folder, so a replay sees the ledger as it was before the batch.
+
+Nothing is lost silently: lines that cannot be read are written beside the ledger, with file, line, raw text
+and reason, and a file that cannot be mapped at all stays in the inbox.  Files of other types are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import aggregates as A
 from ledgerline.operators.dedupe import import_statements
-from ledgerline.sources.statements import parse_statement_files
+from ledgerline.session import materialize
+from ledgerline.sources.statements import UNMAPPED, parse_statement_lines, source_lines
+
+#: statement files by ending, in any case
+STATEMENT_FILES = "*.{[cC][sS][vV],[tT][xX][tT],[tT][sS][vV]}"
+MAX_FILES = 1000
+
+
+def statement_stream(spark: SparkSession, inbox: str, ledger_id: str | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """The lines of arriving statement files, as the statement reader takes them.  A flat inbox belongs to the
+    one ``ledger_id``; without it the inbox has ledger_id= / file_no= folders."""
+    r = spark.readStream.format("text").option("pathGlobFilter", STATEMENT_FILES).option("maxFilesPerTrigger", max_files)
+    if ledger_id is None:
+        return source_lines(r.schema("value string, ledger_id string, file_no int").load(inbox))
+    lines = source_lines(r.load(inbox))
+    return lines.withColumn("ledger_id", F.lit(ledger_id)).withColumn("file_no", F.lit(None).cast("int"))
+
 
-INBOX_SCHEMA = ("path string, modificationTime timestamp, length long, content binary, "
-                "ledger_id string, file_no int")
+def _archive(spark: SparkSession, files: DataFrame, archive: str) -> None:
+    """Move files (at most a batch of MAX_FILES names) to the archive; one moved before is skipped."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(archive)
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target)
+    for r in files.toLocalIterator():
+        source = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["path"]))
+        if fs.exists(source):
+            folders = [p for p in r["path"].split("/")[:-1] if "=" in p]          # ledger_id= and file_no= stay in the name
+            fs.rename(source, jvm.org.apache.hadoop.fs.Path(target, "_".join([*folders, source.getName()])))
 
 
-def _process(ledger_path: str, rules: DataFrame, tag_prefix: str):
+def _process(ledger_path: str, rules: DataFrame, tag_prefix: str, archive: str | None, rejects_path: str,
+             after_import: Callable[[DataFrame, str], None] | None):
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         tag = f"{tag_prefix}{epoch}"
-        rows, _ = parse_statement_files(spark, batch)
-        stmts = rows.select("ledger_id", "file_no", F.col("reference").alias("row_id"), "date", "concept",
-                            "debit", "credit", F.col("balance").alias("bank_balance"))
+        lines = materialize(batch.withColumn("at", F.monotonically_increasing_id())).orderBy("at").drop("at")
+        rows, rejects = parse_statement_lines(spark, lines)
+        rejects = materialize(rejects)
+        rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch_id={tag}")
+        # files are imported in the order of their number, then their name
+        stmts = rows.select(
+            "ledger_id", F.struct("file_no", "path").alias("file"), F.concat_ws("#", "path", "line_no").alias("row_id"), "date",
+            "concept", "debit", "credit", F.col("balance").alias("bank_balance"), "reference")
         ledger = spark.read.parquet(ledger_path).where(F.col("batch_id") != tag)
-        imported = import_statements(stmts, ledger, rules, tag)
-        (imported.drop("batch_id", "file_no")
-                 .write.mode("overwrite").parquet(f"{ledger_path}/batch_id={tag}"))
+        imported = import_statements(stmts, ledger, rules, tag, file_col="file")
+        (imported.drop("batch_id", "file").write.mode("overwrite").parquet(f"{ledger_path}/batch_id={tag}"))
+        if after_import:
+            after_import(spark.read.parquet(f"{ledger_path}/batch_id={tag}"), tag)
+        if archive:
+            unmapped = rejects.where(F.col("reason") == UNMAPPED).select("path").distinct()
+            _archive(spark, lines.select("path").distinct().join(unmapped, "path", "left_anti"), archive)
     return run
 
 
 def import_stream(spark: SparkSession, inbox: str, ledger_path: str, rules: DataFrame, checkpoint: str,
-                  archive: str | None = None, tag_prefix: str = "stream-", max_files: int | None = None):
+                  archive: str | None = None, tag_prefix: str = "stream-", max_files: int = MAX_FILES,
+                  ledger_id: str | None = None, rejects_path: str | None = None,
+                  after_import: Callable[[DataFrame, str], None] | None = None):
     """Import every statement file arriving in ``inbox`` once (trigger availableNow).
 
-    With ``archive`` the source moves processed files there (``cleanSource=archive``); the
-    checkpoint, not the move, is what makes each file count once.  Returns the finished query.
+    Rejects go to ``rejects_path`` (default: the ledger's path + '-rejects'), one folder per batch.  With ``archive``,
+    files are moved there when their batch is written; a file without a usable header stays.  ``after_import`` gets
+    each batch's ledger rows, for example to refresh the touched months.  Returns the finished query.
     """
-    r = spark.readStream.format("binaryFile").schema(INBOX_SCHEMA)
-    if archive:
-        r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    q = (r.load(inbox).writeStream.foreachBatch(_process(ledger_path, rules, tag_prefix))
-          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    run = _process(ledger_path, rules, tag_prefix, archive, rejects_path or f"{ledger_path}-rejects", after_import)
+    q = (statement_stream(spark, inbox, ledger_id, max_files).writeStream.foreachBatch(run)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 

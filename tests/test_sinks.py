@@ -17,7 +17,7 @@ def test_append_writes_and_counts(spark):
     inc = adapter.incoming_rows(spark, SF_SMALL)
     imported = import_statements(inc, adapter.existing_ledger(spark, SF_SMALL), rules(spark, SF_SMALL), "b1")
     path = scratch_path(spark, "ledger-append")
-    rows, c = append_movements(imported.withColumn("reference", F.lit("")), path)
+    rows, c = append_movements(imported, path)
     back = spark.read.parquet(path)
     assert c["added"] == back.count() == imported.count()
     assert c["unclassified"] == back.where("review").count()
@@ -27,7 +27,7 @@ def test_append_writes_and_counts(spark):
 def test_stream_import_is_exactly_once(spark):
     inbox = write_statement_files(adapter.incoming_rows(spark, SF_SMALL), scratch_path(spark, "inbox"))
     led = scratch_path(spark, "ledger")
-    (adapter.existing_ledger(spark, SF_SMALL).drop("batch_id", "reference", "destination")
+    (adapter.existing_ledger(spark, SF_SMALL).drop("batch_id")
         .write.mode("overwrite").parquet(f"{led}/batch_id=initial"))
     ckpt = scratch_path(spark, "ckpt")
     r = rules(spark, SF_SMALL)
@@ -39,29 +39,37 @@ def test_stream_import_is_exactly_once(spark):
     assert first - adapter.existing_ledger(spark, SF_SMALL).count() == batch.count()
 
 
-def test_stream_archives_processed_files_on_a_later_batch(spark):
-    import glob
+def _inbox_file(inbox, name, text):
+    import os
+    os.makedirs(os.path.dirname(os.path.join(inbox, name)), exist_ok=True)
+    with open(os.path.join(inbox, name), "wb") as f:
+        f.write(text.encode("latin-1"))
+
+
+def test_flat_inbox_rejects_and_archive(spark):
+    """A flat folder: files by name, rejects beside the ledger, an unreadable file and other types stay."""
     import os
     inbox = scratch_path(spark, "inbox").removeprefix("file:")
     archive = scratch_path(spark, "archive").removeprefix("file:")
-    led = scratch_path(spark, "ledger")
-    ckpt = scratch_path(spark, "ckpt")
-    (adapter.existing_ledger(spark, SF_SMALL).drop("batch_id", "reference", "destination")
-        .write.mode("overwrite").parquet(f"{led}/batch_id=initial"))
-    first_dir = os.path.join(inbox, "ledger_id=1", "file_no=0")
-    os.makedirs(first_dir)
-    with open(os.path.join(first_dir, "a.csv"), "w", encoding="utf-8") as f:
-        f.write("Fecha;Concepto;Débito;Crédito\n02/01/2030;COMPRA RED RING  1 Brand#1;10,00;\n")
+    led, ckpt = scratch_path(spark, "ledger"), scratch_path(spark, "ckpt")
+    (adapter.existing_ledger(spark, SF_SMALL).drop("batch_id").write.mode("overwrite").parquet(f"{led}/batch_id=initial"))
+    head = "Fecha;Concepto;Débito;Crédito;Referencia\n"
+    _inbox_file(inbox, "b.csv", head + "02/01/2030;COMPRA RED RING  1 Brand#1;10,00;;R2\n")
+    _inbox_file(inbox, "a.CSV", head + "02/01/2030;COMPRA RED RING  1 Brand#1;10,00;;R1\nmal;SIN FECHA;1;;\n")
+    _inbox_file(inbox, "bad.csv", "nothing to see\n")
+    _inbox_file(inbox, "x.pdf", head)
+    seen = []
     r = rules(spark, SF_SMALL)
-    import_stream(spark, inbox, led, r, ckpt, archive=archive)
-    after_first = spark.read.parquet(led).where("batch_id <> 'initial'").count()
-    second_dir = os.path.join(inbox, "ledger_id=1", "file_no=1")
-    os.makedirs(second_dir)
-    with open(os.path.join(second_dir, "b.csv"), "w", encoding="utf-8") as f:
-        f.write("Fecha;Concepto;Débito;Crédito\n03/01/2030;COMPRA BLUE BOLT  2 Brand#2;20,00;\n")
-    import_stream(spark, inbox, led, r, ckpt, archive=archive)
-    new = spark.read.parquet(led).where("batch_id <> 'initial'")
-    assert after_first == 1 and new.count() == 2                      # each file imported once
-    archived = [p for p in glob.glob(archive + "/**/*.csv", recursive=True)]
-    assert any(p.endswith("a.csv") for p in archived)                 # moved when the later batch ran
-    assert not os.path.exists(os.path.join(first_dir, "a.csv"))
+    import_stream(spark, inbox, led, r, ckpt, archive=archive, ledger_id="1", after_import=lambda rows, tag: seen.append((tag, rows.count())))
+    new = spark.read.parquet(led).where("batch_id <> 'initial'").collect()
+    assert [(x["ledger_id"], x["reference"]) for x in new] == [("1", "R1")]        # a.CSV comes before b.csv
+    assert new[0]["row_id"].endswith("a.CSV#1") and seen == [("stream-0", 1)]
+    rejects = spark.read.parquet(f"{led}-rejects").collect()
+    assert sorted((os.path.basename(x["path"]), x["line_no"], x["reason"], x["raw"]) for x in rejects) == [
+        ("a.CSV", 2, "unreadable date", "mal;SIN FECHA;1;;"), ("bad.csv", 0, "no date or amount column", "nothing to see")]
+    assert sorted(os.listdir(archive)) == ["a.CSV", "b.csv"]
+    assert sorted(f for f in os.listdir(inbox) if not f.startswith(".")) == ["bad.csv", "x.pdf"]
+    _inbox_file(inbox, "c.csv", head + "03/01/2030;COMPRA BLUE BOLT  2 Brand#2;20,00;;R3\n")
+    import_stream(spark, inbox, led, r, ckpt, archive=archive, ledger_id="1")
+    assert spark.read.parquet(led).where("batch_id <> 'initial'").count() == 2     # each file counts once
+    assert "c.csv" in os.listdir(archive)

@@ -5,7 +5,7 @@ from datetime import date
 from decimal import Decimal as D
 
 from ledgerline.session import scratch_path
-from ledgerline.sources.statements import read_statements
+from ledgerline.sources.statements import read_statements, source_lines, statement_outcomes
 
 
 def _write(folder, name, data: bytes):
@@ -40,7 +40,8 @@ def test_reader_layouts_and_rejects(spark):
     l = got[("d.csv", "LUZ")]
     assert (l["date"], l["debit"], l["reference"]) == (date(2026, 3, 1), D("99.00"), "7")
     assert len(got) == 3
-    assert rej == [("a.csv", "unreadable amount"), ("c.csv", "no date or amount column")]
+    # in a file that cannot be mapped every line is a reject
+    assert rej == [("a.csv", "unreadable amount"), ("c.csv", "no date or amount column"), ("c.csv", "no date or amount column")]
 
 
 def test_file_without_separator_is_rejected(spark):
@@ -48,4 +49,31 @@ def test_file_without_separator_is_rejected(spark):
     _write(folder, "x.csv", b"just one field per line\nanother\n")
     rows, rejects = read_statements(spark, folder)
     assert rows.count() == 0
-    assert [r["reason"] for r in rejects.collect()] == ["no date or amount column"]
+    assert [(r["reason"], r["line_no"]) for r in rejects.orderBy("line_no").collect()] == [("no date or amount column", i) for i in (0, 1)]
+
+
+def test_no_line_is_lost(spark):
+    """Dates with times and two-digit years, quoted line breaks, stray quotes, junk: each line has one outcome,
+    however the file is split."""
+    folder = scratch_path(spark, "stmt-test3").removeprefix("file:")
+    lines = ["Fecha;Concepto;Débito;Crédito", "05/02/26;UNO;1;", "06/02/2026 10:00;DOS;2;", '07/02/2026;"TRES', 'en dos; líneas";3;',
+             "sin fecha;CUATRO;4;", "08/02/2026;CINCO;1.000,00;", "09/02/2026;TOTAL;;", ";;;", "", "10/02/2026;SEIS"]
+    _write(folder, "a.csv", ("\n".join(lines) + "\n").encode())
+    _write(folder, "b.csv", ("\r\n".join(lines[:3]) + '\r\n11/02/2026;UN " SUELTO;5;\r\n12/02/2026;SIETE;6;').encode("latin-1"))
+    sizes = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in (sizes[0], "30"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            out, _ = statement_outcomes(spark, source_lines(spark.read.text(folder)))
+            got = {}
+            for r in out.collect():
+                got.setdefault(os.path.basename(r["path"]), []).append((r["line_no"], r["outcome"], r["concept"], r["reason"]))
+            assert sorted(got["a.csv"]) == [
+                (1, "row", "UNO", None), (2, "row", "DOS", None), (3, "row", "TRES\nen dos; líneas", None),
+                (5, "reject", "CUATRO", "unreadable date"), (6, "reject", "CINCO", "unreadable amount"), (7, "balance", "TOTAL", None),
+                (10, "row", "SEIS", None)]
+            assert sorted(got["b.csv"]) == [(1, "row", "UNO", None), (2, "row", "DOS", None), (3, "row", 'UN " SUELTO', None), (4, "row", "SIETE", None)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", sizes[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", sizes[1])
