@@ -70,6 +70,7 @@ GROUP_MOVEMENTS_SHOWN = 30
 CONCEPT_CHARS = 60
 EXAMPLE_CHARS = 55
 CHANGE_EXAMPLE_CHARS = 35
+CHANGE_EXAMPLES = 15
 SERIAL_DATE_LOW = 20000
 SERIAL_DATE_HIGH = 80000
 SERIAL_DATE_EPOCH = "1899-12-30"

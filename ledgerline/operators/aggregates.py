@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numbers import zero
 
 from ledgerline.constants import (CONCEPT_CHARS, DEFAULT_INCOME_CATEGORIES, DEFAULT_SYSTEM_CATEGORIES,
-                                  EXCLUDED_FROM_BALANCE, UNCLASSIFIED)
+                                  EXCLUDED_FROM_BALANCE, GROUP_MOVEMENTS_SHOWN, UNCLASSIFIED)
 from ledgerline.functions.dates import month_label, month_number
 from ledgerline.functions.labels import flow_class
 from ledgerline.functions.text import truncate
@@ -72,10 +72,10 @@ def group_movements(rows: DataFrame, keys) -> DataFrame:
 
 def category_groups(led: DataFrame, **kw) -> DataFrame:
     """A4 inside a category: groups by (origin, subcategory) per (ledger, month, category) with the
-    display rank O1 (amount ascending, first 30 shown)."""
+    display rank O1 (amount ascending) and whether the group is among the first 30, which are shown."""
     g = group_movements(expense_rows(led, **kw), ["ledger_id", "month", "category", "origin", "subcategory"])
     w = Window.partitionBy("ledger_id", "month", "category").orderBy("total", "origin", "subcategory")
-    return g.withColumn("rank", F.row_number().over(w))
+    return g.withColumn("rank", F.row_number().over(w)).withColumn("shown", F.col("rank") <= GROUP_MOVEMENTS_SHOWN)
 
 
 def unclassified_movements(led: DataFrame) -> DataFrame:

@@ -40,10 +40,19 @@ def cross_table(led: DataFrame, shared: bool = True, **kw) -> DataFrame:
     return cross_table_from_base(base)
 
 
-def cross_table_from_base(base: DataFrame) -> DataFrame:
+def detail_base(fine: DataFrame) -> DataFrame:
+    """The leaf aggregate of the cross table from ``month_detail``."""
+    section = (F.when(F.col("flow") == "income", F.lit("income"))
+                .when((F.col("flow") == "expense") & (F.col("category") != UNCLASSIFIED), F.lit("expense")))
+    return (fine.withColumn("section", section).groupBy("ledger_id", "month", "section", "category", "subcategory")
+                .agg(F.sum("amount").alias("amount")))
+
+
+def cross_table_from_base(base: DataFrame, year=None) -> DataFrame:
     """A5 on a (ledger_id, month, section, category, subcategory, amount) aggregate whose section is
-    null for rows outside both sections (their months still count)."""
-    months = base.select("ledger_id", "month").distinct()
+    null for rows outside both sections (their months still count).  With ``year`` only its months are
+    listed; the categories and their totals are still those of all years."""
+    months = base.select("ledger_id", "month").distinct().where(in_period("month", year))
     facts = (base.where(F.col("section").isNotNull())
                  .withColumn("value", F.when(F.col("section") == "income", F.col("amount")).otherwise(-F.col("amount"))))
     agg = (facts.groupingSets(
@@ -94,13 +103,13 @@ def unclassified_series(led: DataFrame) -> DataFrame:
     return months
 
 
-def period_summary(ct: DataFrame, balances: DataFrame, year) -> DataFrame:
+def period_summary(base: DataFrame, balances: DataFrame, year) -> DataFrame:
     """A15 (+F5): for the visible months: opening of the first, closing of the last, Σ income and
-    Σ expense of the cross-table section rows."""
-    sec = ct.where((F.col("level") == "section") & in_period("month", year))
+    Σ expense of the cross-table sections, from the leaf aggregate."""
+    sec = base.where(in_period("month", year))
     tot = sec.groupBy("ledger_id").agg(
-        F.sum(F.when(F.col("section") == "income", F.col("value"))).alias("income_total"),
-        F.sum(F.when(F.col("section") == "expense", F.col("value"))).alias("expense_total"))
+        F.coalesce(F.sum(F.when(F.col("section") == "income", F.col("amount"))), zero()).alias("income_total"),
+        F.coalesce(F.sum(F.when(F.col("section") == "expense", -F.col("amount"))), zero()).alias("expense_total"))
     b = balances.where(in_period("month", year)).groupBy("ledger_id").agg(
         F.min_by("opening", "month").alias("opening"), F.max_by("closing", "month").alias("closing"))
     return tot.join(b, "ledger_id", "left")

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.constants import KINDS, ORIGINS, UNCLASSIFIED
+from ledgerline.constants import CHANGE_EXAMPLE_CHARS, CHANGE_EXAMPLES, KINDS, ORIGINS, UNCLASSIFIED
 from ledgerline.functions.labels import recode_category
 from ledgerline.functions.predicates import from_year, is_marker_kind, valid_date
-from ledgerline.functions.text import clean_text
+from ledgerline.functions.text import clean_text, truncate
 from ledgerline.operators.classify import classify
+from ledgerline.session import materialize
 
 FIELDS = ("category", "subcategory", "origin", "kind")
 
@@ -40,6 +41,37 @@ def reclassify(ledger: DataFrame, rules: DataFrame, year: int) -> DataFrame:
                       *[f"old_{f}" for f in FIELDS], *[f"{f}_changed" for f in FIELDS])
 
 
+def reclassified_ledger(ledger: DataFrame, rules: DataFrame, year: int, path: str | None = None) -> DataFrame:
+    """R2 applied: the whole ledger as a new version — rows before ``year`` as they are, the others with the labels
+    that ``reclassify`` gives, every column kept.  With ``path`` the version is written there (never over the
+    ledger it reads) and read back."""
+    after = F.coalesce(from_year("date", year), F.lit(False))
+    old = ledger.where(~after)
+    rows = classify(ledger.where(after).withColumn("_concept", clean_text("concept")), rules, concept="_concept")
+    matched = F.col("new_category") != UNCLASSIFIED
+    for f in FIELDS:
+        new, own = F.col(f"new_{f}"), clean_text(f)
+        take = matched & (own != new) & (F.lit(True) if f == "category" else new != "")
+        rows = rows.withColumn(f, F.when(take, new).otherwise(own))
+    out = old.unionByName(rows.select(*ledger.columns))
+    if path is None:
+        return out
+    out.write.mode("errorifexists").parquet(path)
+    return ledger.sparkSession.read.parquet(path)
+
+
+def change_examples(reclassified: DataFrame, n: int = CHANGE_EXAMPLES) -> DataFrame:
+    """The first ``n`` changed rows by date and row id, with 35 characters of the concept and the changes as text."""
+    any_change = F.col(f"{FIELDS[0]}_changed")
+    for f in FIELDS[1:]:
+        any_change = any_change | F.col(f"{f}_changed")
+    # the n rows are written first: with a long rule chain the texts below would repeat its code in one method
+    first = materialize(reclassified.where(any_change).orderBy("date", "row_id").limit(n))
+    texts = [F.when(F.col(f"{f}_changed"), F.concat(F.lit(f"{f}: '"), F.col(f"old_{f}"), F.lit("' -> '"), F.col(f), F.lit("'"))) for f in FIELDS]
+    return first.select("ledger_id", "row_id", "date", truncate("concept", CHANGE_EXAMPLE_CHARS).alias("concept"),
+                        F.concat_ws("; ", *texts).alias("changes"))
+
+
 def change_counts(reclassified: DataFrame) -> DataFrame:
     """Rows seen, matched, untouched, changed category / sub / origin / kind."""
     return reclassified.agg(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.constants import CONCEPT_CHARS, EXAMPLE_CHARS, MINING_MIN_COUNT, MINING_PURITY_PCT
 from ledgerline.functions.numbers import round_ratio
-from ledgerline.functions.text import norm_concept, tokens, truncate
+from ledgerline.functions.text import BOUND, clean_num, clean_text, norm_concept, tokens, truncate
 from ledgerline.operators.classify import gram_matches
 from ledgerline.session import materialize
 
@@ -87,15 +87,18 @@ def propose_categories(keys: DataFrame, proposals: DataFrame, key: str) -> DataF
 
 
 def rule_review_patterns(patterns: DataFrame, rows: DataFrame, proposals: DataFrame) -> DataFrame:
-    """G3 (sheet 1): mined patterns with proposal, example and note."""
+    """G3 (sheet 1): mined patterns with proposal, example and note, numbered by matches, most first."""
     ex = pattern_example(rows, patterns)
-    return propose_categories(patterns.join(ex, "pattern", "left"), proposals, "pattern")
+    out = propose_categories(patterns.join(ex, "pattern", "left"), proposals, "pattern")
+    return sequence(out, [F.col("matches").desc(), F.col("pattern")], "ord")
 
 
 def rule_review_unmatched(summary: DataFrame, proposals: DataFrame) -> DataFrame:
-    """G3 (sheet 2): unmatched concepts with the category proposed for their most common label."""
+    """G3 (sheet 2): unmatched concepts with the category proposed for their most common label, numbered by
+    occurrences, most first (O4)."""
     s = summary.withColumn("_key", F.upper("top_label"))
-    return propose_categories(s, proposals, "_key").drop("_key", "note")
+    out = propose_categories(s, proposals, "_key").drop("_key", "note")
+    return sequence(out, [F.col("occurrences").desc(), F.col("norm_concept"), F.col("example")], "ord")
 
 
 def union_rules(old_patterns: DataFrame, old_unmatched: DataFrame) -> DataFrame:
@@ -103,16 +106,25 @@ def union_rules(old_patterns: DataFrame, old_unmatched: DataFrame) -> DataFrame:
     a = old_patterns.select(F.col("pattern"), F.col("category"), F.col("subcategory"))
     b = old_unmatched.select(F.col("norm_concept").alias("pattern"), F.col("category"), F.col("subcategory"))
     u = a.unionByName(b).where(F.trim(F.coalesce(F.col("category"), F.lit(""))) != "")
-    return u.select(F.trim("pattern").alias("pattern"), F.lit(None).cast("decimal(18,2)").alias("lo"),
-                    F.lit(None).cast("decimal(18,2)").alias("hi"), F.trim("category").alias("category"),
+    return u.select(F.trim("pattern").alias("pattern"), F.lit(None).cast(BOUND).alias("lo"),
+                    F.lit(None).cast(BOUND).alias("hi"), F.trim("category").alias("category"),
                     F.trim(F.coalesce("subcategory", F.lit(""))).alias("subcategory"),
                     F.lit("").alias("origin"), F.lit("").alias("kind"))
 
 
-def migrate_rules(old_patterns: DataFrame, old_unmatched: DataFrame) -> DataFrame:
-    """U1 ordered for review (O5): category, longer pattern first, pattern; ``ord`` is the
+def new_format_rules(sheet: DataFrame) -> DataFrame:
+    """U1 on a sheet that is already in the new format: rows with a category, as they are, with amounts, origin and type."""
+    text = lambda c: clean_text(c) if c in sheet.columns else F.lit("")
+    bound = lambda c: clean_num(c) if c in sheet.columns else F.lit(None).cast(BOUND)
+    return sheet.where(clean_text("category") != "").select(
+        text("pattern").alias("pattern"), bound("lo").alias("lo"), bound("hi").alias("hi"),
+        *[text(c).alias(c) for c in ("category", "subcategory", "origin", "kind")])
+
+
+def migrate_rules(old_patterns: DataFrame, old_unmatched: DataFrame, new_sheet: DataFrame | None = None) -> DataFrame:
+    """U1 (or, if given, the new-format sheet alone) ordered for review (O5): category, longer pattern first, pattern; ``ord`` is the
     sheet position.  The ranking window runs over the rule table only."""
-    u = union_rules(old_patterns, old_unmatched)
+    u = union_rules(old_patterns, old_unmatched) if new_sheet is None else new_format_rules(new_sheet)
     return sequence(u, [F.col("category"), F.length("pattern").desc(), F.col("pattern"), F.col("subcategory")], "ord")
 
 

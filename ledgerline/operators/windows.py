@@ -32,17 +32,10 @@ def dense_grid(keys: DataFrame, months: DataFrame, facts: DataFrame, key_cols, v
 
 def top_movements(led: DataFrame, n: int = TOP_MOVEMENTS_N, min_abs: int = TOP_MOVEMENTS_MIN_ABS, **kw) -> DataFrame:
     """W4 (+F10): per month, expense groups by (origin, category, sub) with |Σ| > min_abs, most
-    negative first, first ``n``; ties by (origin, category, sub)."""
-    keys = ["ledger_id", "month", "origin", "category", "subcategory"]
-    rows = expense_rows(led, **kw)
-    # rank on cheap group totals first; the concept mode (a shuffle on keys + concept) is then
-    # computed only for the rows of the surviving top-n groups
-    totals = rows.groupBy(*keys).agg(F.sum("amount").alias("total"))
-    w = Window.partitionBy("ledger_id", "month").orderBy("total", "origin", "category", "subcategory")
-    top = (totals.where(F.abs("total") > min_abs).withColumn("rank", F.row_number().over(w))
-                 .where(F.col("rank") <= n))
-    g = group_movements(rows.join(top.select(*keys), keys, "left_semi"), keys)
-    return g.join(top.select(*keys, "rank"), keys)
+    negative first, first ``n``; ties by (origin, category, sub).  One pass over the rows: they are only
+    aggregated (by keys and concept, map-side first), and totals, mode and rank come from those groups."""
+    groups = group_movements(expense_rows(led, **kw), ["ledger_id", "month", "origin", "category", "subcategory"])
+    return top_from_groups(groups, n, min_abs)
 
 
 def top_from_groups(groups: DataFrame, n: int = TOP_MOVEMENTS_N, min_abs: int = TOP_MOVEMENTS_MIN_ABS) -> DataFrame:

@@ -9,6 +9,7 @@ from ledgerline.operators import maintain as M
 from ledgerline.operators import mining as G
 from ledgerline.plans.common import finalize
 from ledgerline.plans.labelling import rules
+from ledgerline.session import scratch_path
 from ledgerline.sources import adapter
 
 
@@ -123,6 +124,16 @@ def reclassify(spark, sf):
     return finalize(_reclassified(spark, sf).drop("concept", "date"))
 
 
+def reclassified_ledger(spark, sf):
+    """R2 applied: a full new version of the ledger, written and read back."""
+    out = M.reclassified_ledger(adapter.movements(spark, sf), rules(spark, sf), adapter.CUTOVER_YEAR, scratch_path(spark, "version"))
+    return finalize(out.select("ledger_id", "row_id", "date", "concept", "debit", "credit", *M.FIELDS))
+
+
+def change_examples(spark, sf):
+    return finalize(M.change_examples(_reclassified(spark, sf)))
+
+
 def change_counts(spark, sf):
     return finalize(M.change_counts(_reclassified(spark, sf)))
 
@@ -160,6 +171,8 @@ QUERIES = {
     "recode_any_year": recode_any_year,
     "recode_rebuild": recode_rebuild,
     "reclassify": reclassify,
+    "reclassified_ledger": reclassified_ledger,
+    "change_examples": change_examples,
     "change_counts": change_counts,
     "change_log": change_log,
     "rebuild_ledger": rebuild_ledger,

@@ -227,7 +227,8 @@ FROM fl WHERE flow = 'expense' AND subcategory <> '' GROUP BY ledger_id, month,
     "group_movements": q(GROUPS, select=f"""
 SELECT ledger_id, month, category, origin, subcategory, cast(last_date AS varchar) AS last_date, {_d('total', 'total')},
        n, concept,
-       row_number() OVER (PARTITION BY ledger_id, month, category ORDER BY total, origin, subcategory) AS rank
+       row_number() OVER (PARTITION BY ledger_id, month, category ORDER BY total, origin, subcategory) AS rank,
+       row_number() OVER (PARTITION BY ledger_id, month, category ORDER BY total, origin, subcategory) <= 30 AS shown
 FROM grp"""),
     "movement_count": q(select="""
 SELECT ledger_id, month, category, count(*) AS n_movements FROM fl WHERE flow = 'expense' GROUP BY 1, 2, 3"""),
@@ -638,7 +639,8 @@ rcl2 AS (
   FROM rcl
 )"""
 
-_RULE_REVIEW_P = ("SELECT pattern, label, matches, total, purity, example, proposed_category, proposed_subcategory, note FROM rrp")
+_RULE_REVIEW_P = ("SELECT pattern, label, matches, total, purity, example, proposed_category, proposed_subcategory, note, "
+                  "row_number() OVER (ORDER BY matches DESC, pattern) AS ord FROM rrp")
 
 ORACLE.update({
     "mine_patterns": q(MINING, select="SELECT pattern, label, matches, total, purity FROM pats"),
@@ -650,7 +652,7 @@ SELECT p.pattern, p.label, p.matches, p.total, p.purity, coalesce(pr.category, '
        coalesce(pr.subcategory, '') AS proposed_subcategory, coalesce(pr.note, '') AS note
 FROM pats p LEFT JOIN props pr USING (pattern)"""),
     "rule_review_patterns": q(MINING, select=_RULE_REVIEW_P),
-    "rule_review_unmatched": q(MINING, select="SELECT * FROM rru"),
+    "rule_review_unmatched": q(MINING, select="SELECT *, row_number() OVER (ORDER BY occurrences DESC, norm_concept, example) AS ord FROM rru"),
     "union_rules": q(MINING, select="SELECT * FROM urules"),
     "migrate_rules": q(MINING, select="""
 SELECT *, row_number() OVER (ORDER BY category, length(pattern) DESC, pattern, subcategory) AS ord FROM urules"""),
@@ -685,6 +687,20 @@ SELECT ledger_id, row_id, 'category' AS field, old_category AS old_value, catego
 UNION ALL SELECT ledger_id, row_id, 'subcategory', old_subcategory, subcategory FROM rcl2 WHERE subcategory_changed
 UNION ALL SELECT ledger_id, row_id, 'origin', old_origin, origin FROM rcl2 WHERE origin_changed
 UNION ALL SELECT ledger_id, row_id, 'kind', old_kind, kind FROM rcl2 WHERE kind_changed"""),
+    "reclassified_ledger": q(RECLASS_SRC, _rules_cte(src="rsrc"), RECLASSIFIED, select=f"""
+SELECT ledger_id, row_id, cast(date AS varchar) AS date, concept, {_d('debit', 'debit')}, {_d('credit', 'credit')},
+       category, subcategory, origin, kind
+FROM movements WHERE year(date) < {adapter.CUTOVER_YEAR}
+UNION ALL
+SELECT ledger_id, row_id, cast(date AS varchar), concept, {_d('debit', 'debit')}, {_d('credit', 'credit')}, category, subcategory, origin, kind
+FROM rcl2"""),
+    "change_examples": q(RECLASS_SRC, _rules_cte(src="rsrc"), RECLASSIFIED, select="""
+SELECT ledger_id, row_id, cast(date AS varchar) AS date, substr(concept, 1, 35) AS concept, concat_ws('; ',
+         CASE WHEN category_changed THEN 'category: ' || chr(39) || old_category || chr(39) || ' -> ' || chr(39) || category || chr(39) END,
+         CASE WHEN subcategory_changed THEN 'subcategory: ' || chr(39) || old_subcategory || chr(39) || ' -> ' || chr(39) || subcategory || chr(39) END,
+         CASE WHEN origin_changed THEN 'origin: ' || chr(39) || old_origin || chr(39) || ' -> ' || chr(39) || origin || chr(39) END,
+         CASE WHEN kind_changed THEN 'kind: ' || chr(39) || old_kind || chr(39) || ' -> ' || chr(39) || kind || chr(39) END) AS changes
+FROM rcl2 WHERE category_changed OR subcategory_changed OR origin_changed OR kind_changed ORDER BY rcl2.date, row_id LIMIT 15"""),
     "rebuild_ledger": q(RECODE, REBUILD_SRC, _rules_cte(src="lg"), REBUILT, select="""
 SELECT ledger_id, row_id, kind, origin, category, subcategory, cast(date AS varchar) AS date, concept,
        cast(debit AS double) AS debit, cast(credit AS double) AS credit, cast(bank_balance AS double) AS bank_balance, review
@@ -876,4 +892,15 @@ SELECT category, coalesce(array_to_string(list_sort(list(DISTINCT subcategory) F
        AS subcategories
 FROM movements WHERE category <> '' GROUP BY category""")
 
+_CARD = "(SELECT * FROM fl WHERE coalesce(contains(lower(origin), 'tarjeta'), false))"
+_CARD_CROSS = CROSS.format(src=_CARD)
+for _old, _new in (("xb", "yb"), ("xm", "ym"), ("xf", "yf"), ("x_", "y_"), ("xt", "yt")):        # the same tables under other names
+    _CARD_CROSS = _CARD_CROSS.replace(_old, _new)
+ORACLE["document_values"] = q(MONTHS, RUNNING, CROSS.format(src="fl"), _CARD_CROSS, select=f"""
+SELECT ledger_id, 'months' AS section, 'expense_total' AS key, month, {_d('expense_total', 'value')} FROM mt
+UNION ALL SELECT ledger_id, 'months', 'income_total', month, {_d('income_total', 'value')} FROM mt
+UNION ALL SELECT ledger_id, 'cross', 'closing', month, {_d('closing', 'value')} FROM rb
+UNION ALL SELECT ledger_id, 'cross ' || section, category, month, {_d('value', 'value')} FROM xt WHERE level = 'category'
+UNION ALL SELECT ledger_id, 'card ' || section, category, month, {_d('value', 'value')} FROM yt WHERE level = 'category'""")
+
 ORACLE["classify_index"] = q(_rules_cte(), select=_CLS_SELECT)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators.dedupe import import_statements as import_op
-from ledgerline.operators.document import ledger_document
 from ledgerline.operators.aggregates import month_totals
+from ledgerline.operators.aggregates import unclassified_movements as unclassified_op
+from ledgerline.operators.document import ledger_document
+from ledgerline.operators.document import write_document as write_op
 from ledgerline.plans.common import finalize, ledger
 from ledgerline.plans.labelling import rules
 from ledgerline.session import scratch_path
@@ -24,6 +26,35 @@ def write_document(spark, sf):
     return ledger_document(ledger(spark, sf), adapter.opening_balances(spark, sf), GENERATED_AT)
 
 
+_SERIES = "array<struct<id:string,label:string,expense_total:double,income_total:double>>"
+_CROSS = "struct<months:array<string>,income:array<struct<cat:string,values:array<double>,total:double>>,expense:array<struct<cat:string,values:array<double>,total:double>>>"
+
+
+def document_values(spark, sf):
+    """S5 written and read back as rows (section, key, month, value): month totals, balances, cross table and card
+    table of every document."""
+    path = scratch_path(spark, "documents")
+    led = ledger(spark, sf)
+    write_op(ledger_document(led, adapter.opening_balances(spark, sf), GENERATED_AT), path, unclassified_op(led))
+    schema = (f"struct<months:{_SERIES},cross:struct<months:array<string>,closing:array<double>,"
+              f"{_CROSS.removeprefix('struct<months:array<string>,')},card:{_CROSS}>")
+    d = spark.read.parquet(f"{path}/documents").select("ledger_id", F.from_json("document", schema).alias("d")).select("ledger_id", "d.*")
+
+    def cells(part, name):
+        cat = d.select("ledger_id", F.col(f"{part}.months").alias("m"), F.explode(f"{part}.{name}").alias("c"))
+        return cat.select("ledger_id", F.lit(f"{part} {name}").alias("section"), F.col("c.cat").alias("key"),
+                          F.explode(F.arrays_zip("m", "c.values")).alias("z")).select("ledger_id", "section", "key", F.col("z.m").alias("month"), F.col("z.values").alias("value"))
+    months = d.select("ledger_id", F.explode("months").alias("m"))
+    total = lambda n: months.select("ledger_id", F.lit("months").alias("section"), F.lit(n).alias("key"), F.col("m.id").alias("month"), F.col(f"m.{n}").alias("value"))
+    closing = d.select("ledger_id", F.lit("cross").alias("section"), F.lit("closing").alias("key"), F.explode(F.arrays_zip("cross.months", "cross.closing")).alias("z"))
+    out = total("expense_total").unionByName(total("income_total")).unionByName(
+        closing.select("ledger_id", "section", "key", F.col("z.months").alias("month"), F.col("z.closing").alias("value")))
+    for part in ("cross", "card"):
+        for name in ("income", "expense"):
+            out = out.unionByName(cells(part, name))
+    return out
+
+
 def map_columns(spark, sf):
     """The column each canonical field was mapped to, per statement file."""
     path = write_statement_files(adapter.incoming_rows(spark, sf), scratch_path(spark, "statements"))
@@ -67,6 +98,7 @@ def refresh_months(spark, sf):
 
 QUERIES = {
     "write_document": write_document,
+    "document_values": document_values,
     "map_columns": map_columns,
     "import_stream": import_stream,
     "refresh_months": refresh_months,

@@ -79,7 +79,8 @@ def card_cross_table(spark, sf):
 
 
 def cross_table_wide(spark, sf):
-    return finalize(X.cross_table_wide(X.cross_table(ledger(spark, sf)), REPORT_YEAR))
+    base = X.detail_base(materialize(A.month_detail(ledger(spark, sf))))
+    return finalize(X.cross_table_wide(X.cross_table_from_base(base, REPORT_YEAR), REPORT_YEAR))
 
 
 def unclassified_series(spark, sf):
@@ -138,9 +139,16 @@ def last_known_balance(spark, sf):
     return finalize(B.last_known_balance(B.bank_balance(ledger(spark, sf))))
 
 
+def _months_and_bank(spark, sf):
+    """A1 and W3 from one materialized pass over the ledger rows."""
+    fine = materialize(A.month_detail(ledger(spark, sf)))
+    nets = fine.groupBy("ledger_id", "month").agg(F.sum("amount").alias("net"), F.max("_last").alias("_row"))
+    bank = B.bank_balance_from(nets.select("ledger_id", "month", "net", F.col("_row.bank_balance").alias("_last")))
+    return A.months_from_detail(fine).drop("net"), bank
+
+
 def account_summary(spark, sf):
-    led = ledger(spark, sf)
-    return finalize(B.account_summary(A.month_totals(led), B.bank_balance(led)))
+    return finalize(B.account_summary(*_months_and_bank(spark, sf)))
 
 
 def balance_for_month(spark, sf):
@@ -156,19 +164,19 @@ def active_years(spark, sf):
 
 
 def account_accumulated(spark, sf):
-    led = ledger(spark, sf)
-    return finalize(A.account_accumulated(A.month_totals(led), B.bank_balance(led)))
+    return finalize(A.account_accumulated(*_months_and_bank(spark, sf)))
 
 
 def period_summary(spark, sf):
-    led = ledger(spark, sf)
-    ct = X.cross_table(led)
-    b = B.running_balance(led, adapter.opening_balances(spark, sf))
-    return finalize(X.period_summary(ct, b, REPORT_YEAR))
+    fine = materialize(A.month_detail(ledger(spark, sf)))
+    b = B.balance_from_net(A.months_from_detail(fine), adapter.opening_balances(spark, sf))
+    return finalize(X.period_summary(X.detail_base(fine), b, REPORT_YEAR))
 
 
 def non_empty_series(spark, sf):
-    return finalize(X.non_empty_series(X.cross_table(ledger(spark, sf)), REPORT_YEAR))
+    """a series is non-empty by the rows of the year alone, so only they are read."""
+    led = ledger(spark, sf, min_year=REPORT_YEAR, before_year=REPORT_YEAR + 1)
+    return finalize(X.non_empty_series(X.cross_table(led), REPORT_YEAR))
 
 
 def valid_dates(spark, sf):

@@ -18,7 +18,7 @@ LEDGER_COLUMNS = ("ledger_id", "row_id", "date", "month", "kind", "origin", "cat
 
 def read_ledger(source, spark: SparkSession | None = None, min_year: int | None = None,
                 recode: DataFrame | None = None, recode_before: int | None = None,
-                keep_blank: bool = False) -> DataFrame:
+                keep_blank: bool = False, before_year: int | None = None) -> DataFrame:
     """Typed ledger rows for the reports.  Text dates and amounts are read as P5 and P4; other types are cast.
 
     ``source`` is a movements DataFrame or a parquet path.  Absent text columns default to '',
@@ -44,7 +44,10 @@ def read_ledger(source, spark: SparkSession | None = None, min_year: int | None
     def text(c):
         return clean_text(c) if c in cols else F.lit("")
 
-    out = df.where(valid_date("date", min_year)).select(
+    dated = df.where(valid_date("date", min_year))
+    if before_year is not None:                       # a range on the column, so a stored ledger's scan gets it
+        dated = dated.where(F.col("date") < F.lit(f"{before_year:04d}-01-01").cast("date"))
+    out = dated.select(
         "ledger_id", "row_id", F.col("date").cast("date").alias("date"),
         text("kind").alias("kind"), text("origin").alias("origin"),
         text("category").alias("category"), text("subcategory").alias("subcategory"),
@@ -60,12 +63,12 @@ def read_ledger(source, spark: SparkSession | None = None, min_year: int | None
                .select(*LEDGER_COLUMNS))
 
 
-def append_movements(new_rows: DataFrame, path: str | None = None, mode: str = "append"):
+def append_movements(new_rows: DataFrame, path: str | None = None):
     """S3: labelled new rows in ledger form: 0 debit/credit/balance ⇒ null, review = unclassified.
 
-    With ``path``, the rows are appended to the parquet ledger partitioned by ledger_id; counts
-    (added, unclassified) are gathered with ``observe`` during that single write.
-    Returns (rows, {added, unclassified} or None).
+    With ``path``, the rows are added to the parquet ledger, one folder per batch (not per ledger: there may be
+    millions).  A batch that is written again replaces itself, so a retried job doubles nothing.  Counts (added,
+    unclassified) are gathered with ``observe`` during that single write.  Returns (rows, {added, unclassified} or None).
     """
     rows = new_rows.select(
         "ledger_id", "row_id", "batch_id", "kind", "origin", "category", "subcategory", "date", "concept",
@@ -80,7 +83,7 @@ def append_movements(new_rows: DataFrame, path: str | None = None, mode: str = "
     obs = Observation("append")
     (rows.observe(obs, F.count(F.lit(1)).alias("added"),
                   F.count_if(F.col("review")).alias("unclassified"))
-         .write.mode(mode).partitionBy("ledger_id").parquet(path))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
     return rows, obs.get
 
 
