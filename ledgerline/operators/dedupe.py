@@ -30,33 +30,49 @@ def drop_key(df: DataFrame) -> DataFrame:
     return df.drop(*KEY[1:])
 
 
+def _known_keys(ledger: DataFrame, inc: DataFrame) -> DataFrame:
+    """Keys of the ledger rows that share (ledger, date) with the batch: a semi join on the batch's small day set
+    filters the ledger map-side, before a join on keys shuffles it."""
+    days = inc.select("ledger_id", "_k_date").distinct()
+    return with_key(ledger).join(days, ["ledger_id", "_k_date"], "left_semi").select(*KEY)
+
+
 def new_movements(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     """Incoming rows whose key is absent from the ledger (left anti join; duplicates inside one
     file are all kept).  Spark picks broadcast or sort-merge by size; AQE splits skewed keys."""
     # the batch is read twice below (its days, its keys): materialized once, in the shared folder
     inc = materialize(with_key(incoming))
-    # only ledger rows sharing (ledger, date) with the batch can match: a semi join on the batch's
-    # small key set filters the ledger map-side before the anti join shuffles it
-    days = inc.select("ledger_id", "_k_date").distinct()
-    led_keys = (with_key(ledger).join(days, ["ledger_id", "_k_date"], "left_semi").select(*KEY))
-    return drop_key(inc.join(led_keys, list(KEY), "left_anti"))
+    return drop_key(inc.join(_known_keys(ledger, inc), list(KEY), "left_anti"))
+
+
+def _with_file(df: DataFrame, file_col: str) -> DataFrame:
+    # rows without a file number come after every numbered file, as one file; rows without a ledger are one ledger
+    return with_key(df).withColumn("_file", F.struct(F.col(file_col).isNull().alias("none"), F.col(file_col).alias("file")))
+
+
+def _of_first_file(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose key and file are in ``first`` (KEY, _first)."""
+    other = first.select(*[F.col(c).alias(f"_f{c}") for c in KEY], "_first")
+    same = F.col("_file") == F.col("_first")
+    for c in KEY:
+        same = same & F.col(c).eqNullSafe(F.col(f"_f{c}"))
+    return drop_key(rows.join(other, same, "left_semi").drop("_file"))
 
 
 def first_file_wins(incoming: DataFrame, file_col: str = "file_no") -> DataFrame:
     """Files of one run are imported one after another, so a key present in several files is
     taken from the first file only (all its copies there).  The first file per key is an
     aggregate joined back — partial aggregation absorbs a hot key before the shuffle."""
-    # rows without a file number come after every numbered file, as one file; rows without a ledger are
-    # one ledger
-    order = F.struct(F.col(file_col).isNull().alias("none"), F.col(file_col).alias("file"))
-    k = with_key(incoming).withColumn("_file", order)
-    first = k.groupBy(*KEY).agg(F.min("_file").alias("_first_file")).select(
-        *[F.col(c).alias(f"_f{c}") for c in KEY], "_first_file")
-    same = F.lit(True)
-    for c in KEY:
-        same = same & F.col(c).eqNullSafe(F.col(f"_f{c}"))
-    kept = k.join(first, same).where(F.col("_file") == F.col("_first_file"))
-    return drop_key(kept.drop("_file", "_first_file", *[f"_f{c}" for c in KEY]))
+    k = _with_file(incoming, file_col)
+    return _of_first_file(k, k.groupBy(*KEY).agg(F.min("_file").alias("_first")))
+
+
+def fresh_movements(incoming: DataFrame, ledger: DataFrame, file_col: str = "file_no") -> DataFrame:
+    """J1b then J1, with the batch computed once: it is aggregated to its keys, the keys meet the ledger, and only
+    then rows are attached."""
+    inc = materialize(_with_file(incoming, file_col))
+    first = inc.groupBy(*KEY).agg(F.min("_file").alias("_first"))
+    return _of_first_file(inc, first.join(_known_keys(ledger, inc), list(KEY), "left_anti"))
 
 
 def import_statements(statements: DataFrame, ledger: DataFrame, rules: DataFrame, batch_id: str,
@@ -65,7 +81,7 @@ def import_statements(statements: DataFrame, ledger: DataFrame, rules: DataFrame
     ledger (J1) → rule labels (J2) → ledger rows (S3 form), one per movement added."""
     s = statements.where(F.col("date").isNotNull() & ~is_balance_line("concept"))
     s = s.withColumn("concept", strip(F.coalesce(F.col("concept"), F.lit(""))))
-    new = new_movements(first_file_wins(s, file_col), ledger)
+    new = fresh_movements(s, ledger, file_col)
     labelled = classify(new, rules)
     pos = lambda c: F.when(F.col(c) > 0, F.col(c))  # noqa: E731  0 / missing ⇒ null
     return labelled.select(

@@ -27,9 +27,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.  A file written as a single row group is one
-    split however many cores there are; only then are its rows spread round-robin.  Inputs with
-    enough splits (any large table) are left as they are — no extra shuffle."""
+    """Fixture only: the driver's test file is a single row group, so one split however many cores there are;
+    its rows are dealt round-robin to at least one partition per core.  Inputs with enough splits (any large
+    table) are read as they are."""
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
