@@ -111,7 +111,9 @@ def rebuild_ledger(legacy: DataFrame, rules: DataFrame, recode: DataFrame, cutov
             .when(after & blank, F.col("new_subcategory")).otherwise(F.col("label2")))
     review = after & blank & (F.col("new_category") == UNCLASSIFIED)
     return labelled.select("ledger_id", "row_id", "kind", "origin", cat.alias("category"), sub.alias("subcategory"),
-                           "date", "concept", "debit", "credit", "bank_balance", review.alias("review"))
+                           "date", "concept", "debit", "credit", "bank_balance", review.alias("review"),
+                           *[(F.coalesce(F.col(c), F.lit("")) if c in legacy.columns else F.lit("")).alias(c)
+                             for c in ("reference", "destination")])
 
 
 def invalid_labels(ledger: DataFrame, taxonomy: DataFrame, strict: bool = False) -> DataFrame:

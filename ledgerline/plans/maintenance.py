@@ -64,6 +64,15 @@ def rule_review_unmatched(spark, sf):
     return finalize(_review_unmatched(spark, sf))
 
 
+def write_rule_review(spark, sf):
+    """S7 sink: the three review tables written and read back, as (sheet, key)."""
+    path = scratch_path(spark, "review")
+    G.write_rule_review(_review_patterns(spark, sf), _review_unmatched(spark, sf), _taxonomy(spark, sf), path)
+    keys = {"patterns": "pattern", "unmatched": "norm_concept", "categories": "category"}
+    parts = [spark.read.parquet(f"{path}/{s}").select(F.lit(s).alias("sheet"), F.col(k).alias("key")) for s, k in keys.items()]
+    return finalize(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 def _old_sheets(spark, sf):
     pats = _review_patterns(spark, sf).select(
         "pattern", F.col("proposed_category").alias("category"), F.col("proposed_subcategory").alias("subcategory"))
@@ -173,6 +182,7 @@ QUERIES = {
     "reclassify": reclassify,
     "reclassified_ledger": reclassified_ledger,
     "change_examples": change_examples,
+    "write_rule_review": write_rule_review,
     "change_counts": change_counts,
     "change_log": change_log,
     "rebuild_ledger": rebuild_ledger,

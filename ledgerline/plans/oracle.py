@@ -703,8 +703,12 @@ SELECT ledger_id, row_id, cast(date AS varchar) AS date, substr(concept, 1, 35)
 FROM rcl2 WHERE category_changed OR subcategory_changed OR origin_changed OR kind_changed ORDER BY rcl2.date, row_id LIMIT 15"""),
     "rebuild_ledger": q(RECODE, REBUILD_SRC, _rules_cte(src="lg"), REBUILT, select="""
 SELECT ledger_id, row_id, kind, origin, category, subcategory, cast(date AS varchar) AS date, concept,
-       cast(debit AS double) AS debit, cast(credit AS double) AS credit, cast(bank_balance AS double) AS bank_balance, review
+       cast(debit AS double) AS debit, cast(credit AS double) AS credit, cast(bank_balance AS double) AS bank_balance, review,
+       'REF ' || row_id AS reference, '' AS destination
 FROM rebuilt"""),
+    "write_rule_review": q(MINING, select="""
+SELECT 'patterns' AS sheet, pattern AS key FROM rrp UNION ALL SELECT 'unmatched', norm_concept FROM rru
+UNION ALL SELECT 'categories', category FROM (SELECT DISTINCT category FROM movements WHERE category <> '')"""),
     "invalid_labels": q(RECODE, REBUILD_SRC, _rules_cte(src="lg"), REBUILT, select=f"""
 SELECT * FROM (
   SELECT ledger_id, row_id,

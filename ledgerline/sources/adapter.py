@@ -123,7 +123,8 @@ def legacy_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (F.when((F.col("_linenumber") == 7) & (F.col("_linestatus") == "F"), F.lit("Saldo Inicial"))
              .when(F.col("_linenumber") == 7, F.lit("Saldo Final")).otherwise(F.col("kind")))
     return b.select("ledger_id", "row_id", kind.alias("kind"), "origin", label.alias("label"),
-                    F.col("subcategory").alias("label2"), "date", "concept", "debit", "credit", "bank_balance")
+                    F.col("subcategory").alias("label2"), "date", "concept", "debit", "credit", "bank_balance",
+                    F.concat(F.lit("REF "), "row_id").alias("reference"))
 
 
 def recode_table(spark: SparkSession) -> DataFrame:
