@@ -1,7 +1,8 @@
 """A training corpus from the documents table, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
-as the next one's docs.  All but the last return the columns of documents.
+as the next one's docs.  All but the last return the columns of documents.  A stage decides on rows, not on
+ids: where doc_id repeats or is null, each row goes or stays by its own text.
 """
 
 from __future__ import annotations
@@ -21,22 +22,22 @@ from ledgerline.session import scratch_path
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go.  Learns from the labels that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
-    return drop_toxic(docs, labels)
+    return drop_toxic(docs, labels, lenient=False)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for the case of A-Z, the smallest doc_id stays."""
-    return drop_exact_copies(docs)
+    """Of texts equal but for the case of A-Z, one row with the smallest doc_id stays."""
+    return drop_exact_copies(docs, lenient=False)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints at 4 or fewer bits, the smallest doc_id stays."""
-    return drop_near_copies(docs, shingle=4, max_bits=4)
+    """Of each component of fingerprints at 4 or fewer bits, one row with the smallest doc_id stays."""
+    return drop_near_copies(docs, shingle=4, max_bits=4, lenient=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), lenient=False)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

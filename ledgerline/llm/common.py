@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import materialize
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -13,9 +15,36 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, UPPER.lower())
 
 
-def drop_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``df`` whose ``id_col`` is not in the one column of ``ids``.  Rows with a null id
-    stay.  ``ids`` is a written table, so Spark broadcasts it when it is small and shuffles else."""
-    key = "__dropped_id"
-    gone = ids.toDF(key)
-    return df.join(gone, df[id_col] == gone[key], "left_anti")
+#: column of ``with_row_key``
+ROW = "__row"
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``df`` with ``ROW``, a 256-bit digest of all columns: what is decided on a row is kept by it, so ids may
+    repeat or be null.  Only equal rows share a key."""
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.withColumn(ROW, F.unhex(F.sha2(whole.cast("binary"), 256)))
+
+
+def ranked(id_: Column, keep: str = "min") -> Column:
+    """(absent, id, key) of a keyed row: the order in which one row of a class is kept, null ids last."""
+    absent = id_.isNull() if keep == "min" else id_.isNotNull()
+    return F.struct(absent.alias("absent"), id_.alias("id"), F.col(ROW).alias("key"))
+
+
+def drop_rows(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is not in the one column of ``keys``, a written table: Spark broadcasts it when it
+    is small and shuffles else.  ``ROW`` stays."""
+    gone = keys.toDF("__gone")
+    return keyed.join(gone, keyed[ROW] == gone["__gone"], "left_anti")
+
+
+def one_per_class(keyed: DataFrame, decided: DataFrame) -> DataFrame:
+    """One row for each class; ``decided`` is a written table of (key, kept) of every row, where only the class's
+    first key is kept.  Equal rows share it, so those (normally none) collapse at the end."""
+    left = drop_rows(keyed, materialize(decided.where("not kept").select("key").distinct()))
+    again = materialize(decided.where("kept").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    if not again.isEmpty():
+        equal = left.join(again, left[ROW] == again["key"], "left_semi").dropDuplicates([ROW])
+        left = drop_rows(left, again).unionByName(equal)
+    return left.drop(ROW)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import drop_ids
+from ledgerline.llm.common import ROW, drop_rows, with_row_key
 from ledgerline.session import materialize
 
 WINDOW = 10
@@ -168,7 +168,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      **kw) -> DataFrame:
-    """``df`` without the documents that hold a benchmark window; all columns as they were."""
-    hit = decontaminate(df, benchmark, id_col, text_col, **kw).where("n_hit > 0 and id is not null").select("id")
-    return drop_ids(df, materialize(hit), id_col)
+                      lenient: bool = True, **kw) -> DataFrame:
+    """``df`` without the rows that hold a benchmark window; all columns as they were.  ``lenient``: rows with a
+    null id stay."""
+    keyed = with_row_key(df)
+    rows = keyed.where(F.col(f"`{id_col}`").isNotNull()) if lenient else keyed
+    hit = decontaminate(rows, benchmark, ROW, text_col, **kw).where("n_hit > 0").select("id")
+    return drop_rows(keyed, materialize(hit.distinct())).drop(ROW)

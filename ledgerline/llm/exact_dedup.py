@@ -7,8 +7,8 @@ by the hash alone, and only rows of a collided hash (normally none) meet their t
 
 Defined cases: a null text is empty; empty texts are equal to each other; rows with the same id and
 equal texts all count and share their flag; a null id never wins over another, and a class whose
-ids are all null has a null ``keep_id`` and keeps all its rows; an empty table gives no rows.  Only
-the id and text columns are read, so other columns may have any names.
+ids are all null has a null ``keep_id`` and keeps all its rows; an empty table gives no rows.  The classes
+read only the id and text columns, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import drop_ids, lower_ascii
+from ledgerline.llm.common import ROW, drop_rows, lower_ascii, one_per_class, ranked, with_row_key
 from ledgerline.session import materialize
 
 
@@ -50,7 +50,14 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       "text_sha256")
 
 
-def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """``df`` without the rows whose text an other kept row has; all columns as they were."""
-    gone = exact_classes(df, id_col, text_col, keep).where(~F.col("kept") & F.col("id").isNotNull()).select("id")
-    return drop_ids(df, materialize(gone), id_col)
+def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
+                      lenient: bool = True) -> DataFrame:
+    """``df`` without the rows whose text an other kept row has; all columns as they were.  ``lenient``: rows with a
+    null id and all rows with the kept id stay; else one row of each text stays, null ids last."""
+    keyed = with_row_key(df)
+    rows = keyed.select(ranked(F.col(f"`{id_col}`"), keep).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = exact_classes(rows, "id", "text", keep)
+    if lenient:
+        gone = found.where("id.id is not null and not (id.id <=> keep_id.id)").select("id.key")
+        return drop_rows(keyed, materialize(gone.distinct())).drop(ROW)
+    return one_per_class(keyed, materialize(found.select("id.key", "kept")))

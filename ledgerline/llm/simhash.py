@@ -18,7 +18,7 @@ follows the number of different fingerprints (``scheme``); every scheme finds th
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and links like
 any other; fewer words than a shingle: the whole sequence is one shingle; rows with a null id take part
 in linking and get their component's smallest non-null id (null if there is none); repeated rows give
-repeated rows; an empty table gives no rows.  Only the id and text columns are read.
+repeated rows; an empty table gives no rows.  Components read only the id and text columns.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import drop_ids
+from ledgerline.llm.common import ROW, drop_rows, one_per_class, ranked, with_row_key
 from ledgerline.llm.components import connected_components
 from ledgerline.session import materialize
 
@@ -228,7 +228,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-                     max_bits: int = 4) -> DataFrame:
-    """``df`` with one document of each component (the smallest id); all columns as they were."""
-    found = near_duplicates(df, id_col, text_col, shingle, max_bits)
-    return drop_ids(df, materialize(found.where("id <> component_id").select("id")), id_col)
+                     max_bits: int = 4, lenient: bool = True) -> DataFrame:
+    """``df`` with one document of each component (the smallest id); all columns as they were.  ``lenient``: rows with
+    a null id and all rows with the smallest id stay; else one row of each component stays, null ids last."""
+    keyed = with_row_key(df)
+    rows = keyed.select(ranked(F.col(f"`{id_col}`")).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = near_duplicates(rows, "id", "text", shingle, max_bits)
+    if lenient:
+        gone = found.where("id.id <> component_id.id").select("id.key")
+        return drop_rows(keyed, materialize(gone.distinct())).drop(ROW)
+    return one_per_class(keyed, materialize(found.select("id.key", F.expr("id <=> component_id").alias("kept"))))

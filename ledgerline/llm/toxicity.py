@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import drop_ids
+from ledgerline.llm.common import ROW, drop_rows, with_row_key
 from ledgerline.session import materialize
 
 FIT_ROWS = 100_000
@@ -223,18 +223,20 @@ def learn_lexicon(rows: DataFrame, train: DataFrame) -> dict[str, float]:
 
 
 def document_features(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(id, features) of every row."""
+    """The features of every row in place of its text."""
+    rest = [c for c in rows.columns if c != "text"]
     shared = rows.sparkSession.sparkContext.broadcast(weights)        # at most 2 * LEXICON entries
 
     def run(batches):
         grammar = Grammar(shared.value)
         triggers = grammar.triggers()
         for b in batches:
-            found = [features(t.as_py(), grammar, triggers) for t in b.column(1)]
+            found = [features(t.as_py(), grammar, triggers) for t in b.column("text")]
             cols = [pa.array([f[i] for f in found], pa.float64()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([*map(b.column, rest), *cols], names=[*rest, *FEATURES])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, {FEATURE_TYPE}")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in rest) + f", {FEATURE_TYPE}")
 
 
 def fit_curve(counts: list, ridge: float = 1.0) -> np.ndarray:
@@ -263,7 +265,12 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                     label_id_col: str = "doc_id", toxic_col: str = "toxic") -> DataFrame:
     """One row per row of ``df``: ``id``, ``score`` in [0, 1] and the features; ``labels`` holds the ids to
     learn from."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _scored(df, labels, id_col, text_col, label_id_col, toxic_col).select("id", "score", *FEATURES)
+
+
+def _scored(df, labels, id_col="doc_id", text_col="text", label_id_col="doc_id", toxic_col="toxic", passed=()) -> DataFrame:
+    """The scores with the columns ``passed`` beside them."""
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), *passed, F.col(f"`{text_col}`").cast("string").alias("text"))
     train = training_rows(df, labels, id_col, label_id_col, toxic_col)
     distinct = one_per_sketch(rows, train)
     found = materialize(document_features(rows, learn_lexicon(rows, distinct)))
@@ -275,11 +282,15 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     else:
         line = sum((F.col(f) * float(c) for f, c in zip(FEATURES, w)), F.lit(float(w[-1])))
         score = 1 / (1 + F.exp(-line))
-    return found.select("id", score.alias("score"), *FEATURES)
+    return found.withColumn("score", score)
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               threshold: float = THRESHOLD, **kw) -> DataFrame:
-    """``df`` without the documents scored at ``threshold`` or more; all columns as they were."""
-    bad = toxicity_scores(df, labels, id_col, text_col, **kw).where((F.col("score") >= threshold) & F.col("id").isNotNull())
-    return drop_ids(df, materialize(bad.select("id")), id_col)
+               threshold: float = THRESHOLD, lenient: bool = True, **kw) -> DataFrame:
+    """``df`` without the rows scored at ``threshold`` or more; all columns as they were.  ``lenient``: rows with a
+    null id stay."""
+    keyed = with_row_key(df)
+    bad = _scored(keyed, labels, id_col, text_col, passed=(ROW,), **kw).where(F.col("score") >= threshold)
+    if lenient:
+        bad = bad.where("id is not null")
+    return drop_rows(keyed, materialize(bad.select(ROW).distinct())).drop(ROW)

@@ -1,6 +1,7 @@
 """The pipeline against its operators' brute-force versions, stage by stage."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -49,3 +50,43 @@ def test_stages(spark, stages):
 def test_run_equals_its_stages(spark, stages):
     digest = lambda df: hashlib.sha256(repr(sorted(map(tuple, df.collect()))).encode()).hexdigest()
     assert digest(P.run(spark, SF_SMALL)) == digest(stages[-1][1])
+
+
+def words(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def stage(spark, name, rows):
+    df = spark.createDataFrame([(*r, "en", "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(P.STAGES)[name](spark, df, SF_SMALL)
+    assert out.columns == df.columns
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+
+
+def test_exact_dedup_decides_on_rows(spark):
+    rows = [(3, "A"), (5, "a"), (5, "b"), (7, "B"), (9, "c"), (9, "c"), (None, "d"), (None, "D"), (None, "d"), (None, "c"), (8, None), (8, "")]
+    got = stage(spark, "exact_dedup", rows)
+    assert len(got) == 5 and {(i, (t or "").lower()) for i, t in got} == {(3, "a"), (5, "b"), (9, "c"), (None, "d"), (8, "")}
+
+
+def test_simhash_dedup_decides_on_rows(spark):
+    rnd = random.Random(3)
+    a, b, c, d = (words(rnd, 60) for _ in range(4))
+    rows = [(3, a), (5, a.upper()), (5, b), (7, b.upper()), (9, c), (9, c), (9, c.upper()), (None, d), (None, d), (None, c)]
+    got = stage(spark, "simhash_dedup", rows)
+    assert sorted((repr(i), t.lower()) for i, t in got) == sorted([("3", a), ("5", b), ("9", c), ("None", d)])
+
+
+def test_toxicity_and_decontamination_decide_on_rows(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    known = list(docs.items())
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()}
+    kept = {i for i, _ in stage(spark, "toxicity", known)}
+    toxic = next(t for i, t in known if i not in kept and labels.get(i) == 1)
+    clean = next(t for i, t in known if i in kept and labels.get(i) == 0)
+    extra = [(10**6, toxic), (10**6, clean), (None, toxic), (None, clean)]
+    got = [r for r in stage(spark, "toxicity", known + extra) if r[0] is None or r[0] == 10**6]
+    assert got == sorted([(10**6, clean), (None, clean)], key=repr)
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").first()["text"]
+    rows = [(1, item), (1, "clean words"), (None, item), (None, "clean words")]
+    assert stage(spark, "decontamination", rows) == sorted([(1, "clean words"), (None, "clean words")], key=repr)
