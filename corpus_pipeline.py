@@ -14,7 +14,7 @@ from ledgerline.llm.decontamination import drop_contaminated
 from ledgerline.llm.exact_dedup import drop_exact_copies
 from ledgerline.llm.queries import MODEL, held_out
 from ledgerline.llm.simhash import drop_near_copies
-from ledgerline.llm.subword import encode
+from ledgerline.llm.subword import decode, encode
 from ledgerline.llm.toxicity import drop_toxic
 from ledgerline.session import scratch_path
 
@@ -41,8 +41,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as sampled pieces, reproducible by doc_id."""
-    return encode(docs, MODEL).select("doc_id", "lang", "source", F.size("pieces").alias("n_pieces"), "pieces")
+    """The corpus as sampled pieces, reproducible by doc_id, with the digest of the text decoded from them."""
+    back = decode(encode(docs, MODEL), MODEL)
+    return back.select("doc_id", "lang", "source", F.size("pieces").alias("n_pieces"), "pieces",
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("simhash_dedup", simhash_dedup),

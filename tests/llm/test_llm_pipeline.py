@@ -90,3 +90,12 @@ def test_toxicity_and_decontamination_decide_on_rows(spark):
     item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").first()["text"]
     rows = [(1, item), (1, "clean words"), (None, item), (None, "clean words")]
     assert stage(spark, "decontamination", rows) == sorted([(1, "clean words"), (None, "clean words")], key=repr)
+
+
+def test_pieces_decode_to_the_text(spark):
+    texts = {1: "Two  words\n", 2: "é 語 \U0001f600", 3: "", 4: None}
+    df = spark.createDataFrame([(i, t, "en", "x") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in dict(P.STAGES)["sentencepiece"](spark, df, SF_SMALL).collect()}
+    assert all(r["lossless"] for r in out.values()) and len(out) == 4
+    for i, t in texts.items():
+        assert out[i]["decoded_sha256"] == (None if t is None else hashlib.sha256(t.encode()).hexdigest())
