@@ -36,8 +36,10 @@ def op1_quality(spark, sf):
 
 
 def op2_sharding(spark, sf):
-    from ledgerline.llm.sharding import assign_shards
-    return assign_shards(_table(spark, sf, "documents").select("doc_id"))
+    from ledgerline.llm.sharding import write_shards
+    path = scratch_path(spark, "shards")
+    write_shards(_table(spark, sf, "documents"), path)
+    return spark.read.parquet(path).select("doc_id", "slot", "shard")
 
 
 def op3_warc(spark, sf):

@@ -49,3 +49,15 @@ def test_no_python_on_the_executors(spark):
     df = S.assign_shards(spark.range(10).withColumnRenamed("id", "doc_id"))
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "ExistingRDD" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_query_writes_whole_documents(spark):
+    from conftest import SF_SMALL
+    from ledgerline.llm.queries import op2_sharding
+    out = op2_sharding(spark, SF_SMALL)
+    assert out.columns == ["doc_id", "slot", "shard"]
+    files = out.inputFiles()
+    assert files and all("/shard=shard-" in f for f in files)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    written = spark.read.parquet(files[0].split("/shard=")[0]).select(docs.columns)
+    assert sorted(map(repr, written.collect())) == sorted(map(repr, docs.collect()))
