@@ -8,9 +8,9 @@ The model is over characters (order ``ORDER``) of lower-cased text with white sp
   its context (total and interpolation weight) and to its suffix (the next lower probability).
 * Scoring: the n-gram table is cut into shards of about ``SHARD_ROWS`` rows by the two characters before the
   last, which an n-gram, its suffixes and their contexts share; orders 1 and 2 are in every shard.  Each
-  shard is joined in turn to the n-grams of all documents (an open hash table in the tasks); the partial
-  log-probabilities of a document are summed.  So what is broadcast at once is bounded, however large the
-  model, and no text moves.
+  shard is collected to the driver, broadcast and looked up for the n-grams of all documents (an open hash
+  table in the tasks); the partial log-probabilities of a document are summed.  No text moves, but all
+  shards are live together, so memory grows with the model once it is larger than one shard.
 * Thresholds: every ``FOLD``-th trusted id (by a hash) is kept out of the counts; the perplexity quantiles of
   these documents, per language, are what unseen clean text looks like.  A document is kept between the low
   quantile over ``SLACK`` and the high one times it.
