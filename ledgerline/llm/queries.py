@@ -97,6 +97,22 @@ def op10_sentencepiece(spark, sf):
                        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
+def op11_spelling_variants(spark, sf):
+    from ledgerline.llm.spelling import spelling_variants
+    return spelling_variants(_table(spark, sf, "documents"), typo_every=199)
+
+
+def op12_html_extraction(spark, sf):
+    from ledgerline.llm.extraction import extract_main_text
+    return extract_main_text(_table(spark, sf, "pages"), "html", keep=("page_id", "url"))
+
+
+def op13_ranked_search(spark, sf):
+    from ledgerline.llm.ranking import rank_documents
+    found = rank_documents(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
@@ -108,6 +124,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -197,4 +216,53 @@ ORACLE = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    # near words by deleting the same place of both (replaced letter) or one place of the longer (inserted letter)
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM range(256) r(i)),
+        runs AS (SELECT doc_id, run, count(*) AS c
+                 FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+                 WHERE length(run) >= 6 GROUP BY doc_id, run),
+        bytes AS (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+        hashed AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295,
+                              list_transform(range(0, (length(x) // 2)::BIGINT), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+                          lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]))) AS h
+                   FROM bytes, crc),
+        words AS (SELECT word, sum(c)::BIGINT AS n
+                  FROM (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM hashed)
+                  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+        less AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        longer AS (SELECT DISTINCT l.word AS a, l.n AS an, w.word AS b, w.n AS bn FROM less l JOIN words w ON l.rest = w.word),
+        near AS (SELECT l.word, r.word AS other, r.n AS other_n FROM less l JOIN less r USING (i, rest) WHERE l.word <> r.word
+                 UNION SELECT a, b, bn FROM longer UNION SELECT b, a, an FROM longer),
+        best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+        forms AS (SELECT word, min(other) AS form, any_value(other_n) AS form_n
+                  FROM near JOIN best USING (word) JOIN words USING (word) WHERE other_n = top AND top >= 5 * n GROUP BY word),
+        chain AS (SELECT word, word AS at FROM words UNION SELECT c.word, f.form FROM chain c JOIN forms f ON c.at = f.word),
+        ends AS (SELECT c.word, c.at AS root FROM chain c LEFT JOIN forms f ON c.at = f.word WHERE f.word IS NULL)
+        SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n
+        FROM words JOIN ends USING (word) LEFT JOIN best USING (word) LEFT JOIN forms USING (word)""",
+    # these pages mark their article, so its blocks can be read off the tags
+    "op12_html_extraction": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(?:</article>|\z)', 1, 's') AS x FROM pages),
+        b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(x, '<br>', ' '), '</?(?:h1|p)>'),
+                  lambda p: trim(regexp_replace(replace(regexp_replace(regexp_replace(p, '<[^>]*>?', '', 'g'), '&quot;?', '"', 'g'), '&amp;', '&'),
+                                                '\s+', ' ', 'g'))) AS parts FROM a),
+        t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda p: p <> ''), chr(10)) AS text FROM b)
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t""",
+    "op13_ranked_search": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+        sizes AS (SELECT count(*) AS nn, sum(len(ws))::BIGINT AS ll FROM d WHERE len(ws) > 0),
+        i AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+        q AS (SELECT item_id, w, count(*) AS q FROM i GROUP BY item_id, w),
+        tf AS (SELECT doc_id, r, w, count(*) AS tf FROM (SELECT doc_id, r, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY doc_id, r, w),
+        weights AS (SELECT w, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+                    FROM (SELECT w, count(*) AS df FROM tf GROUP BY w), sizes),
+        m AS (SELECT r, 100 - 25 + (25 * len(ws) * nn) // ll AS m FROM d, sizes WHERE len(ws) > 0),
+        s AS (SELECT item_id, doc_id, r, sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+              FROM q JOIN tf USING (w) JOIN weights USING (w) JOIN m USING (r) GROUP BY item_id, doc_id, r)
+        SELECT item_id, rank::INT AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        WHERE rank <= 20""",
 }
