@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,26 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, UPPER.lower())
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: added columns can't clash with its own, which may have any names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def keep_rows(df: DataFrame, cols: list[str], make_test: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """The rows of which the values of ``cols`` pass the test; all columns as they were, nothing is shuffled.
+    ``make_test`` runs once in each task."""
+    at = [df.columns.index(c) for c in cols]
+
+    def run(batches):
+        test = make_test()
+        for b in batches:
+            values = zip(*(b.column(i).to_pylist() for i in at))
+            yield b.filter(pa.array([test(*v) for v in values], pa.bool_()))
+
+    plain = by_position(df)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 #: column of ``with_row_key``
 ROW = "__row"
 
@@ -22,7 +45,7 @@ ROW = "__row"
 def with_row_key(df: DataFrame) -> DataFrame:
     """``df`` with ``ROW``, a 256-bit digest of all columns: what is decided on a row is kept by it, so ids may
     repeat or be null.  Only equal rows share a key."""
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != ROW]))
     return df.withColumn(ROW, F.unhex(F.sha2(whole.cast("binary"), 256)))
 
 

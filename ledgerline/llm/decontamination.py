@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ROW, drop_rows, with_row_key
+from ledgerline.llm.common import keep_rows
 from ledgerline.session import materialize
 
 WINDOW = 10
@@ -168,10 +168,21 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      lenient: bool = True, **kw) -> DataFrame:
+                      lenient: bool = True, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
+                      shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``df`` without the rows that hold a benchmark window; all columns as they were.  ``lenient``: rows with a
-    null id stay."""
-    keyed = with_row_key(df)
-    rows = keyed.where(F.col(f"`{id_col}`").isNotNull()) if lenient else keyed
-    hit = decontaminate(rows, benchmark, ROW, text_col, **kw).where("n_hit > 0").select("id")
-    return drop_rows(keyed, materialize(hit.distinct())).drop(ROW)
+    null id stay.  Rows are dropped where they are scanned; what survives a shard of the benchmark is written and
+    meets the next, so one shard is live at a time."""
+    sc, shard = df.sparkSession.sparkContext, None
+    for items in _shards(benchmark, item_col, item_text_col, shard_bytes):
+        if shard is not None:
+            df = materialize(df)
+            shard.unpersist()
+        shard = sc.broadcast(Patterns(items, window))
+
+        def make_test(shard=shard):
+            vocab, automaton = shard.value.vocab, shard.value.automaton() if shard.value.windows else None
+            return lambda id_, text: lenient and id_ is None or not scan(text, vocab, automaton)[1]
+
+        df = keep_rows(df, [id_col, text_col], make_test)
+    return df

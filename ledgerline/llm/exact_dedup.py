@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ROW, drop_rows, lower_ascii, one_per_class, ranked, with_row_key
+from ledgerline.llm.common import ROW, by_position, drop_rows, lower_ascii, ranked, with_row_key
 from ledgerline.session import materialize
 
 
@@ -54,10 +54,18 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       lenient: bool = True) -> DataFrame:
     """``df`` without the rows whose text an other kept row has; all columns as they were.  ``lenient``: rows with a
     null id and all rows with the kept id stay; else one row of each text stays, null ids last."""
-    keyed = with_row_key(df)
-    rows = keyed.select(ranked(F.col(f"`{id_col}`"), keep).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    found = exact_classes(rows, "id", "text", keep)
+    plain = by_position(df)
+    id_, text = (f"c{df.columns.index(c)}" for c in (id_col, text_col))
     if lenient:
+        keyed = with_row_key(plain)
+        rows = keyed.select(ranked(F.col(id_), keep).alias("id"), F.col(text).alias("text"))
+        found = exact_classes(rows, "id", "text", keep)
         gone = found.where("id.id is not null and not (id.id <=> keep_id.id)").select("id.key")
-        return drop_rows(keyed, materialize(gone.distinct())).drop(ROW)
-    return one_per_class(keyed, materialize(found.select("id.key", "kept")))
+        return drop_rows(keyed, materialize(gone.distinct())).drop(ROW).toDF(*df.columns)
+    # the first row of each (hash, text) goes through one shuffle; each task sends one row of a text at most
+    low = lower_ascii(F.col(text))
+    best = F.col(id_).asc_nulls_last() if keep == "min" else F.col(id_).desc_nulls_last()
+    ties = [f.name for f in plain.schema.fields if f.dataType.typeName() not in ("map", "variant") and f.name != id_]
+    order = Window.partitionBy("hash", "low").orderBy(best, *ties)
+    ranks = plain.withColumn("hash", md5_128(low)).withColumn("low", low).withColumn("rank", F.row_number().over(order))
+    return ranks.where("rank = 1").drop("hash", "low", "rank").toDF(*df.columns)

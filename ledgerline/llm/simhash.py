@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ROW, drop_rows, one_per_class, ranked, with_row_key
+from ledgerline.llm.common import ROW, by_position, drop_rows, one_per_class, ranked, with_row_key
 from ledgerline.llm.components import connected_components
 from ledgerline.session import materialize
 
@@ -231,10 +231,12 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                      max_bits: int = 4, lenient: bool = True) -> DataFrame:
     """``df`` with one document of each component (the smallest id); all columns as they were.  ``lenient``: rows with
     a null id and all rows with the smallest id stay; else one row of each component stays, null ids last."""
-    keyed = with_row_key(df)
-    rows = keyed.select(ranked(F.col(f"`{id_col}`")).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    keyed = with_row_key(by_position(df))
+    id_, text = (f"c{df.columns.index(c)}" for c in (id_col, text_col))
+    rows = keyed.select(ranked(F.col(id_)).alias("id"), F.col(text).alias("text"))
     found = near_duplicates(rows, "id", "text", shingle, max_bits)
     if lenient:
         gone = found.where("id.id <> component_id.id").select("id.key")
-        return drop_rows(keyed, materialize(gone.distinct())).drop(ROW)
-    return one_per_class(keyed, materialize(found.select("id.key", F.expr("id <=> component_id").alias("kept"))))
+        return drop_rows(keyed, materialize(gone.distinct())).drop(ROW).toDF(*df.columns)
+    kept = found.select("id.key", F.expr("id <=> component_id").alias("kept"))
+    return one_per_class(keyed, materialize(kept)).toDF(*df.columns)

@@ -14,11 +14,10 @@ document (sum, best clause, number of matched clauses, sum per 100 words) go thr
 What is learned, and from what: labels of rows in the given training set only; text, never label, language,
 source or id, enters a score.  (1) The lexicon: words and word beginnings, with the log-odds of the share
 of toxic and of other training texts that hold them; a word takes the weight of its longest entry.  Texts
-with the same sketch (least hash of their 4-word shingles) count once, so copies don't make words look
-toxic.  At most ``LEXICON`` entries, the strongest, are kept: feature selection, and the size bound of
-the broadcast.  (2) The curve, from counts per rounded feature vector.  The training set is a
-sample of at most about ``FIT_ROWS`` labelled rows (all below that), chosen by a hash of the id; that bounds its
-broadcast.  Scoring covers every row and whole texts.
+that are equal but for case and white space count once, so copies don't make words look toxic.  Every entry
+that passes the odds test (``MIN_TEXTS``, ``MIN_ODDS``, ``MIN_Z``) is kept.  (2) The curve, from counts per rounded
+feature vector.  The training set is a sample of at most about ``FIT_ROWS`` labelled rows (all below that), chosen by
+a hash of the id; that bounds its broadcast and the lexicon's.  Scoring covers every row and whole texts.
 
 Defined cases: a null or empty text has no clause and the score of a text without matches; null ids, labels
 or toxic marks are no training rows; an id labelled twice is toxic if any label says so; with no toxic or
@@ -28,6 +27,7 @@ scored each; an empty table gives no rows.  Only the id, text and label columns
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -35,19 +35,19 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ROW, drop_rows, with_row_key
+from ledgerline.llm.common import keep_rows
 from ledgerline.session import materialize
 
 FIT_ROWS = 100_000
-LEXICON = 4096
 THRESHOLD = 0.7
 NEGATION_SPAN = 3
 PREFIXES = range(4, 9)
-MIN_ODDS = 2.0
+MIN_ODDS = 2.0          # log-odds of an entry of the lexicon, at least
+MIN_TEXTS = 5           # training texts that hold it, at least
+MIN_Z = 3.0             # its log-odds over their standard error, at least
 
 # fixed word lists of the grammar
 THREATS = ("kill destroy hurt beat shoot stab burn hang strangle "
@@ -68,11 +68,9 @@ def words_in(text: str) -> set[str]:
     return {w for w in WORD.findall(text.lower()) if w[0].isalpha()}
 
 
-def sketch(text: str) -> int:
-    """The least hash of the 4-word shingles, signed."""
-    words = text.lower().split()
-    spans = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))]
-    return min(map(xxhash.xxh64_intdigest, spans)) - (1 << 63)
+def content_key(text: str) -> bytes:
+    """Digest of a text's words: copies differ in case and white space only."""
+    return hashlib.md5(" ".join(text.lower().split()).encode()).digest()
 
 
 @dataclass
@@ -164,16 +162,16 @@ def _texts(rows: DataFrame, train: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(train), "id")      # bounded by FIT_ROWS
 
 
-def one_per_sketch(rows: DataFrame, train: DataFrame) -> DataFrame:
-    """Of training texts with the same sketch and label, the one with the smallest id."""
+def one_per_text(rows: DataFrame, train: DataFrame) -> DataFrame:
+    """Of training copies with the same label, the one with the smallest id."""
     def run(batches):
         for b in batches:
-            s = pa.array([sketch(t.as_py() or "") for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), s], names=["id", "toxic", "sketch"])
+            keys = pa.array([content_key(t.as_py() or "") for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), keys], names=["id", "toxic", "content"])
 
     kind = dict(rows.dtypes)["id"]
-    drawn = _texts(rows, train).select("id", "text", "toxic").mapInArrow(run, f"id {kind}, toxic int, sketch long")
-    return materialize(drawn.groupBy("sketch", "toxic").agg(F.min("id").alias("id")).select("id", "toxic"))
+    drawn = _texts(rows, train).select("id", "text", "toxic").mapInArrow(run, f"id {kind}, toxic int, content binary")
+    return materialize(drawn.groupBy("content", "toxic").agg(F.min("id").alias("id")).select("id", "toxic"))
 
 
 def learn_lexicon(rows: DataFrame, train: DataFrame) -> dict[str, float]:
@@ -198,26 +196,23 @@ def learn_lexicon(rows: DataFrame, train: DataFrame) -> dict[str, float]:
         F.array(F.concat("word", F.lit("$"))),
         F.transform(F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length("word")),
                     lambda n: F.substring(F.col("word"), F.lit(1), n))))
-    support = max(5, round(0.003 * n1))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     entries = materialize(counted.select(entry.alias("entry"), "a", "b").groupBy("entry")
                           .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-                          .where((F.col("a") + F.col("b")) >= support).withColumn("odds", odds))
-    strong = (entries.where((F.col("a") >= support) & (F.col("odds") >= MIN_ODDS))
-              .orderBy((F.col("odds") * F.sqrt("a")).desc(), "entry").limit(LEXICON).collect())
+                          .where((F.col("a") + F.col("b")) >= MIN_TEXTS).withColumn("odds", odds))
+    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    strong = entries.where((F.col("a") >= MIN_TEXTS) & (F.col("odds") >= MIN_ODDS) & (F.col("odds") >= MIN_Z * error)).collect()
     held = {r["entry"]: r["a"] for r in strong}
     # a beginning that one longer entry accounts for says nothing of its own
     covered = {e[:n] for e, a in held.items() for n in PREFIXES if n < len(e) and a >= 0.9 * held.get(e[:n], a + a)}
     weights = {r["entry"]: float(min(r["odds"], 6.0)) for r in strong if r["entry"] not in covered}
-    begins = sorted(e for e in weights if not e.endswith("$"))
+    begins = [(e,) for e in weights if not e.endswith("$")]
     if begins:     # longer entries below a kept beginning may say less: they override it
-        below = F.lit(False)
-        for n in PREFIXES:
-            own = [e for e in begins if len(e) == n]
-            if own:
-                below = below | (F.substring("entry", 1, n).isin(own) & (F.length("entry") > n))
-        weak = (entries.where(below & (F.col("odds") < MIN_ODDS))
-                .orderBy((F.col("a") + F.col("b")).desc(), "entry").limit(LEXICON).collect())
+        kept = F.broadcast(rows.sparkSession.createDataFrame(begins, "begin string"))
+        prefix = F.explode(F.transform(F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n < F.length("entry")),
+                                       lambda n: F.substring(F.col("entry"), F.lit(1), n)))
+        weak = (entries.where(F.col("odds") < MIN_ODDS).select("entry", "odds", prefix.alias("begin"))
+                .join(kept, "begin").select("entry", "odds").distinct().collect())
         weights.update({r["entry"]: float(max(r["odds"], 0.0)) for r in weak})
     return weights
 
@@ -225,7 +220,7 @@ def learn_lexicon(rows: DataFrame, train: DataFrame) -> dict[str, float]:
 def document_features(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     """The features of every row in place of its text."""
     rest = [c for c in rows.columns if c != "text"]
-    shared = rows.sparkSession.sparkContext.broadcast(weights)        # at most 2 * LEXICON entries
+    shared = rows.sparkSession.sparkContext.broadcast(weights)        # entries of at most FIT_ROWS texts
 
     def run(batches):
         grammar = Grammar(shared.value)
@@ -261,36 +256,46 @@ def fit_curve(counts: list, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def fit(rows: DataFrame, labels: DataFrame, id_col: str, label_id_col: str, toxic_col: str):
+    """(lexicon, curve) learned from the labelled ones of ``rows`` (id, text)."""
+    distinct = one_per_text(rows, training_rows(rows, labels, id_col, label_id_col, toxic_col))
+    weights = learn_lexicon(rows, distinct)
+    found = document_features(_texts(rows, distinct).select("id", "text", "toxic"), weights)
+    counts = found.groupBy(*FEATURES, "toxic").agg(F.count(F.lit(1)).alias("n")).collect()       # rounded: a bounded grid
+    return weights, fit_curve(counts)
+
+
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_id_col: str = "doc_id", toxic_col: str = "toxic") -> DataFrame:
     """One row per row of ``df``: ``id``, ``score`` in [0, 1] and the features; ``labels`` holds the ids to
     learn from."""
-    return _scored(df, labels, id_col, text_col, label_id_col, toxic_col).select("id", "score", *FEATURES)
-
-
-def _scored(df, labels, id_col="doc_id", text_col="text", label_id_col="doc_id", toxic_col="toxic", passed=()) -> DataFrame:
-    """The scores with the columns ``passed`` beside them."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), *passed, F.col(f"`{text_col}`").cast("string").alias("text"))
-    train = training_rows(df, labels, id_col, label_id_col, toxic_col)
-    distinct = one_per_sketch(rows, train)
-    found = materialize(document_features(rows, learn_lexicon(rows, distinct)))
-    counts = (found.join(F.broadcast(distinct), "id").groupBy(*FEATURES, "toxic")
-              .agg(F.count(F.lit(1)).alias("n")).collect())             # rounded: a bounded grid
-    w = fit_curve(counts)
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    weights, w = fit(rows, labels, id_col, label_id_col, toxic_col)
     if np.isinf(w[-1]):
         score = F.lit(float(w[-1] > 0))
     else:
         line = sum((F.col(f) * float(c) for f, c in zip(FEATURES, w)), F.lit(float(w[-1])))
         score = 1 / (1 + F.exp(-line))
-    return found.withColumn("score", score)
+    return document_features(rows, weights).select("id", score.alias("score"), *FEATURES)
 
 
-def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               threshold: float = THRESHOLD, lenient: bool = True, **kw) -> DataFrame:
+def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+               lenient: bool = True, label_id_col: str = "doc_id", toxic_col: str = "toxic") -> DataFrame:
     """``df`` without the rows scored at ``threshold`` or more; all columns as they were.  ``lenient``: rows with a
-    null id stay."""
-    keyed = with_row_key(df)
-    bad = _scored(keyed, labels, id_col, text_col, passed=(ROW,), **kw).where(F.col("score") >= threshold)
-    if lenient:
-        bad = bad.where("id is not null")
-    return drop_rows(keyed, materialize(bad.select(ROW).distinct())).drop(ROW)
+    null id stay.  A row is dropped where it is scored; nothing is shuffled."""
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    weights, w = fit(rows, labels, id_col, label_id_col, toxic_col)
+    shared = df.sparkSession.sparkContext.broadcast(weights)
+
+    def make_test():
+        grammar = Grammar(shared.value)
+        triggers = grammar.triggers()
+
+        def test(id_, text):
+            if lenient and id_ is None:
+                return True
+            line = w[-1] if np.isinf(w[-1]) else sum((f * c for f, c in zip(features(text, grammar, triggers), w)), w[-1])
+            return 1 / (1 + np.exp(-line)) < threshold
+        return test
+
+    return keep_rows(df, [id_col, text_col], make_test)
