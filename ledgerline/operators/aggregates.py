@@ -63,6 +63,11 @@ def group_movements(rows: DataFrame, keys) -> DataFrame:
     keys = list(keys)
     lvl1 = (rows.groupBy(*keys, "concept")
             .agg(F.count(F.lit(1)).alias("_n"), F.max("date").alias("_d"), F.sum("amount").alias("_s")))
+    return groups_from_concepts(lvl1, keys)
+
+
+def groups_from_concepts(lvl1: DataFrame, keys) -> DataFrame:
+    """A4's second level, on (keys, concept) with _n, _d and _s."""
     return (lvl1.groupBy(*keys)
             .agg(F.max("_d").alias("last_date"),
                  F.min_by("concept", F.struct((-F.col("_n")).alias("a"), F.col("concept").alias("b"))).alias("_mode"),
@@ -73,7 +78,11 @@ def group_movements(rows: DataFrame, keys) -> DataFrame:
 def category_groups(led: DataFrame, **kw) -> DataFrame:
     """A4 inside a category: groups by (origin, subcategory) per (ledger, month, category) with the
     display rank O1 (amount ascending) and whether the group is among the first 30, which are shown."""
-    g = group_movements(expense_rows(led, **kw), ["ledger_id", "month", "category", "origin", "subcategory"])
+    return ranked_groups(group_movements(expense_rows(led, **kw), ["ledger_id", "month", "category", "origin", "subcategory"]))
+
+
+def ranked_groups(g: DataFrame) -> DataFrame:
+    """O1 on A4's groups inside a category."""
     w = Window.partitionBy("ledger_id", "month", "category").orderBy("total", "origin", "subcategory")
     return g.withColumn("rank", F.row_number().over(w)).withColumn("shown", F.col("rank") <= GROUP_MOVEMENTS_SHOWN)
 
@@ -151,3 +160,9 @@ def categories_from_detail(fine: DataFrame) -> DataFrame:
     """A2 from ``month_detail``."""
     return (fine.where(F.col("flow") == "expense").groupBy("ledger_id", "month", "category")
                 .agg((-F.sum("amount")).alias("total"), F.sum("n").alias("n")))
+
+
+def subcategories_from_detail(fine: DataFrame) -> DataFrame:
+    """A3 from ``month_detail``."""
+    return (fine.where((F.col("flow") == "expense") & (F.col("subcategory") != ""))
+                .groupBy("ledger_id", "month", "category", "subcategory").agg((-F.sum("amount")).alias("total")))

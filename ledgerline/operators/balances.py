@@ -59,7 +59,9 @@ def bank_balance(led: DataFrame, origin: str | None = None, zero_is_unknown: boo
 
 def bank_balance_from(m: DataFrame, zero_is_unknown: bool = True) -> DataFrame:
     """W3's recurrence on a (ledger_id, month, net, _last) month aggregate, ``_last`` being the
-    bank balance on the month's last movement."""
+    bank balance on the month's last movement.  A column ``_anchor`` holds the ledger's closing before its first
+    month here (null: unknown)."""
+    anchor = F.col("_anchor") if "_anchor" in m.columns else F.lit(None).cast("decimal(38,2)")
     known = F.nullif(F.col("_last"), zero()) if zero_is_unknown else F.col("_last")
     m = m.withColumn("_known", known).withColumn(
         "_seg", F.count("_known").over(_by_ledger().rowsBetween(_U, 0)))
@@ -68,9 +70,9 @@ def bank_balance_from(m: DataFrame, zero_is_unknown: bool = True) -> DataFrame:
         F.col("_seg") > 0,
         F.first("_known").over(seg_w.rowsBetween(_U, _F))
         + F.sum("net").over(seg_w.rowsBetween(_U, 0))
-        - F.first("net").over(seg_w.rowsBetween(_U, _F)))
+        - F.first("net").over(seg_w.rowsBetween(_U, _F))).otherwise(anchor + F.sum("net").over(seg_w.rowsBetween(_U, 0)))
     m = m.withColumn("closing", closing)
-    prev = F.lag("closing").over(_by_ledger())
+    prev = F.coalesce(F.lag("closing").over(_by_ledger()), anchor)
     opening = F.when(prev.isNull() & F.col("closing").isNotNull(), F.col("closing") - F.col("net")).otherwise(prev)
     return m.withColumn("opening", opening).select("ledger_id", "month", "opening", "closing", "net")
 

@@ -908,3 +908,36 @@ UNION ALL SELECT ledger_id, 'cross ' || section, category, month, {_d('value', '
 UNION ALL SELECT ledger_id, 'card ' || section, category, month, {_d('value', 'value')} FROM yt WHERE level = 'category'""")
 
 ORACLE["classify_index"] = q(_rules_cte(), select=_CLS_SELECT)
+
+
+# ---- stored month views (T2) --------------------------------------------------------------------
+
+AFTER = """
+after_mv AS (
+  SELECT ledger_id, row_id, date, kind, origin, category, subcategory, concept, debit, credit, bank_balance FROM old_ledger
+  UNION ALL
+  SELECT ledger_id, row_id, date, new_kind, new_origin, new_category, new_subcategory, concept, CASE WHEN debit > 0 THEN debit END,
+         CASE WHEN credit > 0 THEN credit END, nullif(bank_balance, 0) FROM cls
+)"""
+
+
+def after_import(*ctes: str, select: str) -> str:
+    """Like ``q`` over the ledger after the import."""
+    return "WITH RECURSIVE " + ",\n".join([ADAPTER, *_imported_ctes(), AFTER, LEDGER.replace("FROM movements", "FROM after_mv"),
+                                          OPENING, *ctes]) + "\n" + select
+
+
+ORACLE["refresh_all"] = after_import(MONTHS, RUNNING, CAT_TOTALS, BANK, GROUPS, CROSS.format(src="fl"), select="""
+, v AS (
+  SELECT 'A1' AS view, ledger_id, month, 'expense' AS key, expense_total AS value, NULL AS n FROM mt
+  UNION ALL SELECT 'A1', ledger_id, month, 'income', income_total, NULL FROM mt
+  UNION ALL SELECT 'A2', ledger_id, month, category, total, n FROM ct
+  UNION ALL SELECT 'A3', ledger_id, month, category || '|' || subcategory, -sum(amount), NULL
+            FROM fl WHERE flow = 'expense' AND subcategory <> '' GROUP BY ledger_id, month, category, subcategory
+  UNION ALL SELECT 'A4', ledger_id, month, concat_ws('|', category, origin, subcategory, concept, last_date), total, n FROM grp
+  UNION ALL SELECT 'A5', ledger_id, month, concat_ws('|', section, level, category, subcategory), value, rank FROM xt
+  UNION ALL SELECT 'W1', ledger_id, month, 'closing', closing, NULL FROM rb
+  UNION ALL SELECT 'W1', ledger_id, month, 'opening', closing - net, NULL FROM rb
+  UNION ALL SELECT 'W3', ledger_id, month, 'closing', closing, NULL FROM bk
+  UNION ALL SELECT 'W3', ledger_id, month, 'opening', opening, NULL FROM bk)
+SELECT view, ledger_id, month, key, cast(value AS double) AS value, cast(n AS bigint) AS n FROM v""")

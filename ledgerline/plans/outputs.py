@@ -17,6 +17,7 @@ from ledgerline.sources.ledger import read_ledger
 from ledgerline.sources.statements import FIELDS, read_statements, write_statement_files
 from ledgerline.streaming.inbox import import_stream as stream_op
 from ledgerline.streaming.inbox import refresh_months as refresh_op
+from ledgerline.streaming.views import MonthViews
 
 GENERATED_AT = "2026-01-01T00:00:00"
 
@@ -96,10 +97,44 @@ def refresh_months(spark, sf):
     return finalize(refresh_op(old_months, led_after, touched))
 
 
+def view_rows(views):
+    """All views as rows: view, ledger_id, month, key, value, n."""
+    none = F.lit(None).cast("long")
+
+    def rows(view, df, key, value, n=none):
+        return df.select(F.lit(view).alias("view"), "ledger_id", "month", key.alias("key"), F.col(value).cast("double").alias("value"), n.cast("long").alias("n"))
+
+    text = lambda *cols: F.concat_ws("|", *cols)
+    months, w1, w3 = views.month_totals(), views.running_balance(), views.bank_balance()
+    parts = [rows("A1", months, F.lit("expense"), "expense_total"), rows("A1", months, F.lit("income"), "income_total"),
+             rows("A2", views.category_totals(), F.col("category"), "total", F.col("n")),
+             rows("A3", views.subcategory_totals(), text("category", "subcategory"), "total"),
+             rows("A4", views.category_groups(), text("category", "origin", "subcategory", "concept", F.col("last_date").cast("string")), "total", F.col("n")),
+             rows("A5", views.cross_table(), text("section", "level", "category", "subcategory"), "value", F.col("rank")),
+             *[rows(v, df, F.lit(c), c) for v, df in (("W1", w1), ("W3", w3)) for c in ("closing", "opening")]]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def refresh_all(spark, sf):
+    """The stored views of the ledger after an import and after a second batch of backdated rows (1998), which the
+    first state of the ledger lacks."""
+    old = adapter.existing_ledger(spark, sf)
+    late = (F.year("date") == 1998) & (F.substring("row_id", 14, 2) == "04")
+    views = MonthViews(spark, scratch_path(spark, "views"), adapter.opening_balances(spark, sf), adapter.FIRST_YEAR, buckets=1)
+    views.refresh(old.where(~late), "initial")
+    views.refresh(import_op(adapter.incoming_rows(spark, sf), old, rules(spark, sf), "import-1"), "import-1")
+    views.refresh(old.where(late), "late-1")
+    return view_rows(views)
+
+
 QUERIES = {
     "write_document": write_document,
     "document_values": document_values,
     "map_columns": map_columns,
     "import_stream": import_stream,
     "refresh_months": refresh_months,
+    "refresh_all": refresh_all,
 }
