@@ -941,3 +941,11 @@ ORACLE["refresh_all"] = after_import(MONTHS, RUNNING, CAT_TOTALS, BANK, GROUPS,
   UNION ALL SELECT 'W3', ledger_id, month, 'closing', closing, NULL FROM bk
   UNION ALL SELECT 'W3', ledger_id, month, 'opening', opening, NULL FROM bk)
 SELECT view, ledger_id, month, key, cast(value AS double) AS value, cast(n AS bigint) AS n FROM v""")
+
+# every file of the fixture has two lines that cannot be read
+ORACLE["stream_summary"] = q(*_imported_ctes(), select="""
+SELECT r.ledger_id, cast(r.file_no AS bigint) AS file_no, 'imported' AS status, r.n_read, coalesce(a.n_new, 0) AS n_new,
+       coalesce(a.n_new - a.n_review, 0) AS n_classified, coalesce(a.n_review, 0) AS n_review, 2::BIGINT AS n_rejected, coalesce(a.n_review, 0) > 0 AS alert
+FROM (SELECT ledger_id, file_no, count(*) AS n_read FROM incoming GROUP BY 1, 2) r
+LEFT JOIN (SELECT ledger_id, file_no, count(*) AS n_new, count(*) FILTER (WHERE new_category = 'Sin clasificar') AS n_review
+           FROM cls GROUP BY 1, 2) a USING (ledger_id, file_no)""")

@@ -17,6 +17,7 @@ from ledgerline.sources.ledger import read_ledger
 from ledgerline.sources.statements import FIELDS, read_statements, write_statement_files
 from ledgerline.streaming.inbox import import_stream as stream_op
 from ledgerline.streaming.inbox import refresh_months as refresh_op
+from ledgerline.streaming.inbox import run_log
 from ledgerline.streaming.views import MonthViews
 
 GENERATED_AT = "2026-01-01T00:00:00"
@@ -71,19 +72,31 @@ _CANON = ["ledger_id", "reference", "kind", "origin", "category", "subcategory",
           "bank_balance", "review"]
 
 
-def import_stream(spark, sf):
-    """The incoming rows as raw statement files in an inbox, imported by the streaming job
-    into a ledger folder (one ``batch_id=`` folder per micro-batch); returns the imported rows."""
+def _streamed(spark, sf):
+    """The incoming rows as raw statement files in an inbox, imported by the streaming job; the ledger's path."""
     inbox = write_statement_files(adapter.incoming_rows(spark, sf), scratch_path(spark, "inbox"))
     led_path = scratch_path(spark, "ledger")
     (adapter.existing_ledger(spark, sf).drop("batch_id")
         .write.mode("overwrite").parquet(f"{led_path}/batch_id=initial"))
     stream_op(spark, inbox, led_path, rules(spark, sf), scratch_path(spark, "stream-ckpt"))
-    out = spark.read.parquet(led_path).where(F.col("batch_id") != "initial")
+    return led_path
+
+
+def import_stream(spark, sf):
+    """The rows that the stream imported into a ledger folder (one ``batch_id=`` folder per micro-batch)."""
+    out = spark.read.parquet(_streamed(spark, sf)).where(F.col("batch_id") != "initial")
     # some references of the fixture hold a line break and a separator
     return finalize(out.withColumn("reference", F.split_part("reference", F.lit("\n"), F.lit(1))).select(*_CANON))
 
 
+def stream_summary(spark, sf):
+    """A14 of the stream: the run log, one row per statement file."""
+    log = run_log(spark, f"{_streamed(spark, sf)}-runs")
+    return finalize(log.select(
+        F.regexp_extract("path", r"ledger_id=([^/]+)", 1).alias("ledger_id"), F.regexp_extract("path", r"file_no=([^/]+)", 1).cast("int").alias("file_no"),
+        "status", "n_read", "n_new", "n_classified", "n_review", "n_rejected", "alert"))
+
+
 def refresh_months(spark, sf):
     """Month totals after an import, recomputed only for the touched (ledger, month) pairs."""
     old = adapter.existing_ledger(spark, sf)
@@ -135,6 +148,7 @@ QUERIES = {
     "document_values": document_values,
     "map_columns": map_columns,
     "import_stream": import_stream,
+    "stream_summary": stream_summary,
     "refresh_months": refresh_months,
     "refresh_all": refresh_all,
 }

@@ -39,3 +39,21 @@ def move(spark: SparkSession, source, target: str) -> str | None:
         name = f"{target}~{no}"
         p, fs = _path(spark, name)
     return name if fs.rename(src, p) else None
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.mkdirs(p)
+
+
+def state(spark: SparkSession, uri: str) -> tuple[int, int] | None:
+    """(modification time in ms, length) of a file that can be opened; None if there is none.  Raises what opening
+    it raises."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    fs.open(p).close()
+    status = fs.getFileStatus(p)
+    return status.getModificationTime(), status.getLen()
