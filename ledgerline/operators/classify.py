@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ledgerline.constants import UNCLASSIFIED
 from ledgerline.functions.numbers import abs_amount
 from ledgerline.functions.text import norm_concept, strip
+from ledgerline.session import materialize
 
 MAX_INLINE_RULES = 2_000
 AUTO_CASE_RULES = 32
@@ -170,12 +171,12 @@ def gram_matches(texts: DataFrame, columns: list[str], patterns: DataFrame, patt
     own = patterns.where(F.length(pattern) > 0)
     sizes = [GRAM] + [n for n in range(1, GRAM) if not own.where(F.length(pattern) == n).isEmpty()]
     every = F.array_distinct(F.flatten(F.array(*[grams_of(F.col(c), n) for c in columns for n in sizes])))
-    grams = texts.withColumn("_g", F.explode(every))
-    held = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     size = F.least(F.length(pattern), F.lit(GRAM))
     starts = F.sequence(F.lit(1), F.length(pattern) - size + 1)
     options = own.select(pattern).distinct().withColumn("_g", F.explode(F.array_distinct(F.transform(
         starts, lambda i: F.substring(F.col(pattern), i, size)))))
+    grams = texts.withColumn("_g", F.explode(every))
+    held = grams.join(options.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     # a gram that no text contains counts 0: the pattern's key is then that gram, and it meets no text
     rarest = (options.join(held, "_g", "left").groupBy(pattern)
               .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g")))["g"].alias("_g")))
@@ -187,8 +188,8 @@ def gram_matches(texts: DataFrame, columns: list[str], patterns: DataFrame, patt
 
 
 def _amount_only(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str):
-    """(rows, the best amount-only rule of a row as a candidate).  A few rules are a CASE chain; more are met by
-    the distinct amounts."""
+    """(rows, the best amount-only rule of a row as a candidate).  A few rules are a CASE chain; more are an interval
+    tree that the distinct amounts are looked up in."""
     amt = abs_amount(debit, credit)
     blank = strip(F.coalesce(F.col(concept).cast("string"), F.lit(""))) == ""
     own = rules.where(F.col("pattern") == "").select("lo", "hi", _candidate(_rank()).alias("_a_rule"))
@@ -202,13 +203,46 @@ def _amount_only(df: DataFrame, rules: DataFrame, concept: str, debit: str, cred
             rule = _literal(r["_a_rule"], kind)
             expr = F.when(cond, rule) if expr is None else expr.when(cond, rule)
         return df, expr
-    amounts = df.select(amt.alias("_a_amt")).distinct()
-    fits = (F.col("lo").isNull() | (F.col("_a_amt") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("_a_amt") <= F.col("hi")))
-    best = amounts.join(own, fits).groupBy("_a_amt").agg(F.min("_a_rule").alias("_a_best"))
+    amounts = df.where(~blank).select(amt.alias("_a_amt")).distinct()
+    best = stab_intervals(amounts, "_a_amt", own, "_a_rule").select("_a_amt", F.col("_a_rule").alias("_a_best"))
     rows = df.withColumn("_a_row", amt).join(best, F.col("_a_row") == F.col("_a_amt"), "left").drop("_a_row", "_a_amt")
     return rows, F.when(~blank, F.col("_a_best"))
 
 
+#: amounts are cents below 2^TOP
+TOP = 60
+
+
+def _nodes(intervals: DataFrame) -> DataFrame:
+    """Intervals [lo, hi] of amounts as the nodes (level, node) of a binary tree over the cents: at most two of each
+    level, disjoint and together exactly the interval.  A missing bound is the end of the line."""
+    first = F.coalesce(F.greatest(F.ceil(F.col("lo") * 100).cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long"))
+    past = F.coalesce(F.floor(F.col("hi") * 100).cast("long") + 1, F.lit(1 << TOP))
+    at = (intervals.withColumn("_first", first).withColumn("_past", past)
+          .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(TOP)))))
+    up = F.expr("(_first + shiftleft(1L, _level) - 1) >> _level")           # whole nodes [up, down) lie inside
+    down = F.expr("_past >> _level")
+    at = at.withColumn("_up", up).withColumn("_down", down).where("_up < _down")
+    ends = F.array(F.when(F.col("_up") % 2 == 1, F.col("_up")), F.when(F.col("_down") % 2 == 1, F.col("_down") - 1))
+    return (at.withColumn("_node", F.explode(F.filter(ends, lambda x: x.isNotNull())))
+              .drop("_first", "_past", "_up", "_down", "lo", "hi"))
+
+
+def stab_intervals(points: DataFrame, point: str, intervals: DataFrame, value: str) -> DataFrame:
+    """Each row of ``points`` (distinct amounts) that lies in some interval (lo, hi, value), with the least value of
+    those.  An equi-join: a point's ancestors in the tree meet the intervals' nodes, of which each keeps only its
+    least value, so a node is met once however many intervals share it."""
+    tree = materialize(_nodes(intervals).groupBy("_level", "_node").agg(F.min(value).alias(value)))
+    levels = [r["_level"] for r in tree.select("_level").distinct().orderBy("_level").collect()]      # at most TOP + 1
+    if not levels:
+        return points.limit(0).withColumn(value, F.lit(None).cast(intervals.schema[value].dataType))
+    above = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    above = above.withColumn("_node", F.expr(f"cast(`{point}` * 100 as bigint) >> _level"))
+    if _fewer_than(tree, MAX_BROADCAST_RULES):
+        tree = F.broadcast(tree)
+    return above.join(tree, ["_level", "_node"]).groupBy(point).agg(F.min(value).alias(value))
+
+
 def _literal(row, kind) -> Column:
     """A collected struct as a literal column of the same type."""
     fields = [(_literal(row[f.name], f.dataType) if hasattr(f.dataType, "fields") else F.lit(row[f.name]).cast(f.dataType)).alias(f.name)

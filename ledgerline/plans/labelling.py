@@ -44,6 +44,24 @@ def classify_distinct(spark, sf):
     return _labels(_classified(spark, sf, "distinct"))
 
 
+def amount_rules(spark, sf):
+    """One amount-only rule for each part: from its price to a width by its key; some are open at one end."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    price, width = F.col("p_retailprice").cast("decimal(18,2)"), (F.col("p_partkey") % 97 * 3).cast("decimal(18,2)")
+    return load_rules_op(part.select(
+        F.col("p_partkey").cast("int").alias("ord"), F.lit("").alias("pattern"),
+        F.when(F.col("p_partkey") % 211 != 0, (price * 20).cast("string")).alias("lo"),
+        F.when(F.col("p_partkey") % 307 != 0, (price * 20 + width).cast("string")).alias("hi"),
+        F.concat(F.lit("Rango "), F.col("p_partkey").cast("string")).alias("category"),
+        F.when(F.col("p_partkey") % 5 == 0, "s").otherwise("").alias("subcategory"), F.lit("").alias("origin"), F.lit("").alias("kind")))
+
+
+def classify_amounts(spark, sf):
+    """J2 with as many amount-only rules as there are parts."""
+    mv = adapter.movements(spark, sf).select("ledger_id", "row_id", "concept", "debit", "credit")
+    return _labels(C.classify(mv, amount_rules(spark, sf), strategy="index"))
+
+
 def rule_coverage(spark, sf):
     return finalize(C.rule_coverage(_classified(spark, sf)))
 
@@ -73,6 +91,7 @@ QUERIES = {
     "classify": classify,
     "classify_join": classify_join,
     "classify_distinct": classify_distinct,
+    "classify_amounts": classify_amounts,
     "classify_index": classify_index,
     "rule_coverage": rule_coverage,
     "category_distribution": category_distribution,

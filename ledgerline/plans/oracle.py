@@ -949,3 +949,17 @@ SELECT r.ledger_id, cast(r.file_no AS bigint) AS file_no, 'imported' AS status,
 FROM (SELECT ledger_id, file_no, count(*) AS n_read FROM incoming GROUP BY 1, 2) r
 LEFT JOIN (SELECT ledger_id, file_no, count(*) AS n_new, count(*) FILTER (WHERE new_category = 'Sin clasificar') AS n_review
            FROM cls GROUP BY 1, 2) a USING (ledger_id, file_no)""")
+
+ORACLE["classify_amounts"] = q(select="""
+, rules AS (
+  SELECT p_partkey AS ord, 'Rango ' || p_partkey::VARCHAR AS category, CASE WHEN p_partkey % 5 = 0 THEN 's' ELSE '' END AS sub,
+         CASE WHEN p_partkey % 211 <> 0 THEN p_retailprice::DECIMAL(18,2) * 20 END AS lo,
+         CASE WHEN p_partkey % 307 <> 0 THEN p_retailprice::DECIMAL(18,2) * 20 + (p_partkey % 97 * 3)::DECIMAL(18,2) END AS hi
+  FROM part WHERE p_partkey % 211 <> 0 OR p_partkey % 307 <> 0),
+amounts AS (SELECT DISTINCT greatest(abs(coalesce(debit, 0)), abs(coalesce(credit, 0))) AS amt FROM movements),
+hit AS (SELECT amt, min({'a': CASE WHEN sub = '' THEN 1 ELSE 0 END, 'ord': ord}) AS best
+        FROM amounts JOIN rules ON (lo IS NULL OR amt >= lo) AND (hi IS NULL OR amt <= hi) GROUP BY amt)
+SELECT m.ledger_id, m.row_id, r.ord AS rule_ord, coalesce(r.category, 'Sin clasificar') AS new_category, coalesce(r.sub, '') AS new_subcategory,
+       '' AS new_origin, '' AS new_kind
+FROM movements m LEFT JOIN hit h ON h.amt = greatest(abs(coalesce(debit, 0)), abs(coalesce(credit, 0)))
+LEFT JOIN rules r ON r.ord = h.best.ord""")

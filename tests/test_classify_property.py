@@ -58,3 +58,35 @@ def test_strategies_agree_with_direct_reading(spark, rules, rows):
     for strategy in ("case", "join", "distinct", "index"):
         got = {r["row_id"]: r["new_category"] for r in C.classify(df, ranked, strategy).collect()}
         assert got == exp, strategy
+
+
+def test_many_amount_rules_need_no_pairwise_join(spark):
+    """More amount-only rules than a CASE chain takes: equal to a direct reading, and only equi-joins in the plan."""
+    import random
+    rnd = random.Random(9)
+    for n in (40, 400):
+        rules = []
+        for i in range(n):
+            lo, hi = (rnd.choice([None, str(rnd.randrange(3000) / 4)]) for _ in range(2))
+            if lo is None and hi is None:
+                hi = "10"
+            rules.append(("", lo, hi, f"C{i}", rnd.choice(["", "s"]), ""))
+        raw = spark.createDataFrame([(i + 1, *r, "") for i, r in enumerate(rules)], SCHEMA)
+        ranked = load_rules(raw)
+        amounts = [f"{rnd.randrange(0, 80000) / 100:.2f}" for _ in range(150)] + ["0.00", "9999999999999999.99"]
+        data = [(str(i), rnd.choice(["RING", "BOLT 7", " "]), D(a)) for i, a in enumerate(amounts)]
+        df = spark.createDataFrame([(*d, None) for d in data], "row_id string, concept string, debit decimal(18,2), credit decimal(18,2)")
+        out = C.classify(df, ranked, "index")
+        assert {r["row_id"]: r["new_category"] for r in out.collect()} == {i: _expected(rules, c, str(a)) for i, c, a in data}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_stabbing_is_exact_at_the_bounds(spark):
+    rows = [("0", "0", 5), ("10.01", "10.01", 4), ("10", "20.5", 3), (None, "7", 2), ("1000", None, 1), ("30", "20", 0), ("-5", "-1", 0)]
+    iv = spark.createDataFrame(rows, "lo string, hi string, v int").selectExpr("cast(lo as decimal(18,2)) lo", "cast(hi as decimal(18,2)) hi", "v")
+    points = [D(x) for x in ("0.00", "6.99", "7.00", "7.01", "10.00", "10.01", "20.50", "20.51", "999.99", "1000.00", "9999999999999999.99")]
+    pts = spark.createDataFrame([(p,) for p in points], "p decimal(18,2)")
+    got = {r["p"]: r["v"] for r in C.stab_intervals(pts, "p", iv, "v").collect()}
+    want = {p: min((v for lo, hi, v in rows if (lo is None or D(lo) <= p) and (hi is None or p <= D(hi))), default=None) for p in points}
+    assert got == {p: v for p, v in want.items() if v is not None}
