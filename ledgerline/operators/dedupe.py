@@ -30,19 +30,32 @@ def drop_key(df: DataFrame) -> DataFrame:
     return df.drop(*KEY[1:])
 
 
+def _meets(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
+    """Semi or anti join on ``keys``; rows without a ledger are one ledger, as in ``first_file_wins``."""
+    other = right.select(*[F.col(c).alias(f"_o{c}") for c in keys])
+    on = [F.col(c).eqNullSafe(F.col(f"_o{c}")) if c == "ledger_id" else F.col(c) == F.col(f"_o{c}") for c in keys]
+    return left.join(other, on, how)
+
+
 def _known_keys(ledger: DataFrame, inc: DataFrame) -> DataFrame:
-    """Keys of the ledger rows that share (ledger, date) with the batch: a semi join on the batch's small day set
-    filters the ledger map-side, before a join on keys shuffles it."""
+    """Keys of the ledger rows that share (ledger, date) with the batch.  The batch's first and last day are a range on
+    the date column, which reaches the ledger's scan; a semi join on its small day set then filters the rest
+    map-side, before a join on keys shuffles it."""
+    first, last = inc.agg(F.min("_k_date"), F.max("_k_date")).first()
+    rows = ledger
+    if dict(ledger.dtypes)["date"] in ("date", "timestamp", "timestamp_ntz"):
+        after = F.date_add(F.lit(last).cast("date"), 1)
+        rows = ledger.where((F.col("date") >= F.lit(first).cast("date")) & (F.col("date") < after))
     days = inc.select("ledger_id", "_k_date").distinct()
-    return with_key(ledger).join(days, ["ledger_id", "_k_date"], "left_semi").select(*KEY)
+    return _meets(with_key(rows), days, ("ledger_id", "_k_date"), "left_semi").select(*KEY)
 
 
 def new_movements(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     """Incoming rows whose key is absent from the ledger (left anti join; duplicates inside one
     file are all kept).  Spark picks broadcast or sort-merge by size; AQE splits skewed keys."""
-    # the batch is read twice below (its days, its keys): materialized once, in the shared folder
+    # the batch is read several times below (its span, its days, its keys): materialized once, in the shared folder
     inc = materialize(with_key(incoming))
-    return drop_key(inc.join(_known_keys(ledger, inc), list(KEY), "left_anti"))
+    return drop_key(_meets(inc, _known_keys(ledger, inc), KEY, "left_anti"))
 
 
 def _with_file(df: DataFrame, file_col: str) -> DataFrame:
@@ -72,7 +85,7 @@ def fresh_movements(incoming: DataFrame, ledger: DataFrame, file_col: str = "fil
     then rows are attached."""
     inc = materialize(_with_file(incoming, file_col))
     first = inc.groupBy(*KEY).agg(F.min("_file").alias("_first"))
-    return _of_first_file(inc, first.join(_known_keys(ledger, inc), list(KEY), "left_anti"))
+    return _of_first_file(inc, _meets(first, _known_keys(ledger, inc), KEY, "left_anti"))
 
 
 def import_statements(statements: DataFrame, ledger: DataFrame, rules: DataFrame, batch_id: str,

@@ -15,6 +15,7 @@ from ledgerline.functions.predicates import from_year, is_marker_kind, valid_dat
 from ledgerline.functions.text import clean_text, truncate
 from ledgerline.operators.classify import classify
 from ledgerline.session import materialize
+from ledgerline.sources.versions import Versions
 
 FIELDS = ("category", "subcategory", "origin", "kind")
 
@@ -60,6 +61,12 @@ def reclassified_ledger(ledger: DataFrame, rules: DataFrame, year: int, path: st
     return ledger.sparkSession.read.parquet(path)
 
 
+def apply_reclassification(versions: Versions, rules: DataFrame, year: int, name: str) -> DataFrame:
+    """R2 applied to the current version of a ledger and published as version ``name``, which is then current."""
+    versions.publish(reclassified_ledger(versions.read(), rules, year), name)
+    return versions.read(name)
+
+
 def change_examples(reclassified: DataFrame, n: int = CHANGE_EXAMPLES) -> DataFrame:
     """The first ``n`` changed rows by date and row id, with 35 characters of the concept and the changes as text."""
     any_change = F.col(f"{FIELDS[0]}_changed")

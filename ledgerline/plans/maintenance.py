@@ -11,6 +11,7 @@ from ledgerline.plans.common import finalize
 from ledgerline.plans.labelling import rules
 from ledgerline.session import scratch_path
 from ledgerline.sources import adapter
+from ledgerline.sources.versions import Versions
 
 
 def _mining(spark, sf):
@@ -139,6 +140,17 @@ def reclassified_ledger(spark, sf):
     return finalize(out.select("ledger_id", "row_id", "date", "concept", "debit", "credit", *M.FIELDS))
 
 
+def ledger_versions(spark, sf):
+    """R2 as versions: the ledger, its reclassification, one of all years, and the way back to the first change; the
+    current version's rows."""
+    versions = Versions(spark, scratch_path(spark, "versions"))
+    versions.publish(adapter.movements(spark, sf), "initial")
+    M.apply_reclassification(versions, rules(spark, sf), adapter.CUTOVER_YEAR, "reclassified")
+    M.apply_reclassification(versions, rules(spark, sf), adapter.FIRST_YEAR, "all-years")
+    versions.roll_back()
+    return finalize(versions.read().select("ledger_id", "row_id", "date", "concept", "debit", "credit", *M.FIELDS))
+
+
 def change_examples(spark, sf):
     return finalize(M.change_examples(_reclassified(spark, sf)))
 
@@ -181,6 +193,7 @@ QUERIES = {
     "recode_rebuild": recode_rebuild,
     "reclassify": reclassify,
     "reclassified_ledger": reclassified_ledger,
+    "ledger_versions": ledger_versions,
     "change_examples": change_examples,
     "write_rule_review": write_rule_review,
     "change_counts": change_counts,

@@ -963,3 +963,5 @@ SELECT m.ledger_id, m.row_id, r.ord AS rule_ord, coalesce(r.category, 'Sin clasi
        '' AS new_origin, '' AS new_kind
 FROM movements m LEFT JOIN hit h ON h.amt = greatest(abs(coalesce(debit, 0)), abs(coalesce(credit, 0)))
 LEFT JOIN rules r ON r.ord = h.best.ord""")
+
+ORACLE["ledger_versions"] = ORACLE["reclassified_ledger"]

@@ -57,3 +57,18 @@ def state(spark: SparkSession, uri: str) -> tuple[int, int] | None:
     fs.open(p).close()
     status = fs.getFileStatus(p)
     return status.getModificationTime(), status.getLen()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it does not exist."""
+    p, fs = _path(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def create_new(spark: SparkSession, path: str, taken: str = "") -> None:
+    """An empty file that must not exist yet; nor may another name beginning with ``taken``."""
+    p, fs = _path(spark, path)
+    own = taken.rpartition("/")[2]
+    if own and any(n.startswith(own) for n in names(spark, path.rpartition("/")[0])):
+        raise FileExistsError(path)
+    fs.create(p, False).close()
