@@ -1,8 +1,8 @@
 """Text + amount labeller (M1, M2) and its SQL-checkable stand-in.
 
-M1/M2 use ``pyspark.ml``: the model text (P15) as tokens plus bigrams → HashingTF → IDF,
-with the standardised amount, into a multinomial logistic regression whose class probabilities
-give the suggestion and its confidence.
+M1/M2 use ``pyspark.ml``: the model text (P15) as tokens plus bigrams → HashingTF (sublinear) → IDF,
+with the standardised amount, into linear support vector machines, one class against the others.  Their margins become
+probabilities by a sigmoid for each class, fitted on rows that the machine has not seen.
 
 M2b is a multinomial naive Bayes with add-one smoothing on the same tokens, written as joins and
 aggregates: training is a (class, token) count; scoring joins each row's tokens to those counts.
@@ -10,10 +10,17 @@ aggregates: training is a (class, token) count; scoring joins each row's tokens
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml import Transformer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.constants import MODEL_CONFIDENCE_MIN
+from ledgerline.functions.labels import recode_category
 from ledgerline.functions.numbers import signed_amount
 from ledgerline.functions.predicates import is_training_row, needs_label
 from ledgerline.functions.text import model_text
@@ -21,6 +28,8 @@ from ledgerline.session import materialize
 
 #: width of the hashed term space of M1; terms that share a slot add up, none is dropped
 HASHED_TERMS = 1 << 15
+FOLDS = 2
+SMALL_CLASS = 1000      # rows of a class up to which its folds are dealt in turn
 TEXT_COLS = ("concept", "reference", "destination", "origin")
 
 
@@ -84,42 +93,142 @@ def nb_labeller(df: DataFrame, label: str = "category", threshold: float = MODEL
     return pred.join(scored, "tokens").select("row_id", "suggestion", "confidence", (F.col("confidence") < threshold).alias("review"))
 
 
-# ---- M1 / M2: pyspark.ml pipeline ------------------------------------------------------------
+# ---- M1 / M2: calibrated linear machines -------------------------------------------------------
+
+@dataclass
+class Labeller:
+    """What M1 has learned: the feature stages and, for each fold and class, a linear machine and its sigmoid."""
+    features: object
+    classes: list[str]
+    machines: dict          # (fold, class number) → LinearSVCModel
+    sigmoids: dict          # (fold, class number) → (a, b); empty: not calibrated
+
+
+def _damped(v):
+    """Sublinear term frequency: 1 + ln(tf)."""
+    return SparseVector(v.size, v.indices, 1 + np.log(v.values))
 
-def train_labeller(df: DataFrame, label: str = "category", hashed_terms: int = HASHED_TERMS):
-    """M1: fit the pipeline on labelled rows (F8); needs at least two classes.  Terms are hashed, so there is no
-    vocabulary to build on the driver and none to cut."""
+
+def _feature_stages(hashed_terms: int):
+    """Tokens and bigrams, hashed (no vocabulary on the driver, none to cut), weighted and of unit length, beside the
+    standardised amount."""
+    from pyspark.ml.feature import HashingTF, IDF, Normalizer, StandardScaler, VectorAssembler
+    return [
+        HashingTF(inputCol="terms", outputCol="_tf", numFeatures=hashed_terms), _Damped(), IDF(inputCol="_dtf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol="_text_vec"), VectorAssembler(inputCols=["_amt_d"], outputCol="_amt_vec"),
+        StandardScaler(inputCol="_amt_vec", outputCol="_amt", withMean=True, withStd=True),
+        VectorAssembler(inputCols=["_text_vec", "_amt"], outputCol="features")]
+
+
+class _Damped(Transformer):
+    def _transform(self, df):
+        return df.withColumn("_dtf", F.udf(_damped, VectorUDT())("_tf"))
+
+
+def _with_terms(df: DataFrame, label: str) -> DataFrame:
+    from pyspark.ml.feature import NGram
+    d = NGram(n=2, inputCol="tokens", outputCol="_bigrams").transform(with_model_tokens(df, label))
+    return d.withColumn("terms", F.concat("tokens", "_bigrams")).withColumn("_amt_d", F.col("amount").cast("double"))
+
+
+def _in_folds(d: DataFrame, counts: dict, folds: int) -> DataFrame:
+    """``_fold`` by a hash of the row id; the rows of small classes are dealt in turn, so that each fold has some."""
+    small = [k for k, n in counts.items() if n <= SMALL_CLASS]
+    turn = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64("row_id"), "row_id")) % folds
+    few = d.where(F.col("_y").isin(small)).withColumn("_fold", turn.cast("int"))          # at most SMALL_CLASS rows in a partition
+    many = d.where(~F.col("_y").isin(small)).withColumn("_fold", F.pmod(F.xxhash64("row_id"), F.lit(folds)).cast("int"))
+    return few.unionByName(many)
+
+
+def fit_sigmoid(counts: list[tuple[float, int, int]]) -> tuple[float, float]:
+    """(a, b) of p = 1 / (1 + exp(a * margin + b)) that fits (margin, positives, negatives) best, by Newton steps; targets are
+    drawn in by one count on either side, so few rows give no certainty."""
+    m, pos, neg = (np.array(x, dtype=float) for x in zip(*counts))
+    high, low = (pos.sum() + 1) / (pos.sum() + 2), 1 / (neg.sum() + 2)
+    n, t = pos + neg, pos * high + neg * low
+    w = np.array([0.0, np.log((neg.sum() + 1) / (pos.sum() + 1))])
+    x = np.stack([m, np.ones_like(m)], axis=1)
+
+    def loss(w):
+        z = x @ w
+        return (t * np.logaddexp(0, z) + (n - t) * np.logaddexp(0, -z)).sum()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (t - n * p))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w) + 1e-12:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
+
+
+def train_labeller(df: DataFrame, label: str = "category", hashed_terms: int = HASHED_TERMS, recode: DataFrame | None = None,
+                   folds: int = FOLDS, max_iter: int = 10) -> Labeller:
+    """M1: one linear machine for each class against the others, trained on the labelled rows (F8) outside a fold, and a
+    sigmoid for its margins fitted on the rows of that fold.  Needs at least two classes; if a class has a single row
+    nothing is calibrated and confidence is 1.  With ``recode``, old labels are translated first (P11 c)."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import (HashingTF, IDF, NGram, SQLTransformer, StandardScaler, StringIndexer,
-                                    VectorAssembler)
-    d = with_model_tokens(df, label).where(is_training_row(label))
-    if d.select(label).distinct().limit(2).count() < 2:
+    from pyspark.ml.classification import LinearSVC
+    d = (recode_category(df, recode, "any", label=label) if recode is not None else df).where(is_training_row(label))
+    sizes = {r["c"]: r["n"] for r in d.groupBy(F.trim(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = sorted(sizes)
+    if len(classes) < 2:
         raise ValueError("at least two labelled classes are needed")
-    stages = [
-        NGram(n=2, inputCol="tokens", outputCol="_bigrams"),
-        SQLTransformer(statement="SELECT *, concat(tokens, _bigrams) AS terms, "
-                                 "cast(amount AS double) AS _amt_d FROM __THIS__"),
-        HashingTF(inputCol="terms", outputCol="_tf", numFeatures=hashed_terms),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        VectorAssembler(inputCols=["_amt_d"], outputCol="_amt_vec"),
-        StandardScaler(inputCol="_amt_vec", outputCol="_amt", withMean=True, withStd=True),
-        VectorAssembler(inputCols=["_tfidf", "_amt"], outputCol="features"),
-        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
-        LogisticRegression(featuresCol="features", labelCol="_y", family="multinomial", maxIter=50, regParam=0.01),
-    ]
-    return Pipeline(stages=stages).fit(d)
-
-
-def suggest_labels(model, df: DataFrame, label: str = "category", threshold: float = MODEL_CONFIDENCE_MIN) -> DataFrame:
-    """M2: arg-max class and its probability for rows needing a label (F7); review below threshold."""
-    from pyspark.ml.functions import vector_to_array
-    labels = model.stages[-2].labelsArray[0]
-    d = with_model_tokens(df, label).where(needs_label(label)).withColumn(label, F.lit(labels[0]))
-    out = model.transform(d)
-    prob = vector_to_array("probability")
-    conf = F.round(F.array_max(prob), 4)
-    names = F.array(*[F.lit(x) for x in labels])
-    idx = F.array_position(prob, F.array_max(prob))
-    return out.select("row_id", F.element_at(names, idx.cast("int")).alias("suggestion"), conf.alias("confidence"),
-                      (conf < threshold).alias("review"))
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, i)])
+    d = _with_terms(d, label).withColumn("_y", number[F.trim(label)])
+    stages = Pipeline(stages=_feature_stages(hashed_terms)).fit(d)
+    calibrated = min(sizes.values()) >= 2
+    rows = stages.transform(d).select("row_id", "_y", "features")
+    rows = _in_folds(rows, {classes.index(c): n for c, n in sizes.items()}, folds) if calibrated else rows.withColumn("_fold", F.lit(-1))
+    rows = materialize(rows)
+    machines, sigmoids = {}, {}
+    for f in range(folds if calibrated else 1):
+        own = rows.where(F.col("_fold") != f).cache()
+        n = own.count()
+        for k in range(len(classes)):
+            svc = LinearSVC(featuresCol="features", labelCol="_is", maxIter=max_iter, regParam=1.0 / n,
+                            rawPredictionCol=f"_raw_{f}_{k}", predictionCol=f"_pred_{f}_{k}")
+            machines[f, k] = svc.fit(own.withColumn("_is", (F.col("_y") == k).cast("double")))
+        own.unpersist()
+        if calibrated:
+            scored = _margins(rows.where(F.col("_fold") == f), machines, f, len(classes))
+            margin = F.explode(F.transform("_m", lambda m, k: F.struct(k.alias("k"), F.round(m, 2).alias("m"))))
+            counts = (scored.select("_y", margin.alias("x")).groupBy("x.k", "x.m")
+                      .agg(F.count_if(F.col("_y") == F.col("x.k")).alias("p"), F.count_if(F.col("_y") != F.col("x.k")).alias("n")).collect())
+            for k in range(len(classes)):       # margins on a grid: a bounded table
+                sigmoids[f, k] = fit_sigmoid([(r["m"], r["p"], r["n"]) for r in counts if r["k"] == k])
+    return Labeller(stages, classes, machines, sigmoids)
+
+
+def _margins(rows: DataFrame, machines: dict, fold: int, n: int) -> DataFrame:
+    """``rows`` with the margins of a fold's machines as the array ``_m``."""
+    for k in range(n):
+        rows = machines[fold, k].transform(rows)
+    margins = F.array(*[vector_to_array(f"_raw_{fold}_{k}")[1] for k in range(n)])
+    return rows.withColumn("_m", margins).drop(*[f"_{x}_{fold}_{k}" for x in ("raw", "pred") for k in range(n)])
+
+
+def suggest_labels(model: Labeller, df: DataFrame, label: str = "category", threshold: float = MODEL_CONFIDENCE_MIN) -> DataFrame:
+    """M2: the class of the highest probability (ties by name) for rows needing a label (F7), its probability (the mean over the
+    folds' machines, each summing to 1) and whether it is to be reviewed."""
+    rows = model.features.transform(_with_terms(df.where(needs_label(label)), label)).select("row_id", "features")
+    folds = sorted({f for f, _ in model.machines})
+    n = len(model.classes)
+    shares = []
+    for f in folds:
+        rows = _margins(rows, model.machines, f, n).withColumnRenamed("_m", f"_m{f}")
+        if model.sigmoids:
+            p = F.array(*[1 / (1 + F.exp(model.sigmoids[f, k][0] * F.col(f"_m{f}")[k] + model.sigmoids[f, k][1])) for k in range(n)])
+            rows = rows.withColumn(f"_p{f}", p)
+            shares.append((f"_p{f}", F.aggregate(f"_p{f}", F.lit(0.0), lambda acc, x: acc + x)))
+    names = F.array(*[F.lit(c) for c in model.classes])
+    if model.sigmoids:
+        scores = F.array(*[sum((F.col(p)[k] / total for p, total in shares), F.lit(0.0)) / len(folds) for k in range(n)])
+    else:
+        scores = F.col(f"_m{folds[0]}")
+    best = rows.withColumn("_s", scores).withColumn("_top", F.array_max("_s"))
+    conf = F.round("_top", 4) if model.sigmoids else F.lit(1.0)
+    return best.select("row_id", F.element_at(names, F.array_position("_s", F.col("_top")).cast("int")).alias("suggestion"),
+                       conf.alias("confidence"), (conf < threshold).alias("review"))
