@@ -11,6 +11,7 @@ aggregates: training is a (class, token) count; scoring joins each row's tokens
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Transformer
@@ -27,7 +28,8 @@ from ledgerline.functions.text import model_text
 from ledgerline.session import materialize
 
 #: width of the hashed term space of M1; terms that share a slot add up, none is dropped
-HASHED_TERMS = 1 << 15
+HASHED_TERMS = 1 << 13
+PARALLEL_FITS = 8
 FOLDS = 2
 SMALL_CLASS = 1000      # rows of a class up to which its folds are dealt in turn
 TEXT_COLS = ("concept", "reference", "destination", "origin")
@@ -183,22 +185,27 @@ def train_labeller(df: DataFrame, label: str = "category", hashed_terms: int = H
     rows = stages.transform(d).select("row_id", "_y", "features")
     rows = _in_folds(rows, {classes.index(c): n for c, n in sizes.items()}, folds) if calibrated else rows.withColumn("_fold", F.lit(-1))
     rows = materialize(rows)
-    machines, sigmoids = {}, {}
-    for f in range(folds if calibrated else 1):
-        own = rows.where(F.col("_fold") != f).cache()
-        n = own.count()
-        for k in range(len(classes)):
-            svc = LinearSVC(featuresCol="features", labelCol="_is", maxIter=max_iter, regParam=1.0 / n,
-                            rawPredictionCol=f"_raw_{f}_{k}", predictionCol=f"_pred_{f}_{k}")
-            machines[f, k] = svc.fit(own.withColumn("_is", (F.col("_y") == k).cast("double")))
-        own.unpersist()
-        if calibrated:
-            scored = _margins(rows.where(F.col("_fold") == f), machines, f, len(classes))
-            margin = F.explode(F.transform("_m", lambda m, k: F.struct(k.alias("k"), F.round(m, 2).alias("m"))))
-            counts = (scored.select("_y", margin.alias("x")).groupBy("x.k", "x.m")
-                      .agg(F.count_if(F.col("_y") == F.col("x.k")).alias("p"), F.count_if(F.col("_y") != F.col("x.k")).alias("n")).collect())
-            for k in range(len(classes)):       # margins on a grid: a bounded table
-                sigmoids[f, k] = fit_sigmoid([(r["m"], r["p"], r["n"]) for r in counts if r["k"] == k])
+    tasks = [(f, k) for f in range(folds if calibrated else 1) for k in range(len(classes))]
+    others = {f: rows.where(F.col("_fold") != f).cache() for f in {f for f, _ in tasks}}
+    sizes_of = {f: d.count() for f, d in others.items()}
+
+    def fit(task):
+        f, k = task
+        svc = LinearSVC(featuresCol="features", labelCol="_is", maxIter=max_iter, regParam=1.0 / sizes_of[f],
+                        rawPredictionCol=f"_raw_{f}_{k}", predictionCol=f"_pred_{f}_{k}")
+        return task, svc.fit(others[f].withColumn("_is", (F.col("_y") == k).cast("double")))
+
+    with ThreadPool(PARALLEL_FITS) as pool:     # a fit is many short jobs
+        machines, sigmoids = dict(pool.map(fit, tasks)), {}
+    for f, d in others.items():
+        d.unpersist()
+    for f in range(folds if calibrated else 0):
+        scored = _margins(rows.where(F.col("_fold") == f), machines, f, len(classes))
+        margin = F.explode(F.transform("_m", lambda m, k: F.struct(k.alias("k"), F.round(m, 2).alias("m"))))
+        counts = (scored.select("_y", margin.alias("x")).groupBy("x.k", "x.m")
+                  .agg(F.count_if(F.col("_y") == F.col("x.k")).alias("p"), F.count_if(F.col("_y") != F.col("x.k")).alias("n")).collect())
+        for k in range(len(classes)):       # margins on a grid: a bounded table
+            sigmoids[f, k] = fit_sigmoid([(r["m"], r["p"], r["n"]) for r in counts if r["k"] == k])
     return Labeller(stages, classes, machines, sigmoids)
 
 
