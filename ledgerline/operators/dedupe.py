@@ -37,11 +37,13 @@ def _meets(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
     return left.join(other, on, how)
 
 
-def _known_keys(ledger: DataFrame, inc: DataFrame) -> DataFrame:
-    """Keys of the ledger rows that share (ledger, date) with the batch.  The batch's first and last day are a range on
-    the date column, which reaches the ledger's scan; a semi join on its small day set then filters the rest
-    map-side, before a join on keys shuffles it."""
+def _known_keys(ledger, inc: DataFrame) -> DataFrame:
+    """Keys of the ledger rows that share (ledger, date) with the batch.  A ledger stored by month gives only the files of the
+    batch's months and buckets.  The batch's first and last day are a range on the date column, which reaches the ledger's
+    scan; a semi join on its small day set then filters the rest map-side, before a join on keys shuffles it."""
     first, last = inc.agg(F.min("_k_date"), F.max("_k_date")).first()
+    if not isinstance(ledger, DataFrame):
+        ledger = ledger.around(inc, "_k_date")
     rows = ledger
     if dict(ledger.dtypes)["date"] in ("date", "timestamp", "timestamp_ntz"):
         after = F.date_add(F.lit(last).cast("date"), 1)
@@ -50,9 +52,9 @@ def _known_keys(ledger: DataFrame, inc: DataFrame) -> DataFrame:
     return _meets(with_key(rows), days, ("ledger_id", "_k_date"), "left_semi").select(*KEY)
 
 
-def new_movements(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Incoming rows whose key is absent from the ledger (left anti join; duplicates inside one
-    file are all kept).  Spark picks broadcast or sort-merge by size; AQE splits skewed keys."""
+def new_movements(incoming: DataFrame, ledger) -> DataFrame:
+    """Incoming rows whose key is absent from the ledger, a DataFrame or a ``MonthLedger`` (left anti join; duplicates
+    inside one file are all kept).  Spark picks broadcast or sort-merge by size; AQE splits skewed keys."""
     # the batch is read several times below (its span, its days, its keys): materialized once, in the shared folder
     inc = materialize(with_key(incoming))
     return drop_key(_meets(inc, _known_keys(ledger, inc), KEY, "left_anti"))
@@ -80,7 +82,7 @@ def first_file_wins(incoming: DataFrame, file_col: str = "file_no") -> DataFrame
     return _of_first_file(k, k.groupBy(*KEY).agg(F.min("_file").alias("_first")))
 
 
-def fresh_movements(incoming: DataFrame, ledger: DataFrame, file_col: str = "file_no") -> DataFrame:
+def fresh_movements(incoming: DataFrame, ledger, file_col: str = "file_no") -> DataFrame:
     """J1b then J1, with the batch computed once: it is aggregated to its keys, the keys meet the ledger, and only
     then rows are attached."""
     inc = materialize(_with_file(incoming, file_col))
@@ -88,7 +90,7 @@ def fresh_movements(incoming: DataFrame, ledger: DataFrame, file_col: str = "fil
     return _of_first_file(inc, _meets(first, _known_keys(ledger, inc), KEY, "left_anti"))
 
 
-def import_statements(statements: DataFrame, ledger: DataFrame, rules: DataFrame, batch_id: str,
+def import_statements(statements: DataFrame, ledger, rules: DataFrame, batch_id: str,
                       file_col: str = "file_no") -> DataFrame:
     """Statements (D2) → drop balance lines (F1) → first file wins (J1b) → not yet in the
     ledger (J1) → rule labels (J2) → ledger rows (S3 form), one per movement added."""

@@ -55,14 +55,23 @@ def nb_labeller(df: DataFrame, label: str = "category", threshold: float = MODEL
     holds none of a list's k known tokens scores a + k·b: those are summarised per k, and only classes that
     hold some token are listed per list.  So no class count is limited and none comes to the driver.
     """
-    d = with_model_tokens(df, label)
-    train = d.where(is_training_row(label)).select(F.col(label).alias("c"), "tokens")
-    pred = d.where(needs_label(label)).select("row_id", "tokens")
+    return nb_suggest(df, materialize(nb_counts(df, label)), label, threshold)
 
-    tt = train.select("c", F.explode("tokens").alias("t"))
-    counts = materialize(tt.groupBy("c", "t").agg(F.count(F.lit(1)).alias("n")))
+
+def nb_counts(df: DataFrame, label: str = "category", recode: DataFrame | None = None) -> DataFrame:
+    """What M2b learns from the labelled rows (F8): (class c, token t, occurrences n), and the class's rows at a null token.
+    Counts of several batches add up.  With ``recode``, old labels are translated first (P11 c)."""
+    d = with_model_tokens(recode_category(df, recode, "any", label=label) if recode is not None else df, label)
+    one = F.array(F.lit(None).cast("string"))
+    return (d.where(is_training_row(label)).select(F.col(label).alias("c"), F.explode(F.concat(one, "tokens")).alias("t"))
+             .groupBy("c", "t").agg(F.count(F.lit(1)).alias("n")))
+
+
+def nb_suggest(df: DataFrame, learned: DataFrame, label: str = "category", threshold: float = MODEL_CONFIDENCE_MIN) -> DataFrame:
+    """M2b's scoring of the rows of ``df`` that need a label, by the counts of ``nb_counts``."""
+    pred = with_model_tokens(df, label).where(needs_label(label)).select("row_id", "tokens")
+    counts, docs = learned.where("t is not null"), learned.where("t is null").select("c", F.col("n").alias("docs"))
     vocab = counts.select("t").distinct()
-    docs = train.groupBy("c").agg(F.count(F.lit(1)).alias("docs"))
     tok = counts.groupBy("c").agg(F.sum("n").alias("tok"))
     v, total_docs = vocab.count(), docs.agg(F.sum("docs")).first()[0] or 0         # two numbers to the driver
     params = docs.join(tok, "c", "left").select(

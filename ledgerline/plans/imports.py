@@ -8,9 +8,11 @@ from ledgerline.functions.labels import movement_key as movement_key_col
 from ledgerline.operators import dedupe as D
 from ledgerline.plans.common import finalize
 from ledgerline.plans.labelling import rules
+from ledgerline.session import scratch_path
 from ledgerline.sources import adapter
 from ledgerline.sources.ledger import append_movements as append_op
 from ledgerline.sources.ledger import new_since as new_since_op
+from ledgerline.sources.monthly import MonthLedger
 
 BATCH = "import-1"
 
@@ -52,6 +54,23 @@ def append_movements(spark, sf):
     return finalize(rows)
 
 
+def month_ledger(spark, sf):
+    """S3 by month: the ledger appended in batches by year, one of them twice, then merged; an import that reads only the
+    months of its batch; its rows appended.  Rows and sums of each ledger, batch and month as they are read back."""
+    old = adapter.existing_ledger(spark, sf).withColumn("batch_id", F.concat(F.lit("y"), F.year("date").cast("string")))
+    store = MonthLedger(spark, scratch_path(spark, "month-ledger"), buckets=2)
+    first, last = old.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
+    for year in range(first or 0, (last or -1) + 1):
+        store.append(old.where(F.year("date") == year), f"y{year}")
+    if first:
+        store.append(old.where(F.year("date") == first), f"y{first}")
+    store.compact(fan_in=2)
+    store.append(D.import_statements(adapter.incoming_rows(spark, sf), store, rules(spark, sf), BATCH), BATCH)
+    rows = store.read().groupBy("ledger_id", "batch_id", F.year("date").alias("year"), F.month("date").alias("month"))
+    return finalize(rows.agg(F.count(F.lit(1)).alias("n"), F.sum("debit").alias("debit"), F.sum("credit").alias("credit"),
+                             F.count_if("review").alias("n_review")))
+
+
 def new_since(spark, sf):
     return finalize(new_since_op(adapter.movements(spark, sf)).select("ledger_id", "row_id", "batch_id"))
 
@@ -63,5 +82,6 @@ QUERIES = {
     "import_statements": import_statements,
     "import_summary": import_summary,
     "append_movements": append_movements,
+    "month_ledger": month_ledger,
     "new_since": new_since,
 }

@@ -965,3 +965,18 @@ FROM movements m LEFT JOIN hit h ON h.amt = greatest(abs(coalesce(debit, 0)), ab
 LEFT JOIN rules r ON r.ord = h.best.ord""")
 
 ORACLE["ledger_versions"] = ORACLE["reclassified_ledger"]
+
+
+# ---- layers: the ledger by month (S3), the kept labeller (M2b) ---------------------------------
+
+ORACLE["month_ledger"] = q(*_imported_ctes(), select=f"""
+, al AS (
+  SELECT ledger_id, 'y' || cast(year(date) AS varchar) AS batch_id, date, debit, credit, review FROM old_ledger
+  UNION ALL
+  SELECT ledger_id, 'import-1', date, CASE WHEN debit > 0 THEN debit END, CASE WHEN credit > 0 THEN credit END,
+         new_category = 'Sin clasificar' FROM cls
+)
+SELECT ledger_id, batch_id, year(date) AS year, month(date) AS month, count(*) AS n, {_d('sum(debit)', 'debit')}, {_d('sum(credit)', 'credit')},
+       count(*) FILTER (WHERE review) AS n_review
+FROM al GROUP BY ALL""")
+ORACLE["nb_kept"] = ORACLE["nb_labeller"]

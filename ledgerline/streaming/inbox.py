@@ -27,6 +27,7 @@ from ledgerline.operators import aggregates as A
 from ledgerline.operators.dedupe import import_statements, import_summary
 from ledgerline.session import materialize
 from ledgerline.sources import files
+from ledgerline.sources.monthly import BatchFolders, MonthLedger
 from ledgerline.sources.statements import UNMAPPED, parse_statement_lines, source_lines
 
 #: statement files by ending, in any case
@@ -87,7 +88,7 @@ def _status(spark: SparkSession, arrival) -> str:
     return "" if now == (arrival["modified"], arrival["length"]) else "changed"
 
 
-def _import(spark: SparkSession, inbox: str, ledger_path: str, rules: DataFrame, tag: str, arrivals: list, ledger_id: str | None,
+def _import(spark: SparkSession, inbox: str, ledger: BatchFolders | MonthLedger, rules: DataFrame, tag: str, arrivals: list, ledger_id: str | None,
             rejects_path: str, runs_path: str) -> None:
     """Import one micro-batch of files and write its run log."""
     found = [(r["path"], r["modified"], r["length"], _status(spark, r)) for r in arrivals]
@@ -102,9 +103,8 @@ def _import(spark: SparkSession, inbox: str, ledger_path: str, rules: DataFrame,
         stmts = materialize(stamped.select(
             "ledger_id", F.struct("file_no", "path").alias("file"), F.concat("modified", F.lit("@"), "path", F.lit("#"), "line_no").alias("row_id"), "date",
             "concept", "debit", "credit", F.col("balance").alias("bank_balance"), "reference"))
-        ledger = spark.read.parquet(ledger_path).where(F.col("batch_id") != tag)
-        imported = materialize(import_statements(stmts, ledger, rules, tag, file_col="file"))
-        imported.drop("batch_id", "file").write.mode("overwrite").parquet(f"{ledger_path}/batch_id={tag}")
+        imported = materialize(import_statements(stmts, ledger.known(tag), rules, tag, file_col="file"))
+        ledger.append(imported.drop("file"), tag)
         counts = import_summary(stmts, imported, "file").where("file is not null").withColumn("path", F.col("file.path")).drop("file")
         rejected = rejects.groupBy("path").agg(F.count(F.lit(1)).alias("n_rejected"), F.max(F.col("reason") == UNMAPPED).alias("unmapped"))
         log = log.join(counts, "path", "left").join(rejected, "path", "left").na.fill(
@@ -130,36 +130,39 @@ def _archive(spark: SparkSession, done: list, archive: str) -> list[tuple[str, s
     return moved
 
 
-def _process(inbox: str, ledger_path: str, rules: DataFrame, tag_prefix: str, archive: str | None, rejects_path: str, runs_path: str,
+def _process(inbox: str, ledger: BatchFolders | MonthLedger, rules: DataFrame, tag_prefix: str, archive: str | None, rejects_path: str, runs_path: str,
              ledger_id: str | None, after_import: Callable[[DataFrame, str], None] | None):
     def run(batch: DataFrame, epoch: int) -> None:
         spark, tag = batch.sparkSession, f"{tag_prefix}{epoch}"
         if not files.exists(spark, f"{runs_path}/batch_id={tag}/_SUCCESS"):
-            _import(spark, inbox, ledger_path, rules, tag, batch.orderBy("path").collect(), ledger_id, rejects_path, runs_path)   # at most max_files
+            _import(spark, inbox, ledger, rules, tag, batch.orderBy("path").collect(), ledger_id, rejects_path, runs_path)   # at most max_files
         log = spark.read.parquet(f"{runs_path}/batch_id={tag}")
         done = log.where("status = 'imported'").orderBy("path").collect()
         if after_import and done:
-            after_import(spark.read.parquet(f"{ledger_path}/batch_id={tag}"), tag)
+            after_import(ledger.batch(tag), tag)
         if archive:
             moved = _archive(spark, done, archive)
             spark.createDataFrame(moved, "path string, archived string").coalesce(1).write.mode("append").parquet(f"{runs_path}-moves/batch_id={tag}")
     return run
 
 
-def import_stream(spark: SparkSession, inbox: str, ledger_path: str, rules: DataFrame, checkpoint: str,
+def import_stream(spark: SparkSession, inbox: str, ledger: str | MonthLedger, rules: DataFrame, checkpoint: str,
                   archive: str | None = None, tag_prefix: str = "stream-", max_files: int = MAX_FILES,
                   ledger_id: str | None = None, rejects_path: str | None = None, runs_path: str | None = None, manifest: str | None = None,
                   after_import: Callable[[DataFrame, str], None] | None = None):
-    """Import every statement file arriving in ``inbox`` once (trigger availableNow).
+    """Import every statement file arriving in ``inbox`` once (trigger availableNow) into ``ledger``: a folder with
+    one ``batch_id=`` folder for each batch, or a ``MonthLedger``, of which only the files of a batch's months are read.
 
     Beside the ledger (its path + '-rejects', '-runs', '-arrivals', unless given): rejects, the run log (A14 per file) and
     the manifest.  With ``archive``, files are moved there when their batch is written, with a time stamp before their
     name; what was moved, and what could not be, is in the run log's path + '-moves'.  ``after_import`` gets each batch's
     ledger rows and tag, for example ``MonthViews.refresh``; a replayed batch may call it again.  Returns the finished query.
     """
+    ledger = BatchFolders(spark, ledger) if isinstance(ledger, str) else ledger
+    ledger_path = ledger.path
     manifest, runs_path = manifest or f"{ledger_path}-arrivals", runs_path or f"{ledger_path}-runs"
     register_arrivals(spark, inbox, manifest, runs_path, max_files)
-    run = _process(inbox, ledger_path, rules, tag_prefix, archive, rejects_path or f"{ledger_path}-rejects", runs_path, ledger_id, after_import)
+    run = _process(inbox, ledger, rules, tag_prefix, archive, rejects_path or f"{ledger_path}-rejects", runs_path, ledger_id, after_import)
     q = (statement_stream(spark, manifest).writeStream.foreachBatch(run)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
