@@ -18,6 +18,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import by_position
+
 TABLE_SIZE = 2039       # prime, over 100 slots for each of 16 shards
 SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
 
@@ -59,12 +61,12 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def assign_shards(df: DataFrame, key_col: str = "doc_id", shards=SHARDS, size: int = TABLE_SIZE) -> DataFrame:
-    """``df`` with ``slot`` and ``shard``."""
-    table = _frame(df.sparkSession, lookup_table(shards, size)).toDF("__slot", "__shard")
-    rest = df.select(F.col(f"`{key_col}`").alias("__key"), *[F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")])
-    placed = rest.withColumn("__at", slot_of(F.col("__key"), size))
-    joined = placed.join(F.broadcast(table), F.col("__at") == F.col("__slot"))
-    return joined.select(*[F.col(f"`{c}`") for c in rest.columns[1:]], F.col("__at").alias("slot"), F.col("__shard").alias("shard"))
+    """``df`` with ``slot`` and ``shard``, which replace columns of these names (in any case)."""
+    table = F.broadcast(_frame(df.sparkSession, lookup_table(shards, size)).toDF("slot", "shard"))
+    plain = by_position(df)
+    placed = plain.withColumn("at", slot_of(F.col(f"c{df.columns.index(key_col)}"), size))
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() not in ("slot", "shard")]
+    return placed.join(table, F.col("at") == F.col("slot")).select(*own, "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", shards=SHARDS, size: int = TABLE_SIZE) -> None:

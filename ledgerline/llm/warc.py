@@ -1,8 +1,8 @@
 """WARC archives: writing, and reading by boundary-chain verification.
 
-Archives are plain WARC/1.1 files.  They are read by Spark's text source cut at the record magic, so one
-file is read by many tasks; a cut says nothing about truth, since the magic may stand inside a payload.
-Every cut that is followed by a readable header is a candidate record with a byte offset and the offset
+Archives are plain WARC files; 1.1 is written, 1.0 and 1.1 are read, also mixed in one file.  They are read by Spark's text
+source cut at the record magic up to its minor version, so one file is read by many tasks; a cut says nothing about truth,
+since the magic may stand inside a payload.  Every cut that is followed by a version and a readable header is a candidate record with a byte offset and the offset
 of its successor (header + Content-Length + two line ends).  Byte offsets come from the lengths of the pieces:
 a running sum per split, plus the sum of the splits before it.
 
@@ -25,8 +25,8 @@ records that name it and hold no payload.
 Defined cases: a null html is an empty payload; a null url or page_id gives an empty field and reads back as
 null; line ends in a url are percent-encoded; rows that share the largest page_id of their payload are all
 responses; a null page_id is never the one that stays unless all are null, in which case all are responses;
-an empty table gives an empty archive; a file that does not begin with a record has no verified record; a
-record cut off by the end of its file is left out (its successor lies past the end).  Only the id, url and html
+an empty table gives an empty archive; a file that does not begin with a record has no verified record
+(``unverified_files`` names such files and those whose chain breaks off); a record cut off by the end of its file is left out (its successor lies past the end).  Only the id, url and html
 columns are read.
 """
 
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import materialize
 
-MAGIC = "WARC/1.1\r\n"
+CUT = "WARC/1."
+MAGIC = f"{CUT}1\r\n"
 END = "\r\n\r\n"
 REVISIT_BYTES = 1000
 DATE = "2026-01-01T00:00:00Z"
@@ -87,7 +88,7 @@ def _field(name: str) -> Column:
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
     """The text between magics, in order within each split."""
-    return spark.read.option("lineSep", MAGIC).text(path).select(
+    return spark.read.option("lineSep", CUT).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("file_size"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("text"))
 
@@ -106,7 +107,8 @@ def _payload(body: Column) -> Column:
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """Lengths, digests and header fields of the pieces; ``payload_bytes`` and ``payload_sha1`` where the piece is a
     whole record."""
-    head = F.when(F.contains("text", F.lit(END)), F.substring_index("text", END, 1))
+    versioned = F.substring("text", 1, 3).isin("0\r\n", "1\r\n")
+    head = F.when(versioned & F.contains("text", F.lit(END)), F.substring_index("text", END, 1))
     rows = _scan(spark, path).withColumn("head", head).withColumn("content_length", F.expr(
         r"try_cast(nullif(regexp_extract(head, '(?im)^Content-Length:[ \t]*([0-9]+)[ \t]*\r?$', 1), '') as bigint)"))
     raw = F.col("text").cast("binary")
@@ -131,7 +133,7 @@ def _raw(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 def _with_offsets(pieces: DataFrame) -> DataFrame:
     """The offset of the magic before each piece (negative for what stands before the first) and, for
     candidates, the offset of the successor."""
-    step = len(MAGIC)
+    step = len(CUT)
     own = W.partitionBy("file", "block").orderBy("seq")
     local = pieces.withColumn("before", F.sum(F.col("bytes") + step).over(own.rowsBetween(W.unboundedPreceding, -1)))
     splits = pieces.groupBy("file", "block").agg(F.sum(F.col("bytes") + step).alias("size"))
@@ -200,13 +202,23 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
     joined = (parts.join(_raw(spark, path, parts), "sha").groupBy("file", "offset")
               .agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("parts")))
     text = F.expr("aggregate(parts, cast('' as binary), (b, p) -> if(length(b) = 0, p.raw, "
-                  f"concat(b, cast('{MAGIC[:-2]}\\r\\n' as binary), p.raw)))")
+                  f"concat(b, cast('{CUT}' as binary), p.raw)))")
     body = F.substring(F.col("text"), (F.col("head_bytes") + len(END) + 1).cast("int"), F.col("content_length").cast("int"))
     mended = several.drop("payload_bytes", "payload_sha1").join(joined.withColumn("text", text).drop("parts"), ["file", "offset"])
     mended = mended.withColumn("payload", _payload(body)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     return out.unionByName(mended.withColumn("payload_sha1", F.sha1("payload")).select(*fields, *facts))
 
 
+def unverified_files(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
+    """The files under ``path`` that ``records`` (of ``read_archives``) does not account for to their end: ``file``,
+    ``file_size`` and ``last_offset``, that of the last verified record (null: none).  Empty files have nothing to verify."""
+    at = _with_offsets(_pieces(spark, path)).select("file", "offset", "next", "file_size")
+    ends = records.select("file", "offset").join(at.drop("file_size"), ["file", "offset"]).groupBy("file").agg(
+        F.max("offset").alias("last_offset"), F.max("next").alias("end"))
+    sizes = at.groupBy("file").agg(F.max("file_size").alias("file_size"))
+    return sizes.join(ends, "file", "left").where("end is null or end < file_size").select("file", "file_size", "last_offset")
+
+
 def page_of(record_id: Column) -> Column:
     return F.nullif(F.regexp_extract(record_id, r"^<urn:page:(-?[0-9]+)>$", 1), F.lit("")).cast("long")
 

@@ -45,6 +45,16 @@ def test_edges(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
+def test_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5, 6, 7)], "doc_id long, __key int, __at int, __slot int, __shard int, c0 int, Slot int")
+    out = S.assign_shards(df)
+    assert out.columns == ["doc_id", "__key", "__at", "__slot", "__shard", "c0", "slot", "shard"]
+    assert tuple(out.first())[:6] == (1, 2, 3, 4, 5, 6)
+    assert out.first()["shard"] == S.assign_shards(df.select("doc_id")).first()["shard"]
+    assert S.assign_shards(df, "Slot").count() == 1             # the key may be a column that is replaced
+    S.write_shards(df, str(tmp_path / "out"))
+
+
 def test_no_python_on_the_executors(spark):
     df = S.assign_shards(spark.range(10).withColumnRenamed("id", "doc_id"))
     plan = df._jdf.queryExecution().toString()

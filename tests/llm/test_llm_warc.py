@@ -84,6 +84,23 @@ def test_foreign_files(spark, tmp_path):
         ("a.warc", "response", b"one"), ("a.warc", "response", b"two"), ("a.warc", "resource", binary), ("cut.warc", "response", b"one")]
 
 
+def test_versions_mixed(spark, tmp_path):
+    inner = record(8, "inside").replace("WARC/1.1", "WARC/1.0")
+    old = record(1, "one").replace("WARC/1.1", "WARC/1.0")
+    texts = {"old.warc": old + record(2, "").replace("WARC/1.1", "WARC/1.0"),
+             "mixed.warc": record(3, f"a {inner} b WARC/1.1\r\n WARC/1.x") + old + record(4, "WARC/1."),
+             "next.warc": old.replace("WARC/1.0", "WARC/1.2"), "junk.warc": "junk " + old, "cut.warc": (old + record(5, "five"))[:-9]}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    (tmp_path / "empty.warc").write_text("")
+    records = A.read_archives(spark, str(tmp_path), payload=True)
+    got = sorted((r["file"].rsplit("/", 1)[1], bytes(r["payload"]).decode()) for r in records.collect())
+    assert got == sorted([("old.warc", "one"), ("old.warc", ""), ("mixed.warc", f"a {inner} b WARC/1.1\r\n WARC/1.x"), ("mixed.warc", "one"),
+                          ("mixed.warc", "WARC/1."), ("cut.warc", "one")])
+    left = {r["file"].rsplit("/", 1)[1]: r["last_offset"] for r in A.unverified_files(spark, str(tmp_path), records).collect()}
+    assert left == {"next.warc": None, "junk.warc": None, "cut.warc": 0}
+
+
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     A.write_archives(df, str(tmp_path / "none"))
