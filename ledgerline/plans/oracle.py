@@ -900,10 +900,32 @@ _CARD = "(SELECT * FROM fl WHERE coalesce(contains(lower(origin), 'tarjeta'), fa
 _CARD_CROSS = CROSS.format(src=_CARD)
 for _old, _new in (("xb", "yb"), ("xm", "ym"), ("xf", "yf"), ("x_", "y_"), ("xt", "yt")):        # the same tables under other names
     _CARD_CROSS = _CARD_CROSS.replace(_old, _new)
-ORACLE["document_values"] = q(MONTHS, RUNNING, CROSS.format(src="fl"), _CARD_CROSS, select=f"""
+ORACLE["document_values"] = q(MONTHS, RUNNING, CAT_TOTALS, LAST12, TOPCAT, GROUPS, BANK, CROSS.format(src="fl"), _CARD_CROSS, select=f"""
 SELECT ledger_id, 'months' AS section, 'expense_total' AS key, month, {_d('expense_total', 'value')} FROM mt
 UNION ALL SELECT ledger_id, 'months', 'income_total', month, {_d('income_total', 'value')} FROM mt
 UNION ALL SELECT ledger_id, 'cross', 'closing', month, {_d('closing', 'value')} FROM rb
+UNION ALL SELECT ledger_id, 'cross', 'opening', month, {_d('closing - net', 'value')} FROM rb
+UNION ALL SELECT ledger_id, 'cross', 'unclassified', month, {_d("-coalesce(sum(CASE WHEN category = 'Sin clasificar' THEN amount END), 0)", 'value')}
+          FROM led GROUP BY ledger_id, month
+UNION ALL SELECT ledger_id, 'cross', section || '_total', month, {_d('value', 'value')} FROM xt WHERE level = 'section'
+UNION ALL SELECT ledger_id, 'history', 'expense', month, {_d('expense_total', 'value')} FROM mt
+UNION ALL SELECT ledger_id, 'history', 'income', month, {_d('income_total', 'value')} FROM mt
+UNION ALL SELECT t.ledger_id, 'history by category', t.category, m.month, {_d('coalesce(c.total, 0)', 'value')}
+          FROM tc t JOIN mt m ON m.ledger_id = t.ledger_id
+          LEFT JOIN ct c ON c.ledger_id = t.ledger_id AND c.category = t.category AND c.month = m.month WHERE t.rank <= 8
+UNION ALL SELECT ledger_id, 'averages', category, NULL, {_round_ratio('cc', 'n_months')} FROM avgc
+UNION ALL SELECT ledger_id, 'n_review', '', NULL, cast(count(*) FILTER (WHERE category = 'Sin clasificar') AS double) FROM led GROUP BY ledger_id
+UNION ALL SELECT ledger_id, 'account', 'income', month, {_d('income_total', 'value')} FROM mt
+UNION ALL SELECT ledger_id, 'account', 'expense', month, {_d('expense_total', 'value')} FROM mt
+UNION ALL SELECT ledger_id, 'account', 'balance', month, {_d('closing', 'value')} FROM bk
+UNION ALL SELECT ledger_id, 'category', category, month, {_d('total', 'value')} FROM ct
+UNION ALL SELECT ledger_id, 'subcategory', category || '|' || subcategory, month, {_d('-sum(amount)', 'value')}
+          FROM fl WHERE flow = 'expense' AND subcategory <> '' GROUP BY ledger_id, month, category, subcategory
+UNION ALL SELECT ledger_id, 'movements', concat_ws('|', category, r, origin, subcategory, concept, last_date, n), month, {_d('total', 'value')}
+          FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id, month, category ORDER BY total, origin, subcategory) AS r FROM grp)
+UNION ALL SELECT ledger_id, 'top', concat_ws('|', category, r, origin, subcategory, concept, last_date, n), month, {_d('total', 'value')}
+          FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id, month ORDER BY total, origin, category, subcategory) AS r FROM grp WHERE abs(total) > 500)
+          WHERE r <= 15
 UNION ALL SELECT ledger_id, 'cross ' || section, category, month, {_d('value', 'value')} FROM xt WHERE level = 'category'
 UNION ALL SELECT ledger_id, 'card ' || section, category, month, {_d('value', 'value')} FROM yt WHERE level = 'category'""")
 

@@ -28,18 +28,22 @@ def write_document(spark, sf):
     return ledger_document(ledger(spark, sf), adapter.opening_balances(spark, sf), GENERATED_AT)
 
 
-_SERIES = "array<struct<id:string,label:string,expense_total:double,income_total:double>>"
+_MOVEMENTS = "array<struct<rank:int,f:string,c:string,m:double,d2:string,category:string,origin:string,n:bigint>>"
+_SERIES = ("array<struct<id:string,label:string,expense_total:double,income_total:double,"
+           f"categories:map<string,struct<total:double,sub:map<string,double>,movs:{_MOVEMENTS}>>,top_movements:{_MOVEMENTS}>>")
 _CROSS = "struct<months:array<string>,income:array<struct<cat:string,values:array<double>,total:double>>,expense:array<struct<cat:string,values:array<double>,total:double>>>"
 
 
 def document_values(spark, sf):
-    """S5 written and read back as rows (section, key, month, value): month totals, balances, cross table and card
-    table of every document."""
+    """S5 written and read back as rows (section, key, month, value): every number of every document."""
     path = scratch_path(spark, "documents")
     led = ledger(spark, sf)
     write_op(ledger_document(led, adapter.opening_balances(spark, sf), GENERATED_AT), path, unclassified_op(led))
-    schema = (f"struct<months:{_SERIES},cross:struct<months:array<string>,closing:array<double>,"
-              f"{_CROSS.removeprefix('struct<months:array<string>,')},card:{_CROSS}>")
+    per_month = ("opening", "closing", "unclassified", "income_total", "expense_total")
+    schema = (f"struct<n_review:bigint,months:{_SERIES},averages:map<string,double>,history:struct<expense:array<double>,income:array<double>,"
+              f"by_category:map<string,array<double>>>,cross:struct<months:array<string>,{','.join(f'{c}:array<double>' for c in per_month)},"
+              f"{_CROSS.removeprefix('struct<months:array<string>,')},card:{_CROSS},"
+              "account:array<struct<id:string,income:double,expense:double,balance:double>>>")
     d = spark.read.parquet(f"{path}/documents").select("ledger_id", F.from_json("document", schema).alias("d")).select("ledger_id", "d.*")
 
     def cells(part, name):
@@ -48,9 +52,37 @@ def document_values(spark, sf):
                           F.explode(F.arrays_zip("m", "c.values")).alias("z")).select("ledger_id", "section", "key", F.col("z.m").alias("month"), F.col("z.values").alias("value"))
     months = d.select("ledger_id", F.explode("months").alias("m"))
     total = lambda n: months.select("ledger_id", F.lit("months").alias("section"), F.lit(n).alias("key"), F.col("m.id").alias("month"), F.col(f"m.{n}").alias("value"))
-    closing = d.select("ledger_id", F.lit("cross").alias("section"), F.lit("closing").alias("key"), F.explode(F.arrays_zip("cross.months", "cross.closing")).alias("z"))
-    out = total("expense_total").unionByName(total("income_total")).unionByName(
-        closing.select("ledger_id", "section", "key", F.col("z.months").alias("month"), F.col("z.closing").alias("value")))
+
+    def by_month(section, key, ids, values):
+        z = d.select("ledger_id", key.alias("key"), F.explode(F.arrays_zip(ids.alias("i"), values.alias("v"))).alias("z"))
+        return z.select("ledger_id", F.lit(section).alias("section"), "key", F.col("z.i").alias("month"), F.col("z.v").alias("value"))
+
+    def listed(section, rows, *before):
+        """Movement lists: all their fields but the amount in the key."""
+        key = F.concat_ws("|", *before, *[F.coalesce(F.col(f"x.{c}").cast("string"), F.lit("")) for c in ("rank", "origin", "d2", "c", "f", "n")])
+        return rows.select("ledger_id", F.lit(section).alias("section"), key.alias("key"), "month", F.col("x.m").alias("value"))
+
+    ids = F.col("months.id")
+    single = lambda section, df: df.select("ledger_id", F.lit(section).alias("section"), "key", F.lit(None).cast("string").alias("month"), "value")
+    cats = months.select("ledger_id", F.col("m.id").alias("month"), F.explode("m.categories").alias("key", "c"))
+    hist = d.select("ledger_id", ids.alias("i"), F.explode("history.by_category").alias("key", "v")).select(
+        "ledger_id", "key", F.explode(F.arrays_zip("i", "v")).alias("z"))
+    account = d.select("ledger_id", F.explode("account").alias("a"))
+    parts = [total("income_total"), *[by_month("cross", F.lit(c), F.col("cross.months"), F.col(f"cross.{c}")) for c in per_month],
+             *[by_month("history", F.lit(c), ids, F.col(f"history.{c}")) for c in ("expense", "income")],
+             hist.select("ledger_id", F.lit("history by category").alias("section"), "key", F.col("z.i").alias("month"), F.col("z.v").alias("value")),
+             single("averages", d.select("ledger_id", F.explode("averages").alias("key", "value"))),
+             single("n_review", d.select("ledger_id", F.lit("").alias("key"), F.col("n_review").cast("double").alias("value"))),
+             *[account.select("ledger_id", F.lit("account").alias("section"), F.lit(c).alias("key"), F.col("a.id").alias("month"), F.col(f"a.{c}").alias("value"))
+               for c in ("income", "expense", "balance")],
+             cats.select("ledger_id", F.lit("category").alias("section"), "key", "month", F.col("c.total").alias("value")),
+             cats.select("ledger_id", "month", F.col("key").alias("k"), F.explode("c.sub").alias("s", "value")).select(
+                 "ledger_id", F.lit("subcategory").alias("section"), F.concat_ws("|", "k", "s").alias("key"), "month", "value"),
+             listed("movements", cats.select("ledger_id", "month", "key", F.explode("c.movs").alias("x")), "key"),
+             listed("top", months.select("ledger_id", F.col("m.id").alias("month"), F.explode("m.top_movements").alias("x")), "x.category")]
+    out = total("expense_total")
+    for p in parts:
+        out = out.unionByName(p)
     for part in ("cross", "card"):
         for name in ("income", "expense"):
             out = out.unionByName(cells(part, name))
