@@ -121,7 +121,7 @@ def new_format_rules(sheet: DataFrame) -> DataFrame:
         *[text(c).alias(c) for c in ("category", "subcategory", "origin", "kind")])
 
 
-def migrate_rules(old_patterns: DataFrame, old_unmatched: DataFrame, new_sheet: DataFrame | None = None) -> DataFrame:
+def migrate_rules(old_patterns: DataFrame | None, old_unmatched: DataFrame | None, new_sheet: DataFrame | None = None) -> DataFrame:
     """U1 (or, if given, the new-format sheet alone) ordered for review (O5): category, longer pattern first, pattern; ``ord`` is the
     sheet position.  The ranking window runs over the rule table only."""
     u = union_rules(old_patterns, old_unmatched) if new_sheet is None else new_format_rules(new_sheet)

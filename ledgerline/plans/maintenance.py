@@ -90,6 +90,11 @@ def migrate_rules(spark, sf):
     return finalize(G.migrate_rules(*_old_sheets(spark, sf)))
 
 
+def migrate_new_rules(spark, sf):
+    """U1 / R1 of a sheet in the new format: amounts, origin and type are kept."""
+    return finalize(G.migrate_rules(None, None, adapter.new_format_sheet(spark, sf)))
+
+
 def _taxonomy(spark, sf):
     """The taxonomy of the whole ledger."""
     return G.taxonomy_from(adapter.movements(spark, sf))
@@ -186,6 +191,7 @@ QUERIES = {
     "rule_review_unmatched": rule_review_unmatched,
     "union_rules": union_rules,
     "migrate_rules": migrate_rules,
+    "migrate_new_rules": migrate_new_rules,
     "flat_subcategories": flat_subcategories,
     "category_reference": category_reference,
     "recode_category": recode_category,

@@ -1002,3 +1002,13 @@ SELECT ledger_id, batch_id, year(date) AS year, month(date) AS month, count(*) A
        count(*) FILTER (WHERE review) AS n_review
 FROM al GROUP BY ALL""")
 ORACLE["nb_kept"] = ORACLE["nb_labeller"]
+ORACLE["import_stream_by_month"] = ORACLE["import_stream"]
+
+ORACLE["migrate_new_rules"] = """
+WITH s AS (
+  SELECT CASE WHEN p_size % 4 = 0 THEN '' ELSE trim(p_name) END AS pattern, CASE WHEN p_size % 2 = 0 THEN cast(p_size AS double) END AS lo,
+         CASE WHEN p_size % 3 = 0 THEN cast(p_size + 100 AS double) END AS hi, p_type AS category, cast(p_partkey AS varchar) AS subcategory,
+         CASE WHEN p_size % 6 <> 0 THEN p_brand ELSE '' END AS origin, '' AS kind
+  FROM part WHERE p_size % 5 <> 0 AND p_size % 7 <> 0 AND trim(p_type) <> ''
+)
+SELECT *, cast(row_number() OVER (ORDER BY category, length(pattern) DESC, pattern, subcategory) AS integer) AS ord FROM s"""

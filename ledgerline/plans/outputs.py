@@ -9,11 +9,13 @@ from ledgerline.operators.aggregates import month_totals
 from ledgerline.operators.aggregates import unclassified_movements as unclassified_op
 from ledgerline.operators.document import ledger_document
 from ledgerline.operators.document import write_document as write_op
+from ledgerline.operators.kept_model import KeptLabeller
 from ledgerline.plans.common import finalize, ledger
 from ledgerline.plans.labelling import rules
 from ledgerline.session import scratch_path
 from ledgerline.sources import adapter
 from ledgerline.sources.ledger import read_ledger
+from ledgerline.sources.monthly import MonthLedger
 from ledgerline.sources.statements import FIELDS, read_statements, write_statement_files
 from ledgerline.streaming.inbox import import_stream as stream_op
 from ledgerline.streaming.inbox import refresh_months as refresh_op
@@ -121,6 +123,20 @@ def import_stream(spark, sf):
     return finalize(out.withColumn("reference", F.split_part("reference", F.lit("\n"), F.lit(1))).select(*_CANON))
 
 
+def import_stream_by_month(spark, sf):
+    """T1 into a ledger stored by month, merged after the import, with the kept labeller learning from each batch."""
+    inbox = write_statement_files(adapter.incoming_rows(spark, sf), scratch_path(spark, "inbox"))
+    store = MonthLedger(spark, scratch_path(spark, "month-ledger"), buckets=2)
+    old = adapter.existing_ledger(spark, sf)
+    store.append(old, "initial")
+    labeller = KeptLabeller(spark, scratch_path(spark, "labeller"))
+    labeller.learn(old, "initial")
+    stream_op(spark, inbox, store, rules(spark, sf), scratch_path(spark, "stream-ckpt"), after_import=labeller.after_import)
+    store.compact(fan_in=2)
+    out = store.read().where(F.col("batch_id") != "initial")
+    return finalize(out.withColumn("reference", F.split_part("reference", F.lit("\n"), F.lit(1))).select(*_CANON))
+
+
 def stream_summary(spark, sf):
     """A14 of the stream: the run log, one row per statement file."""
     log = run_log(spark, f"{_streamed(spark, sf)}-runs")
@@ -180,6 +196,7 @@ QUERIES = {
     "document_values": document_values,
     "map_columns": map_columns,
     "import_stream": import_stream,
+    "import_stream_by_month": import_stream_by_month,
     "stream_summary": stream_summary,
     "refresh_months": refresh_months,
     "refresh_all": refresh_all,

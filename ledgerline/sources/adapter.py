@@ -188,3 +188,15 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.upper("w").alias("pattern"), F.lit("Compras").alias("category"),
                     F.initcap("w").alias("subcategory"),
                     F.when(F.col("w") == "gizmo", F.lit("revisar")).otherwise(F.lit("")).alias("note")))
+
+
+def new_format_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule sheet that is already in the new format, one line for each part: text cells, some blank in the ways of a
+    spreadsheet, bounds that are no numbers, and no column for the type."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    return _read(spark, sf_dir, "part").select(
+        F.when(size % 4 == 0, "NaN").otherwise(F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))).alias("pattern"),
+        F.when(size % 2 == 0, size.cast("string")).otherwise("x").alias("lo"),
+        F.when(size % 3 == 0, (size + 100).cast("string")).alias("hi"),
+        F.when(size % 5 == 0, " none ").when(size % 7 != 0, F.col("p_type")).alias("category"),
+        key.alias("subcategory"), F.when(size % 6 != 0, F.col("p_brand")).alias("origin"))
