@@ -1,8 +1,9 @@
 """Line de-duplication by site-relative frequency.
 
 For each host, the share of its pages that contain a line is the number of pages with the line over the
-number of pages of the host; lines over ``ratio`` on at least ``min_pages`` pages are boilerplate and are dropped
-from every page of that host.  A page counts once per line, however often it repeats it.
+number of pages of the host; lines over ``ratio`` are boilerplate and are dropped from every page of that host.
+A page counts once per line, however often it repeats it.  The ratio decides on hosts of every size; a line on
+a single page (fewer than ``min_pages``) repeats nothing and stays, whatever its share of a small host.
 
 Counting is a map-side combined aggregation over (host, line), compared as whole lines; a hot host is spread
 over its lines.  What is dropped is one list per host, no longer than the host's mean number of lines over
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ledgerline.session import materialize
 
 RATIO = 0.05
-MIN_PAGES = 3
+MIN_PAGES = 2
 
 BLOCK_TAG = (r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|hr|tr|td|th|table|section|article|header|footer|nav|title|body|html|head)"
              r"\b[^>]*>")

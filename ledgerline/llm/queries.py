@@ -151,7 +151,7 @@ ORACLE = {
               FROM t),
         totals AS (SELECT host, count(*) AS total FROM l WHERE host IS NOT NULL GROUP BY host),
         freq AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY host, line),
-        drops AS (SELECT host, list(line) AS gone FROM freq JOIN totals USING (host) WHERE n >= 3 AND n > 0.05 * total GROUP BY host),
+        drops AS (SELECT host, list(line) AS gone FROM freq JOIN totals USING (host) WHERE n > 1 AND n > 0.05 * total GROUP BY host),
         r AS (SELECT page_id, host, len(lines) AS n, list_filter(lines, lambda x: gone IS NULL OR NOT list_contains(gone, x)) AS rest
               FROM l LEFT JOIN drops USING (host))
         SELECT page_id, host, n::BIGINT AS n_lines, (n - len(rest))::BIGINT AS n_dropped,

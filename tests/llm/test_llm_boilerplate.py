@@ -26,13 +26,24 @@ def test_against_a_direct_count(spark):
     rows += [(900, "a", None), (901, "a", ""), (902, "c", "only\nonly"), (900, "a", None), (None, "b", " padded \n\n  \nline 1"),
              (903, "d", "\n".join(f"l{i}" for i in range(50_000)))]
     df = spark.createDataFrame(rows, "key long, host string, text string").withColumn("kept", F.lit(1)).withColumn("lines", F.lit(2))
-    for ratio, least in ((0.1, 3), (0.5, 1), (0.0, 1)):
+    for ratio, least in ((0.1, 3), (0.5, 1), (0.0, 1), (B.RATIO, B.MIN_PAGES)):
         out = B.drop_boilerplate(df, F.col("key"), F.col("host"), F.col("text"), ratio, least)
         assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(rows, ratio, least)
     empty = B.drop_boilerplate(df.limit(0), F.col("key"), F.col("host"), F.col("text"))
     assert empty.count() == 0
 
 
+def test_small_hosts_go_by_the_ratio(spark):
+    rows = [(1, "two", "menu\none"), (2, "two", "menu\nother"), (3, "single", "menu\nalone"),
+            *((10 + i, "ten", f"own {i}\n" + ("twice" if i < 2 else "x" * (i + 1))) for i in range(10)),
+            *((100 + i, "many", f"own {i}\n" + ("rare" if i < 5 else "often" if i < 11 else f"z{i}")) for i in range(100))]
+    df = spark.createDataFrame(rows, "key long, host string, text string")
+    kept = {r["key"]: r["kept"] for r in B.drop_boilerplate(df, F.col("key"), F.col("host"), F.col("text")).collect()}
+    assert (kept[1], kept[2], kept[3]) == ("one", "other", "menu\nalone")       # on both pages; on the only page
+    assert kept[10] == "own 0" and kept[15] == "own 5\nxxxxxx"                   # 2 of 10 pages
+    assert kept[100] == "own 0\nrare" and kept[105] == "own 5"                   # 5 of 100 is not over 0.05, 6 are
+
+
 def test_hosts_and_lines(spark):
     page = "<HTML><style>p{}</style><script>x='</p>'</script><p>one<br>two <b>bold</b></p><!-- <p>no</p> --><div>three</div>"
     df = spark.createDataFrame([("HTTP://Www.Ex.COM:80/a?b", page), (None, None), ("no url", "")], "url string, html string")
