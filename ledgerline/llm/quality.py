@@ -12,8 +12,9 @@ The model is over characters (order ``ORDER``) of lower-cased text with white sp
   table in the tasks); the partial log-probabilities of a document are summed.  No text moves, but all
   shards are live together, so memory grows with the model once it is larger than one shard.
 * Thresholds: every ``FOLD``-th trusted id (by a hash) is kept out of the counts; the perplexity quantiles of
-  these documents, per language, are what unseen clean text looks like.  A document is kept between the low
-  quantile over ``SLACK`` and the high one times it.
+  these documents, per language, are what unseen clean text looks like.  A document is kept between its
+  language's low and high quantile, bounds included.  A quantile is a value of the held-out documents, by rank (to
+  one in ``ACCURACY``; exact below that many documents).
 
 Trusted ids are broadcast up to ``BROADCAST_IDS`` and joined by a shuffle beyond.  The text of every other trusted id is counted.
 
@@ -42,7 +43,7 @@ SHARD_ROWS = 1 << 20
 BROADCAST_IDS = 1_000_000
 FOLD = 5                        # one of so many trusted ids is for the thresholds
 LOW, HIGH = 0.005, 0.995        # quantiles of held-out trusted perplexity
-SLACK = 1.25
+ACCURACY = 10_000
 MIN_DOCS = 20
 HASH_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,11 +94,13 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
 # ---- estimation
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """The three discounts from the counts of counts; a plain 0.5 where they cannot be estimated."""
+    """The three discounts from the counts of counts; a plain 0.5 where they cannot be estimated or are not
+    positive (a context with nothing held back would give what it has not seen no probability)."""
     if not n1 or not n2:
         return 0.5, 0.5, 0.5
     y = n1 / (n1 + 2 * n2)
-    return (1 - 2 * y * n2 / n1, max(0.0, 2 - 3 * y * n3 / n2), max(0.0, 3 - 4 * y * n4 / n3) if n3 else 0.5)
+    own = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.5)
+    return tuple(d if d > 0 else 0.5 for d in own)
 
 
 def _key(order: int, gram: Column) -> Column:
@@ -264,11 +267,11 @@ def quality(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     per_char = F.when(F.col("n_chars") > 0, F.exp(-F.col("log_prob") / F.col("n_chars")))
     scored = materialize(scored.withColumn("perplexity", per_char))
     own = scored.join(side, "id").where("perplexity is not null")
-    bounds = (F.percentile_approx("perplexity", [low, high], 10_000).alias("q"), F.count(F.lit(1)).alias("n"))
+    bounds = (F.percentile_approx("perplexity", [low, high], ACCURACY).alias("q"), F.count(F.lit(1)).alias("n"))
     by_lang = materialize(own.where("fold").groupBy(F.col("lang").alias("l")).agg(*bounds).where(F.col("n") >= MIN_DOCS))
     overall = own.where("fold").agg(*bounds).first()["q"] or own.agg(*bounds).first()["q"]
     out = scored.join(by_lang, scored["lang"].eqNullSafe(by_lang["l"]), "left")
-    least = F.coalesce(F.col("q")[0], F.lit(float(overall[0]))) / SLACK
-    most = F.coalesce(F.col("q")[1], F.lit(float(overall[1]))) * SLACK
+    least = F.coalesce(F.col("q")[0], F.lit(float(overall[0])))
+    most = F.coalesce(F.col("q")[1], F.lit(float(overall[1])))
     kept = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(False))
     return out.select("id", "lang", "n_chars", "perplexity", least.alias("least"), most.alias("most")).withColumn("kept", kept)

@@ -86,6 +86,36 @@ def test_model_equals_the_formulas(spark, monkeypatch, shard_rows):
     assert all((r["perplexity"] is not None and r["least"] <= r["perplexity"] <= r["most"]) == r["kept"] for r in out)
 
 
+def quantile(values, q):
+    """The least value that at least a share q of the values don't exceed."""
+    return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+
+
+@pytest.mark.parametrize("low,high", [(Q.LOW, Q.HIGH), (0.1, 0.8)])
+def test_thresholds_and_kept_equal_a_direct_reading(spark, low, high):
+    rnd = random.Random(8)
+    parts = {"en": ["the ", "an ", "re", "on"], "de": ["der ", "ü", "st ", "ei"], "xx": ["qu", "é ", "ou "]}
+    own = [(i, "".join(rnd.choice(parts[lang]) for _ in range(rnd.randrange(5, 60))), lang)
+           for i, lang in enumerate(["en"] * 200 + ["de"] * 160 + ["xx"] * 12)]
+    other = [(1000 + i, "".join(rnd.choice("the anrüq#7 ") for _ in range(40)), rnd.choice(["en", "de", "xx", None])) for i in range(80)]
+    other += [(2000, None, "en"), (2001, "", "de"), (None, "the an", "en"), (2002, "the the", None)]
+    rows = spark.createDataFrame(own + other, "doc_id long, text string, lang string")
+    ids = spark.createDataFrame([(i,) for i, *_ in own], "doc_id long")
+    fold = {r[0] for r in ids.where(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(Q.FOLD)) == 0).collect()}
+    brute = Brute([t for i, t, _ in own if i not in fold])
+    seen = {i: brute.perplexity(t) for i, t, _ in own + other}
+    held = {g: [seen[i] for i, _, lang in own if i in fold and lang == g] for g in parts}
+    assert len(held["en"]) >= Q.MIN_DOCS <= len(held["de"]) and len(held["xx"]) < Q.MIN_DOCS
+    every = [p for ps in held.values() for p in ps]
+    for r in Q.quality(rows, ids, low=low, high=high).collect():
+        base = held.get(r["lang"], [])
+        base = base if len(base) >= Q.MIN_DOCS else every
+        least, most = quantile(base, low), quantile(base, high)
+        assert (r["least"], r["most"]) == (pytest.approx(least, rel=1e-4), pytest.approx(most, rel=1e-4))
+        p = seen[r["id"]]
+        assert r["kept"] == (p is not None and least <= p <= most), r
+
+
 def test_probabilities_sum_to_one():
     good, _ = fixture_rows()
     brute = Brute([t for _, t, _ in good])
@@ -102,6 +132,11 @@ def test_no_trusted_text_and_empty_table(spark):
     assert Q.quality(df.limit(0), df.select("doc_id")).count() == 0
 
 
+def test_discounts_stay_positive():
+    assert Q.discounts(10, 1, 50, 500) == pytest.approx((10 / 12, 0.5, 0.5))
+    assert Q.discounts(0, 3, 1, 1) == (0.5, 0.5, 0.5)
+
+
 def test_hash_table():
     rnd = np.random.default_rng(1)
     keys = np.unique(rnd.integers(-2**62, 2**62, 5000))
