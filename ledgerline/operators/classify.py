@@ -10,10 +10,11 @@ hands over to ``index``):
 
 * ``case``  — the default up to ``AUTO_CASE_RULES`` rules.  The ranked rules become one CASE WHEN chain
   evaluated per row inside whole-stage codegen: map-only, no shuffle, no join.
-* ``index`` — the default above.  A pattern can only occur in a text that contains its grams, so rules are
+* ``index`` — the default above ``AUTO_JOIN_RULES``.  A pattern can only occur in a text that contains its grams, so rules are
   equi-joined with the grams of the distinct concepts on the rarest gram of each pattern, then verified;
   candidates are joined back and the amount bounds and the best priority checked per row.
-* ``join``  — distinct concepts ⋈ broadcast(rules) on the substring condition, up to ``max_broadcast`` rules.
+* ``join``  — the default between.  Distinct concepts ⋈ broadcast(rules) on the substring condition, up to
+  ``max_broadcast`` rules; its work is concepts × rules.
 * ``distinct`` (J2b) — the CASE chain on distinct (concept, amount) keys, joined back; pays off
   when the same concepts repeat many times and the rule list is long.
 
@@ -32,6 +33,7 @@ from ledgerline.session import materialize
 
 MAX_INLINE_RULES = 2_000
 AUTO_CASE_RULES = 32
+AUTO_JOIN_RULES = 200
 MAX_BROADCAST_RULES = 200_000
 OUT = ("rule_ord", "new_category", "new_subcategory", "new_origin", "new_kind")
 
@@ -93,19 +95,22 @@ def classify(df: DataFrame, rules: DataFrame, strategy: str = "auto", concept: s
              max_broadcast: int = MAX_BROADCAST_RULES) -> DataFrame:
     """Adds rule_ord, new_category, new_subcategory, new_origin, new_kind to every row.
 
-    ``auto`` picks ``case`` up to ``AUTO_CASE_RULES`` rules (a CASE chain stays inside generated
-    code) and ``index`` above (a very long chain exceeds the JVM method size and runs interpreted).
+    ``auto`` picks ``case`` up to ``AUTO_CASE_RULES`` rules (a CASE chain stays inside generated code; a very
+    long one exceeds the JVM method size and runs interpreted), ``join`` up to ``AUTO_JOIN_RULES`` and ``index`` above.
     """
-    most = {"auto": AUTO_CASE_RULES, "case": max_inline, "distinct": max_inline, "join": max_broadcast, "index": 0}
+    most = {"auto": None, "case": max_inline, "distinct": max_inline, "join": max_broadcast, "index": 0}
     if strategy not in most:
         raise ValueError(strategy)
-    if strategy == "index" or not _fewer_than(rules, most[strategy]):
-        return _classify_index(df, rules, concept, debit, credit)
-    if strategy in ("auto", "case"):
+    if strategy == "auto":
+        n = rules.limit(AUTO_JOIN_RULES + 1).count()
+        strategy = "case" if n <= AUTO_CASE_RULES else "join" if n <= AUTO_JOIN_RULES else "index"
+    elif strategy != "index" and not _fewer_than(rules, most[strategy]):
+        strategy = "index"
+    if strategy in ("join", "index"):
+        return _classify_by_concept(df, rules, concept, debit, credit, pairwise=strategy == "join")
+    if strategy == "case":
         m = _match_inputs(df, concept, abs_amount(debit, credit))
         return _explode_label(m.withColumn("_best", _case_labels(rules)))
-    if strategy == "join":
-        return _classify_join(df, rules, concept, debit, credit)
     # The CASE chain on distinct (concept, amount) keys, joined back
     keys = df.select(F.col(concept).alias("_k_concept"), abs_amount(debit, credit).alias("_k_amt")).distinct()
     keys = _match_inputs(keys, "_k_concept", F.col("_k_amt"))
@@ -121,17 +126,6 @@ def _candidate(rank: Column) -> Column:
                     F.col("subcategory").alias("s"), F.col("origin").alias("g"), F.col("kind").alias("k"))
 
 
-def _classify_join(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str) -> DataFrame:
-    """Text conditions depend on the concept only: distinct concepts ⋈ broadcast(rules) on the
-    substring condition gives each concept its candidate rules (the caller has checked their number); the
-    amount bounds are then checked per row on the candidates and the best priority kept."""
-    r = F.broadcast(rules.select("pattern", _candidate(_rank()).alias("rule")))
-    concepts = _match_inputs(df.select(F.col(concept).alias("_k_concept")).distinct(), "_k_concept", F.lit(None))
-    text_ok = ~F.col("_blank") & ((F.col("pattern") == "") | F.col("_cu").contains(F.col("pattern"))
-                                  | F.col("_cn").contains(F.col("pattern")))
-    return _pick_per_row(df, _best_candidates(concepts.join(r, text_ok, "inner")), concept, debit, credit)
-
-
 def _best_candidates(hits: DataFrame) -> DataFrame:
     """(concept, candidates): those ranked after a concept's best rule without amount bounds can never win."""
     free = F.min(F.when(F.col("rule.lo").isNull() & F.col("rule.hi").isNull(), F.col("rule.priority"))).over(
@@ -164,27 +158,68 @@ def grams_of(c: Column, n: int) -> Column:
     return F.filter(F.transform(starts, lambda i: F.substring(c, i, n)), lambda g: F.length(g) == n)
 
 
-def gram_matches(texts: DataFrame, columns: list[str], patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """texts ⋈ patterns where one of the text ``columns`` contains the non-empty pattern, as an equi-join: the texts'
-    distinct grams meet each pattern at the pattern's gram that the fewest texts contain, and the
-    substring is verified.  Patterns under GRAM characters are their own gram."""
+#: a gram is hot if more texts hold it than this and than one of HOT_SHARE: then there are at most HOT_SHARE times a
+#: text's length of hot grams, however large the data
+HOT_TEXTS = 10_000
+HOT_SHARE = 256
+
+
+def gram_matches(texts: DataFrame, columns: list[str], patterns: DataFrame, pattern: str = "pattern",
+                 hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """texts ⋈ patterns where one of the text ``columns`` contains the non-empty pattern, as an equi-join; the rows of
+    ``texts`` are distinct.  Patterns under GRAM characters are their own gram.
+
+    A pattern meets the texts at the one of its grams that the fewest texts contain, and the substring is verified.  If
+    even that gram is hot, all of the pattern's grams are: it meets the texts that hold its two rarest grams,
+    at the pair, and the pair's texts are dealt over as many salts as the rarer gram has times the bound.
+    """
     own = patterns.where(F.length(pattern) > 0)
-    sizes = [GRAM] + [n for n in range(1, GRAM) if not own.where(F.length(pattern) == n).isEmpty()]
-    every = F.array_distinct(F.flatten(F.array(*[grams_of(F.col(c), n) for c in columns for n in sizes])))
     size = F.least(F.length(pattern), F.lit(GRAM))
+    sizes = sorted(own.agg(F.collect_set(size)).first()[0]) or [GRAM]
+    texts = materialize(texts)
+    bound = max(hot_texts, texts.count() // HOT_SHARE)
+    every = F.array_distinct(F.flatten(F.array(*[grams_of(F.col(c), n) for c in columns for n in sizes])))
     starts = F.sequence(F.lit(1), F.length(pattern) - size + 1)
     options = own.select(pattern).distinct().withColumn("_g", F.explode(F.array_distinct(F.transform(
         starts, lambda i: F.substring(F.col(pattern), i, size)))))
     grams = texts.withColumn("_g", F.explode(every))
-    held = grams.join(options.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    held = materialize(grams.join(options.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n")))
     # a gram that no text contains counts 0: the pattern's key is then that gram, and it meets no text
-    rarest = (options.join(held, "_g", "left").groupBy(pattern)
-              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g")))["g"].alias("_g")))
-    found = grams.join(rarest, "_g").drop("_g")
+    rare = options.join(held, "_g", "left").groupBy(pattern).agg(F.slice(F.array_sort(F.collect_list(
+        F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g")))), 1, 2).alias("_rare"))
+    first, second = F.get("_rare", F.lit(0)), F.get("_rare", F.lit(1))
+    wanted = own.join(rare, pattern).withColumn("_n", first["n"]).withColumn("_a", first["g"]).withColumn("_b", second["g"]).drop("_rare")
+    hot = held.where(F.col("_n") > bound)
+
+    cold = wanted.where(F.col("_n") <= bound).drop("_n", "_b").withColumnRenamed("_a", "_g")
+    found = grams.join(cold.select("_g").distinct(), "_g", "left_semi").join(cold, "_g").drop("_g")
+    if not hot.isEmpty():
+        found = found.unionByName(_hot_matches(texts, grams, columns, wanted.where(F.col("_n") > bound), hot, bound))
     inside = F.lit(False)
     for c in columns:
         inside = inside | F.col(c).contains(F.col(pattern))
-    return found.where(inside).join(own, pattern)
+    return found.where(inside)
+
+
+def _hot_matches(texts: DataFrame, grams: DataFrame, columns: list[str], wanted: DataFrame, hot: DataFrame, bound: int) -> DataFrame:
+    """texts ⋈ wanted patterns (_n, _a, _b: texts of the rarest gram, and the two rarest) of which every gram is hot."""
+    salts = F.ceil(F.col("_n") / bound).cast("int")
+    key = ["_a", "_b"]          # in the order of the grams; a pattern of one gram has an empty first
+    other = F.coalesce("_b", F.lit(""))
+    wanted = materialize(wanted.withColumns({"_a": F.least("_a", other), "_b": F.greatest("_a", other)}))
+    used = wanted.select(F.explode(F.array(*key)).alias("_g")).distinct()
+    hot = F.broadcast(hot.join(used, "_g", "left_semi"))           # bounded, see HOT_SHARE
+    own = F.array_sort(F.collect_list(F.struct(F.col("_g").alias("g"), F.col("_n").alias("n"))))
+    each = grams.join(hot, "_g").groupBy(*texts.columns).agg(own.alias("_own"))
+    single = F.transform("_own", lambda x: F.struct(F.lit("").alias("_a"), x["g"].alias("_b"), x["n"].alias("_n")))
+    pairs = F.flatten(F.transform("_own", lambda x, i: F.transform(
+        F.slice("_own", i + 2, F.size("_own")),
+        lambda y: F.struct(x["g"].alias("_a"), y["g"].alias("_b"), F.least(x["n"], y["n"]).alias("_n")))))
+    keys = each.withColumn("_k", F.explode(F.concat(single, pairs))).select(*texts.columns, "_k.*")
+    keys = keys.join(wanted.select(*key).distinct(), key, "left_semi")
+    keys = keys.withColumn("_salt", F.pmod(F.xxhash64(*columns), salts).cast("int")).drop("_n")
+    dealt = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_n")
+    return keys.join(dealt, [*key, "_salt"]).drop(*key, "_salt")
 
 
 def _amount_only(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str):
@@ -250,14 +285,20 @@ def _literal(row, kind) -> Column:
     return F.struct(*fields).cast(kind)
 
 
-def _classify_index(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str) -> DataFrame:
-    """Any number of rules, without a broadcast: text rules through ``gram_matches`` on distinct concepts,
-    amount-only rules by amount.  Candidates that can never win are dropped per concept; amount bounds and the
-    best priority are then checked per row."""
+def _classify_by_concept(df: DataFrame, rules: DataFrame, concept: str, debit: str, credit: str, pairwise: bool) -> DataFrame:
+    """Text conditions depend on the concept only: the distinct concepts meet the text rules, through ``gram_matches``
+    or (``pairwise``; the caller has checked their number) through a broadcast of the rules.  Amount-only rules go
+    by amount.  Candidates that can never win are dropped per concept; amount bounds and the best priority are then
+    checked per row."""
     rows, by_amount = _amount_only(df, rules, concept, debit, credit)
     concepts = _match_inputs(df.select(F.col(concept).alias("_k_concept")).distinct(), "_k_concept", F.lit(None)).where("not _blank")
+    concepts = concepts.select("_k_concept", "_cu", "_cn")
     text_rules = rules.where(F.col("pattern") != "").select("pattern", _candidate(_rank()).alias("rule"))
-    hits = gram_matches(concepts.select("_k_concept", "_cu", "_cn"), ["_cu", "_cn"], text_rules)
+    if pairwise:
+        inside = F.col("_cu").contains(F.col("pattern")) | F.col("_cn").contains(F.col("pattern"))
+        hits = concepts.join(F.broadcast(text_rules), inside)
+    else:
+        hits = gram_matches(concepts, ["_cu", "_cn"], text_rules)
     out = _pick_per_row(rows, _best_candidates(hits.select("_k_concept", "rule")), concept, debit, credit, by_amount)
     return out.drop("_a_best")
 

@@ -90,3 +90,46 @@ def test_stabbing_is_exact_at_the_bounds(spark):
     got = {r["p"]: r["v"] for r in C.stab_intervals(pts, "p", iv, "v").collect()}
     want = {p: min((v for lo, hi, v in rows if (lo is None or D(lo) <= p) and (hi is None or p <= D(hi))), default=None) for p in points}
     assert got == {p: v for p, v in want.items() if v is not None}
+
+
+def _contained(texts, patterns):
+    return sorted((t, p) for t in texts for p in patterns if p and (p in t or p in t[::-1]))
+
+
+def test_patterns_of_common_grams_only(spark):
+    """Every gram of most patterns is in a third of the texts or more: equal to a direct reading, each pair once, and
+    the texts of a hot key are dealt over salts."""
+    import random
+    rnd = random.Random(5)
+    texts = sorted({"".join(rnd.choice(["PAGO TARJETA ", "PAGO ", "TARJETA ", "AB", "X", "RECIBO "]) for _ in range(rnd.randrange(1, 5)))
+                    for _ in range(400)})
+    patterns = ["PAGO", "PAGO TARJETA", "TARJETA", "PAG", "AG", "P", "ARJETA PAGO", "RECIBO X", "XX", "PAGOS", "AAA", "OGAP", ""]
+    df = spark.createDataFrame([(t, t[::-1]) for t in texts], "t string, r string")
+    pats = spark.createDataFrame([(p, i) for i, p in enumerate(patterns + ["PAGO"])], "pattern string, no int")
+    want = sorted([*_contained(texts, patterns), *((t, "PAGO") for t, p in _contained(texts, patterns) if p == "PAGO")])
+    for bound in (C.HOT_TEXTS, 7, 1):
+        got = C.gram_matches(df, ["t", "r"], pats, hot_texts=bound)
+        assert sorted((r["t"], r["pattern"]) for r in got.collect()) == want, bound
+        assert sorted(got.columns) == ["no", "pattern", "r", "t"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_hot_key_is_split(spark):
+    """3,000 of 9,000 texts share their grams with ten patterns: no task of the matching gets them all."""
+    from pyspark.sql import functions as F
+    n = 9000
+    df = spark.range(n).select(F.concat(F.when(F.col("id") % 3 == 0, "PAGO TARJETA ").otherwise("Q"), F.col("id").cast("string")).alias("t"))
+    pats = spark.createDataFrame([(p,) for p in ("PAGO", "PAGO ", "AGO T", "TARJETA", "TARJE", "RJETA", "ETA", "GO TA", "O TARJ", "JETA ")], "pattern string")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in zip(keys, ("-1", "-1", "false", "16")):
+            spark.conf.set(k, v)
+        out = C.gram_matches(df, ["t"], pats, hot_texts=100).withColumn("task", F.spark_partition_id())
+        per_task = {r["task"]: r["count"] for r in out.groupBy("task").count().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(per_task.values()) == 10 * n // 3
+    assert max(per_task.values()) < 10 * n // 3 / 5
