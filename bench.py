@@ -56,7 +56,7 @@ def main():
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     reg = registered_queries()
     qs = {n: reg[n] for n in HEADLINE}
-    # rule-count dimension with the strategy the library picks (auto: CASE chain ≤ 32 rules, index
+    # rule-count dimension with the strategy the library picks (auto: CASE chain ≤ 32 rules, join ≤ 1,000, index
     # form above; the last is one rule per part, 20,000 at sf0.1), plus both forms at 10 rules for comparison
     for n in (10, 100, 1000, 100_000):
         qs[f"classify_rules{n}"] = classify_query(n, "auto")

@@ -33,7 +33,7 @@ from ledgerline.session import materialize
 
 MAX_INLINE_RULES = 2_000
 AUTO_CASE_RULES = 32
-AUTO_JOIN_RULES = 200
+AUTO_JOIN_RULES = 1_000
 MAX_BROADCAST_RULES = 200_000
 OUT = ("rule_ord", "new_category", "new_subcategory", "new_origin", "new_kind")
 
