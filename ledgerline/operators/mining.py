@@ -9,27 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.constants import CONCEPT_CHARS, EXAMPLE_CHARS, MINING_MIN_COUNT, MINING_PURITY_PCT
+from ledgerline.constants import CONCEPT_CHARS, EXAMPLE_CHARS, MINING_MIN_COUNT, MINING_PURITY_PCT, MINING_STOP_WORDS
 from ledgerline.functions.numbers import round_ratio
 from ledgerline.functions.text import BOUND, clean_num, clean_text, norm_concept, tokens, truncate
 from ledgerline.operators.classify import gram_matches
 from ledgerline.session import materialize
 
-def tokenize(rows: DataFrame, concept: str = "concept") -> DataFrame:
+def tokenize(rows: DataFrame, concept: str = "concept", stop_words=MINING_STOP_WORDS) -> DataFrame:
     """P6 + P7: adds ``norm`` (normalised concept) and ``tokens``."""
-    return rows.withColumn("norm", norm_concept(concept)).withColumn("tokens", tokens(F.col("norm")))
+    return rows.withColumn("norm", norm_concept(concept)).withColumn("tokens", tokens(F.col("norm"), stop_words))
 
 
 def mine_patterns(labelled: DataFrame, label: str = "label", min_count: int = MINING_MIN_COUNT,
-                  purity_pct: int = MINING_PURITY_PCT, concept: str = "concept") -> DataFrame:
+                  purity_pct: int = MINING_PURITY_PCT, concept: str = "concept", stop_words=MINING_STOP_WORDS) -> DataFrame:
     """G1: per token (counted once per movement): rows per label; keep tokens seen ≥ min_count times
     whose dominant label holds ≥ purity of them.  Output (pattern, label, matches, total, purity).
+    ``stop_words`` are never patterns: give those of the own bank and language.
 
     Tokens depend on the concept only, so rows are first counted per (concept, label) and each
     distinct concept is normalised and tokenised once; its tokens carry the row count as weight.
     """
     grouped = labelled.groupBy(concept, F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("_w"))
-    t = grouped.select(F.explode(F.array_distinct(tokens(norm_concept(concept)))).alias("pattern"), "label", "_w")
+    t = grouped.select(F.explode(F.array_distinct(tokens(norm_concept(concept), stop_words))).alias("pattern"), "label", "_w")
     per = t.groupBy("pattern", "label").agg(F.sum("_w").alias("n"))
     tok = per.groupBy("pattern").agg(
         F.sum("n").alias("total"),
@@ -40,11 +41,11 @@ def mine_patterns(labelled: DataFrame, label: str = "label", min_count: int = MI
                        round_ratio(dom * 100, F.col("total")).alias("purity")))
 
 
-def unmatched_concepts(rows: DataFrame, patterns: DataFrame, concept: str = "concept") -> DataFrame:
+def unmatched_concepts(rows: DataFrame, patterns: DataFrame, concept: str = "concept", stop_words=MINING_STOP_WORDS) -> DataFrame:
     """Rows none of whose tokens is a mined pattern.  Decided once per distinct concept
     (tokenise, explode, semi join the patterns), then rows of matched concepts are anti-joined away."""
     concepts = rows.select(concept).distinct()
-    matched = (concepts.select(concept, F.explode(tokens(norm_concept(concept))).alias("pattern"))
+    matched = (concepts.select(concept, F.explode(tokens(norm_concept(concept), stop_words)).alias("pattern"))
                        .join(patterns.select("pattern"), "pattern", "left_semi").select(concept).distinct())
     return rows.join(matched, concept, "left_anti")
 

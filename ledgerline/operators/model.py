@@ -20,7 +20,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.constants import MODEL_CONFIDENCE_MIN
+from ledgerline.constants import MODEL_CONFIDENCE_MIN, MODEL_STOP_WORDS
 from ledgerline.functions.labels import recode_category
 from ledgerline.functions.numbers import signed_amount
 from ledgerline.functions.predicates import is_training_row, needs_label
@@ -35,16 +35,17 @@ SMALL_CLASS = 1000      # rows of a class up to which its folds are dealt in tur
 TEXT_COLS = ("concept", "reference", "destination", "origin")
 
 
-def with_model_tokens(df: DataFrame, label: str = "category") -> DataFrame:
+def with_model_tokens(df: DataFrame, label: str = "category", stop_words=MODEL_STOP_WORDS) -> DataFrame:
     cols = [c if c in df.columns else F.lit("") for c in TEXT_COLS]
-    return (df.withColumn("_text", model_text(*cols))
+    return (df.withColumn("_text", model_text(*cols, stop_words=stop_words))
               .withColumn("tokens", F.filter(F.split("_text", " "), lambda t: t != ""))
               .withColumn("amount", signed_amount("credit", "debit")))
 
 
 # ---- M2b: naive Bayes ------------------------------------------------------------------------
 
-def nb_labeller(df: DataFrame, label: str = "category", threshold: float = MODEL_CONFIDENCE_MIN) -> DataFrame:
+def nb_labeller(df: DataFrame, label: str = "category", threshold: float = MODEL_CONFIDENCE_MIN,
+                stop_words=MODEL_STOP_WORDS) -> DataFrame:
     """Train on labelled rows (F8), suggest for rows needing a label.
 
     score(row, c) = log(docs_c / docs) + Σ_t log((n_ct + 1) / (tokens_c + V)) over the row's known
@@ -55,21 +56,22 @@ def nb_labeller(df: DataFrame, label: str = "category", threshold: float = MODEL
     holds none of a list's k known tokens scores a + k·b: those are summarised per k, and only classes that
     hold some token are listed per list.  So no class count is limited and none comes to the driver.
     """
-    return nb_suggest(df, materialize(nb_counts(df, label)), label, threshold)
+    return nb_suggest(df, materialize(nb_counts(df, label, stop_words=stop_words)), label, threshold, stop_words)
 
 
-def nb_counts(df: DataFrame, label: str = "category", recode: DataFrame | None = None) -> DataFrame:
+def nb_counts(df: DataFrame, label: str = "category", recode: DataFrame | None = None, stop_words=MODEL_STOP_WORDS) -> DataFrame:
     """What M2b learns from the labelled rows (F8): (class c, token t, occurrences n), and the class's rows at a null token.
     Counts of several batches add up.  With ``recode``, old labels are translated first (P11 c)."""
-    d = with_model_tokens(recode_category(df, recode, "any", label=label) if recode is not None else df, label)
+    d = with_model_tokens(recode_category(df, recode, "any", label=label) if recode is not None else df, label, stop_words)
     one = F.array(F.lit(None).cast("string"))
     return (d.where(is_training_row(label)).select(F.col(label).alias("c"), F.explode(F.concat(one, "tokens")).alias("t"))
              .groupBy("c", "t").agg(F.count(F.lit(1)).alias("n")))
 
 
-def nb_suggest(df: DataFrame, learned: DataFrame, label: str = "category", threshold: float = MODEL_CONFIDENCE_MIN) -> DataFrame:
+def nb_suggest(df: DataFrame, learned: DataFrame, label: str = "category", threshold: float = MODEL_CONFIDENCE_MIN,
+               stop_words=MODEL_STOP_WORDS) -> DataFrame:
     """M2b's scoring of the rows of ``df`` that need a label, by the counts of ``nb_counts``."""
-    pred = with_model_tokens(df, label).where(needs_label(label)).select("row_id", "tokens")
+    pred = with_model_tokens(df, label, stop_words).where(needs_label(label)).select("row_id", "tokens")
     counts, docs = learned.where("t is not null"), learned.where("t is null").select("c", F.col("n").alias("docs"))
     vocab = counts.select("t").distinct()
     tok = counts.groupBy("c").agg(F.sum("n").alias("tok"))
