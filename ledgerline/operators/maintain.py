@@ -67,13 +67,19 @@ def apply_reclassification(versions: Versions, rules: DataFrame, year: int, name
     return versions.read(name)
 
 
-def change_examples(reclassified: DataFrame, n: int = CHANGE_EXAMPLES) -> DataFrame:
-    """The first ``n`` changed rows by date and row id, with 35 characters of the concept and the changes as text."""
+def first_changes(reclassified: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` changed rows by date and row id.  Changed rows sort first and the others are dropped after the limit:
+    a filter on the flags would move below the rule chain and repeat it, with the normalised concept, in every flag."""
     any_change = F.col(f"{FIELDS[0]}_changed")
     for f in FIELDS[1:]:
         any_change = any_change | F.col(f"{f}_changed")
+    return reclassified.withColumn("_any", any_change).orderBy(F.col("_any").desc(), "date", "row_id").limit(n).where("_any").drop("_any")
+
+
+def change_examples(reclassified: DataFrame, n: int = CHANGE_EXAMPLES) -> DataFrame:
+    """The first ``n`` changed rows by date and row id, with 35 characters of the concept and the changes as text."""
     # the n rows are written first: with a long rule chain the texts below would repeat its code in one method
-    first = materialize(reclassified.where(any_change).orderBy("date", "row_id").limit(n))
+    first = materialize(first_changes(reclassified, n))
     texts = [F.when(F.col(f"{f}_changed"), F.concat(F.lit(f"{f}: '"), F.col(f"old_{f}"), F.lit("' -> '"), F.col(f), F.lit("'"))) for f in FIELDS]
     return first.select("ledger_id", "row_id", "date", truncate("concept", CHANGE_EXAMPLE_CHARS).alias("concept"),
                         F.concat_ws("; ", *texts).alias("changes"))

@@ -145,3 +145,18 @@ def test_batches_nulls_and_repeated_recode_keys(spark):
     for policy in ("any", "rebuild"):
         out = recode_category(one, recode, policy).collect()
         assert sorted((r["category"], r["subcategory"]) for r in out) == [("Y", ""), ("a", "s1")]
+
+
+def test_first_changes_do_not_repeat_the_rule_chain(spark):
+    from ledgerline.operators import maintain as M
+    from ledgerline.sources.rules import load_rules
+    rows = [("1", f"r{i:02d}", f"1999-01-{i + 1:02d}", ("ALFA" if i % 3 else "OTRO") + " X", "", "", "", "", 5) for i in range(20)]
+    led = spark.createDataFrame(rows, "ledger_id string, row_id string, date string, concept string, category string, subcategory string, "
+                                      "origin string, kind string, debit int").withColumns(
+        {"date": F.to_date("date"), "debit": F.col("debit").cast("decimal(18,2)"), "credit": F.lit(None).cast("decimal(18,2)")})
+    rules = load_rules(spark.createDataFrame([(i, w, None, None, w.title(), "", "", "") for i, w in enumerate(("ALFA", "BETA", "GAMA"))],
+                                             "ord int, pattern string, lo string, hi string, category string, subcategory string, origin string, kind string"))
+    first = M.first_changes(M.reclassify(led, rules, 1999), 10)
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("GAMA") <= 12 and not any("GAMA" in line for line in plan.splitlines() if "Filter" in line)
+    assert [r["row_id"] for r in first.orderBy("date").collect()] == [f"r{i:02d}" for i in range(20) if i % 3][:10]
