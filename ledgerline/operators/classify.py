@@ -263,19 +263,41 @@ def _nodes(intervals: DataFrame) -> DataFrame:
               .drop("_first", "_past", "_up", "_down", "lo", "hi"))
 
 
+#: intervals that one task makes nodes of: a rule table of few bytes is one split, and its nodes are many times its rows
+INTERVALS_PER_TASK = 50_000
+#: points that one task looks up, each at every level
+POINTS_PER_TASK = 20_000
+
+
+def dealt_intervals(intervals: DataFrame, value: str) -> DataFrame:
+    """The distinct intervals (lo, hi) with their least value, dealt over tasks of at most about INTERVALS_PER_TASK."""
+    tasks = intervals.count() // INTERVALS_PER_TASK + 1
+    return intervals.repartition(tasks, "lo", "hi").groupBy("lo", "hi").agg(F.min(value).alias(value))
+
+
 def stab_intervals(points: DataFrame, point: str, intervals: DataFrame, value: str) -> DataFrame:
     """Each row of ``points`` (distinct amounts) that lies in some interval (lo, hi, value), with the least value of
     those.  An equi-join: a point's ancestors in the tree meet the intervals' nodes, of which each keeps only its
     least value, so a node is met once however many intervals share it."""
-    tree = materialize(_nodes(intervals).groupBy("_level", "_node").agg(F.min(value).alias(value)))
-    levels = [r["_level"] for r in tree.select("_level").distinct().orderBy("_level").collect()]      # at most TOP + 1
-    if not levels:
+    tree = materialize(_nodes(dealt_intervals(intervals, value)).groupBy("_level", "_node").agg(F.min(value).alias(value)))
+    sizes = {r["_level"]: r["count"] for r in tree.groupBy("_level").count().collect()}      # at most TOP + 1
+    if not sizes:
         return points.limit(0).withColumn(value, F.lit(None).cast(intervals.schema[value].dataType))
-    above = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels])))
-    above = above.withColumn("_node", F.expr(f"cast(`{point}` * 100 as bigint) >> _level"))
-    if _fewer_than(tree, MAX_BROADCAST_RULES):
-        tree = F.broadcast(tree)
-    return above.join(tree, ["_level", "_node"]).groupBy(point).agg(F.min(value).alias(value))
+    few, n = [], 0          # the levels of fewest nodes, broadcast: all points meet the same nodes there
+    for level in sorted(sizes, key=lambda x: (sizes[x], x)):
+        n += sizes[level]
+        if n <= MAX_BROADCAST_RULES:
+            few.append(level)
+    points = points.repartition(points.count() // POINTS_PER_TASK + 1, point)
+
+    def met(levels, nodes):
+        above = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels])))
+        above = above.withColumn("_node", F.expr(f"cast(`{point}` * 100 as bigint) >> _level"))
+        return above.join(nodes, ["_level", "_node"]).select(point, value)
+    parts = [met(levels, nodes) for levels, nodes in (
+        (few, F.broadcast(tree.where(F.col("_level").isin(few)))), ([x for x in sizes if x not in few], tree.where(~F.col("_level").isin(few)))) if levels]
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return found.groupBy(point).agg(F.min(value).alias(value))
 
 
 def _literal(row, kind) -> Column:

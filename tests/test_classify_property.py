@@ -5,6 +5,7 @@ from decimal import Decimal as D
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerline.operators import classify as C
 from ledgerline.sources.rules import load_rules
@@ -133,3 +134,19 @@ def test_hot_key_is_split(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sum(per_task.values()) == 10 * n // 3
     assert max(per_task.values()) < 10 * n // 3 / 5
+
+
+def test_intervals_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(C, "INTERVALS_PER_TASK", 50)
+    bounds = F.col("id") % 400
+    own = spark.range(1000).coalesce(1).select(bounds.cast("decimal(38,10)").alias("lo"), (bounds + 3).cast("decimal(38,10)").alias("hi"),
+                                               F.struct(F.col("id").alias("o")).alias("rule"))
+    dealt = C.dealt_intervals(own, "rule")
+    assert dealt.rdd.getNumPartitions() == 21
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 100
+    points = spark.range(500).select(F.col("id").cast("decimal(18,2)").alias("amt"))
+    got = {int(r["amt"]): r["rule"]["o"] for r in C.stab_intervals(points, "amt", own, "rule").collect()}
+    want = {p: min(o for o in range(1000) if o % 400 <= p <= o % 400 + 3) for p in range(403)}
+    assert got == want
+    monkeypatch.setattr(C, "MAX_BROADCAST_RULES", 300)                   # some levels broadcast, some not
+    assert {int(r["amt"]): r["rule"]["o"] for r in C.stab_intervals(points, "amt", own, "rule").collect()} == want
