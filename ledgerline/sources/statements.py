@@ -39,7 +39,16 @@ def _fields(line, sep_idx):
         quoted = x.startswith('"') & x.endswith('"') & (F.length(x) >= 2)
         return F.when(quoted, F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
     found = F.regexp_extract_all(F.concat(pick(STATEMENT_SEPARATORS), line), pick(map(_field_pattern, STATEMENT_SEPARATORS)), F.lit(1))
-    return F.transform(found, unquote)
+    # a line without quotes is what lies between its separators: no pattern needed
+    plain = F.split(line, pick([s if s == "\t" else rf"\{s}" for s in STATEMENT_SEPARATORS]), -1)
+    return F.when(line.contains('"'), F.transform(found, unquote)).otherwise(plain)
+
+
+def _field_count(line, i):
+    """The number of fields of a line under separator ``i``."""
+    sep = STATEMENT_SEPARATORS[i]
+    plain = F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit(""))) + 1
+    return F.when(line.contains('"') & line.contains(sep), F.size(_fields(line, F.lit(i)))).otherwise(plain)
 
 
 def source_lines(text: DataFrame) -> DataFrame:
@@ -124,7 +133,7 @@ def statement_outcomes(spark: SparkSession, source: DataFrame, signed: bool = Fa
     lines = materialize(_numbered(source, extra).where(strip("line") != ""))
 
     per_sep = lines.select("path", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.size(_fields(F.col("line"), F.lit(i))).alias("n")) for i in range(len(STATEMENT_SEPARATORS))])).alias("s"))
+        F.struct(F.lit(i).alias("i"), _field_count(F.col("line"), i).alias("n")) for i in range(len(STATEMENT_SEPARATORS))])).alias("s"))
     score = (per_sep.where(F.col("s.n") > 2).groupBy("path", "s.i", "s.n").agg(F.count(F.lit(1)).alias("lines"))
                     .groupBy("path", "i").agg(F.max("lines").alias("score")))
     per_file = score.groupBy("path").agg(
