@@ -176,11 +176,10 @@ def from_year(spark, sf):
 def read_ledger(spark, sf):
     """S2 over a stored ledger whose dates and amounts are text (day-first dates, Spanish amounts)."""
     mv = adapter.movements(spark, sf)
-    amounts = [F.regexp_replace(F.format_number(c, 2), r"([.,])", "<$1>").alias(c) for c in ("debit", "credit", "bank_balance")]
+    # 1,234.56 → 1.234,56
+    amounts = [F.translate(F.format_number(c, 2), ",.", ".,").alias(c) for c in ("debit", "credit", "bank_balance")]
     text = mv.select("ledger_id", "row_id", "kind", "origin", "category", "subcategory", "concept",
                      F.date_format("date", "d/M/yyyy").alias("date"), *amounts)
-    for c in ("debit", "credit", "bank_balance"):       # 1,234.56 → 1.234,56
-        text = text.withColumn(c, F.replace(F.replace(c, F.lit("<,>"), F.lit(".")), F.lit("<.>"), F.lit(",")))
     path = scratch_path(spark, "text-ledger")
     text.write.parquet(path)
     return finalize(read_op_ledger(path, spark, min_year=adapter.FIRST_YEAR))

@@ -160,3 +160,20 @@ def test_first_changes_do_not_repeat_the_rule_chain(spark):
     plan = first._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("GAMA") <= 12 and not any("GAMA" in line for line in plan.splitlines() if "Filter" in line)
     assert [r["row_id"] for r in first.orderBy("date").collect()] == [f"r{i:02d}" for i in range(20) if i % 3][:10]
+
+
+def test_reading_text_dates_stays_within_compiled_code(spark, capsys):
+    """Methods above 8,000 bytes are not compiled by the JVM; all forms of a date in one expression were 19,908."""
+    import re
+
+    from ledgerline.sources.ledger import read_ledger
+    forms = {"5/3/2020": "2020-03-05", "\xa005-03-2020 ": "2020-03-05", "5.3.2020 10:00": "2020-03-05", "2020/3/5": "2020-03-05",
+             "5/3/71": "1971-03-05", "43831.7": "2020-01-01", "31/2/2020": None, "x": None, "": None, None: None}
+    df = spark.createDataFrame([("1", f"{d}", d, "1.234.567,50", " ") for d in forms],
+                               "ledger_id string, row_id string, date string, debit string, credit string")
+    led = read_ledger(df, min_year=1900)
+    led.explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+    got = {r["row_id"]: (str(r["date"]), str(r["debit"]), r["credit"]) for r in led.collect()}
+    assert got == {f"{d}": (v, "1234567.50", None) for d, v in forms.items() if v}
