@@ -67,11 +67,14 @@ def unmatched_summary(unmatched: DataFrame, label: str = "label", id_col: str =
 def pattern_example(rows: DataFrame, patterns: DataFrame, id_col: str = "row_id") -> DataFrame:
     """For each pattern, the first row (lowest id) whose normalised concept contains it; 55 chars.
 
-    Rows are first reduced to distinct normalised concepts (with their first row), which meet the patterns
-    in an equi-join on each pattern's rarest gram (``gram_matches``): exact, with no broadcast and no cap on the
-    number of patterns.
+    Rows are first reduced to distinct concepts (with their first row); these are normalised, unless ``rows`` has a
+    ``norm``, and reduced to distinct normalised concepts, which meet the patterns in an equi-join on each pattern's
+    rarest gram (``gram_matches``): exact, with no broadcast and no cap on the number of patterns.
     """
-    firsts = rows.groupBy("norm").agg(F.min(id_col).alias("_id"), F.min_by("concept", F.col(id_col)).alias("_c"))
+    per = rows.groupBy("concept", *(["norm"] if "norm" in rows.columns else [])).agg(F.min(id_col).alias("_id"))
+    if "norm" not in per.columns:
+        per = per.withColumn("norm", norm_concept("concept"))
+    firsts = per.groupBy("norm").agg(F.min("_id").alias("_id"), F.min_by("concept", "_id").alias("_c"))
     pats = patterns.select("pattern")
     hits = gram_matches(firsts, ["norm"], pats)
     best = hits.groupBy("pattern").agg(F.min_by("_c", "_id").alias("_c"))

@@ -9,22 +9,23 @@ from ledgerline.operators import maintain as M
 from ledgerline.operators import mining as G
 from ledgerline.plans.common import finalize
 from ledgerline.plans.labelling import rules
-from ledgerline.session import scratch_path
+from ledgerline.session import materialize, scratch_path
 from ledgerline.sources import adapter
 from ledgerline.sources.versions import Versions
 
 
 def _mining(spark, sf):
+    """(labelled history, its patterns): what follows reads the patterns several times, so they are written once."""
     rows = adapter.mining_rows(spark, sf)
-    return rows, G.mine_patterns(rows)
+    return rows, materialize(G.mine_patterns(rows))
 
 
 def _all_rows(spark, sf):
-    return G.tokenize(adapter.movements(spark, sf).select("row_id", "concept"))
+    return adapter.movements(spark, sf).select("row_id", "concept")
 
 
 def mine_patterns(spark, sf):
-    return finalize(_mining(spark, sf)[1])
+    return finalize(G.mine_patterns(adapter.mining_rows(spark, sf)))
 
 
 def unmatched_concepts(spark, sf):
@@ -32,13 +33,12 @@ def unmatched_concepts(spark, sf):
     return finalize(G.tokenize(G.unmatched_concepts(rows, pats)).select("ledger_id", "row_id", "norm"))
 
 
-def _summary(spark, sf):
-    rows, pats = _mining(spark, sf)
+def _summary(rows, pats):
     return G.unmatched_summary(G.tokenize(G.unmatched_concepts(rows, pats)))
 
 
 def unmatched_summary(spark, sf):
-    return finalize(_summary(spark, sf))
+    return finalize(_summary(*_mining(spark, sf)))
 
 
 def pattern_example(spark, sf):
@@ -49,35 +49,36 @@ def propose_categories(spark, sf):
     return finalize(G.propose_categories(_mining(spark, sf)[1], adapter.proposals(spark, sf), "pattern"))
 
 
-def _review_patterns(spark, sf):
-    return G.rule_review_patterns(_mining(spark, sf)[1], _all_rows(spark, sf), adapter.proposals(spark, sf))
+def _review_patterns(spark, sf, mined):
+    return G.rule_review_patterns(mined[1], _all_rows(spark, sf), adapter.proposals(spark, sf))
 
 
-def _review_unmatched(spark, sf):
-    return G.rule_review_unmatched(_summary(spark, sf), adapter.proposals(spark, sf))
+def _review_unmatched(spark, sf, mined):
+    return G.rule_review_unmatched(_summary(*mined), adapter.proposals(spark, sf))
 
 
 def rule_review_patterns(spark, sf):
-    return finalize(_review_patterns(spark, sf))
+    return finalize(_review_patterns(spark, sf, _mining(spark, sf)))
 
 
 def rule_review_unmatched(spark, sf):
-    return finalize(_review_unmatched(spark, sf))
+    return finalize(_review_unmatched(spark, sf, _mining(spark, sf)))
 
 
 def write_rule_review(spark, sf):
     """S7 sink: the three review tables written and read back, as (sheet, key)."""
-    path = scratch_path(spark, "review")
-    G.write_rule_review(_review_patterns(spark, sf), _review_unmatched(spark, sf), _taxonomy(spark, sf), path)
+    path, mined = scratch_path(spark, "review"), _mining(spark, sf)
+    G.write_rule_review(_review_patterns(spark, sf, mined), _review_unmatched(spark, sf, mined), _taxonomy(spark, sf), path)
     keys = {"patterns": "pattern", "unmatched": "norm_concept", "categories": "category"}
     parts = [spark.read.parquet(f"{path}/{s}").select(F.lit(s).alias("sheet"), F.col(k).alias("key")) for s, k in keys.items()]
     return finalize(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 def _old_sheets(spark, sf):
-    pats = _review_patterns(spark, sf).select(
+    mined = _mining(spark, sf)
+    pats = _review_patterns(spark, sf, mined).select(
         "pattern", F.col("proposed_category").alias("category"), F.col("proposed_subcategory").alias("subcategory"))
-    unm = _review_unmatched(spark, sf).select(
+    unm = _review_unmatched(spark, sf, mined).select(
         "norm_concept", F.col("proposed_category").alias("category"), F.col("proposed_subcategory").alias("subcategory"))
     return pats, unm
 
