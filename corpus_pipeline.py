@@ -16,7 +16,7 @@ from ledgerline.llm.queries import MODEL, held_out
 from ledgerline.llm.simhash import drop_near_copies
 from ledgerline.llm.subword import decode, encode
 from ledgerline.llm.toxicity import drop_toxic
-from ledgerline.session import scratch_path
+from ledgerline.session import materialize, scratch_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus as sampled pieces, reproducible by doc_id, with the digest of the text decoded from them."""
-    back = decode(encode(docs, MODEL), MODEL)
+    # written between the two, so that one Python worker a core is live and not two
+    back = decode(materialize(encode(docs, MODEL)), MODEL)
     return back.select("doc_id", "lang", "source", F.size("pieces").alias("n_pieces"), "pieces",
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
                        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))

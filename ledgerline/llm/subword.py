@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 ALPHA = 0.5
 SEED = 42
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 ZIPF_SHIFT = 2.7
 
 
@@ -273,24 +273,25 @@ def encode(df: DataFrame, model_path: str, key_col: str = "doc_id", text_col: st
     rest = df.drop(out_col)
     names = rest.columns
     work = rest.toDF(*[f"c{i}" for i in range(len(names))])
-    k, t = names.index(key_col), names.index(text_col)
+    k, t, n = names.index(key_col), names.index(text_col), len(names)
     work = work.withColumn("key", F.coalesce(F.col(f"c{k}").cast("string"), F.lit("")))
-    work = work.withColumn("text", F.col(f"c{t}").cast("string"))
+    if not isinstance(work.schema[t].dataType, T.StringType):       # a string goes to Python once, as it is
+        work, t = work.withColumn("text", F.col(f"c{t}").cast("string")), n + 1
 
     def run(batches):
         p = shared.value
         for b in batches:
-            lengths = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+            lengths = pc.fill_null(pc.binary_length(b.column(t)), 0).to_pylist()
             for i, j in _slices(lengths, SLICE_CHARS):
                 part = b.slice(i, j - i)
-                text = part.column("text")
-                keys = np.array([xxhash.xxh64_intdigest(x, seed) for x in part.column("key").to_pylist()], np.uint64)
+                text = part.column(t)
+                keys = np.array([xxhash.xxh64_intdigest(x, seed) for x in part.column(n).to_pylist()], np.uint64)
                 ids, counts = sample(p, [x or "" for x in text.to_pylist()], keys, alpha)
                 at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 pieces = pa.ListArray.from_arrays(pa.array(at), pa.array(ids), mask=text.is_null())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pieces], names=[*part.schema.names[:-2], "pieces"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pieces], names=[*part.schema.names[:n], "pieces"])
 
-    schema = T.StructType([*work.schema.fields[:-2], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*work.schema.fields[:n], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
     return work.mapInArrow(run, schema).toDF(*names, out_col)
 
 

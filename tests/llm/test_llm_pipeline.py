@@ -99,3 +99,22 @@ def test_pieces_decode_to_the_text(spark):
     assert all(r["lossless"] for r in out.values()) and len(out) == 4
     for i, t in texts.items():
         assert out[i]["decoded_sha256"] == (None if t is None else hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_pieces_are_written_before_they_are_decoded(spark, monkeypatch):
+    """One Python stage is live at a time, and a text goes to it once."""
+    import corpus_pipeline as C
+    seen, decode = [], C.decode
+    monkeypatch.setattr(C, "decode", lambda df, model: seen.append(df) or decode(df, model))
+    docs = spark.createDataFrame([(1, "uno dos", "es", "web"), (2, None, "es", "web")], "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in C.sentencepiece(spark, docs, "").collect()}
+    assert "MapInArrow" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert out[1]["lossless"] and out[1]["n_pieces"] > 0 and out[2]["pieces"] is None
+
+
+def test_texts_that_are_no_strings_are_encoded(spark):
+    from corpus_pipeline import decode, encode
+    from ledgerline.llm.queries import MODEL
+    number = spark.createDataFrame([(1, 17), (2, None)], "doc_id long, text long")
+    out = {r["doc_id"]: tuple(r) for r in decode(encode(number, MODEL), MODEL).collect()}
+    assert out[1][1] == 17 and out[1][3] == "17" and out[2][2:] == (None, None)
