@@ -41,6 +41,16 @@ def move(spark: SparkSession, source, target: str) -> str | None:
     return name if fs.rename(src, p) else None
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder to ``target``; one that is there goes."""
+    src, _ = _path(spark, source)
+    p, fs = _path(spark, target)
+    fs.delete(p, True)
+    fs.mkdirs(p.getParent())
+    if not fs.rename(src, p):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.mkdirs(p)

@@ -13,7 +13,7 @@ closing of its last untouched month, so backdated rows are right too.
 
 A refresh is idempotent by its tag: the new content of the touched partitions is written in full beside the tables
 (``pending``) before any of them is replaced.  A refresh that is interrupted before that starts again, one
-interrupted after it replaces the partitions from ``pending`` again, and one that is finished does nothing.
+interrupted after it moves the partitions that are left in ``pending``, and one that is finished does nothing.
 Corrections of rows that a view already holds are no import: ``rebuild`` reads the whole ledger.
 
 Defined cases: an empty batch changes nothing; rows without a ledger are one ledger; undated rows and rows before
@@ -74,12 +74,18 @@ class MonthViews:
         if not files.exists(self.spark, f"{pending}/READY"):
             self._prepare(rows, pending)
             files.touch(self.spark, f"{pending}/READY")
-        for name, (schema, parts) in TABLES.items():
-            (self.spark.read.schema(schema).parquet(f"{pending}/{name}").repartition(*parts).write.mode("overwrite")
-                 .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.path}/{name}"))
+        for name in TABLES:
+            self._replace(f"{pending}/{name}", f"{self.path}/{name}")
         files.touch(self.spark, f"{self.path}/applied/{tag}")
         files.delete(self.spark, pending)
 
+    def _replace(self, pending: str, table: str) -> None:
+        """Put the partitions of ``pending`` (two folder levels) in the place of the table's, folder by folder: they are written
+        as they shall lie.  A folder that was moved is no longer pending, so a replay goes on where it stopped."""
+        for a in files.names(self.spark, pending):
+            for b in files.names(self.spark, f"{pending}/{a}") if "=" in a else ():
+                files.replace(self.spark, f"{pending}/{a}/{b}", f"{table}/{a}/{b}")
+
     def rebuild(self, ledger: DataFrame, tag: str = "initial") -> None:
         """The views of a whole ledger, from nothing."""
         files.delete(self.spark, self.path)
@@ -94,9 +100,9 @@ class MonthViews:
     def _delta(self, rows: DataFrame) -> DataFrame:
         led = A.with_flow(read_ledger(rows, min_year=self.min_year), **self.flow)
         bucket = F.pmod(F.xxhash64("ledger_id"), F.lit(self.buckets)).cast("int")
-        return materialize(led.withColumn("bucket", bucket).groupBy(*KEYS, "concept").agg(
+        return materialize(A.group_by_hash(led.withColumn("bucket", bucket), *KEYS, "concept").agg(
             F.sum("amount").cast(SUM).alias("amount"), F.count(F.lit(1)).alias("n"),
-            F.max(F.struct("date", "row_id", "bank_balance")).alias("_last")))
+            F.max(F.struct("date", "row_id", "bank_balance")).alias("_last")).drop("_h"))
 
     def touched(self, name: str, delta: DataFrame) -> DataFrame:
         """The stored rows of the partitions that the delta touches.  The lists are bounded by the calendar and the
@@ -109,18 +115,19 @@ class MonthViews:
     def _prepare(self, rows: DataFrame, pending: str) -> None:
         def write(name, df):
             schema, parts = TABLES[name]
-            df.repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(f"{pending}/{name}")
+            df.write.mode("overwrite").partitionBy(*parts).parquet(f"{pending}/{name}")
             return self.spark.read.schema(schema).parquet(f"{pending}/{name}")
 
         delta = self._delta(rows)
         concepts = delta.withColumn("last_date", F.col("_last.date")).drop("_last")
         merged = self.touched("concepts", delta).unionByName(concepts)
-        write("concepts", merged.groupBy(*KEYS, "concept").agg(
+        # dealt by partition before they are added up: the delta holds a key once, and the files are written by partition
+        write("concepts", merged.repartition("bucket", "month").groupBy(*KEYS, "concept").agg(
             F.sum("amount").cast(SUM).alias("amount"), F.sum("n").alias("n"), F.max("last_date").alias("last_date")))
         sums = [F.sum("amount").cast(SUM).alias("amount"), F.sum("n").alias("n"), F.max("_last").alias("_last")]
-        merged = self.touched("detail", delta).unionByName(delta.groupBy(*KEYS).agg(*sums))
-        detail = write("detail", merged.groupBy(*KEYS).agg(*sums))
-        write("balances", self._balances(detail, delta.select("bucket", "ledger_id", "month").distinct()))
+        merged = self.touched("detail", delta).unionByName(A.group_by_hash(delta, *KEYS).agg(*sums).drop("_h"))
+        detail = write("detail", merged.groupBy(*KEYS).agg(*sums).repartition("bucket", "month"))
+        write("balances", self._balances(detail, delta.select("bucket", "ledger_id", "month").distinct()).repartition("bucket", "year"))
 
     def _balances(self, detail: DataFrame, months: DataFrame) -> DataFrame:
         """The balance partitions that hold a month from a touched ledger's first touched month on."""
