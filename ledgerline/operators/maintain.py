@@ -48,10 +48,12 @@ def reclassified_ledger(ledger: DataFrame, rules: DataFrame, year: int, path: st
     ledger it reads) and read back."""
     after = F.coalesce(from_year("date", year), F.lit(False))
     old = ledger.where(~after)
-    rows = classify(ledger.where(after).withColumn("_concept", clean_text("concept")), rules, concept="_concept")
+    # cleaned in a step of their own: inside the rule chain's they make a method that the JVM does not compile
+    rows = ledger.where(after).withColumns({"_concept": clean_text("concept"), **{f"_own_{f}": clean_text(f) for f in FIELDS}})
+    rows = classify(rows, rules, concept="_concept")
     matched = F.col("new_category") != UNCLASSIFIED
     for f in FIELDS:
-        new, own = F.col(f"new_{f}"), clean_text(f)
+        new, own = F.col(f"new_{f}"), F.col(f"_own_{f}")
         take = matched & (own != new) & (F.lit(True) if f == "category" else new != "")
         rows = rows.withColumn(f, F.when(take, new).otherwise(own))
     out = old.unionByName(rows.select(*ledger.columns))
@@ -116,8 +118,9 @@ def rebuild_ledger(legacy: DataFrame, rules: DataFrame, recode: DataFrame, cutov
     after = from_year("date", cutover) if use_rules else F.lit(False)
     rows = recode_category(rows.withColumn("_cat", F.col("label")).withColumn("_sub", F.col("label2")),
                            recode, "rebuild", label="_cat", sub="_sub", hit_col="_mapped")
-    labelled = classify(rows, rules)
     blank = F.col("label") == ""
+    # only rows whose label comes from the rules have a concept here: the others are not normalised and meet no rule
+    labelled = classify(rows.withColumn("_concept", F.when(after & blank, F.col("concept"))), rules, concept="_concept")
     cat = (F.when(after & F.col("_mapped"), F.col("_cat"))
             .when(after & blank, F.col("new_category")).otherwise(F.col("label")))
     sub = (F.when(after & F.col("_mapped"), F.col("_sub"))
