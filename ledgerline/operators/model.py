@@ -72,6 +72,7 @@ def nb_suggest(df: DataFrame, learned: DataFrame, label: str = "category", thres
                stop_words=MODEL_STOP_WORDS) -> DataFrame:
     """M2b's scoring of the rows of ``df`` that need a label, by the counts of ``nb_counts``."""
     pred = with_model_tokens(df, label, stop_words).where(needs_label(label)).select("row_id", "tokens")
+    pred = materialize(pred)            # read several times below
     counts, docs = learned.where("t is not null"), learned.where("t is null").select("c", F.col("n").alias("docs"))
     vocab = counts.select("t").distinct()
     tok = counts.groupBy("c").agg(F.sum("n").alias("tok"))

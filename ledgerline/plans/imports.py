@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.labels import movement_key as movement_key_col
 from ledgerline.operators import dedupe as D
-from ledgerline.plans.common import finalize
+from ledgerline.plans.common import by_year, finalize
 from ledgerline.plans.labelling import rules
 from ledgerline.session import scratch_path
 from ledgerline.sources import adapter
@@ -59,11 +59,12 @@ def month_ledger(spark, sf):
     months of its batch; its rows appended.  Rows and sums of each ledger, batch and month as they are read back."""
     old = adapter.existing_ledger(spark, sf).withColumn("batch_id", F.concat(F.lit("y"), F.year("date").cast("string")))
     store = MonthLedger(spark, scratch_path(spark, "month-ledger"), buckets=2)
-    first, last = old.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
+    years = by_year(old)
+    first, last = years.agg(F.min("_year"), F.max("_year")).first()
     for year in range(first or 0, (last or -1) + 1):
-        store.append(old.where(F.year("date") == year), f"y{year}")
+        store.append(years.where(F.col("_year") == year), f"y{year}")
     if first:
-        store.append(old.where(F.year("date") == first), f"y{first}")
+        store.append(years.where(F.col("_year") == first), f"y{first}")
     store.compact(fan_in=2)
     store.append(D.import_statements(adapter.incoming_rows(spark, sf), store, rules(spark, sf), BATCH), BATCH)
     rows = store.read().groupBy("ledger_id", "batch_id", F.year("date").alias("year"), F.month("date").alias("month"))

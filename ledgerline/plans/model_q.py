@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import model as MD
 from ledgerline.operators.kept_model import KeptLabeller
-from ledgerline.plans.common import finalize
+from ledgerline.plans.common import by_year, finalize
 from ledgerline.session import scratch_path
 from ledgerline.sources import adapter
 
@@ -19,9 +19,10 @@ def nb_kept(spark, sf):
     """M2b kept: learned year by year, one year twice, early years added up; then it scores the whole ledger."""
     mv = adapter.movements(spark, sf)
     model = KeptLabeller(spark, scratch_path(spark, "labeller"))
-    first, last = mv.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
+    mv = by_year(mv.select("row_id", "date", "category", "debit", "credit", *MD.TEXT_COLS))
+    first, last = mv.agg(F.min("_year"), F.max("_year")).first()
     for year in [*range(first or 0, (last or -1) + 1), first or 0]:
-        model.learn(mv.where(F.year("date") == year), f"y{year}")
+        model.learn(mv.where(F.col("_year") == year), f"y{year}")
     model.compact(fan_in=2, keep=(f"y{last}",))
     return finalize(model.suggest(mv))
 
