@@ -16,11 +16,12 @@ from ledgerline.llm.queries import MODEL, held_out
 from ledgerline.llm.simhash import drop_near_copies
 from ledgerline.llm.subword import decode, encode
 from ledgerline.llm.toxicity import drop_toxic
-from ledgerline.session import materialize, scratch_path
+from ledgerline.session import materialize, scratch_path, text_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go.  Learns from the labels that are not held out."""
+    text_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
     return drop_toxic(docs, labels, lenient=False)
 
@@ -32,16 +33,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of fingerprints at 4 or fewer bits, one row with the smallest doc_id stays."""
+    text_batches(spark)
     return drop_near_copies(docs, shingle=4, max_bits=4, lenient=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
+    text_batches(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), lenient=False)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus as sampled pieces, reproducible by doc_id, with the digest of the text decoded from them."""
+    text_batches(spark)
     # written between the two, so that one Python worker a core is live and not two
     back = decode(materialize(encode(docs, MODEL)), MODEL)
     return back.select("doc_id", "lang", "source", F.size("pieces").alias("n_pieces"), "pieces",

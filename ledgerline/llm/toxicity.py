@@ -214,9 +214,9 @@ def learn_lexicon(rows: DataFrame, train: DataFrame) -> dict[str, float]:
     # a beginning that one longer entry accounts for says nothing of its own
     covered = {e[:n] for e, a in held.items() for n in PREFIXES if n < len(e) and a >= 0.9 * held.get(e[:n], a + a)}
     weights = {r["entry"]: float(min(r["odds"], 6.0)) for r in strong if r["entry"] not in covered}
-    begins = [(e,) for e in weights if not e.endswith("$")]
+    begins = [e for e in weights if not e.endswith("$")]
     if begins:     # longer entries below a kept beginning may say less: they override it
-        kept = F.broadcast(rows.sparkSession.createDataFrame(begins, "begin string"))
+        kept = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"begin": pa.array(begins, pa.string())})))       # from Arrow: no Python worker reads it
         prefix = F.explode(F.transform(F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n < F.length("entry")),
                                        lambda n: F.substring(F.col("entry"), F.lit(1), n)))
         weak = (entries.where(F.col("odds") < MIN_ODDS).select("entry", "odds", prefix.alias("begin"))
