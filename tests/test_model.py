@@ -58,6 +58,21 @@ def test_old_labels_are_translated_first(spark):
     assert M.train_labeller(frame(spark, rows), hashed_terms=1 << 8, max_iter=5, recode=recode).classes == ["Casa", "Salud"]
 
 
+def test_term_counts_are_damped_and_no_row_goes_to_python(spark, monkeypatch):
+    """A slot that holds n occurrences counts 1 + ln(n); neither the fit nor the suggestions need a Python worker."""
+    def refuse(*a, **k):
+        raise AssertionError("a Python function for each row")
+    monkeypatch.setattr(M.F, "udf", refuse)
+    rows = [(f"a{i}", "farmacia farmacia farmacia norte", "Salud", 5) for i in range(3)] + [(f"b{i}", "alquiler", "Casa", 900) for i in range(3)]
+    df = frame(spark, rows + [("x", "farmacia", "", 5), ("y", None, "", 900)])
+    got = {r["row_id"]: r["suggestion"] for r in M.suggest_labels(M.train_labeller(df, hashed_terms=1 << 10, max_iter=5), df).collect()}
+    assert got == {"x": "Salud", "y": "Casa"}
+    first, empty = [M._term_rows(df.where(f"row_id = '{i}'"), "category", 1 << 10).first() for i in ("a0", "y")]
+    # farmacia three times, "farmacia farmacia" twice, norte, "farmacia norte"
+    assert sorted(first["_dtf"].values) == pytest.approx(sorted([1 + np.log(3), 1 + np.log(2), 1, 1])) and first["_dtf"].size == 1 << 10
+    assert (first["_c"], first["_amt_d"]) == ("Salud", -5.0) and len(empty["_dtf"].values) == 0
+
+
 def test_sigmoid():
     """Counts drawn from a known sigmoid give it back; few rows give no certainty."""
     m = np.linspace(-4, 4, 81)
